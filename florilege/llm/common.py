@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -72,3 +73,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
 def salted_count(size, per: int = 256):
     """How many salts a group of `size` rows is spread over."""
     return F.greatest(F.lit(1), F.ceil(size / F.lit(per))).cast("int")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet in the shared checkpoint folder and reads it back; smaller than checkpoint().
+
+    Files lie under <checkpoint folder>/florilege-<application id>/ and may go when the application has ended.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/florilege-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)

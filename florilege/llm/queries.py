@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from florilege.llm import exact_dedup, mixing, simhash_dedup, topk_search, toxicity
+from florilege.llm import exact_dedup, mixing, simhash_dedup, suffix_dedup, topk_search, toxicity
 from florilege.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
