@@ -27,10 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges(a, b); label is the least node of its component.
 
     Each round is a few aggregates and joins over the edges, which never exceed their first number;
-    rounds grow with the logarithm of the longest chain. Self-loops and repeated edges are harmless.
+    rounds grow with the logarithm of the longest chain. Repeated edges are harmless; self-loops are
+    left out, so a node with no other edge has no row.
     """
     state = checkpoint(edges.select("a", "b").where("a <> b").distinct())
-    loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
     sign = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
     last = sign(state)
     for _ in range(MAX_ROUNDS):
@@ -44,4 +44,4 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("label"))
-    return state.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots).union(loops).groupBy("node").agg(F.min("label").alias("label"))
+    return state.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots).groupBy("node").agg(F.min("label").alias("label"))
