@@ -26,6 +26,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3.0
 TOLERANCE = 1e-9
 MAX_STEPS = 60
+BROADCAST_SOURCES = 50_000  # rates of at most so many sources go out as a broadcast; more are joined by a shuffle
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def _rates(sizes: DataFrame, cap: float) -> DataFrame:
             state = checkpoint(state)
             if not state.where("not solved").limit(1).count():
                 break
-    return state.withColumn("lam", F.round("lam", 12))
+    return checkpoint(state.withColumn("lam", F.round("lam", 12)))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -110,6 +111,7 @@ def mix(docs: DataFrame, cap: float = CAP) -> DataFrame:
 
 def _taken(sizes: DataFrame, rates: DataFrame, cap: float) -> DataFrame:
     rates = rates.withColumnRenamed("source", "key")
+    rates = F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
     joined = sizes.join(rates, F.col("source").eqNullSafe(F.col("key"))).drop("key")
     rate = F.when(F.col("target") >= cap * F.col("source_size"), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(F.col("lam") * F.col("size") / F.col("mean"))))
     dither = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mix")), F.lit(1 << 32)) / F.lit(float(1 << 32))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from florilege.llm import exact_dedup, html_extract, mixing, packing, quality_lm, simhash_dedup, suffix_dedup, topk_search, toxicity
+from florilege.llm import exact_dedup, html_extract, line_dedup, mixing, packing, quality_lm, simhash_dedup, suffix_dedup, topk_search, toxicity
 from florilege.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.score(table(spark, sf_dir, "documents", "doc_id", "lang", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
