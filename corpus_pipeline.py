@@ -1,11 +1,58 @@
-"""A training-corpus pipeline: stages of documents, each read from the one before."""
+"""A training-corpus pipeline over `documents`: each stage's result is written and read as the next one's input."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from florilege.llm import line_dedup, mixing, packing, simhash_dedup, toxicity
+from florilege.llm.common import ship, stored, table
+from florilege.llm.queries import vocabulary
+
+#: SQL cannot express the fitted toxicity model or the packing order; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, trained on the labels, does not reject."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that an earlier line repeats."""
+    out = line_dedup.drop_lines(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each near-duplicate group."""
+    found = simhash_dedup.near_dedup(docs.select("doc_id", "text"))
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
+    return docs.join(stay, docs.doc_id.eqNullSafe(stay.stay_id), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of documents, as many of each source's words as its target asks for."""
+    return mixing.mixed_copies(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, with their ids as little-endian unsigned 32-bit numbers."""
+    return packing.pack(docs, vocabulary(), with_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("source_mixing", mix_sources),
+    ("curve_packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
