@@ -6,7 +6,7 @@ texts. Documents are range-sorted by (Hilbert key, hash of doc_id) and laid end
 curve; each range is cut into sequences of LENGTH tokens, and what is left at its end into sequences
 of powers of two, so nothing is padded.
 
-Range bounds come from an approximate quantile sketch over all keys. Tokens are those of the
+Range bounds come from an approximate quantile sketch over all keys, weighted by bytes. Tokens are those of the
 byte-level BPE vocabulary file given by `vocabulary` (token ids equal the tokenizers library's on
 that file), then END.
 
@@ -34,6 +34,7 @@ DIMS = 3
 BITS = 10
 RANGE_BYTES = 8 << 20  # text in a range, about
 SKETCH = 1024  # ranges at most; a range streams through its task, whatever its size
+WEIGHT_BYTES = 2048
 KEY_BYTES = 1 << 20
 SPECIAL = "<|endoftext|>"
 # Fixed value: how byte-level BPE of this vocabulary splits a text.
@@ -97,7 +98,12 @@ def _keyed(bounds: np.ndarray | None):
             salt = (ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(2 + DIMS * BITS)
             key = (key.astype(np.uint64) << np.uint64(62 - DIMS * BITS) | salt).astype(np.int64)
             if bounds is None:
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.diff(offs))], names=["key", "n"])
+                # a key stands once for each begun WEIGHT_BYTES of its text; the first of them carries the size
+                n = np.diff(offs)
+                times = 1 + n // WEIGHT_BYTES
+                size = np.zeros(times.sum(), np.int64)
+                size[np.cumsum(times) - times] = n
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, times)), pa.array(size)], names=["key", "n"])
             else:
                 yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, key)), pa.array(key), b.column(0), b.column(1)], names=["bucket", "key", "doc_id", "text"])
 
