@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
+from florilege.plans.oracles import oracle_sql
+from florilege.plans.queries import all_queries as queries
 
-def queries():
-    return {}
-
-
-def oracle_sql():
-    return {}
+__all__ = ["oracle_sql", "queries"]
