@@ -16,7 +16,7 @@ words' edit distance.
 Defined cases: null text stays null with 0 lines; empty texts have one empty line, which stays; rows
 that share a doc_id count as one document, where no line removes one at the same number; a null
 doc_id comes before all others; no rows give no rows; other columns pass through `drop_lines` as
-they are and are not read by `line_dedup`.
+they are, whatever their names, and are not read by `line_dedup`.
 """
 
 from __future__ import annotations
@@ -147,31 +147,29 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return equal.union(verified)
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
-    """docs with its text without the removed lines, and n_lines and n_removed added."""
+def drop_lines(docs: DataFrame, counted: bool = False) -> DataFrame:
+    """docs with its text without the removed lines; with `counted`, n_lines and n_removed added."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    gone = removed_lines(docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"))).groupBy("doc").agg(F.collect_set("line").alias("gone__"))
-    gone = gone.withColumnRenamed("doc", "gone_doc__")
-    joined = docs.join(gone, key == F.col("gone_doc__"), "left").drop("gone_doc__")
-    at = docs.columns.index("text")
+    gone = removed_lines(docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"))).groupBy("doc").agg(F.collect_set("line").alias("lines"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("doc"), F.col("text").cast("string").alias("text"))
+    joined = rows.join(gone, "doc", "left").select("row", "text", "lines")
 
     def run(batches):
         for b in batches:
             texts, counts, removed = [], [], []
-            for text, drop in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            for text, drop in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 lines, drop = (text or "").split("\n"), frozenset(drop or ())
                 kept = [x for i, x in enumerate(lines) if i not in drop] if drop else lines
                 texts.append(None if text is None else "\n".join(kept))
                 counts.append(0 if text is None else len(lines))
                 removed.append(len(lines) - len(kept))
-            cols = [*b.columns[:-1], pa.array(counts, pa.int64()), pa.array(removed, pa.int64())]
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["row", "kept", "n_lines", "n_removed"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_removed long"
-    return joined.mapInArrow(run, schema)
+    schema = f"row {joined.schema['row'].dataType.simpleString()}, kept string, n_lines long, n_removed long"
+    out = joined.mapInArrow(run, schema).withColumn("row", F.col("row").withField("text", F.col("kept")))
+    return out.select("row.*", "n_lines", "n_removed") if counted else out.select("row.*")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, text (what is left) for every row of docs(doc_id, text)."""
-    return drop_lines(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc_id", "n_lines", "n_removed", "text")
+    return drop_lines(docs.select("doc_id", F.col("text").cast("string").alias("text")), counted=True).select("doc_id", "n_lines", "n_removed", "text")

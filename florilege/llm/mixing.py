@@ -121,10 +121,9 @@ def _taken(sizes: DataFrame, rates: DataFrame, cap: float) -> DataFrame:
 
 def mixed_copies(docs: DataFrame, cap: float = CAP) -> DataFrame:
     """The mix itself: docs repeated as whole copies, the last one cut after a word where the take ends in it."""
-    columns = docs.columns
-    sizes = checkpoint(sized(docs).select("doc_id", "source", "size"))
-    rates = _rates(sizes, cap)
-    taken = _taken(sized(docs), rates, cap)
+    own = sized(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text"))
+    rates = _rates(checkpoint(own.select("doc_id", "source", "size")), cap)
+    taken = _taken(own, rates, cap)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
     rest = F.col("taken") - whole * F.col("size")
     copies = F.array_repeat(F.col("size"), whole.cast("int"))
@@ -134,6 +133,7 @@ def mixed_copies(docs: DataFrame, cap: float = CAP) -> DataFrame:
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
     cut = F.array_join(F.slice(pieces, F.lit(1), (F.col("words") + lead).cast("int")), "")
     out = taken.withColumn("words", F.explode(copies)).withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*columns)
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.char_length("text").cast("long"))
+    return out.select(row.alias("row")).select("row.*")
