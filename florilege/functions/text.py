@@ -19,7 +19,7 @@ WORD_CHARS = "A-Za-z0-9À-ɏ"
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
 SPACES = r"(?U)\s+"
 # a fenced block, closed by a fence of the same sign or open to the end
-FENCED = r"(?ms)^\s{0,3}(?:```.*?(?:\n\s{0,3}```[^\n]*|\z)|~~~.*?(?:\n\s{0,3}~~~[^\n]*|\z))"
+FENCED = r"(?ms)^[^\S\n]{0,3}(?:```.*?(?:\n[^\S\n]{0,3}```[^\n]*|\z)|~~~.*?(?:\n[^\S\n]{0,3}~~~[^\n]*|\z))"
 
 
 def trimmed(text: Column) -> Column:
@@ -108,7 +108,10 @@ def token_estimate(text: Column) -> Column:
     prose = F.regexp_replace(text, FENCED, "\n")
     ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     # a line end between two segments belongs to neither
-    around = F.size(F.filter(F.split(F.regexp_replace(text, FENCED, "\u0001"), "\u0001"), lambda s: F.length(F.regexp_replace(s, r"^\n|\n\z", "")) > 0))
+    parts = F.split(F.regexp_replace(text, FENCED, "\u0001"), "\u0001")
+    # between two blocks a lone line end is no segment, at either end it is one
+    bare = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda s: s == "\n")
+    around = F.size(F.filter(parts, lambda s: s != "")) - F.size(bare)
     indents = F.aggregate(
         F.regexp_extract_all(fenced, F.lit(r"(?m)^[ \t]+"), F.lit(0)), F.lit(0), lambda n, s: n + F.ceil(F.length(F.replace(s, F.lit("\t"), F.lit("    "))) / F.lit(4)).cast("int")
     )

@@ -121,7 +121,7 @@ def infer_ids(docs: DataFrame, taken: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["path", "id"])
 
     both = docs.select("path", F.lit(None).cast("string").alias("id")).unionByName(taken.select(F.lit(None).cast("string").alias("path"), "id"))
-    return both.groupBy(F.lit(0)).applyInPandas(fold, "path string, id string")
+    return both.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fold, "path string, id string")
 
 
 def confidence(globs: Column, evidence: Column) -> Column:

@@ -15,6 +15,7 @@ from florilege.operators import inference as I
 from florilege.operators import ranking as R
 from florilege.operators import relocation as RL
 from florilege.operators import reports as RP
+from florilege.sources import files as FS
 from florilege.sources.fixtures import NOW, Fixtures
 
 TASK = "the content of those and erand with reanthe thing for doc-80"
@@ -46,6 +47,10 @@ def _md(fx: Fixtures) -> DataFrame:
     return md.withColumn("headings", T.headings(F.col("body")))
 
 
+def scan_docs(fx):
+    return FS.describe(fx.md.select("path", "raw")).select("path", "has_fm", "id", "kind", "title", "word_count", _joined("tags").alias("tags"))
+
+
 def glob_filter(fx):
     return fx.files.where(F.col("path").rlike(GJ.G.to_regex("src/{small,economy}/**/*[05].ts"))).select("path")
 
