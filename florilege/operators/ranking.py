@@ -80,9 +80,10 @@ def search(reports: DataFrame, query: str, limit: int = 10) -> DataFrame:
 def running_total(df: DataFrame, order: list[Column], value: Column, into: str) -> DataFrame:
     """Adds the running sum of value in a total order, by range partitions and their totals.
 
-    The one window without a key runs over a row for each partition.
+    The one window without a key runs over a row for each partition. Rows are persisted, as finding
+    the ranges, the totals and the sums each read them.
     """
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = df.persist().repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     parts = parts.withColumn("_inside", inside)
     ends = parts.groupBy("_part").agg(F.max("_inside").alias("_sum"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,13 +70,16 @@ def findings(counts: DataFrame, duplicate_ids: DataFrame, conflicts: DataFrame)
     return row.select(F.explode(found).alias("f")).select("f.severity", "f.title")
 
 
+def _handoff_regex(globs: pd.Series) -> pd.Series:
+    return globs.map(G.handoff_regex)
+
+
 def covered(doc_globs: DataFrame, changed: DataFrame) -> DataFrame:
     """(path, files): changed files that each document's globs cover, in the handoff dialect.
 
     Changed files are those of one working state; they go out as a broadcast when few.
     """
-    rx = F.udf(G.handoff_regex, "string")
-    globs = doc_globs.select("glob").distinct().withColumn("rx", rx("glob"))
+    globs = doc_globs.select("glob").distinct().withColumn("rx", F.pandas_udf(_handoff_regex, "string")("glob"))
     side = changed.select(F.col("path").alias("file")).distinct()
     side = F.broadcast(side) if side.limit(10_001).count() <= 10_000 else side
     hits = globs.join(side, F.regexp_like("file", F.col("rx"))).select("glob", "file")

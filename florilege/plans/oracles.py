@@ -53,7 +53,6 @@ def _over(view: str, select: str, *ctes: str) -> str:
     return ",\n".join([with_views(*view.split()), *ctes]) + "\n" + select
 
 
-WHEN = {"spaces": r"\s+"}
 WORD, CJK = "A-Za-z0-9À-ɏ", "぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
 
 
@@ -142,7 +141,7 @@ vt AS (SELECT *, rank() OVER (PARTITION BY glob ORDER BY moved DESC) AS place, c
 
 def oracle_sql() -> dict[str, str]:
     out = {
-        "scan_docs": _over("f_md", "SELECT m.path, has_fm, CASE WHEN has_fm THEN d.id END AS id, CASE WHEN has_fm THEN d.kind END AS kind, 'Doc ' || m.doc_id AS title, CAST(len(list_filter(regexp_split_to_array(m.body, '\s+'), lambda w: w <> '')) AS INTEGER) AS word_count, CASE WHEN has_fm THEN 'a,b' ELSE '' END AS tags FROM md m JOIN f_docs d ON d.doc_id = m.doc_id", MD),
+        "scan_docs": _over("f_md", r"SELECT m.path, has_fm, CASE WHEN has_fm THEN d.id END AS id, CASE WHEN has_fm THEN d.kind END AS kind, 'Doc ' || m.doc_id AS title, CAST(len(list_filter(regexp_split_to_array(m.body, '\s+'), lambda w: w <> '')) AS INTEGER) AS word_count, CASE WHEN has_fm THEN 'a,b' ELSE '' END AS tags FROM md m JOIN f_docs d ON d.doc_id = m.doc_id", MD),
         "glob_filter": _over("f_files", "SELECT path FROM f_files WHERE regexp_matches(path, '^src/(small|economy)/([^/]+/)*[^/]*[05][.]ts$')"),
         "glob_resolve": _reports("SELECT g.path, g.glob, h.file FROM g JOIN hit h USING (glob)"),
         "missing_globs": _reports("SELECT path, glob FROM g WHERE glob NOT IN (SELECT glob FROM hit)"),

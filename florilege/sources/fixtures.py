@@ -79,13 +79,20 @@ class Fixtures:
     """Views over the tables of one folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.made = spark, sf_dir, {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self.made:
+            self.made[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.made[name]
 
     def view(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self._view(name)
+        return self.made[name]
+
+    def _view(self, name: str) -> DataFrame:
         sql = f"{with_views(name)} SELECT * FROM {name}"
         bases = {t: self.table(t) for t in ("part", "documents", "orders", "lineitem") if re.search(rf"\b{t}\b", sql)}
         for t in bases:

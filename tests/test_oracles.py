@@ -19,6 +19,23 @@ def duck(data):
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_reports():
+    """One persisted set of reports for the many queries over them; freshness_verdict makes its own."""
+    from florilege.plans import queries as q
+
+    made, own = {}, q._reports
+
+    def reports(fx):
+        if fx.dir not in made:
+            made[fx.dir] = own(fx).persist()
+        return made[fx.dir]
+
+    q._reports = reports
+    yield
+    q._reports = own
+
+
 def plain(v):
     return round(v, 8) if isinstance(v, float) and math.isfinite(v) else v
 
