@@ -32,6 +32,9 @@ from florilege.llm.common import slices, stored
 LEAST_WORDS = 5
 NEAR_WORDS = 8
 NO_ID = -(1 << 63)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def words_of(line: bytes) -> list[bytes]:
@@ -92,23 +95,33 @@ def _wanted_lines(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["doc", "line", "words"])
 
 
+def variant_keys(words: list[bytes]) -> np.ndarray:
+    """Keys of a line as it is and without each of its words, in order; one pass, however long the line.
+
+    A key is a polynomial over word hashes, so that what follows a word left out only shifts.
+    """
+    n = len(words)
+    with np.errstate(over="ignore"):
+        power = np.full(n + 1, BASE, np.uint64)
+        power[0] = 1
+        power = np.multiply.accumulate(power)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:n], dtype=np.uint64)])
+        without = sums[:-1] + (sums[n] - sums[1:]) * INVERSE
+        keys = np.concatenate([sums[n:], without]) + np.array([n] + [n - 1] * n, np.uint64) * MIX
+        keys = (keys ^ (keys >> np.uint64(31))) * MIX
+    return keys ^ (keys >> np.uint64(29))
+
+
 def _variants(batches):
     """(key, place, doc, line): each line with one word left out at `place`, and whole at place -1."""
-    digest = xxhash.xxh3_64_intdigest
     for b in batches:
-        keys, places, sizes = [], [], []
-        for line in b.column(2).to_pylist():
-            ends = np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist()
-            starts, stops = [0] + [e + 1 for e in ends], [*ends, len(line)]
-            keys.append(digest(line))
-            # the word goes with one space beside it
-            keys += [digest(line[:s] + line[e + 1 :]) if e < len(line) else digest(line[: s - 1]) for s, e in zip(starts, stops, strict=True)]
-            places += range(-1, len(starts))
-            sizes.append(len(starts) + 1)
-        rep = np.repeat(np.arange(b.num_rows), sizes)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(places, pa.int32()), b.column(0).take(pa.array(rep)), b.column(1).take(pa.array(rep))], names=["key", "place", "doc", "line"]
-        )
+        keys = [variant_keys(line.split(b" ")) for line in b.column(2).to_pylist()]
+        sizes = np.array(list(map(len, keys)), np.int64)
+        rep = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+        places = np.concatenate([np.arange(-1, n - 1, dtype=np.int32) for n in sizes] or [np.zeros(0, np.int32)])
+        keys = np.concatenate(keys or [np.zeros(0, np.uint64)])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(places), b.column(0).take(rep), b.column(1).take(rep)], names=["key", "place", "doc", "line"])
 
 
 def _verified(batches):

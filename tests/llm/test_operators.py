@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -412,6 +413,16 @@ def test_halves_meet():
             assert set(line_dedup.halves(a)) & set(line_dedup.halves(b))
 
 
+def test_variants_of_long_lines():
+    line = [b"w%d" % i for i in range(100_000)]
+    keys = line_dedup.variant_keys(line)
+    short = line[:500] + line[501:]
+    assert line_dedup.variant_keys(short)[0] == keys[1 + 500] and len(set(keys.tolist())) == len(keys)
+    assert line_dedup.variant_keys(line[:500] + [b"other"] + line[501:])[501] == keys[501]
+    twice = [b"a", b"a", b"b"]
+    assert line_dedup.variant_keys(twice)[1] == line_dedup.variant_keys(twice)[2] != line_dedup.variant_keys([b"b", b"a"])[0]
+
+
 # 8
 
 
@@ -476,6 +487,13 @@ def test_extraction_cases(spark):
     assert len(found) == 5 and html_extract.extract(df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("page", ["<" * 100_000, "<div>" * 20_000, '<a href="' * 20_000, "<p" * 50_000, "<!--" * 50_000, "&" * 100_000, "<p x='" + "a" * 100_000, "<li>" * 20_000])
+def test_extraction_of_broken_markup_ends_soon(page):
+    began = time.monotonic()
+    html_extract.trained().extract(page)
+    assert time.monotonic() - began < 20
+
+
 # 10
 
 
