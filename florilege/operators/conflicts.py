@@ -46,7 +46,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shingles, so only these are joined, and sizes may differ by the factor t at most.
     """
     sets = representatives(docs).select("path", F.transform(T.shingles(F.col("body")), lambda s: F.xxhash64(s)).alias("hs")).where("hs is not null")
-    sets = sets.withColumn("hs", F.array_distinct("hs")).withColumn("n", F.size("hs"))
+    sets = sets.withColumn("hs", F.array_distinct("hs")).withColumn("n", F.size("hs")).persist()
     rows = sets.select("path", "n", F.explode("hs").alias("h"))
     rarity = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # a shingle of one document finds no partner but takes its place in the prefix
