@@ -164,13 +164,13 @@ def drop_lines(docs: DataFrame, counted: bool = False) -> DataFrame:
     """docs with its text without the removed lines; with `counted`, n_lines and n_removed added."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     gone = removed_lines(docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"))).groupBy("doc").agg(F.collect_set("line").alias("lines"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("doc"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(gone, "doc", "left").select("row", "text", "lines")
+    rows = docs.select(F.struct(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns]).alias("row"), key.alias("doc"))
+    joined = rows.join(gone, "doc", "left").select("row", "lines")
 
     def run(batches):
         for b in batches:
             texts, counts, removed = [], [], []
-            for text, drop in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, drop in zip(b.column(0).field("text").to_pylist(), b.column(1).to_pylist(), strict=True):
                 lines, drop = (text or "").split("\n"), frozenset(drop or ())
                 kept = [x for i, x in enumerate(lines) if i not in drop] if drop else lines
                 texts.append(None if text is None else "\n".join(kept))
