@@ -4,12 +4,14 @@ Sources in code-point order (null last) weigh 5, 2, 1, repeating; together their
 words of the corpus; a target stops at `cap` times its source's size and the excess is reshared by
 weight. Each source's document rates minimise the relative entropy to one copy each under its token
 constraint: rate = min(cap, exp(lambda * size / mean size)), with lambda from safeguarded Newton steps
-on the dual, each step one aggregate over a (source, size) histogram. Rates become whole copies and
-one cut copy, rounded at the word by a hash of doc_id, so a source misses its target by about a word
-a document at most.
+on the dual, each step one aggregate over a (source, size) histogram. Rates are rounded to whole
+copies by a hash of the row, `cap` at most. What a source's copies then miss or exceed is made up by
+one copy more or less of documents: in hash order, as far as an exact prefix sum of their sizes fits
+in it, then the largest that fits in the rest, again and again. No text is cut, so a source stays off
+its target by less than any change of one copy that is left.
 
 Defined cases: null text has size 0 and is taken 0 times; a null source is a source, last in order;
-a source without words has target 0; repeated rows are separate documents that round alike; no rows
+a source without words has target 0; equal rows are separate documents that round alike; no rows
 give no rows; other columns are not read by `mix` and are kept by `mixed_copies`.
 """
 
@@ -100,40 +102,91 @@ def _rates(sizes: DataFrame, cap: float) -> DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
+    """Adds `size` in words and `h`, by which a row is rounded and takes its turn."""
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumn("size", size).withColumn("h", F.xxhash64(F.col("doc_id").cast("long"), F.col("text"), F.lit("mix")))
 
 
 def mix(docs: DataFrame, cap: float = CAP) -> DataFrame:
     """doc_id, size, source_size, target, taken, rate for every row of docs(doc_id, source, text)."""
-    sizes = checkpoint(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"))
-    return _taken(sizes, _rates(sizes, cap), cap)
+    sizes = checkpoint(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", "h"))
+    taken = _taken(sizes, _plan(sizes, cap), cap)
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "source")
 
 
-def _taken(sizes: DataFrame, rates: DataFrame, cap: float) -> DataFrame:
-    rates = rates.withColumnRenamed("source", "key")
-    rates = F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
-    joined = sizes.join(rates, F.col("source").eqNullSafe(F.col("key"))).drop("key")
+def _with(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the columns of their source."""
+    sources = sources.withColumnRenamed("source", "key")
+    sources = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+    return rows.join(sources, F.col("source").eqNullSafe(F.col("key")), how).drop("key")
+
+
+def _rounded(rows: DataFrame, cap: float) -> DataFrame:
+    """Adds `rate` and `copies`, the rate rounded to a whole number."""
     rate = F.when(F.col("target") >= cap * F.col("source_size"), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(F.col("lam") * F.col("size") / F.col("mean"))))
-    dither = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mix")), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    taken = F.least((F.lit(int(cap)) * F.col("size")).cast("long"), F.floor(F.col("rate") * F.col("size") + dither)).cast("long")
-    return joined.withColumn("rate", rate).withColumn("taken", taken).drop("lam", "mean", "solved", "lo", "hi").select("doc_id", "size", "source_size", "target", "taken", "rate", *[c for c in sizes.columns if c not in ("doc_id", "size")])
+    dither = F.pmod(F.xxhash64("h"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    copies = F.when(F.col("size") > 0, F.least(F.lit(int(cap)).cast("long"), F.floor(F.col("rate") + dither))).otherwise(F.lit(0))
+    return rows.withColumn("rate", rate).withColumn("copies", copies.cast("long"))
+
+
+def _changed():
+    """Is one copy more or less of a row taken? Rows in hash order up to `until`, and the picks."""
+    turn = (F.col("size") <= F.col("limit")) & (F.col("h") <= F.col("until"))
+    return F.coalesce(turn, F.lit(False)) | F.array_contains("picks", F.col("h"))
+
+
+def _can_change(cap: float):
+    return (F.col("sign") != 0) & (F.col("size") > 0) & (F.col("copies") + F.col("sign")).between(0, int(cap))
+
+
+def _plan(sizes: DataFrame, cap: float) -> DataFrame:
+    """The rates, and what makes up for their rounding: `sign`, `limit` and `until`, `picks`; `left` stays open."""
+    rates = _rates(sizes, cap).select("source", "source_size", "target", "mean", "lam")
+    units = sizes.where("size > 0").groupBy("source", "h", "size").agg(F.count(F.lit(1)).alias("n"))
+    words = F.col("size") * F.col("n")
+    units = checkpoint(_rounded(_with(units, rates), cap).select("source", "h", "size", "copies", words.alias("words")))
+    got = units.groupBy("source").agg(F.sum(F.col("copies") * F.col("words")).alias("got"))
+    miss = F.col("target") - F.coalesce("got", F.lit(0))
+    plan = _with(rates, got, "left").withColumns({"sign": F.signum(F.round(miss, 3)).cast("int"), "limit": F.abs(miss)}).drop("got")
+    plan = checkpoint(plan)
+
+    free = checkpoint(_with(units, plan.select("source", "sign", "limit")).where(_can_change(cap)).select("source", "h", "size", "words", "limit", F.shiftright("h", 52).alias("bucket")))
+    fit = free.where(F.col("size") <= F.col("limit"))
+    # at most 4,096 buckets of a source
+    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    buckets = fit.groupBy("source", "bucket", "limit").agg(F.sum("words").alias("words"), F.max("h").alias("last")).withColumn("sum", F.sum("words").over(upto))
+    full = F.col("sum") <= F.col("limit")
+    ends = buckets.groupBy("source").agg(
+        F.max(F.when(full, F.col("last"))).alias("whole_until"), F.coalesce(F.max(F.when(full, F.col("sum"))), F.lit(0)).alias("whole_words"), F.min(F.when(~full, F.col("bucket"))).alias("split")
+    )
+    ends = checkpoint(ends)
+    # the rows of one bucket of a source
+    turns = Window.partitionBy("source").orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
+    inner = _with(fit, ends).where(F.col("bucket") == F.col("split")).withColumn("sum", F.col("whole_words") + F.sum("words").over(turns)).where(F.col("sum") <= F.col("limit"))
+    inner = inner.groupBy("source").agg(F.max("h").alias("inner_until"), F.max("sum").alias("inner_words"))
+    ends = _with(ends, inner, "left").select("source", F.coalesce("inner_until", "whole_until").alias("until"), F.coalesce("inner_words", "whole_words").alias("made_up"))
+    plan = _with(plan, ends, "left").withColumn("left", F.col("limit") - F.coalesce("made_up", F.lit(0))).drop("made_up").withColumn("picks", F.array().cast("array<bigint>"))
+    plan = checkpoint(plan)
+
+    while True:
+        rest = _with(free.drop("limit"), plan.select("source", "limit", "until", "picks", "left")).where(~_changed() & (F.col("words") <= F.col("left")))
+        picked = checkpoint(rest.groupBy("source").agg(F.max(F.struct("words", "h")).alias("pick")))
+        if not picked.limit(1).count():
+            return plan
+        plan = _with(plan, picked, "left")
+        plan = plan.withColumn("left", F.col("left") - F.coalesce("pick.words", F.lit(0))).withColumn("picks", F.when(F.col("pick").isNull(), F.col("picks")).otherwise(F.array_append("picks", F.col("pick.h"))))
+        plan = checkpoint(plan.drop("pick"))
+
+
+def _taken(sizes: DataFrame, plan: DataFrame, cap: float) -> DataFrame:
+    """sizes with its source's plan, `rate` and the whole `copies`."""
+    rows = _rounded(_with(sizes, plan), cap)
+    return rows.withColumn("copies", F.when(_can_change(cap) & _changed(), F.col("copies") + F.col("sign")).otherwise(F.col("copies")))
 
 
 def mixed_copies(docs: DataFrame, cap: float = CAP) -> DataFrame:
-    """The mix itself: docs repeated as whole copies, the last one cut after a word where the take ends in it."""
+    """The mix itself: docs repeated as whole copies."""
     own = sized(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text"))
-    rates = _rates(checkpoint(own.select("doc_id", "source", "size")), cap)
-    taken = _taken(own, rates, cap)
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
-    rest = F.col("taken") - whole * F.col("size")
-    copies = F.array_repeat(F.col("size"), whole.cast("int"))
-    copies = F.when(rest > 0, F.concat(copies, F.array(rest))).otherwise(copies)
-    # white space after a word stays with it, so the cut copy is a literal prefix
-    pieces = F.split(F.col("text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    cut = F.array_join(F.slice(pieces, F.lit(1), (F.col("words") + lead).cast("int")), "")
-    out = taken.withColumn("words", F.explode(copies)).withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")))
-    row = F.col("row").withField("text", F.col("text"))
-    if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.char_length("text").cast("long"))
-    return out.select(row.alias("row")).select("row.*")
+    plan = _plan(checkpoint(own.select("doc_id", "source", "size", "h")), cap)
+    out = _taken(own, plan, cap).where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return out.select("row.*")

@@ -222,6 +222,34 @@ def test_mixing(odd, wide, none, odd_rows, documents):
     assert {k: v for k, v in taken.items() if v} == dict(per)
 
 
+def test_mixing_takes_whole_texts(spark, odd, wide, odd_rows):
+    r = random.Random(3)
+    size_of = lambda i: (3_000 if i % 50 == 0 else r.randint(5, 300)) + i % 7
+    made = [(i, " ".join(f"w{i % 9}x{k}" for k in range(size_of(i))), "en", "abc"[i % 3], 9) for i in range(600)]
+    df = spark.createDataFrame(made, SCHEMA)
+    found, copies = mixing.mix(df), mixing.mixed_copies(df)
+    by, got, want, least = defaultdict(int), defaultdict(int), {}, defaultdict(lambda: 10**9)
+    for x in found.join(df.select("doc_id", "source"), "doc_id").collect():
+        assert x.taken % x.size == 0 and 0 <= x.taken <= 3 * x.size
+        by[x.doc_id] = x.taken // x.size
+        got[x.source] += x.taken
+        want[x.source] = x.target
+        least[x.source] = min(least[x.source], x.size)
+    for s in want:
+        assert abs(got[s] - want[s]) < 2 * least[s]
+    texts = {x[0]: x[1] for x in made}
+    per = defaultdict(int)
+    for x in copies.collect():
+        assert x.text == texts[x.doc_id]
+        per[x.doc_id] += 1
+    assert per == {k: v for k, v in by.items() if v}
+    # rows of the odd cases as well: nulls, repeats, clashing column names
+    whole = {x[1] for x in odd_rows}
+    copies = mixing.mixed_copies(wide)
+    assert copies.columns == wide.columns and all(x.text in whole and x.row == "r" for x in copies.collect())
+    assert all(x.taken % x.size == 0 if x.size else x.taken == 0 for x in mixing.mix(odd).collect())
+
+
 def test_mixing_has_no_python(documents, capsys):
     mixing.mixed_copies(documents).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
