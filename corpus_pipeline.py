@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier line repeats."""
-    out = line_dedup.drop_lines(docs).select(*docs.columns)
+    out = line_dedup.drop_lines(docs, **line_dedup.WHOLE).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

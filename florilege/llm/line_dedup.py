@@ -1,9 +1,11 @@
 """Line dedup through the deletion neighbourhood of lines.
 
-Lines are parts of a text between "\\n", compared as lower-cased (A-Z) words. A line goes if an
-earlier line, by (doc_id, line number), is equal, or is within one word of it (one word put in, left
-out or replaced) and both have NEAR_WORDS words or more. Lines below LEAST_WORDS words always stay.
-What is earlier is judged on the input.
+Lines are parts of a text between "\\n", compared as lower-cased (A-Z) words; characters of scripts
+that are written without spaces are words of their own. A line goes if an earlier line, by (doc_id,
+line number), is equal, or is within one word of it (one word put in, left out or replaced) and both
+have `near` words or more. Lines below `least` words always stay. The registered query and the
+pipeline take WHOLE: equal lines of any length but blank ones, near copies from five words on; the
+functions alone start at LEAST_WORDS and NEAR_WORDS. What is earlier is judged on the input.
 
 Equal lines meet by their 128-bit hash. Of the distinct lines, two within one word share either
 their first or their last h words, h being half the shorter one's; so only lines that share such a
@@ -21,6 +23,8 @@ they are, whatever their names, and are not read by `line_dedup`.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,13 +35,20 @@ from florilege.llm.common import slices, stored
 
 LEAST_WORDS = 5
 NEAR_WORDS = 8
+WHOLE = {"least": 1, "near": 5}
 NO_ID = -(1 << 63)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Thai to Lao, Myanmar, Khmer, and the Chinese and Japanese scripts.
+SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
 def words_of(line: bytes) -> list[bytes]:
+    if not line.isascii() and SPACELESS.search(text := line.decode()):
+        line = SPACELESS.sub(lambda m: f" {m[0]} ", text).encode()
     return line.lower().split()
 
 
@@ -67,20 +78,23 @@ def within_one(a: list, b: list) -> bool:
 LINES_DDL = "h1 long, h2 long, doc long, line int, n int, halves array<long>"
 
 
-def _lines(batches):
-    for b in slices(batches, "text"):
-        out = [[] for _ in range(6)]
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for number, line in enumerate((text or "").encode().split(b"\n")):
-                words = words_of(line)
-                if len(words) < LEAST_WORDS:
-                    continue
-                h = xxhash.xxh3_128_intdigest(b" ".join(words))
-                row = (_signed(h >> 64), _signed(h & (1 << 64) - 1), doc, number, len(words), halves(words) if len(words) >= NEAR_WORDS else None)
-                for o, x in zip(out, row, strict=True):
-                    o.append(x)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=["h1", "h2", "doc", "line", "n", "halves"])
+def _lines(least: int, near: int):
+    def run(batches):
+        for b in slices(batches, "text"):
+            out = [[] for _ in range(6)]
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for number, line in enumerate((text or "").encode().split(b"\n")):
+                    words = words_of(line)
+                    if len(words) < least:
+                        continue
+                    h = xxhash.xxh3_128_intdigest(b" ".join(words))
+                    row = (_signed(h >> 64), _signed(h & (1 << 64) - 1), doc, number, len(words), halves(words) if len(words) >= near else None)
+                    for o, x in zip(out, row, strict=True):
+                        o.append(x)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=["h1", "h2", "doc", "line", "n", "halves"])
+
+    return run
 
 
 def _wanted_lines(batches):
@@ -130,20 +144,20 @@ def _verified(batches):
         yield b.select(["doc", "line"]).filter(pa.array(near, pa.bool_()))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_WORDS) -> DataFrame:
     """(doc, line) of every line of docs(doc, text) that an earlier line removes."""
-    lines = stored(docs.mapInArrow(_lines, LINES_DDL))
+    lines = stored(docs.mapInArrow(_lines(least, near), LINES_DDL))
     pos = F.struct("doc", "line")
     distinct = stored(lines.groupBy("h1", "h2").agg(F.min(pos).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("rows")))
     again = distinct.where("rows > 1").select("h1", "h2", "first")
     equal = lines.select("h1", "h2", "doc", "line").join(again, ["h1", "h2"]).where(pos != F.col("first")).select("doc", "line")
 
-    half = distinct.where(F.col("n") >= NEAR_WORDS).select("first", F.explode("halves").alias("half"))
+    half = distinct.where(F.col("n") >= near).select("first", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("half")
     wanted = half.join(shared, "half").select("first.doc", "first.line").distinct().groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    near = stored(docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_wanted_lines, "doc long, line int, words binary").dropDuplicates(["doc", "line"]))
+    close = stored(docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_wanted_lines, "doc long, line int, words binary").dropDuplicates(["doc", "line"]))
 
-    variants = near.mapInArrow(_variants, "key long, place int, doc long, line int")
+    variants = close.mapInArrow(_variants, "key long, place int, doc long, line int")
     whole, slot = F.col("place") < 0, F.when(F.col("place") >= 0, pos)
     keys = variants.groupBy("key").agg(F.min(F.when(whole, pos)).alias("self"), F.min(slot).alias("any_slot"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
     meeting = stored(variants.join(keys, "key"))
@@ -154,16 +168,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         .union(meeting.where(~whole).join(slots, ["key", "place"]).where(F.col("slot") < pos).select("doc", "line", F.col("slot").alias("other")))
         .distinct()
     )
-    theirs = near.select(F.col("doc").alias("o_doc"), F.col("line").alias("o_line"), F.col("words").alias("o_words"))
-    pairs = found.join(near, ["doc", "line"]).join(theirs, (F.col("other.doc") == F.col("o_doc")) & (F.col("other.line") == F.col("o_line")))
+    theirs = close.select(F.col("doc").alias("o_doc"), F.col("line").alias("o_line"), F.col("words").alias("o_words"))
+    pairs = found.join(close, ["doc", "line"]).join(theirs, (F.col("other.doc") == F.col("o_doc")) & (F.col("other.line") == F.col("o_line")))
     verified = pairs.select("doc", "line", "words", "o_words").mapInArrow(_verified, "doc long, line int").distinct()
     return equal.union(verified)
 
 
-def drop_lines(docs: DataFrame, counted: bool = False) -> DataFrame:
+def drop_lines(docs: DataFrame, counted: bool = False, least: int = LEAST_WORDS, near: int = NEAR_WORDS) -> DataFrame:
     """docs with its text without the removed lines; with `counted`, n_lines and n_removed added."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    gone = removed_lines(docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"))).groupBy("doc").agg(F.collect_set("line").alias("lines"))
+    gone = removed_lines(docs.select(key.alias("doc"), F.col("text").cast("string").alias("text")), least, near).groupBy("doc").agg(F.collect_set("line").alias("lines"))
     rows = docs.select(F.struct(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns]).alias("row"), key.alias("doc"))
     joined = rows.join(gone, "doc", "left").select("row", "lines")
 
@@ -183,6 +197,6 @@ def drop_lines(docs: DataFrame, counted: bool = False) -> DataFrame:
     return out.select("row.*", "n_lines", "n_removed") if counted else out.select("row.*")
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, text (what is left) for every row of docs(doc_id, text)."""
-    return drop_lines(docs.select("doc_id", F.col("text").cast("string").alias("text")), counted=True).select("doc_id", "n_lines", "n_removed", "text")
+    return drop_lines(docs.select("doc_id", F.col("text").cast("string").alias("text")), counted=True, least=least, near=near).select("doc_id", "n_lines", "n_removed", "text")

@@ -42,7 +42,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), **line_dedup.WHOLE)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -451,6 +451,28 @@ def test_variants_of_long_lines():
     assert line_dedup.variant_keys(twice)[1] == line_dedup.variant_keys(twice)[2] != line_dedup.variant_keys([b"b", b"a"])[0]
 
 
+def test_line_dedup_of_short_lines(spark):
+    found = [
+        (1, "all rights reserved.\n\nnext page\nwe met them at noon\n今日はとても天気が良いです"),
+        (2, "All  rights reserved.\n\nNext page\nwe met him at noon\n今日はとても天気が悪いです\nown"),
+        (3, "own\nwe met at\nnext pages\n今日はとても天気が良いです"),
+    ]
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(df, **line_dedup.WHOLE).collect()}
+    assert got == {1: found[0][1], 2: "\nown", 3: "we met at\nnext pages"}
+
+
+def test_pipeline_and_query_take_short_lines(spark, tmp_path):
+    import corpus_pipeline
+
+    from florilege.llm.queries import queries
+
+    df = spark.createDataFrame([(1, "all rights reserved.", "en", "a", 20), (2, "all rights reserved.\nrest", "en", "a", 25)], SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: x.text for x in queries()["op7_line_dedup"](spark, str(tmp_path)).collect()} == {1: "all rights reserved.", 2: "rest"}
+    assert {x.doc_id: x.text for x in corpus_pipeline.drop_repeated_lines(spark, df, str(tmp_path)).collect()} == {1: "all rights reserved.", 2: "rest"}
+
+
 # 8
 
 
