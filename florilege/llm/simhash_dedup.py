@@ -111,9 +111,10 @@ def bucket_links(key: np.ndarray, side: np.ndarray, fp: np.ndarray) -> tuple[np.
     small = np.repeat(size <= SMALL, size) & np.repeat(size > 1, size)
     k, s, f = key[small], side[small], fp[small]
     for d in range(1, SMALL):
-        near = (k[d:] == k[:-d]) & ((s[d:] == 2) | (s[d:] != s[:-d]))
+        near = k[d:] == k[:-d]
         if not near.any():
             break
+        near &= (s[d:] == 2) | (s[d:] != s[:-d])
         near &= np.bitwise_count(f[d:] ^ f[:-d]) <= RADIUS
         a.append(f[:-d][near])
         b.append(f[d:][near])

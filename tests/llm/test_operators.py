@@ -140,6 +140,12 @@ def test_simhash(odd, wide, none, odd_rows, documents):
     assert rows(simhash_dedup.near_dedup(small)) == plain_simhash([(r.doc_id, r.text) for r in small.collect()])
 
 
+def test_links_beyond_a_distance_without_pairs():
+    fp = np.array([0, 0xFFFF << 20, 0xFFFF << 40, 1], np.uint64)
+    a, b = simhash_dedup.bucket_links(np.zeros(4, np.int64), np.array([0, 1, 0, 1], np.int8), fp)
+    assert (a.tolist(), b.tolist()) == ([0], [1])
+
+
 def test_links_connect_all_that_are_near():
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(40)]
