@@ -16,15 +16,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 SLICE_BYTES = 4 << 20
+HOT_SHARE = 1000  # values with more than this part of all rows are split; at most so many exist
+HOT_ROWS = 20_000  # smaller groups stay whole
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """Uses the shared folder named by spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="florilege-ckpt-"))
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="florilege-ckpt-")
+    sc.setCheckpointDir(named)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -70,9 +76,24 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             at = to
 
 
-def salted_count(size, per: int = 256):
-    """How many salts a group of `size` rows is spread over."""
-    return F.greatest(F.lit(1), F.ceil(size / F.lit(per))).cast("int")
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], size: str, salt_by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined to side, which has one row for each value of keys; no value's rows land in one task alone.
+
+    side's column `size` tells how many rows a value has. Values with more than a HOT_SHARE-th of all
+    rows are HOT_SHARE at most, so they go out as a broadcast; their rows are dealt over salts by a
+    hash of salt_by, and side's row is repeated for each salt. side is read several times: pass a
+    written table.
+    """
+    total = side.agg(F.sum(size)).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT_SHARE)
+    hot = side.where(F.col(size) > most).select(*keys, F.ceil(F.col(size) / F.lit(most)).cast("int").alias("_salts"))
+    if not hot.limit(1).count():
+        return rows.join(side, keys, how)
+    hot = F.broadcast(hot)
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt_by), salts).cast("int")).drop("_salts")
+    wide = side.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(wide, [*keys, "_salt"], how).drop("_salt")
 
 
 def stored(df: DataFrame) -> DataFrame:

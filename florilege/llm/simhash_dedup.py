@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from florilege.llm.common import buffers, checkpoint, slices
+from florilege.llm.common import buffers, checkpoint, slices, spread_join
 from florilege.llm.components import components
 
 SHINGLE = 4
@@ -55,15 +55,16 @@ def majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.n
 
 
 def _fingerprints(batches):
+    """The columns before the last, a text, and its fingerprint."""
     for b in slices(batches, "text"):
-        data, offs = buffers(b.column(1))
+        data, offs = buffers(b.column(b.num_columns - 1))
         raw = data.tobytes()
         hashed = [shingle_hashes(raw[offs[i] : offs[i + 1]]) for i in range(b.num_rows)]
         counts = np.array([len(h) for h in hashed], np.int64)
         fps, some = np.zeros(len(counts), np.uint64), np.flatnonzero(counts)
         if len(some):
             fps[some] = majority(np.concatenate(hashed), np.concatenate([[0], np.cumsum(counts[some])[:-1]]), counts[some])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -156,13 +157,36 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long").distinct()
 
 
+def classes(fps: DataFrame, least) -> DataFrame:
+    """(fp, rows, least, label) of each distinct fingerprint of fps(fp, ...): the least of `least` over its rows, its component."""
+    nodes = checkpoint(fps.groupBy("fp").agg(F.min(least).alias("least"), F.count(F.lit(1)).alias("rows")))
+    labels = components(links(nodes))
+    return checkpoint(nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "rows", "least", F.coalesce("label", "fp").alias("label")))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs(doc_id, text)."""
     fps = checkpoint(fingerprints(docs))
-    nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = components(links(nodes))
-    whole = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    whole = checkpoint(whole)
-    ids = whole.groupBy("label").agg(F.min("least").alias("component_id"))
-    final = whole.join(ids, "label").select("fp", "component_id")
-    return fps.join(final, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    whole = classes(fps, F.col("doc_id"))
+    ids = checkpoint(whole.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps")))
+    final = checkpoint(spread_join(whole, ids, ["label"], "fps", ["fp"]).select("fp", "rows", "component_id"))
+    return spread_join(fps, final, ["fp"], "rows", ["doc_id"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with one row of each component, whatever its columns.
+
+    The row with the least doc_id stays, a null one only where the component has no other; of rows
+    that share it, the one whose hash over all columns is least; of rows equal in all columns, one.
+    """
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(*plain).alias("h"))
+    fps = checkpoint(rows.select("doc", "h", F.col("row.text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc long, h long, fp long"))
+    first = classes(fps, F.struct(F.col("doc").isNull().alias("none"), "doc", "h")).groupBy("label").agg(F.min("least").alias("stay")).select("stay.doc", "stay.h")
+    copies = fps.groupBy("doc", "h").agg(F.count(F.lit(1)).alias("rows"))
+    stay = checkpoint(first.alias("a").join(copies.alias("b"), F.col("a.doc").eqNullSafe(F.col("b.doc")) & (F.col("a.h") == F.col("b.h"))).select("a.doc", "a.h", "rows"))
+    same = lambda side: rows.doc.eqNullSafe(side.doc) & (rows.h == side.h)
+    single, repeated = stay.where("rows = 1"), stay.where("rows > 1")
+    once = rows.join(single, same(single), "left_semi").select("row")
+    again = rows.join(repeated, same(repeated), "left_semi").groupBy("doc", "h").agg(F.any_value("row").alias("row")).select("row")
+    return once.unionAll(again).select("row.*")
