@@ -2,8 +2,11 @@
 
 Texts are compared after every run of `[\\x20\\x09-\\x0D]` became one space. A text is hashed in
 chunks; chunk hashes combine by length-shifted arithmetic, so chunks of a huge text may be hashed
-apart. Rows whose fingerprints agree are compared chunk by chunk with their group's first row; a row
-that differs (a collision) is regrouped by its SHA-256.
+apart. Rows whose fingerprints agree are compared chunk by chunk with their group's first row; a
+group in which a row differs (a collision), or has no first row, is regrouped by SHA-256.
+
+Only texts that share their fingerprint are read as chunks: a bit table of at most FILTER_BITS, one
+bit a hash of each shared fingerprint, goes out to the scan. Its false hits only move a text in vain.
 
 Defined cases: null text counts as empty; empty texts equal each other; repeated rows (same doc_id)
 each stay one output row and count in group_size; a null doc_id stays a row of its own text group
@@ -20,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from florilege.llm.common import WHITE, buffers, checkpoint, slices
+from florilege.llm.common import WHITE, buffers, checkpoint, slices, spread_join, stored
 
 CHUNK = 1 << 16
+FILTER_BITS = 1 << 28  # 32 MB, whatever the number of groups
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525)
 
@@ -87,45 +91,70 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "fp", "n", "text_sha256"])
 
 
-def _chunks(batches):
-    for b in slices(batches, "text"):
-        data, offs = normalise(*buffers(b.column(1)))
-        ids, fps, ns, nos, parts = [], [], [], [], []
-        for i, doc in enumerate(b.column(0).to_pylist()):
-            own = data[offs[i] : offs[i + 1]]
-            f, n = fingerprint(own)
-            for k, at in enumerate(range(0, max(1, n), CHUNK)):
-                ids.append(doc)
-                fps.append(f)
-                ns.append(n)
-                nos.append(k)
-                parts.append(own[at : at + CHUNK].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(nos, pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "fp", "n", "chunk_no", "chunk"])
+def _slot(fp: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+    """Where a fingerprint and length stand in a table of `bits` bits, a power of two."""
+    x = (fp.astype(np.uint64) ^ n.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(32))) & np.uint64(bits - 1)
+
+
+def shared_filter(groups: DataFrame) -> np.ndarray:
+    """Bit table of the fingerprints of groups(fp, n): 16 bits a group, FILTER_BITS at most."""
+    bits = min(FILTER_BITS, max(64, 1 << (16 * groups.count()).bit_length()))
+
+    def words(batches):
+        for b in batches:
+            at = _slot(*(c.to_numpy(zero_copy_only=False) for c in b.columns), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+    found = groups.select("fp", "n").mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # FILTER_BITS / 64 rows at most
+    out = np.zeros(bits // 64, np.uint64)
+    out[found["word"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
+    return out
+
+
+def _chunks(table):
+    """Chunks of the texts whose fingerprint the broadcast bit table holds."""
+
+    def run(batches):
+        for b in slices(batches, "text"):
+            data, offs = normalise(*buffers(b.column(1)))
+            found = np.array([fingerprint(data[offs[i] : offs[i + 1]]) for i in range(b.num_rows)], np.int64).reshape(-1, 2)
+            at = _slot(found[:, 0], found[:, 1], 64 * len(table.value))
+            held = np.flatnonzero(table.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+            own, nos, parts = [], [], []
+            for i in held.tolist():
+                text = data[offs[i] : offs[i + 1]]
+                for k, start in enumerate(range(0, max(1, len(text)), CHUNK)):
+                    own.append(i)
+                    nos.append(k)
+                    parts.append(text[start : start + CHUNK].tobytes())
+            own = np.array(own, np.int64)
+            ids = b.column(0).take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found[own, 0]), pa.array(found[own, 1]), pa.array(nos, pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "fp", "n", "chunk_no", "chunk"])
+
+    return run
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs(doc_id, text).
 
     Plan: one Python pass for fingerprints (checkpointed, about 100 bytes a row); an aggregate with
-    map-side combine finds groups; only texts in groups of two or more meet their representative,
-    in joins whose hot keys AQE splits.
+    map-side combine finds groups; a second pass writes the chunks of texts in groups of two or
+    more, which then meet their representative's in joins that deal large groups over salts.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     fps = checkpoint(docs.mapInArrow(_fingerprints, "doc_id long, fp long, n long, text_sha256 string"))
-    groups = fps.groupBy("fp", "n").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("fp", "n", "rep_id")
-    chunks = docs.mapInArrow(_chunks, "doc_id long, fp long, n long, chunk_no int, chunk binary").join(groups, ["fp", "n"])
-    reps = chunks.where("doc_id = rep_id").groupBy("fp", "n", "chunk_no").agg(F.first("chunk").alias("rep_chunk"))
-    differ = (
-        chunks.where("doc_id <> rep_id or doc_id is null")
-        .join(reps, ["fp", "n", "chunk_no"], "left")
-        .where("not (chunk <=> rep_chunk)")
-        .select("fp", "n", "doc_id")
-        .distinct()
-        .withColumn("odd", F.lit(True))
-    )
-    rows = fps.join(differ, (fps.fp == differ.fp) & (fps.n == differ.n) & fps.doc_id.eqNullSafe(differ.doc_id), "left").select(
-        fps.doc_id, fps.fp, fps.n, "text_sha256", F.when(F.col("odd"), F.col("text_sha256")).otherwise(F.lit("")).alias("cls")
-    )
+    groups = checkpoint(fps.groupBy("fp", "n").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    table = docs.sparkSession.sparkContext.broadcast(shared_filter(groups))
+    chunks = stored(docs.mapInArrow(_chunks(table), "doc_id long, fp long, n long, chunk_no int, chunk binary"))
+    first = chunks.join(groups.select("fp", "n", F.col("rep_id").alias("doc_id"), "rows"), ["fp", "n", "doc_id"])
+    first = stored(first.groupBy("fp", "n", "chunk_no").agg(F.first("chunk").alias("rep_chunk"), F.first("rows").alias("rows")))
+    compared = spread_join(chunks, first, ["fp", "n", "chunk_no"], "rows", ["doc_id"], "left").where("not (chunk <=> rep_chunk)")
+    # false hits of the table find no first row, and no group here
+    odd = checkpoint(compared.select("fp", "n").distinct().join(groups.select("fp", "n", "rows"), ["fp", "n"]).withColumn("odd", F.lit(True)))
+    cls = F.when(F.col("odd"), F.col("text_sha256")).otherwise(F.lit("")).alias("cls")
+    rows = spread_join(fps, odd, ["fp", "n"], "rows", ["doc_id"], "left").select("doc_id", "fp", "n", "text_sha256", cls)
     rows = checkpoint(rows)
-    final = rows.groupBy("fp", "n", "cls").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(final, ["fp", "n", "cls"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    final = checkpoint(rows.groupBy("fp", "n", "cls").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    joined = spread_join(rows, final, ["fp", "n", "cls"], "group_size", ["doc_id"])
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

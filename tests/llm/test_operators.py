@@ -101,12 +101,16 @@ def test_exact_dedup_survives_colliding_fingerprints(spark, monkeypatch):
         for b in f(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([0] * b.num_rows, pa.int64()), b.column(2), b.column(3)], names=b.schema.names)
 
-    def same_chunks(batches, f=exact_dedup._chunks):
-        for b in f(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([0] * b.num_rows, pa.int64()), *b.columns[2:]], names=b.schema.names)
+    def same_chunks(table, f=exact_dedup._chunks):
+        def run(batches):
+            for b in f(table)(batches):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([0] * b.num_rows, pa.int64()), *b.columns[2:]], names=b.schema.names)
+
+        return run
 
     monkeypatch.setattr(exact_dedup, "_fingerprints", same)
     monkeypatch.setattr(exact_dedup, "_chunks", same_chunks)
+    monkeypatch.setattr(exact_dedup, "shared_filter", lambda groups: np.full(1, ~np.uint64(0)))
     assert rows(exact_dedup.exact_dedup(df)) == plain_exact(found)
 
 
@@ -211,8 +215,8 @@ def test_mixing(odd, wide, none, odd_rows, documents):
     for r in found.collect():
         assert math.isclose(r.target, want[r.source], abs_tol=1e-6) and r.source_size == size[r.source] and 0 <= r.taken <= 3 * r.size
         got[r.source] += r.taken
-    for s in want:
-        assert abs(got[s] - want[s]) <= sum(x[3] == s for x in odd_rows) + 1
+    for s in want:  # texts are taken whole, so a source may miss its target by less than its least text
+        assert abs(got[s] - want[s]) < min([len(words(x[1])) for x in odd_rows if x[3] == s and words(x[1])], default=1)
     assert found.count() == len(odd_rows) and rows(found) == rows(mixing.mix(odd))
     assert rows(mixing.mix(wide), "doc_id", "taken") == rows(found, "doc_id", "taken")
     assert rows(mixing.mix(none)) == [] and rows(mixing.mixed_copies(none)) == []
