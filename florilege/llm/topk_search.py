@@ -1,15 +1,21 @@
 """Exact top-k inner product by columnar branch-and-bound.
 
-Vectors are quantised to floor(64 x) and kept in vertical blocks (dimension x row). Queries go out in
-passes of QUERIES_A_PASS rows, a broadcast of bounded size; each pass runs over the candidate blocks
-where they lie, so vectors are never shuffled. Inside a task, partial inner products grow dimension group by dimension group, and a candidate leaves a
-query's list once partial + |rest of query| * |rest of candidate| (Cauchy-Schwarz) is below that
-query's k-th best so far. What survives is exact; block winners merge by (score desc, vec_id).
-
-Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows
-with a null vec_id; a vector shorter than another counts as zero beyond its end; rows with the
-query's own vec_id (repeats too) are no candidates; ties go to the smaller vec_id; fewer than k
-candidates give fewer rows; empty vectors score 0; no rows give no rows; other columns are not read.
+Vectors are quantised to floor(64 x) and kept in vertical blocks (dimension x row). Query blocks are
+dealt into groups of GROUP_BYTES, candidate blocks into cells; each group meets each cell in one
+sorted run of a shuffle, its queries first, so that a task holds one group and streams the cell's
+blocks past it. Partial inner products grow dimension group by dimension group, and a candidate
+leaves a query's list once partial + |rest of query| * |rest of candidate| (Cauchy-Schwarz) is below
+that query's k-th best so far, which is carried from block to block. After each dimension group the
+survivors are compacted: rows and columns without any, then single pairs once few are left. A cell
+gives k rows a query; these merge by (score desc, vec_id).
+
+Defined cases: vectors that are null or hold null or non-finite components (or ones whose 64-fold is
+not finite) take no part, nor do rows with a null vec_id; a vector shorter than another counts as
+zero beyond its end; scores are exact integers, and one beyond 64 bits counts as the nearest 64-bit
+number; rows with the query's own vec_id (repeats too) are no candidates; equal rows of a query are
+one query, unequal vectors under one query id are ranked together; ties go to the smaller vec_id;
+fewer than k candidates give fewer rows; empty vectors score 0; no rows give no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -19,104 +25,156 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from florilege.llm.common import checkpoint
+from florilege.llm.common import stored
 
 K = 20
-QUERY_BLOCK = 1024
-QUERIES_A_PASS = 16 * QUERY_BLOCK
-CANDIDATE_BLOCK = 4096
+BLOCK_ROWS = 1024
+BLOCK_BYTES = 1 << 20  # of a block's numbers, where one row does not exceed it
+GROUP_BYTES = 32 << 20  # queries that a task holds
+CELL_ROWS = 1 << 19  # candidates that a cell holds at most, about
+MOST_TASKS = 1 << 15
 DIMS = 16
-SAFE = 1 << 20
-
-
-def _blocks(size: int):
-    """Packs rows of (part, vec_id, v array<long>) into matrices; a block never mixes input partitions."""
-
-    def pack(ids, vectors):
-        width = max(map(len, vectors))
-        large = max((max(map(abs, v), default=0) for v in vectors), default=0)
-        out = np.zeros((width, len(vectors)), dtype=np.int32 if large < 1 << 31 else np.int64)
-        for i, v in enumerate(vectors):
-            out[: len(v), i] = v
-        return {"ids": np.asarray(ids, np.int64).tobytes(), "n": len(ids), "dims": out.tobytes(), "width": width, "bits": 8 * out.itemsize}
+SAFE = 1 << 20  # larger components stand in blocks of their own
+EXACT = 1 << 53
+FEW = 0.05  # survivors are kept as single pairs below this share
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+BLOCK = pa.schema([("ids", pa.binary()), ("n", pa.int32()), ("dims", pa.binary()), ("width", pa.int32()), ("large", pa.float64())])
+BLOCK_DDL = "ids binary, n int, dims binary, width int, large double"
+
+
+def _blocks(batches):
+    """Packs rows of (vec_id, embedding) into vertical blocks of their floor(64 x)."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        values = np.floor(64.0 * lists.flatten().to_numpy(zero_copy_only=False))
+        starts = np.cumsum(sizes) - sizes
+        large = np.array([np.abs(values[s : s + n]).max(initial=0.0) for s, n in zip(starts, sizes, strict=True)])
+        out = []
+        for own in (np.flatnonzero(large <= SAFE), np.flatnonzero(large > SAFE)):
+            most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, sizes[own].max(initial=0)))))
+            for at in range(0, len(own), most):
+                rows = own[at : at + most]
+                width, top = int(sizes[rows].max()), float(large[rows].max())
+                dims = np.zeros((width, len(rows)), np.int32 if top <= SAFE else np.float64)
+                for i, r in enumerate(rows):
+                    dims[: sizes[r], i] = values[starts[r] : starts[r] + sizes[r]]
+                out.append({"ids": ids[rows].astype(np.int64).tobytes(), "n": len(rows), "dims": dims.tobytes(), "width": width, "large": top})
+        yield pa.RecordBatch.from_pylist(out, BLOCK)
+
+
+class Block:
+    """Rows side by side: `dims` is dimension x row, rest[i] the length of each row from dimension i * DIMS on."""
+
+    def __init__(self, ids: bytes, n: int, dims: bytes, width: int, large: float) -> None:
+        self.ids, self.large = np.frombuffer(ids, np.int64), large
+        self.dims = np.frombuffer(dims, np.int32 if large <= SAFE else np.float64).reshape(width, n).astype(np.float64)
+        self.rest = []
+        if large <= SAFE:
+            parts = [np.zeros(n)] + [(self.dims[at : at + DIMS] ** 2).sum(axis=0) for at in reversed(range(0, width, DIMS))]
+            # sums of whole squares are exact; only the root is rounded
+            self.rest = [np.sqrt(x) * (1 + 1e-12) for x in reversed(list(np.cumsum(parts, axis=0)))]
+
+    def whole_numbers(self) -> np.ndarray:
+        return np.array([[int(x) for x in row] for row in self.dims], object).reshape(self.dims.shape)
+
+
+class Best:
+    """The k best of each query so far, best first; places not yet taken hold LEAST and the id MOST."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.score, self.id = k, np.full((n, k), LEAST, np.int64), np.full((n, k), MOST, np.int64)
+
+    def floor(self) -> np.ndarray:
+        return np.where(self.id[:, -1] == MOST, -np.inf, self.score[:, -1].astype(np.float64))
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        hit = np.unique(rows)
+        r = np.concatenate([np.repeat(hit, self.k), rows])
+        c = np.concatenate([self.id[hit].ravel(), ids])
+        s = np.concatenate([self.score[hit].ravel(), scores])
+        order = np.lexsort((c, ~s, r))
+        r = r[order]
+        first = np.searchsorted(r, hit)
+        keep = order[np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r)))) < self.k]
+        self.id[hit], self.score[hit] = c[keep].reshape(-1, self.k), s[keep].reshape(-1, self.k)
+
+
+def survivors(q: Block, c: Block, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, inner product) of all pairs that reach the query's floor; more may be given."""
+    common = min(len(q.dims), len(c.dims))
+    rows, cols = np.arange(len(q.ids)), np.arange(len(c.ids))
+    if common * q.large * c.large >= EXACT:
+        scores = q.whole_numbers()[:common].T @ c.whole_numbers()[:common] if common else np.zeros((len(rows), len(cols)), object)
+        held = np.array([min(max(int(x), LEAST), MOST) for x in scores.ravel()], np.int64)
+        return np.repeat(rows, len(cols)), np.tile(cols, len(rows)), held
+    partial, pairs = np.zeros((len(rows), len(cols))), None
+    for i, at in enumerate(range(0, common, DIMS)):
+        x, y = q.dims[at : min(at + DIMS, common)], c.dims[at : min(at + DIMS, common)]
+        rest_q, rest_c = q.rest[i + 1], c.rest[i + 1]
+        if pairs is None:
+            partial += x[:, rows].T @ y[:, cols]
+            alive = partial + rest_q[rows, None] * rest_c[None, cols] >= floor[rows, None]
+            if alive.mean() < FEW:
+                a, b = np.nonzero(alive)
+                pairs, partial = (rows[a], cols[b]), partial[a, b]
+            else:
+                some_rows, some_cols = alive.any(axis=1), alive.any(axis=0)
+                if some_rows.mean() < 0.9 or some_cols.mean() < 0.9:
+                    rows, cols, partial = rows[some_rows], cols[some_cols], partial[np.ix_(some_rows, some_cols)]
+        else:
+            a, b = pairs
+            partial = partial + np.einsum("ij,ij->j", x[:, a], y[:, b])
+            keep = partial + rest_q[a] * rest_c[b] >= floor[a]
+            pairs, partial = (a[keep], b[keep]), partial[keep]
+    if pairs is None:
+        a, b = np.nonzero(partial >= floor[rows, None])
+        pairs, partial = (rows[a], cols[b]), partial[a, b]
+    return *pairs, partial.astype(np.int64)
+
+
+def meet(q: Block, c: Block, best: Best) -> None:
+    """Takes the candidates of c into the best of q."""
+    floor = best.floor()
+    first = min(len(c.ids), 8 * best.k)
+    common = min(len(q.dims), len(c.dims))
+    if np.isneginf(floor).any() and first >= best.k and common * q.large * c.large < EXACT:
+        # the first columns set a floor where there is none
+        seen = q.dims[:common].T @ c.dims[:common, :first]
+        seen[q.ids[:, None] == c.ids[None, :first]] = -np.inf
+        floor = np.maximum(floor, np.partition(seen, first - best.k, axis=1)[:, first - best.k])
+    rows, cols, scores = survivors(q, c, floor)
+    other = q.ids[rows] != c.ids[cols]
+    best.add(rows[other], c.ids[cols[other]], scores[other])
+
+
+def _search(k: int):
+    """Rows (at, side, block ...), sorted: each `at` holds a group's query blocks, then a cell's blocks."""
 
     def run(batches):
-        ids, vectors = [], []
-        for b in batches:
-            ids += b.column(0).to_pylist()
-            vectors += b.column(1).to_pylist()
-            while len(ids) >= size:
-                yield pa.RecordBatch.from_pylist([pack(ids[:size], vectors[:size])], BLOCK)
-                ids, vectors = ids[size:], vectors[size:]
-        if ids:
-            yield pa.RecordBatch.from_pylist([pack(ids, vectors)], BLOCK)
-
-    return run
+        open_at, held = None, []
 
+        def out():
+            for q, best in held:
+                full = best.id != MOST
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids, full.sum(axis=1))), pa.array(best.id[full]), pa.array(best.score[full])], names=["query_id", "vec_id", "score"])
 
-BLOCK = pa.schema([("ids", pa.binary()), ("n", pa.int32()), ("dims", pa.binary()), ("width", pa.int32()), ("bits", pa.int32())])
-BLOCK_DDL = "ids binary, n int, dims binary, width int, bits int"
-
-
-def _unpack(ids: bytes, n: int, dims: bytes, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(dims, f"i{bits // 8}").reshape(width, n)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
-def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of each query's best k of one block. q, c: dimension x row."""
-    width = max(len(q), len(c))
-    q, c = (np.vstack([m, np.zeros((width - len(m), m.shape[1]), m.dtype)]) for m in (q, c))
-    kind = np.float64 if width and max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) <= SAFE else object
-    q, c = q.astype(kind), c.astype(kind)
-    rest = lambda m, at: np.sqrt((m[at:].astype(np.float64) ** 2).sum(axis=0)) * (1 + 1e-9) + 1e-9
-    first = min(len(cid), 256)
-    out_q, out_c, out_s = [], [], []
-    # the first rows set each query's k-th best
-    seen = q.T @ c[:, :first]
-    seen = np.where(qid[:, None] == cid[None, :first], -np.inf if kind is np.float64 else -(1 << 200), seen)
-    floor = np.partition(seen.astype(np.float64), first - k, axis=1)[:, first - k] if first >= k else np.full(len(qid), -np.inf)
-    partial = np.zeros((len(qid), len(cid)), dtype=kind)
-    alive = qid[:, None] != cid[None, :]
-    rows, cols, sums = None, None, None
-    for at in range(0, width, DIMS):
-        block = slice(at, at + DIMS)
-        if rows is None:
-            partial += q[block].T @ c[block]
-            bound = partial.astype(np.float64) + rest(q, at + DIMS)[:, None] * rest(c, at + DIMS)[None, :]
-            alive &= bound >= floor[:, None]
-            if alive.mean() < 0.1:
-                rows, cols = np.nonzero(alive)
-                sums = partial[rows, cols]
-        else:
-            sums = sums + (q[block][:, rows] * c[block][:, cols]).sum(axis=0)
-            keep = sums.astype(np.float64) + rest(q, at + DIMS)[rows] * rest(c, at + DIMS)[cols] >= floor[rows]
-            rows, cols, sums = rows[keep], cols[keep], sums[keep]
-    if rows is None:
-        rows, cols = np.nonzero(alive)
-        sums = partial[rows, cols]
-    starts = np.searchsorted(rows, np.arange(len(qid) + 1))
-    for i in range(len(qid)):
-        own = slice(starts[i], starts[i + 1])
-        best = _best(sums[own], cid[cols[own]], k)
-        out_q.append(np.full(len(best), qid[i]))
-        out_c.append(cid[cols[own]][best])
-        out_s.append(sums[own][best])
-    join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    return join(out_q), join(out_c), join(out_s)
-
-
-def _search(queries, k: int):
-    def run(batches):
-        blocks = [_unpack(*x) for x in queries.value]
         for b in batches:
             for r in b.to_pylist():
-                ids, dims = _unpack(**r)
-                for qid, q in blocks:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in search_block(qid, q, ids, dims, k)], names=["query_id", "vec_id", "score"])
+                at, side = r.pop("at"), r.pop("side")
+                if at != open_at:
+                    yield from out()
+                    open_at, held = at, []
+                block = Block(**r)
+                if side == 0:
+                    held.append((block, Best(len(block.ids), k)))
+                else:
+                    for q, best in held:
+                        meet(q, block, best)
+        yield from out()
 
     return run
 
@@ -125,22 +183,22 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of vectors(vec_id, embedding) whose vec_id divides by `every`."""
     spark = vectors.sparkSession
     x = F.col("embedding").cast("array<double>")
-    fine = F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))), F.lit(False))
-    ready = vectors.select("vec_id", "embedding").where(fine).select(F.col("vec_id").cast("long"), F.transform(x, lambda v: F.floor(F.lit(64.0) * v)).alias("v"))
-    candidates = checkpoint(ready.mapInArrow(_blocks(CANDIDATE_BLOCK), BLOCK_DDL))
-    queries = ready.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(_blocks(QUERY_BLOCK), BLOCK_DDL)
-    queries = checkpoint(queries.withColumn("at", F.monotonically_increasing_id()))
-    passes, sizes = [[]], 0
-    for r in queries.select("at", "n").orderBy("at").toLocalIterator():  # two numbers a block
-        if passes[-1] and sizes + r.n > QUERIES_A_PASS:
-            passes.append([])
-            sizes = 0
-        passes[-1].append(r["at"])
-        sizes += r.n
-    found = None
-    for own in passes:
-        rows = queries.where(F.col("at").isin(own)).drop("at").collect() if own else []  # at most QUERIES_A_PASS vectors
-        part = candidates.mapInArrow(_search(spark.sparkContext.broadcast([tuple(x) for x in rows]), k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionAll(part)
+    whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(F.lit(64.0) * v) < F.lit(float("inf"))))
+    ready = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).where(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False)))
+    candidates = stored(ready.mapInArrow(_blocks, BLOCK_DDL))
+    queries = stored(ready.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "embedding"]).mapInArrow(_blocks, BLOCK_DDL))
+    size = F.coalesce(F.sum(F.length("dims") + F.length("ids")), F.lit(0)).alias("bytes")
+    rows, blocks = candidates.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    groups = max(1, -(-queries.agg(size).first()[0] // GROUP_BYTES))
+    # as many cells as their size asks for, or as use all tasks of a shuffle; each holds a block or more
+    cells = max(1, min(blocks, max(-(-rows // CELL_ROWS), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // groups))))
+    number = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.withColumn("group", number(groups)).withColumn("cell", all_of(cells)).withColumn("side", F.lit(0))
+    right = candidates.withColumn("cell", number(cells)).withColumn("group", all_of(groups)).withColumn("side", F.lit(1))
+    both = left.unionByName(right).select((F.col("group") * cells + F.col("cell")).alias("at"), "side", *BLOCK.names)
+    tasks = min(groups * cells, MOST_TASKS)
+    dealt = both.repartitionById(tasks, F.pmod("at", F.lit(tasks)).cast("int")).sortWithinPartitions("at", "side")
+    found = dealt.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
