@@ -6,18 +6,23 @@ texts. Documents are range-sorted by (Hilbert key, hash of doc_id) and laid end
 curve; each range is cut into sequences of LENGTH tokens, and what is left at its end into sequences
 of powers of two, so nothing is padded.
 
-Range bounds come from an approximate quantile sketch over all keys, weighted by bytes. Tokens are those of the
-byte-level BPE vocabulary file given by `vocabulary` (token ids equal the tokenizers library's on
-that file), then END.
+Range bounds come from approximate quantile sketches over all keys, weighted by bytes: SKETCH coarse
+ranges, and in each of them up to SKETCH fine ones, so that ranges hold RANGE_BYTES of text up to
+SKETCH**2 ranges, and evenly more beyond. Tokens are those of the byte-level BPE vocabulary file
+given by `vocabulary` (token ids equal the tokenizers library's on that file), then END. A fast
+encoder stands in for that library where both agree; texts with the vocabulary's special string or a
+run of RUN white-space characters or more go to the library itself.
 
 Defined cases: null text is empty and gives the single id END; repeated rows are packed each; a null
-doc_id is packed like any other; a document longer than a sequence spans several; no rows give no
-rows; other columns are not read.
+doc_id is packed like any other; a document longer than a sequence spans several; runs of white
+space, letters, digits or signs of any length are encoded; no rows give no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import cache
 
@@ -33,7 +38,8 @@ END = 1
 DIMS = 3
 BITS = 10
 RANGE_BYTES = 8 << 20  # text in a range, about
-SKETCH = 1024  # ranges at most; a range streams through its task, whatever its size
+SKETCH = 1024  # points of a sketch
+RUN = 10_000
 WEIGHT_BYTES = 2048
 KEY_BYTES = 1 << 20
 SPECIAL = "<|endoftext|>"
@@ -87,8 +93,8 @@ def keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return hilbert(at.astype(np.int64))
 
 
-def _keyed(bounds: np.ndarray | None):
-    """(key, bytes) of each row, or with bounds (bucket, key, doc_id, text)."""
+def _keyed(edges):
+    """(key, bytes) of each row, or with broadcast bounds (bucket, key, doc_id, text)."""
 
     def run(batches):
         for b in slices(batches, "text", KEY_BYTES):
@@ -97,7 +103,7 @@ def _keyed(bounds: np.ndarray | None):
             ids = b.column(0).to_pandas().fillna(-1).to_numpy(np.int64).astype(np.uint64)
             salt = (ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(2 + DIMS * BITS)
             key = (key.astype(np.uint64) << np.uint64(62 - DIMS * BITS) | salt).astype(np.int64)
-            if bounds is None:
+            if edges is None:
                 # a key stands once for each begun WEIGHT_BYTES of its text; the first of them carries the size
                 n = np.diff(offs)
                 times = 1 + n // WEIGHT_BYTES
@@ -105,7 +111,7 @@ def _keyed(bounds: np.ndarray | None):
                 size[np.cumsum(times) - times] = n
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, times)), pa.array(size)], names=["key", "n"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, key)), pa.array(key), b.column(0), b.column(1)], names=["bucket", "key", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges.value, key)), pa.array(key), b.column(0), b.column(1)], names=["bucket", "key", "doc_id", "text"])
 
     return run
 
@@ -126,8 +132,10 @@ def _encoder(vocabulary: str):
     fast = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
     whole = Tokenizer.from_file(vocabulary)
 
+    long_run = re.compile(rf"\s{{{RUN}}}")
+
     def encode(text: str) -> list[int]:
-        if SPECIAL in text:
+        if SPECIAL in text or (len(text) >= RUN and long_run.search(text)):
             return whole.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
@@ -205,18 +213,40 @@ def _pack(vocabulary: str, length: int, with_ids: bool):
     return run
 
 
+def _points(keys, n: int):
+    """n - 1 approximate quantiles; the sketch merges map-side, and its size does not grow with the rows."""
+    return F.percentile_approx(keys, [i / n for i in range(1, n)], 20 * n)
+
+
+def bounds(sizes: DataFrame) -> np.ndarray:
+    """Bounds of the ranges of sizes(key, n), n bytes a key; at most SKETCH**2 - 1."""
+    total, points = sizes.agg(F.sum("n"), _points("key", SKETCH)).first()
+    ranges = max(1, round((total or 0) / RANGE_BYTES))
+    if ranges == 1 or not points:
+        return np.zeros(0, np.int64)
+    if ranges < SKETCH:
+        return np.unique([points[min(SKETCH - 2, round(i * SKETCH / ranges) - 1)] for i in range(1, ranges)]).astype(np.int64)
+    coarse = np.unique(points).astype(np.int64)
+
+    def placed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(coarse, b.column(0).to_numpy())), *b.columns], names=["part", "key", "n"])
+
+    fine = sizes.mapInArrow(placed, "part long, key long, n long").groupBy("part").agg(F.sum("n").alias("n"), _points("key", SKETCH).alias("points")).collect()  # SKETCH rows at most
+    out = list(coarse)
+    for r in fine:
+        own = min(SKETCH, max(1, round(r.n / max(RANGE_BYTES, total / SKETCH**2))))
+        out += [r.points[min(SKETCH - 2, round(i * SKETCH / own) - 1)] for i in range(1, own)]
+    return np.unique(out).astype(np.int64)
+
+
 def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """Pieces of the sequences that hold every row of docs(doc_id, text); length: a power of two."""
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sizes = own.mapInArrow(_keyed(None), "key long, n long")
-    total = F.sum("n")
-    # an approximate quantile sketch merges map-side; its size does not grow with the rows
-    sketch = sizes.agg(total, F.percentile_approx("key", [i / SKETCH for i in range(1, SKETCH)], 20 * SKETCH)).first()
-    ranges = max(1, round((sketch[0] or 0) / RANGE_BYTES))
-    bounds = np.unique([sketch[1][min(SKETCH - 2, round(i * SKETCH / ranges) - 1 if ranges < SKETCH else i)] for i in range(1, min(ranges, SKETCH))]).astype(np.int64) if sketch[1] else np.zeros(0, np.int64)
-    keyed = own.mapInArrow(_keyed(bounds), "bucket long, key long, doc_id long, text string")
-    dealt = keyed.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "key", "doc_id")
+    edges = docs.sparkSession.sparkContext.broadcast(bounds(own.mapInArrow(_keyed(None), "key long, n long")))  # SKETCH**2 numbers at most
+    keyed = own.mapInArrow(_keyed(edges), "bucket long, key long, doc_id long, text string")
+    dealt = keyed.repartitionById(len(edges.value) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "key", "doc_id")
     found = dealt.mapInArrow(_pack(vocabulary, length, with_ids), PIECES_DDL)
     return found if with_ids else found.drop("ids")
