@@ -4,7 +4,8 @@ Sources in code-point order (null last) weigh 5, 2, 1, repeating; together their
 words of the corpus; a target stops at `cap` times its source's size and the excess is reshared by
 weight. Each source's document rates minimise the relative entropy to one copy each under its token
 constraint: rate = min(cap, exp(lambda * size / mean size)), with lambda from safeguarded Newton steps
-on the dual, each step one aggregate over a (source, size) histogram. Rates are rounded to whole
+on the dual, each step one aggregate over a (source, size) histogram, until every source meets its
+constraint (halving from NEWTON_STEPS on; an error if one never does). Rates are rounded to whole
 copies by a hash of the row, `cap` at most. What a source's copies then miss or exceed is made up by
 one copy more or less of documents: in hash order, as far as an exact prefix sum of their sizes fits
 in it, then the largest that fits in the rest, again and again. No text is cut, so a source stays off
@@ -27,34 +28,40 @@ from florilege.llm.common import WORD, checkpoint
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
 TOLERANCE = 1e-9
-MAX_STEPS = 60
+NEWTON_STEPS = 40  # from then on the interval is halved
+MOST_STEPS = 1_200  # halving any interval of doubles ends before; more is an error
 BROADCAST_SOURCES = 50_000  # rates of at most so many sources go out as a broadcast; more are joined by a shuffle
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
-    """Adds `weight`; ranks by range partitions, so that no task holds all sources."""
-    parts = checkpoint(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
-    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+def _prefix(rows: DataFrame, order: list, **sums) -> DataFrame:
+    """Adds each of `sums` over all rows before a row in `order`, by range partitions, so that no task holds all rows."""
+    parts = checkpoint(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = parts.groupBy("_part").agg(*[F.sum(x).alias(f"_{n}") for n, x in sums.items()])
     # one row for each partition: as many rows as spark.sql.shuffle.partitions at most
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
-    at = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("before")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.pmod(at, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    return parts.join(F.broadcast(before), "part").withColumn("weight", weight).drop("part", "before")
+    before = totals.select("_part", *[(F.sum(f"_{n}").over(Window.orderBy("_part")) - F.col(f"_{n}")).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = parts.join(F.broadcast(before), "_part").withColumns({n: F.coalesce(F.sum(x).over(inside), F.lit(0)) + F.col(f"_{n}") for n, x in sums.items()})
+    return found.drop("_part", *[f"_{n}" for n in sums])
 
 
 def targets(sources: DataFrame, cap: float = CAP) -> DataFrame:
-    """Adds `target` to sources(source, source_size, ...)."""
-    ranked = checkpoint(_ranked(sources))
-    most, level, capped = F.lit(cap) * F.col("source_size"), None, -1
-    total = ranked.agg(F.sum("source_size")).first()[0] or 0
-    while True:
-        over = F.lit(False) if level is None else F.col("weight") * F.lit(level) >= most
-        n, held, open_weight = ranked.agg(F.count_if(over), F.sum(F.when(over, most)), F.sum(F.when(~over, F.col("weight")))).first()
-        if n == capped or not open_weight:
-            break
-        capped, level = n, (total - (held or 0.0)) / open_weight
-    share = most if not total or not open_weight else F.least(most, F.col("weight") * F.lit(level))
-    return ranked.withColumn("target", share.cast("double"))
+    """Adds `target` to sources(source, source_size, ...).
+
+    Sources in order of how soon they are full, `cap` sizes by weight: one is full if what the full
+    ones before it leave, dealt over all open weights, is its most or more.
+    """
+    ranked = _prefix(sources, [F.col("source").asc_nulls_last()], at=F.lit(1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.pmod("at", F.lit(len(WEIGHTS))) + 1).cast("int"))
+    most = F.lit(cap) * F.col("source_size")
+    ranked = checkpoint(ranked.withColumn("weight", weight).withColumn("_most", most).drop("at"))
+    total, weights = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    order = [(F.col("_most") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    filled = checkpoint(_prefix(ranked, order, _held=F.col("_most"), _taken=F.col("weight")))
+    full = F.col("_most") * (F.lit(weights) - F.col("_taken")) <= F.col("weight") * (F.lit(total) - F.col("_held"))
+    held, taken = filled.agg(F.sum(F.when(full, F.col("_most"))), F.sum(F.when(full, F.col("weight")))).first()
+    open_weight = (weights or 0.0) - (taken or 0.0)
+    level = ((total or 0) - (held or 0.0)) / open_weight if open_weight > 0.5 else math.inf
+    return filled.withColumn("target", F.least(F.col("_most"), F.col("weight") * F.lit(level)).cast("double")).drop("_most", "_held", "_taken")
 
 
 def _rates(sizes: DataFrame, cap: float) -> DataFrame:
@@ -76,7 +83,7 @@ def _rates(sizes: DataFrame, cap: float) -> DataFrame:
     state = checkpoint(state)
     x, rate = F.col("size") / F.col("mean"), F.least(F.lit(cap), F.exp(F.col("lam") * F.col("size") / F.col("mean")))
     words = F.col("size") * F.col("n")
-    for step in range(MAX_STEPS):
+    for step in range(MOST_STEPS):
         sums = (
             hist.withColumnRenamed("source", "key")
             .join(state.where("not solved"), F.col("key").eqNullSafe(F.col("source")))
@@ -87,8 +94,10 @@ def _rates(sizes: DataFrame, cap: float) -> DataFrame:
         miss = F.col("got") - F.col("target")
         lo, hi = F.when(miss < 0, F.col("lam")).otherwise(F.col("lo")), F.when(miss > 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") - miss / F.col("slope")
-        inside = (F.col("slope") > 0) & (newton > lo) & (newton < hi)
-        done = F.col("got").isNull() | (F.abs(miss) <= TOLERANCE * F.col("target"))
+        inside = (F.col("slope") > 0) & (newton > lo) & (newton < hi) & F.lit(step < NEWTON_STEPS)
+        # an interval without a number between its ends is as near as numbers come
+        spent = ((lo + hi) / 2 <= lo) | ((lo + hi) / 2 >= hi)
+        done = F.col("got").isNull() | (F.abs(miss) <= TOLERANCE * F.col("target")) | spent
         state = joined.select(
             "source", "source_size", "target", "mean", (F.col("solved") | done).alias("solved"),
             F.when(done, F.col("lo")).otherwise(lo).alias("lo"), F.when(done, F.col("hi")).otherwise(hi).alias("hi"),
@@ -98,6 +107,8 @@ def _rates(sizes: DataFrame, cap: float) -> DataFrame:
             state = checkpoint(state)
             if not state.where("not solved").limit(1).count():
                 break
+    else:
+        raise RuntimeError("the rates of some sources did not settle")
     return checkpoint(state.withColumn("lam", F.round("lam", 12)))
 
 
