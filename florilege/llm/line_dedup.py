@@ -2,10 +2,10 @@
 
 Lines are parts of a text between "\\n", compared as lower-cased (A-Z) words; characters of scripts
 that are written without spaces are words of their own. A line goes if an earlier line, by (doc_id,
-line number), is equal, or is within one word of it (one word put in, left out or replaced) and both
-have `near` words or more. Lines below `least` words always stay. The registered query and the
-pipeline take WHOLE: equal lines of any length but blank ones, near copies from five words on; the
-functions alone start at LEAST_WORDS and NEAR_WORDS. What is earlier is judged on the input.
+line number), is equal, or is within one word of it (one word put in, left out or replaced). Two
+parameters bound this: lines below `least` words always stay (1: all but blank lines are looked at),
+and near copies are sought among lines of `near` words or more (5: one word in five is a similarity
+of 0.8). What is earlier is judged on the input.
 
 Equal lines meet by their 128-bit hash. Of the distinct lines, two within one word share either
 their first or their last h words, h being half the shorter one's; so only lines that share such a
@@ -13,12 +13,14 @@ half with another go on. These emit every variant with one word left out, as a h
 with one word replaced share the variant at that place, and a line with a word put in has a variant
 equal to the other line: so the least position under a key (and place) tells each line of a bucket
 whether an earlier one exists, without pairs inside the bucket. Each such find is verified by the
-words' edit distance.
-
-Defined cases: null text stays null with 0 lines; empty texts have one empty line, which stays; rows
-that share a doc_id count as one document, where no line removes one at the same number; a null
-doc_id comes before all others; no rows give no rows; other columns pass through `drop_lines` as
-they are, whatever their names, and are not read by `line_dedup`.
+words' edit distance. Joins on keys that many lines share deal those keys over salts.
+
+Defined cases: null text stays null with 0 lines; empty texts have one empty line, which stays; a
+row is told by its doc_id and a hash of its text, so rows that share a doc_id lose only lines of
+their own, and of these rows neither is earlier at the same line number (equal rows come out equal);
+rows without a doc_id are such rows too and come before all others; no rows give no rows; other
+columns pass through `drop_lines` as they are, whatever their names, and are not read by
+`line_dedup`.
 """
 
 from __future__ import annotations
@@ -31,11 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from florilege.llm.common import slices, stored
+from florilege.llm.common import slices, spread_join, stored
 
-LEAST_WORDS = 5
-NEAR_WORDS = 8
-WHOLE = {"least": 1, "near": 5}
+LEAST_WORDS = 1
+NEAR_WORDS = 5
 NO_ID = -(1 << 63)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -75,38 +76,39 @@ def within_one(a: list, b: list) -> bool:
     return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
-LINES_DDL = "h1 long, h2 long, doc long, line int, n int, halves array<long>"
+LINES_DDL = "h1 long, h2 long, doc long, row long, line int, n int, halves array<long>"
 
 
 def _lines(least: int, near: int):
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+
     def run(batches):
         for b in slices(batches, "text"):
-            out = [[] for _ in range(6)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out = [[] for _ in range(7)]
+            for doc, at, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for number, line in enumerate((text or "").encode().split(b"\n")):
                     words = words_of(line)
                     if len(words) < least:
                         continue
                     h = xxhash.xxh3_128_intdigest(b" ".join(words))
-                    row = (_signed(h >> 64), _signed(h & (1 << 64) - 1), doc, number, len(words), halves(words) if len(words) >= near else None)
+                    row = (_signed(h >> 64), _signed(h & (1 << 64) - 1), doc, at, number, len(words), halves(words) if len(words) >= near else None)
                     for o, x in zip(out, row, strict=True):
                         o.append(x)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=["h1", "h2", "doc", "line", "n", "halves"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=["h1", "h2", "doc", "row", "line", "n", "halves"])
 
     return run
 
 
 def _wanted_lines(batches):
-    """(doc, line, words) of the lines asked for."""
+    """(h1, h2, doc, line, row, words) of the lines asked for."""
+    names, types = ["h1", "h2", "doc", "line", "row", "words"], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
     for b in batches:
-        out = [[], [], []]
-        for doc, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        out = []
+        for doc, row, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
             lines = (text or "").encode().split(b"\n")
-            for number in wanted:
-                for o, x in zip(out, (doc, number, b" ".join(words_of(lines[number]))), strict=True):
-                    o.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["doc", "line", "words"])
+            out += [(w["h1"], w["h2"], doc, w["line"], row, b" ".join(words_of(lines[w["line"]]))) for w in wanted]
+        cols = zip(*out, strict=True) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
 def variant_keys(words: list[bytes]) -> np.ndarray:
@@ -128,58 +130,64 @@ def variant_keys(words: list[bytes]) -> np.ndarray:
 
 
 def _variants(batches):
-    """(key, place, doc, line): each line with one word left out at `place`, and whole at place -1."""
+    """(key, place, doc, line, row): each line with one word left out at `place`, and whole at place -1."""
     for b in batches:
-        keys = [variant_keys(line.split(b" ")) for line in b.column(2).to_pylist()]
+        keys = [variant_keys(line.split(b" ")) for line in b.column(3).to_pylist()]
         sizes = np.array(list(map(len, keys)), np.int64)
         rep = pa.array(np.repeat(np.arange(b.num_rows), sizes))
         places = np.concatenate([np.arange(-1, n - 1, dtype=np.int32) for n in sizes] or [np.zeros(0, np.int32)])
         keys = np.concatenate(keys or [np.zeros(0, np.uint64)])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(places), b.column(0).take(rep), b.column(1).take(rep)], names=["key", "place", "doc", "line"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(places), *(b.column(i).take(rep) for i in range(3))], names=["key", "place", "doc", "line", "row"])
 
 
 def _verified(batches):
     for b in batches:
-        near = [x is not None and y is not None and within_one(x.split(), y.split()) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        yield b.select(["doc", "line"]).filter(pa.array(near, pa.bool_()))
+        near = [within_one(x.split(), y.split()) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        yield b.select(["h1", "h2"]).filter(pa.array(near, pa.bool_()))
+
+
+def _before(other, doc, line):
+    """Is position `other` earlier than (doc, line)?"""
+    return (other["doc"] < doc) | ((other["doc"] == doc) & (other["line"] < line))
 
 
 def removed_lines(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_WORDS) -> DataFrame:
-    """(doc, line) of every line of docs(doc, text) that an earlier line removes."""
+    """(doc, row, line) of every line of docs(doc, row, text) that an earlier line removes."""
     lines = stored(docs.mapInArrow(_lines(least, near), LINES_DDL))
-    pos = F.struct("doc", "line")
-    distinct = stored(lines.groupBy("h1", "h2").agg(F.min(pos).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("rows")))
-    again = distinct.where("rows > 1").select("h1", "h2", "first")
-    equal = lines.select("h1", "h2", "doc", "line").join(again, ["h1", "h2"]).where(pos != F.col("first")).select("doc", "line")
-
-    half = distinct.where(F.col("n") >= near).select("first", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("half")
-    wanted = half.join(shared, "half").select("first.doc", "first.line").distinct().groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    close = stored(docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_wanted_lines, "doc long, line int, words binary").dropDuplicates(["doc", "line"]))
-
-    variants = close.mapInArrow(_variants, "key long, place int, doc long, line int")
-    whole, slot = F.col("place") < 0, F.when(F.col("place") >= 0, pos)
-    keys = variants.groupBy("key").agg(F.min(F.when(whole, pos)).alias("self"), F.min(slot).alias("any_slot"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    meeting = stored(variants.join(keys, "key"))
-    slots = meeting.where(~whole).groupBy("key", "place").agg(F.min(pos).alias("slot"))
-    found = (
-        meeting.where(whole & (F.col("any_slot") < pos)).select("doc", "line", F.col("any_slot").alias("other"))
-        .union(meeting.where(~whole & (F.col("self") < pos)).select("doc", "line", F.col("self").alias("other")))
-        .union(meeting.where(~whole).join(slots, ["key", "place"]).where(F.col("slot") < pos).select("doc", "line", F.col("slot").alias("other")))
-        .distinct()
-    )
-    theirs = close.select(F.col("doc").alias("o_doc"), F.col("line").alias("o_line"), F.col("words").alias("o_words"))
-    pairs = found.join(close, ["doc", "line"]).join(theirs, (F.col("other.doc") == F.col("o_doc")) & (F.col("other.line") == F.col("o_line")))
-    verified = pairs.select("doc", "line", "words", "o_words").mapInArrow(_verified, "doc long, line int").distinct()
-    return equal.union(verified)
+    at = F.struct("doc", "line", "row")
+    distinct = stored(lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("rows")))
+
+    half = distinct.where(F.col("n") >= near).select("h1", "h2", "first", F.explode("halves").alias("half"))
+    shared = stored(half.groupBy("half").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    wanted = spread_join(half, shared, ["half"], "rows", ["h1"]).groupBy("first.doc", "first.row").agg(F.collect_set(F.struct("h1", "h2", "first.line")).alias("wanted"))
+    close = stored(docs.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(_wanted_lines, "h1 long, h2 long, doc long, line int, row long, words binary").dropDuplicates(["h1", "h2"]))
+
+    variants = close.select("doc", "line", "row", "words").mapInArrow(_variants, "key long, place int, doc long, line int, row long")
+    whole, slot = F.col("place") < 0, F.when(F.col("place") >= 0, at)
+    keys = stored(variants.groupBy("key").agg(F.min(F.when(whole, at)).alias("self"), F.min(slot).alias("any_slot"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    meeting = stored(spread_join(variants, keys, ["key"], "rows", ["row", "line"]).drop("rows"))
+    slots = stored(meeting.where(~whole).groupBy("key", "place").agg(F.min(at).alias("slot"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    same_place = spread_join(meeting.where(~whole), slots, ["key", "place"], "rows", ["row", "line"])
+    found = None
+    for part, other in ((meeting.where(whole), "any_slot"), (meeting.where(~whole), "self"), (same_place, "slot")):
+        own = part.where(_before(F.col(other), F.col("doc"), F.col("line"))).select("doc", "line", "row", F.col(other).alias("other"))
+        found = own if found is None else found.union(own)
+    theirs = close.select(F.struct("doc", "line", "row").alias("other"), F.col("words").alias("o_words"))
+    pairs = found.distinct().join(close, ["doc", "line", "row"]).join(theirs, "other")
+    near_gone = pairs.select("h1", "h2", "words", "o_words").mapInArrow(_verified, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
+
+    marks = distinct.join(near_gone, ["h1", "h2"], "left").where("rows > 1 or near").select("h1", "h2", F.col("first.doc").alias("f_doc"), F.col("first.line").alias("f_line"), "near", "rows")
+    marked = spread_join(lines.select("h1", "h2", "doc", "row", "line"), stored(marks), ["h1", "h2"], "rows", ["row", "line"])
+    return marked.where((F.col("doc") != F.col("f_doc")) | (F.col("line") != F.col("f_line")) | F.col("near")).select("doc", "row", "line")
 
 
 def drop_lines(docs: DataFrame, counted: bool = False, least: int = LEAST_WORDS, near: int = NEAR_WORDS) -> DataFrame:
     """docs with its text without the removed lines; with `counted`, n_lines and n_removed added."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    gone = removed_lines(docs.select(key.alias("doc"), F.col("text").cast("string").alias("text")), least, near).groupBy("doc").agg(F.collect_set("line").alias("lines"))
-    rows = docs.select(F.struct(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns]).alias("row"), key.alias("doc"))
-    joined = rows.join(gone, "doc", "left").select("row", "lines")
+    text = F.col("text").cast("string")
+    key, told = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(text)
+    gone = removed_lines(docs.select(key.alias("doc"), told.alias("row"), text.alias("text")), least, near).groupBy("doc", "row").agg(F.collect_set("line").alias("lines"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]).alias("whole"), key.alias("doc"), told.alias("row"))
+    joined = whole.join(gone, ["doc", "row"], "left").select(F.col("whole").alias("row"), "lines")
 
     def run(batches):
         for b in batches:
