@@ -7,14 +7,16 @@ Sum-product messages, once up and once down the tree, give each node's marginals
 kept where content is the likeliest state of its node. All tables are smoothed counts over labelled
 pages; `training_pages` makes them, as the corpus holds none.
 
-Scripts, styles, form controls and other raw elements never hold text of a page. Within a block,
-character references are decoded, white space (a <br> too) becomes one space and ends are trimmed;
-blocks are joined by an empty line.
+Scripts, styles, titles, form controls, templates, frames and drawings never hold text of a page; all
+other inline elements do. Within a block, character references are decoded, white space (a <br> too)
+becomes one space and ends are trimmed; blocks are joined by an empty line.
 
 Defined cases: null or empty html gives an empty text of 0 characters; unclosed or stray tags are
-repaired as browsers do for paragraphs, list items and table cells; a tag cut off at the end of the
-page is no text; repeated rows are extracted each; null ids and urls stay null; no rows give no rows;
-other columns are not read.
+repaired as browsers do for paragraphs, list items and table cells, in time linear in the page; an
+unclosed script, style, title, text area or frame runs to the end of the page, as in browsers, any
+other silent element to the end of the block it began in; a tag cut off at the end of the page is no
+text; repeated rows are extracted each; null ids and urls stay null; no rows give no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import html as entities
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from functools import cache
 
@@ -34,7 +37,8 @@ from florilege.llm.common import slices
 
 CONTENT, BOILERPLATE, MIXED = range(3)
 BLOCK = frozenset("address article aside blockquote body canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style textarea title noscript template iframe object svg math select button option audio video map applet noframes noembed datalist label".split())
+RAW = frozenset("script style textarea title iframe noframes noembed".split())  # no markup inside
+SILENT = frozenset("template svg select button option datalist".split())  # markup, but no text of the page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -64,8 +68,10 @@ def _names(attributes: str) -> frozenset[str]:
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes in document order, a root first, and (node, text) of each block in page order."""
     nodes, stack, blocks = [Node("html", -1, frozenset())], [0], []
+    depths: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag, the root left out
     buffer: list[str] = []
     linked = in_link = at = 0
+    mute = None  # (tag, depth of the stack) of the silent element that is open
 
     def flush():
         nonlocal linked, in_link
@@ -82,10 +88,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def text_to(end: int):
         nonlocal linked
-        if end > at:
+        if end > at and mute is None:
             buffer.append(page[at:end])
             linked += (end - at) * bool(in_link)
 
+    def close_from(depth: int):
+        """Closes the elements from this depth of the stack on."""
+        nonlocal mute
+        while len(stack) > depth:
+            depths[nodes[stack.pop()].tag].pop()
+        if mute and mute[1] > len(stack):
+            mute = None
+
+    def lowest_open(tags, above: int) -> int:
+        return max((depths[t][-1] for t in tags if depths[t]), default=above)
+
     pos = 0
     while m := TOKEN.search(page, pos):
         text_to(m.start())
@@ -96,19 +113,24 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m[1]:
             if tag == "a":
                 in_link = 0
+            elif tag in SILENT:
+                if mute and mute[0] == tag:
+                    mute = None
             elif tag in BLOCK:
                 flush()
                 in_link = 0
-                for depth in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[depth]].tag == tag:
-                        del stack[depth:]
-                        break
+                if depths[tag]:
+                    close_from(depths[tag][-1])
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, pos)
-                at = pos = end.start() if end else pos if tag in ("label", "option", "button", "select", "map", "object") else len(page)
+                at = pos = end.start() if end else len(page)
+            buffer.append(" ")
+        elif tag in SILENT:
             buffer.append(" ")
+            if mute is None and not m[3].endswith("/"):
+                mute = tag, len(stack)
         elif tag == "br":
             buffer.append(" ")
         elif tag == "a":
@@ -116,20 +138,23 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         elif tag in BLOCK:
             flush()
             in_link = 0
-            if tag in ("html", "body") and any(nodes[i].tag == tag for i in stack[tag == "html" :] or [0]):
+            if tag in ("html", "body") and (tag == "html" or depths[tag]):
                 continue
             if nodes[stack[-1]].tag == "head" and tag == "body":
-                stack.pop()
-            for depth in range(len(stack) - 1, 0, -1):
-                own = nodes[stack[depth]].tag
-                if own == "p" or own in CLOSES.get(tag, ()):
-                    del stack[depth:]
-                    if own != "p":
-                        break
-                elif own in FENCES.get(tag, ()) or tag not in CLOSES:
-                    break
+                close_from(len(stack) - 1)
+            if tag in CLOSES:
+                fence = lowest_open(FENCES[tag], 0)
+                shut = lowest_open(CLOSES[tag], 0)
+                first_p = bisect_right(depths["p"], fence)
+                if shut > fence:
+                    close_from(shut)
+                elif first_p < len(depths["p"]):
+                    close_from(depths["p"][first_p])
+            while nodes[stack[-1]].tag == "p":
+                close_from(len(stack) - 1)
             nodes.append(Node(tag, stack[-1], _names(m[3])))
             if tag not in VOID:
+                depths[tag].append(len(stack))
                 stack.append(len(nodes) - 1)
     text_to(len(page))
     flush()
