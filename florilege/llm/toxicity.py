@@ -3,19 +3,26 @@
 Folding lower-cases, strips accents, maps look-alike letters and digit substitutions to Latin
 letters and everything else to spaces, so patterns may ask for word starts and ends. The lexicon is
 learned: words and word beginnings of a bounded sample of labelled training rows, met once or met
-twice, are scored by smoothed log-odds, then taken greedily while they explain toxic rows not yet
-explained; a pattern that tells only when met twice counts from its second hit on. Phrases of a
-lexicon word and a neighbour that only clean rows use become exceptions and cancel the hit. A
-logistic function of the summed weights, in total and by length, gives the score.
+twice, are scored by smoothed log-odds, then taken greedily while they explain LEAST_NEW or more
+toxic rows not yet explained; a pattern that tells only when met twice counts from its second hit
+on. Phrases of a lexicon word and a neighbour that only clean rows use become exceptions and cancel
+the hit. A logistic function of the summed weights, in total and by length, gives the score.
+
+Parameters of the model: TRAIN_ROWS bounds the sample, by class, and with it the patterns, the
+lexicon and the exceptions, which have no bound of their own; PREFIXES are the lengths of word
+beginnings that may become patterns; a pattern needs log-odds of LEAST_ODDS.
 
 Defined cases: null and empty texts score like any text without hits; labels that are null, or of
-rows absent from the documents, train nothing; a document labelled twice counts twice; without any
-toxic training label the seed words and default coefficients serve; a null doc_id is never held out
-and never trains; no rows give no rows; other columns are not read.
+rows absent from the documents, train nothing; a document labelled twice alike counts once, toxic
+and clean once each; of rows that share a doc_id one trains, the one with the least text hash;
+without any toxic training label the seed words and default coefficients serve; a null doc_id is
+never held out and never trains; no rows give no rows; other columns are not read by `score` and
+pass through `keep_clean`.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import unicodedata
 from collections import Counter
@@ -30,8 +37,6 @@ from pyspark.sql import functions as F
 from florilege.llm.common import checkpoint, slices
 
 TRAIN_ROWS = 10_000  # labelled rows of each class that train at most, chosen by a hash of doc_id
-CANDIDATES = 6_000  # patterns that the greedy choice considers at most
-LEXICON = 800  # patterns that it takes at most
 LEAST_NEW = 2  # toxic rows that a pattern must newly explain
 LEAST_ODDS = 2.5
 THRESHOLD = 0.3
@@ -129,28 +134,38 @@ def held_out(doc_id):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the sample; the ids are a broadcast of 2 * TRAIN_ROWS rows at most."""
+    """doc_id, text, toxic of the sample, a row for each id and class; the ids are a broadcast of 2 * TRAIN_ROWS rows at most."""
     usable = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("id")))
-    some = [usable.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS) for t in (0, 1)]
+    some = [usable.where(F.col("toxic") == t).distinct().orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS) for t in (0, 1)]
     ids = checkpoint(some[0].union(some[1]))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    return rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "toxic")
 
 
 def _greedy(odds: dict[tuple[str, int], float], toxic_sets: list[list[tuple[str, int]]]) -> list[tuple[str, int]]:
-    """Patterns in order of the toxic rows they newly explain, the most telling first among equals."""
+    """Patterns in order of the toxic rows they newly explain times their odds, the longer first among equals.
+
+    Gains only shrink as rows are explained, so a pattern is measured anew only when it comes first.
+    """
     holders: dict[tuple[str, int], set[int]] = {p: set() for p in odds}
     for i, row in enumerate(toxic_sets):
         for p in row:
             holders[p].add(i)
+    turn = {p: -i for i, p in enumerate(sorted(odds, key=lambda p: (len(p[0]), p)))}
+    heap = [(-len(rows) * odds[p], turn[p], p) for p, rows in holders.items() if len(rows) >= LEAST_NEW]
+    heapq.heapify(heap)
     chosen, open_rows = [], set(range(len(toxic_sets)))
-    while holders and len(chosen) < LEXICON:
-        gain = {p: len(rows & open_rows) for p, rows in holders.items()}
-        best = max(gain, key=lambda p: (gain[p] * odds[p], len(p[0]), p))
-        if gain[best] < LEAST_NEW:
-            break
+    while heap:
+        best = heapq.heappop(heap)[2]
+        new = holders[best] & open_rows
+        key = (-len(new) * odds[best], turn[best], best)
+        if len(new) < LEAST_NEW:
+            continue
+        if heap and key > heap[0]:
+            heapq.heappush(heap, key)
+            continue
         chosen.append(best)
-        open_rows -= holders.pop(best)
-        holders = {p: rows for p, rows in holders.items() if gain[p] >= LEAST_NEW}
+        open_rows -= new
     return chosen
 
 
@@ -173,14 +188,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not totals.get(True) or not totals.get(False):
         return Model()
     toxic, clean = totals[True], totals[False]
-    counts = rows.mapInArrow(_counted, "p string, k int, t long, c long").groupBy("p", "k").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = checkpoint(rows.mapInArrow(_counted, "p string, k int, t long, c long").groupBy("p", "k").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t > 1 or c > 1"))
     odds_of = F.log((F.col("t") + 0.25) / F.lit(toxic + 0.5)) - F.log((F.col("c") + 0.25) / F.lit(clean + 0.5))
     least = min(3, max(2, toxic // 40))
     telling = counts.withColumn("odds", odds_of).where((F.col("t") >= least) & (F.col("odds") >= LEAST_ODDS))
-    top = telling.orderBy(F.desc(F.col("t") * F.col("odds")), "p", "k").limit(CANDIDATES).collect()  # bounded by CANDIDATES
-    odds = {(r.p, r.k): r.odds for r in top}
+    odds = {(r.p, r.k): r.odds for r in telling.toLocalIterator()}  # bounded by the sample
 
-    listed = list(odds)
+    listed = sorted(odds)
     order = {p: i for i, p in enumerate(listed)}
 
     def present(batches):
@@ -203,8 +217,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             found = [m.features(t, a) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()), b.column(1).cast(pa.int32())], names=["x", "y", "toxic"])
 
-    seen = rows.select("text", "toxic").mapInArrow(measured, "x double, y double, toxic int").orderBy("toxic", "x", "y").collect()  # bounded by the sample
-    model.coefficients = _logistic(np.array([(r.x, r.y) for r in seen]), np.array([r.toxic for r in seen], float))
+    seen = rows.select("text", "toxic").mapInArrow(measured, "x double, y double, toxic int").collect()  # bounded by the sample
+    seen = np.array(sorted((r.toxic, r.x, r.y) for r in seen), float)
+    model.coefficients = _logistic(seen[:, 1:], seen[:, 0])
     return model
 
 
@@ -229,7 +244,7 @@ def _exceptions(rows: DataFrame, model: Model) -> dict[str, str]:
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())], names=["p", "c", "t"])
 
     clean = rows.select("text", "toxic").mapInArrow(around, "p string, c int, t int").groupBy("p").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).where("c >= 2 and t = 0")
-    found = [r.p for r in clean.orderBy(F.desc("c"), "p").limit(LEXICON).collect()] + [f" {p} " for p in EXCEPTIONS]
+    found = sorted(r.p for r in clean.collect()) + [f" {p} " for p in EXCEPTIONS]  # bounded by the sample
     a = Model(weights).automaton()
     return {p: hits[0] for p in found if (hits := [x for _, (x, _) in a.iter(p)])}
 
