@@ -36,6 +36,7 @@ MOST_TASKS = 1 << 15
 DIMS = 16
 SAFE = 1 << 20  # larger components stand in blocks of their own
 EXACT = 1 << 53
+BOUNDED = 1e100  # squares of larger components may leave the doubles
 FEW = 0.05  # survivors are kept as single pairs below this share
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -73,10 +74,15 @@ class Block:
         self.ids, self.large = np.frombuffer(ids, np.int64), large
         self.dims = np.frombuffer(dims, np.int32 if large <= SAFE else np.float64).reshape(width, n).astype(np.float64)
         self.rest = []
-        if large <= SAFE:
+        if large <= BOUNDED:
             parts = [np.zeros(n)] + [(self.dims[at : at + DIMS] ** 2).sum(axis=0) for at in reversed(range(0, width, DIMS))]
-            # sums of whole squares are exact; only the root is rounded
-            self.rest = [np.sqrt(x) * (1 + 1e-12) for x in reversed(list(np.cumsum(parts, axis=0)))]
+            # rounded up, so that no bound falls short
+            self.rest = [np.sqrt(x) * (1 + 1e-9) for x in reversed(list(np.cumsum(parts, axis=0)))]
+
+    def in_doubles(self, other: Block) -> bool:
+        """Are inner products with another block, and their bounds, exact in doubles?"""
+        common = min(len(self.dims), len(other.dims))
+        return max(self.large, other.large) <= BOUNDED and common * self.large * other.large < EXACT
 
     def whole_numbers(self) -> np.ndarray:
         return np.array([[int(x) for x in row] for row in self.dims], object).reshape(self.dims.shape)
@@ -107,7 +113,7 @@ def survivors(q: Block, c: Block, floor: np.ndarray) -> tuple[np.ndarray, np.nda
     """(query row, candidate row, inner product) of all pairs that reach the query's floor; more may be given."""
     common = min(len(q.dims), len(c.dims))
     rows, cols = np.arange(len(q.ids)), np.arange(len(c.ids))
-    if common * q.large * c.large >= EXACT:
+    if not q.in_doubles(c):
         scores = q.whole_numbers()[:common].T @ c.whole_numbers()[:common] if common else np.zeros((len(rows), len(cols)), object)
         held = np.array([min(max(int(x), LEAST), MOST) for x in scores.ravel()], np.int64)
         return np.repeat(rows, len(cols)), np.tile(cols, len(rows)), held
@@ -141,7 +147,7 @@ def meet(q: Block, c: Block, best: Best) -> None:
     floor = best.floor()
     first = min(len(c.ids), 8 * best.k)
     common = min(len(q.dims), len(c.dims))
-    if np.isneginf(floor).any() and first >= best.k and common * q.large * c.large < EXACT:
+    if np.isneginf(floor).any() and first >= best.k and q.in_doubles(c):
         # the first columns set a floor where there is none
         seen = q.dims[:common].T @ c.dims[:common, :first]
         seen[q.ids[:, None] == c.ids[None, :first]] = -np.inf

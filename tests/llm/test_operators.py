@@ -6,14 +6,14 @@ import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 
-from florilege.llm import components, exact_dedup, html_extract, line_dedup, mixing, packing, quality_lm, simhash_dedup, suffix_dedup, topk_search, toxicity
+from florilege.llm import common, components, exact_dedup, html_extract, line_dedup, mixing, packing, quality_lm, simhash_dedup, suffix_dedup, topk_search, toxicity
 from florilege.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -332,30 +332,69 @@ def test_top_k(spark, none):
     assert rows(topk_search.top_k(few)) == [(0, 1, 1, 64 * 128)]
 
 
+def block(ids, dims):
+    dims = np.asarray(dims, np.float64)
+    large = float(np.abs(dims).max(initial=0))
+    kind = np.int32 if large <= topk_search.SAFE else np.float64
+    return topk_search.Block(np.asarray(ids, np.int64).tobytes(), len(ids), dims.astype(kind).tobytes(), len(dims), large)
+
+
 def test_block_search_prunes_nothing_needed():
     r = np.random.default_rng(0)
     for scale in (3, 1 << 22):
         q, c = r.integers(-scale, scale, (64, 9)), r.integers(-scale, scale, (64, 700))
         c[:, 300:500] = c[:, :1]
-        qid, cid, s = topk_search.search_block(np.arange(9), q, np.arange(700), c, 20)
+        own, best = block(np.arange(9), q), topk_search.Best(9, 20)
+        for at in range(0, 700, 150):  # the bound is carried from block to block
+            topk_search.meet(own, block(np.arange(at, min(at + 150, 700)), c[:, at : at + 150]), best)
         for i in range(9):
             all_ = q[:, i].astype(object) @ c.astype(object)
             want = sorted((-all_[j], j) for j in range(700) if j != i)[:20]
-            own = qid == i
-            assert list(zip((-s[own]).tolist(), cid[own].tolist(), strict=True)) == [(int(a), b) for a, b in want]
+            assert list(zip((-best.score[i]).tolist(), best.id[i].tolist(), strict=True)) == [(int(a), b) for a, b in want]
+
+
+def test_survivors_are_compacted_and_whole():
+    r = np.random.default_rng(1)
+    q, c = r.integers(-90, 90, (70, 40)), r.integers(-90, 90, (70, 900))
+    c[:, 100:800] //= 20  # short rows leave early
+    scores = q.T @ c
+    floor = np.sort(scores, axis=1)[:, -20].astype(float)
+    rows, cols, found = topk_search.survivors(block(np.arange(40), q), block(np.arange(900), c), floor)
+    assert (scores[rows, cols] == found).all()
+    assert {(a, b) for a, b in zip(rows.tolist(), cols.tolist(), strict=True)} == {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(scores >= floor[:, None])), strict=True)}
+
+
+@pytest.mark.parametrize("group_bytes", [32 << 20, 100])
+def test_top_k_of_large_components_and_repeated_ids(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(topk_search, "GROUP_BYTES", group_bytes)
+    r = random.Random(8)
+    vectors = [(i, [r.uniform(-2, 2) for _ in range(5)]) for i in range(60)]
+    vectors += [(300, [1e30] * 20), (340, [-1e300, 1e300]), (301, [1e10] * 3), (302, [1e17] * 20), (400, [1e308]), (40, vectors[40][1])]
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors if i != 400]
+    want = []
+    for q, a in dict(good).items():
+        if q % 20 == 0:
+            score = lambda b, a=a: min(max(sum(x * y for x, y in zip(a, b, strict=False)), -(1 << 63)), (1 << 63) - 1)
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(sorted((-score(b), i) for i, b in good if i != q)[:20], 1)]
+    assert rows(topk_search.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))) == sorted(want, key=str)
 
 
 # 5
 
 
 def plain_repeats(found):
-    seen, out = {}, []
-    for d, t in sorted(found, key=lambda x: -1 if x[0] is None else x[0]):
+    least, out = {}, []
+    order = lambda d: -1 if d is None else d
+    for d, t in found:
         data = (t or "").encode()
-        gone = bytearray(len(data))
         for i in range(len(data) - 99):
             w = data[i : i + 100]
-            if seen.setdefault(w, (d, i)) != (d, i):
+            least[w] = min(least.get(w, (order(d), i)), (order(d), i))
+    for d, t in found:
+        data = (t or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - 99):
+            if least[data[i : i + 100]] < (order(d), i):
                 gone[i : i + 100] = b"\1" * 100
         spans = sum(g and not p for g, p in zip(gone, [0, *gone], strict=False))
         out.append((d, len(data), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(data, gone, strict=True) if not g)).hexdigest()))
@@ -377,29 +416,76 @@ def test_suffix_dedup_of_longer_texts_than_a_slice(spark, monkeypatch):
     r = random.Random(9)
     text = "".join(r.choice("abcd ") for _ in range(3000))
     found = [(1, text), (2, text[500:2900]), (3, "zz" + text[100:350] + "y" * 400), (4, text[:99] + text[200:1200])]
-    spans = list(suffix_dedup._anchored([pa.record_batch([[x[0] for x in found], [x[1] for x in found]], names=["doc_id", "text"])]))
+    spans = list(suffix_dedup._anchored([pa.record_batch([[x[0] for x in found], [x[0] for x in found], [x[1] for x in found]], names=["doc", "row", "text"])]))
     covered = sum(b.num_rows for b in spans)
     assert covered
     monkeypatch.undo()
     assert rows(suffix_dedup.remove_repeats(spark.createDataFrame(found, "doc_id long, text string"))) == plain_repeats(found)
 
 
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_suffix_dedup_of_rows_that_share_an_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+    r = random.Random(1)
+    some = lambda n, of="abcdefgh ": "".join(r.choice(of) for _ in range(n))
+    q, u, p, base = some(300), some(400), some(150), [some(250) for _ in range(12)]
+    mixed = []
+    for d in range(60):
+        t = some(r.randint(0, 120))
+        for _ in range(r.randint(0, 4)):
+            at = r.randint(0, 120)
+            t += r.choice(base)[at : at + r.randint(90, 250)] + some(r.randint(0, 30), "ab")
+        mixed.append((r.choice([d, d, d % 7, None]), t))
+    knots = "a"
+    for _ in range(9):
+        knots += "".join("ab"[c == "a"] for c in knots)
+    for found in (
+        [(1, q), (5, q), (5, u)],
+        [(5, p), (5, some(500) + p + some(410))],
+        [(None, q), (None, u + q), (None, q), (3, q + u), (3, u)],
+        [(1, knots), (2, knots[3:]), (2, "x" * 1000), (None, knots[100:300])],
+        mixed,
+    ):
+        assert rows(suffix_dedup.remove_repeats(spark.createDataFrame(found, "doc_id long, text string"))) == plain_repeats(found)
+
+
+def test_radix_finds_equal_windows():
+    r = random.Random(2)
+    data = np.array([r.randrange(2) for _ in range(400)] * 2 + [0] * 300, np.uint8)
+    at = np.arange(len(data) - suffix_dedup.DEPTH + 1)
+    group = at % 3
+    live, label = suffix_dedup.radix(group, at, data)
+    sets, want = defaultdict(set), defaultdict(set)
+    for i, n in zip(live.tolist(), label.tolist(), strict=True):
+        sets[n].add(i)
+    for i in at.tolist():
+        want[i % 3, data[i : i + suffix_dedup.DEPTH].tobytes()].add(i)
+    assert sorted(map(sorted, sets.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
 # 7
 
 
-def plain_lines(found):
-    seen, out = [], {}
-    for d, t in sorted(found, key=lambda x: -1 if x[0] is None else x[0]):
+def plain_lines(found, least=5, near=8):
+    order = lambda d: -1 if d is None else d
+    lines = [((order(d), n), line_dedup.words_of(x.encode())) for d, t in found for n, x in enumerate((t or "").split("\n"))]
+    lines = [x for x in lines if len(x[1]) >= least]
+    out = defaultdict(list)
+    for d, t in found:
         kept = []
         for n, line in enumerate((t or "").split("\n")):
-            w = line.encode().lower().split()
-            dup = len(w) >= 5 and any(p != (d, n) and (w == o or (len(w) >= 8 and len(o) >= 8 and edit(w, o) <= 1)) for p, o in seen)
-            if len(w) >= 5:
-                seen.append(((d, n), w))
-            if not dup:
+            w = line_dedup.words_of(line.encode())
+            if len(w) < least or not any(p < (order(d), n) and (w == o or (len(w) >= near and len(o) >= near and edit(w, o) <= 1)) for p, o in lines):
                 kept.append(line)
-        out.setdefault(d, []).append(None if t is None else "\n".join(kept))
-    return out
+        out[d].append(None if t is None else "\n".join(kept))
+    return {d: sorted(x, key=str) for d, x in out.items()}
+
+
+def lines_of(df, **parameters):
+    got = defaultdict(list)
+    for x in line_dedup.line_dedup(df, **parameters).collect():
+        got[x.doc_id].append(x.text)
+    return {d: sorted(x, key=str) for d, x in got.items()}
 
 
 def edit(a, b):
@@ -425,20 +511,29 @@ def test_line_dedup(spark, odd, wide, none, odd_rows):
             own.append(" ".join(w))
         found.append((d, "\n".join(own)))
     df = spark.createDataFrame(found, "doc_id long, text string")
-    got = defaultdict(list)
-    for x in line_dedup.line_dedup(df).collect():
-        got[x.doc_id].append(x.text)
-    assert dict(got) == plain_lines(found)
+    assert lines_of(df, least=5, near=8) == plain_lines(found) and lines_of(df) == plain_lines(found, 1, 5)
     short = [x[:2] for x in odd_rows if len(x[1] or "") < 10_000]
-    got = defaultdict(list)
-    for x in line_dedup.line_dedup(odd.where("text is null or length(text) < 10000")).collect():
-        got[x.doc_id].append(x.text)
-    assert dict(got) == plain_lines(short)
+    keep = odd.where("text is null or length(text) < 10000")
+    assert lines_of(keep, least=5, near=8) == plain_lines(short) and lines_of(keep) == plain_lines(short, 1, 5)
     out = line_dedup.drop_lines(wide)
     assert out.columns == wide.columns and out.count() == len(odd_rows)
     assert line_dedup.line_dedup(none).collect() == []
 
 
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_line_dedup_of_rows_that_share_an_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)  # at 2, shared keys are dealt over salts
+    own, line = "own line that nobody else has at all here", "this line stands in both of the documents here"
+    r = random.Random(7)
+    mixed = [(r.choice([d, d % 5, None]), "\n".join(" ".join(r.choice("ab") for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 5)))) for d in range(25)]
+    for found in (
+        [(1, line), (5, own), (5, line)],
+        [(None, "x\ny\nz z z z z z"), (None, "q"), (None, None), (None, "x\nz z z z z y\nw"), (2, "q\nx")],
+        mixed,
+    ):
+        assert lines_of(spark.createDataFrame(found, "doc_id long, text string")) == plain_lines(found, 1, 5)
+
+
 def test_halves_meet():
     r = random.Random(6)
     for _ in range(500):
@@ -468,7 +563,7 @@ def test_line_dedup_of_short_lines(spark):
         (3, "own\nwe met at\nnext pages\n今日はとても天気が良いです"),
     ]
     df = spark.createDataFrame(found, "doc_id long, text string")
-    got = {x.doc_id: x.text for x in line_dedup.line_dedup(df, **line_dedup.WHOLE).collect()}
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(df).collect()}
     assert got == {1: found[0][1], 2: "\nown", 3: "we met at\nnext pages"}
 
 
@@ -500,12 +595,95 @@ def test_quality(spark, odd, none, documents, data):
     assert some.count() == odd.count() and all(r.kept for r in some.collect() if not r.n_chars)
 
 
-def test_kneser_ney_probabilities_add_up(spark):
-    df = spark.createDataFrame([(1, "the cat sat on the mat. THE CAT 12!"), (2, "a dog, a cat; another")], "doc_id long, text string")
-    p = np.exp(quality_lm.dense(quality_lm.probabilities(quality_lm.counts(df)))).reshape(-1, quality_lm.ALPHABET)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
-    code, starts = quality_lm.grams(["ab", None, "c"])
-    assert list(starts) == [0, 2, 2] and len(code) == 3 and code[2] == 3
+def plain_model(texts, order=quality_lm.ORDER):
+    """p(gram) of interpolated modified Kneser-Ney by its definition, over tuples of classes."""
+    seen = [None] * (order + 1)
+    seen[order] = Counter()
+    for t in texts:
+        own = tuple(quality_lm.classes(" " * (order - 1) + (t or "")).tolist())
+        seen[order].update(own[i : i + order] for i in range(len(t or "")))
+    for n in range(order - 1, 0, -1):
+        seen[n] = Counter(g[1:] for g in seen[n + 1])
+    cut = []
+    for n in range(1, order + 1):
+        of = Counter(seen[n].values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5
+        cut.append([0] + [min(i, max(0.0, i - (i + 1) * y * of[i + 1] / of[i])) if of[i] else 0.5 * i for i in (1, 2, 3)])
+    total, weight = Counter(), Counter()
+    for n in range(1, order + 1):
+        for g, c in seen[n].items():
+            total[n, g[:-1]] += c
+            weight[n, g[:-1]] += cut[n - 1][min(c, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / quality_lm.ALPHABET
+        n, before = len(g), g[:-1]
+        if not total[n, before]:
+            return p(g[1:])
+        c = seen[n].get(g, 0)
+        return (c - cut[n - 1][min(c, 3)]) / total[n, before] + weight[n, before] / total[n, before] * p(g[1:])
+
+    return p
+
+
+QUALITY = [
+    (1, "en", "the cat sat on the mat. THE CAT 12!"), (2, "en", "a dog, a cat; another cat sat"), (3, "el", "η γάτα κάθεται στο χαλί"), (4, "el", "ο σκύλος και η γάτα"), (5, "ru", "кошка сидит на ковре"), (6, "zh", "猫坐在垫子上，狗在外面。"),
+    (7, None, "the dog sat on a mat"), (8, "en", None), (9, "en", ""), (9, "en", "qzx qzx 😀"), (None, "ru", "кошка"), (10, "en", "the cat sat on the mat. THE CAT 12!"), (11, "ru", "собака и кошка сидят"), (12, "zh", "猫" * 40),
+]
+
+
+@pytest.mark.parametrize("rows_at_once,piece", [(4_000_000, 1 << 20), (0, 1 << 20), (4_000_000, 7)])
+def test_perplexity_against_the_definition(spark, monkeypatch, rows_at_once, piece):
+    monkeypatch.setattr(quality_lm, "TABLE_ROWS", rows_at_once)
+    monkeypatch.setattr(quality_lm, "LEAST_TRUSTED", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    if piece < 100:  # workers read the module anew, so pieces are tested here
+        texts = [t for *_, t in QUALITY]
+        whole = [np.concatenate(x) for x in zip(*quality_lm.grams(texts), strict=True)]
+        monkeypatch.setattr(quality_lm, "PIECE", piece)
+        assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*quality_lm.grams(texts), strict=True), whole, strict=True))
+        return
+    docs = spark.createDataFrame([(*x, 1, 2.0) for x in QUALITY], "doc_id long, lang string, text string, bits int, perplexity double")
+    labels = [(i, int(i not in (9, 12))) for i in range(1, 13)] + [(None, 1), (99, 1), (12, None)]
+    found = quality_lm.score(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    back = {r.text: r.held for r in docs.selectExpr("text", f"pmod(xxhash64(text), {quality_lm.HELD}) = 0 as held").collect()}
+    good = {i for i, q in labels if q == 1 and i}
+    p = plain_model([t for i, _, t in QUALITY if i in good and not back[t]])
+    memo = {}
+
+    def bits(t):
+        if t not in memo:
+            own = tuple(quality_lm.classes("    " + (t or "")).tolist())
+            memo[t] = -sum(math.log(p(own[i : i + 5])) for i in range(len(t or "")))
+        return memo[t]
+
+    held = [(lang, t) for i, lang, t in QUALITY if i in good and back[t]]
+    assert held
+    mean = lambda xs: sum(bits(t) for _, t in xs) / max(1, sum(len(t or "") for _, t in xs))
+    base = {lang: mean([x for x in held if x[0] == lang]) for lang, _ in held}
+    score = lambda lang, t: math.exp((bits(t) + quality_lm.PRIOR * base.get(lang, mean(held))) / (len(t or "") + quality_lm.PRIOR))
+    cut = lambda xs: sorted(xs)[math.ceil(quality_lm.QUANTILE * len(xs)) - 1]
+    limit = {lang: cut([score(*x) for x in held if x[0] == lang]) for lang in base}
+    every = cut([score(*x) for x in held])
+    want = sorted((str(i), str(lang), len(t or ""), score(lang, t), quality_lm.MARGIN * limit.get(lang, every)) for i, lang, t in QUALITY)
+    got = sorted((str(r.doc_id), str(r.lang), r.n_chars, r.perplexity, r.threshold) for r in found)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3:] for x in got], [x[3:] for x in want])
+    assert all(r.kept == (r.perplexity <= r.threshold) for r in found)
+
+
+def test_quality_of_rows_that_never_train(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    found = quality_lm.score(docs, labels.where("doc_id % 5 <> 0")).join(labels.where("doc_id % 5 = 0"), "doc_id").collect()
+    assert np.mean([r.kept for r in found if r.quality == 1]) > 0.97 and np.mean([r.kept for r in found if r.quality == 0]) < 0.2
+
+
+def test_kneser_ney_probabilities_add_up():
+    p = plain_model(["the cat sat on the mat. THE CAT 12!", "a dog, a cat; another"])
+    for before in ("the ", "cat ", "qqqq"):
+        own = tuple(quality_lm.classes(before).tolist())
+        assert math.isclose(sum(p((*own, c)) for c in range(quality_lm.ALPHABET)), 1)
 
 
 # 9
