@@ -5,16 +5,19 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import re
+import signal
 import subprocess
 import sys
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.dims import VERDICTS, Config, severity
 from florilege.functions import frontmatter as FM
+from florilege.functions import globs as G
 from florilege.functions import text as T
 from florilege.operators import conflicts as C
 from florilege.operators import freshness as FR
@@ -38,48 +41,116 @@ class Corpus:
     commits: DataFrame
     commit_files: DataFrame
     reports: DataFrame
+    is_repo: bool = True
+    clock: Column | None = None
 
 
 def load(spark: SparkSession, root: str, now: datetime | None = None) -> Corpus:
     root = CF.repo_root(root)
-    config = CF.load(root)
+    config, repo = CF.load(root), H.is_repo(root)
     docs = FS.read(spark, root, config)
-    files, (commits, commit_files) = H.tracked_files(spark, root), H.history(spark, root)
+    globs = FS.doc_globs(docs)
     clock = F.lit((now or datetime.now(UTC)).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
-    reports = FR.assess(docs, FS.doc_globs(docs), files, commits, commit_files, clock, config)
-    reports = reports.withColumn("reason", FR.reason(reports, clock, config))
-    reports = reports.withColumn("hint", FR.fix_hint(reports)).persist()
-    return Corpus(root, config, docs, files, commits, commit_files, reports)
+    if repo:
+        files, (commits, commit_files) = H.tracked_files(spark, root), H.history(spark, root)
+        # plain paths of one repository's claims that lie on disk, tracked or not
+        plain = [r.glob for r in globs.select("glob").distinct().collect() if not G.has_magic(r.glob)]
+        here = sorted({p for p in map(G.normalize_path, plain) if os.path.exists(os.path.join(root, p))})
+        present = spark.createDataFrame([(p,) for p in here], "path string")
+        reports = FR.assess(docs, globs, files, commits, commit_files, clock, config, present)
+        reports = reports.withColumn("reason", FR.reason(reports, clock, config))
+    else:
+        files, commits, commit_files = (spark.createDataFrame([], ddl) for ddl in ("path string", H.COMMITS, H.FILES))
+        reports = FR.without_history(docs, globs).withColumn("reason", F.lit("unverified: there is no version control here to check it against"))
+    corpus = Corpus(root, config, docs, files, commits, commit_files, reports, repo, clock)
+    if repo:
+        reports = FR.with_moves(reports, relocations(corpus))
+    corpus.reports = reports.withColumn("hint", FR.fix_hint(reports)).persist()
+    return corpus
+
 
+def verify_all(corpus: Corpus, timeout: int = 30) -> DataFrame:
+    """(path, passed, code, output) of every document that names a command; each runs on this machine, one after the other."""
+    found = [(r.path, verify(corpus, r.path, timeout)) for r in corpus.docs.where("coalesce(trim(verify), '') <> ''").select("path").orderBy("path").collect()]
+    return corpus.docs.sparkSession.createDataFrame([(p, v["passed"], v["code"], v["output"]) for p, v in found], "path string, passed boolean, code int, output string")
 
-def check(corpus: Corpus, fail_on: list[str] | None = None) -> tuple[DataFrame, int]:
-    """Reports worst first, and the exit code: 1 where a verdict fails the build, 2 where no named verdict exists."""
+
+def check(corpus: Corpus, fail_on: list[str] | None = None, verified: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Reports worst first, and the exit code: 1 where a verdict or a command fails the build, 2 where no named verdict exists."""
     known = [v for v in (fail_on or []) if v in VERDICTS]
     if fail_on and not known:
         return corpus.reports, 2
-    failed = RP.gate(corpus.reports, corpus.config, known or None)
+    failed = RP.failing(corpus.reports, verified, corpus.config, known or None)
     return corpus.reports.orderBy(severity(F.col("freshness")).desc(), "score", "path"), int(failed.limit(1).count() > 0)
 
 
+def _rows(df: DataFrame) -> list[dict]:
+    return [json.loads(x) for x in df.toJSON().toLocalIterator()]
+
+
+def _stamp() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def _counts(reports: DataFrame) -> dict[str, int]:
+    return RP.counts_map(reports).first().counts
+
+
+def check_report(corpus: Corpus, fail_on: list[str] | None = None, verified: DataFrame | None = None) -> dict:
+    """All that `check` has to say, as one value."""
+    rows, code = check(corpus, fail_on, verified)
+    known = [v for v in (fail_on or []) if v in VERDICTS]
+    warnings = [*corpus.config.warnings, *(f"no verdict {v}" for v in fail_on or [] if v not in VERDICTS)]
+    if verified is not None:
+        rows = rows.join(verified.select("path", F.struct("passed", "code", "output").alias("verified")), "path", "left").orderBy(severity(F.col("freshness")).desc(), "score", "path")
+    failed = [] if code == 2 else [r.path for r in RP.failing(corpus.reports, verified, corpus.config, known or None).select("path").orderBy("path").collect()]
+    drift = F.when(F.size("describes") > 0, F.struct("doc_commit", "code_commit", "drift_days", "commits_since", "matched", "missing", F.slice("changed", 1, FR.MOST_FILES).alias("changed")))
+    out = rows.select(
+        "path", "title", "kind", "id", "owner", "describes", F.col("token_estimate").alias("tokens"), "freshness", "score", F.array("reason").alias("reasons"), drift.alias("drift"), *(["verified"] if verified is not None else []),
+        "superseded_by", F.when(F.col("freshness") != "fresh", F.col("hint")).alias("hint"),
+    )
+    found = _rows(out)
+    return {"root": corpus.root, "generated_at": _stamp(), "total": len(found), "counts": _counts(corpus.reports), "fail_on": known or list(corpus.config.fail_on), "failed": failed, "exit_code": code, "warnings": warnings, "docs": found}
+
+
+def map_report(corpus: Corpus, by: str = "kind") -> dict:
+    """Totals, and groups with their entries: verdicts worst first, other groups by their tokens."""
+    groups = {r["key"]: {"key": r["key"], "docs": r["docs"], "tokens": r["tokens"], "entries": []} for r in _rows(RP.map_by(corpus.reports, by))}
+    entries = RP.map_entries(corpus.reports, by).join(corpus.reports.select("path", "title", "id", "kind", "describes"), "path").orderBy("key", "place")
+    for r in _rows(entries):
+        groups[r.pop("key")]["entries"].append(r)
+    order = (lambda g: -VERDICTS[g["key"]][0]) if by == "freshness" else (lambda g: (-g["tokens"], g["key"]))
+    counts = _counts(corpus.reports)
+    docs = sum(counts.values())
+    totals = {"docs": docs, "tokens": sum(g["tokens"] for g in groups.values()), "unverified": counts["unverified"], "unverified_pct": int(100 * counts["unverified"] / docs + 0.5) if docs else 0, "counts": counts}
+    return {"root": corpus.root, "generated_at": _stamp(), "grouped_by": by, "totals": totals, "groups": sorted(groups.values(), key=order)}
+
+
 def pack(corpus: Corpus, task: str, budget: int | None = None, include_stale: bool = False, kinds: list[str] | None = None) -> DataFrame:
-    """Every candidate with its place; the row that was cut carries the text that fits."""
-    packed = R.pack(corpus.reports, task, budget or corpus.config.default_budget, include_stale, kinds)
+    """Every candidate with its place; the row that was cut carries the text that fits, rows left out the reason."""
+    budget = budget or corpus.config.default_budget
+    packed = R.pack(corpus.reports, task, budget, include_stale, kinds)
     content = F.when(F.col("place") == "entry", F.col("body")).when(F.col("place") == "cut", FM.shorten(F.when(F.col("place") == "cut", F.col("body")), F.col("left")))
     packed = packed.withColumn("content", content)
-    return packed.withColumn("place", F.when((F.col("place") == "cut") & F.col("content").isNull(), "omitted").otherwise(F.col("place")))
+    packed = packed.withColumn("place", F.when((F.col("place") == "cut") & F.col("content").isNull(), "omitted").otherwise(F.col("place")))
+    return packed.withColumn("why", R.left_out(packed, budget))
 
 
-def pack_markdown(packed: DataFrame, task: str) -> str:
-    """A pack as one markdown text: the entries in order, then all that was left out and why."""
-    rows = packed.select("path", "title", "freshness", "relevance", "rank", "score", "pin", "place", F.coalesce("content", F.lit("")).alias("content"), "cost", "left").collect()
-    order = sorted((r for r in rows if r.place in ("entry", "cut")), key=lambda r: (not r.pin, -r.rank, -r.score, r.path))
-    out = [f"# Context: {task}", ""]
+def pack_markdown(packed: DataFrame, task: str, budget: int | None = None) -> str:
+    """A pack as one markdown text: where it is from, contents, the entries in order, then all that was left out and why."""
+    rows = packed.select("path", "title", "freshness", "relevance", "rank", "score", "pin", "place", F.coalesce("content", F.lit("")).alias("content"), "cost", "why").toLocalIterator()
+    rows = sorted(rows, key=lambda r: (not r.pin, -r.rank, -r.score, r.path))
+    order = [r for r in rows if r.place in ("entry", "cut")]
+    rest = sorted((r for r in rows if r.place in ("omitted", "excluded")), key=lambda r: (r.place, r.path))
+    used = sum(FM.estimate(r.content) if r.place == "cut" else r.cost for r in order)
+    room = f" of {budget}" if budget else ""
+    withheld = sum(r.place == "excluded" for r in rest)
+    out = [f"# Context: {task}", "", f"> Made {_stamp()}: {len(order)} documents, about {used}{room} tokens; {len(rest) - withheld} did not fit, {withheld} withheld as out of date.", ""]
+    out += ["## Contents", "", *(f"- `{r.path}`: {r.title} ({r.freshness}, relevance {r.relevance:.2f})" for r in order), ""] if order else []
     for r in order:
-        body = FM._demoted([r.content], [2])[0]
-        out += [f"## {r.title}", f"<!-- {r.path} | {r.freshness} | relevance {r.relevance:.2f}{' | cut' if r.place == 'cut' else ''} -->", "", body, ""]
-    rest = sorted((r.place, r.path, r.freshness, r.cost, r.left) for r in rows if r.place in ("omitted", "excluded"))
+        out += [f"## {r.title}", f"<!-- {r.path} | {r.freshness} | relevance {r.relevance:.2f}{' | cut' if r.place == 'cut' else ''} -->", "", FM._demoted([r.content], [2])[0], ""]
     if rest:
-        out += ["## Left out", ""] + [f"- {path}: {'excluded as ' + fresh if place == 'excluded' else f'needs about {cost} tokens, {left} were left'}" for place, path, fresh, cost, left in rest]
+        out += ["## Left out", ""] + [f"- {r.path}: {r.why}" for r in rest]
     return "\n".join(out) + "\n"
 
 
@@ -99,6 +170,10 @@ def init(corpus: Corpus, write: bool = False) -> list[dict]:
     found = [r.asDict() for r in propose(corpus).orderBy("path").collect()]
     if write and CF.is_home(corpus.root):
         raise PermissionError("refusing to rewrite documents of a home folder")
+    if write and len(found) > CF.MOST_REWRITTEN and not H.is_repo(corpus.root):
+        raise PermissionError(f"refusing to rewrite {len(found)} documents outside a repository")
+    if write:
+        CF.write_starter(corpus.root)
     for p in found if write else []:
         at = CF.safe_path(corpus.root, p["path"])
         with open(at, encoding="utf-8", newline="") as f:
@@ -109,87 +184,166 @@ def init(corpus: Corpus, write: bool = False) -> list[dict]:
     return found
 
 
+def handoff_docs(corpus: Corpus, task: str, changed: list[str], most: int = 20) -> DataFrame:
+    """The documents that a handoff names, in order, with what is known of them."""
+    side = corpus.files.sparkSession.createDataFrame([(p,) for p in changed], "path string")
+    covers = RP.covered(FS.doc_globs(corpus.docs), side)
+    named = RP.handoff_tiers(covers, corpus.reports, R.search(corpus.reports, task, 5), most)
+    return named.join(corpus.reports.select("path", "title", "freshness", "score", "reason"), "path").orderBy("place")
+
+
 def handoff(corpus: Corpus, task: str, message: str = "", most: int = 20) -> tuple[str, DataFrame]:
     """A handoff note, and the documents it names: those that cover changed files, then pinned, then relevant ones."""
     state = H.working_state(corpus.root)
-    changed = [p for _, p in state["changed"]]
-    side = corpus.files.sparkSession.createDataFrame([(p,) for p in changed], "path string")
-    covers = RP.covered(FS.doc_globs(corpus.docs), side)
-    relevant = R.search(corpus.reports, task, 5).select("path", F.lit(2).alias("tier"), F.array().cast("array<string>").alias("files"))
-    pinned = corpus.reports.where("pin").select("path", F.lit(1).alias("tier"), F.array().cast("array<string>").alias("files"))
-    tiers = covers.select("path", F.lit(0).alias("tier"), "files").unionByName(pinned).unionByName(relevant)
-    named = tiers.groupBy("path").agg(F.min("tier").alias("tier"), F.max_by("files", F.size("files")).alias("files"))
-    docs = named.join(corpus.reports.select("path", "title", "freshness", "score"), "path").orderBy("tier", F.desc(F.size("files")), F.desc("score"), "path").limit(most)
-    lines = [f"# Handoff: {task}", "", *(f"- {x.strip()}" for x in message.split("\n") if x.strip()), "", f"Branch {state['branch']} at {state['head']}", "", "## Changed", ""]
-    lines += [f"- {s} {p}" for s, p in state["changed"][:most]] + ["", "## Read first", ""]
-    lines += [f"- {r.path} ({r.freshness}): {', '.join(r.files) or r.title}" for r in docs.collect()]
-    return "\n".join(lines) + "\n", docs
+    changed = list(dict.fromkeys(p for _, p in state["changed"]))
+    docs = handoff_docs(corpus, task, changed, most)
+    rows = docs.collect()  # `most` at most
+    spark = corpus.docs.sparkSession
+    words = {s: w for s, w in spark.createDataFrame([(s,) for s, _ in state["changed"]] or [("M",)], "s string").select("s", RP.status_words(F.col("s"))).collect()}
+    note = [r[0] for r in spark.range(1).select(F.explode(RP.bullets(F.lit(message)))).collect()]
+    counts = {k: n for k, n in _counts(corpus.reports).items() if n}
+    why = lambda r: f"covers {', '.join(r.files[:3])}{f' and {len(r.files) - 3} more' if len(r.files) > 3 else ''}" if r.tier == 0 else "pinned" if r.tier == 1 else "answers to the task"
+    out = [f"# Handoff: {task or state['branch'] or 'work in progress'}", "", "## Task", "", task or "Not given; see the changes below.", "", "## State", ""]
+    if state["is_repo"]:
+        out += [f"- branch {state['branch']} at {state['head']}", f"- {len(state['changed'])} tracked files changed, {len(state['untracked'])} untracked"]
+        out += ["", "## Changed", "", *(f"- `{p}`: {words[s]}" for s, p in state["changed"]), *(f"- `{p}`: untracked" for p in state["untracked"][:30])]
+        out += [f"- and {len(state['untracked']) - 30} more untracked"] if len(state["untracked"]) > 30 else [] if changed or state["untracked"] else ["- nothing"]
+        out += ["", "## Commits", "", *(f"- {c['sha'][:7]} {c['subject']} ({c['author']}, {c['date'][:10]})" for c in state["commits"])]
+    else:
+        out += ["- no version control"]
+    out += ["", "## Read first", "", *(f"- {r.path} ({r.freshness}): {why(r)}" for r in rows)] if rows else ["", "## Read first", "", "- no document covers these files"]
+    suspect = [r for r in rows if r.freshness not in ("fresh", "unverified")]
+    out += ["", "## Check against the code", "", *(f"- {r.path}: {r.reason}" for r in suspect)] if suspect else []
+    out += ["", f"All documents: {sum(counts.values())} ({', '.join(f'{n} {k}' for k, n in counts.items()) or 'none'}).", "", "## Notes", "", *([f"- {x}" for x in note] or ["- none"])]
+    fresh = next((r.path for r in rows if r.freshness == "fresh"), None)
+    out += ["", "## First steps", "", "1. Read the changes above.", f"2. Read {fresh}." if fresh else "2. Read the code itself; no fresh document covers it.", "3. Run check for what the documents still owe."]
+    return "\n".join(out) + "\n", docs
+
+
+HANDOFF = "docs/handoff.md"
+
+
+def handoff_note(corpus: Corpus, task: str, message: str = "", to: str | None = None) -> str:
+    """A handoff note with front matter that lets it expire; written below the root where `to` names a path."""
+    state = H.working_state(corpus.root)
+    changed = list(dict.fromkeys(p for _, p in state["changed"] if p != to))
+    slug = "-".join(re.findall("[a-z0-9]+", (state["branch"] or "none").lower()))
+    head = {"spec": FM.SPEC_VERSION, "id": f"handoff-{slug}-{_stamp()[:10]}", "kind": "handoff", "ttlDays": 7, "tags": ["handoff"]} | ({"describes": changed[:20]} if changed else {})
+    text = FM.write(head, handoff(corpus, task, message)[0])
+    if to:
+        at = CF.safe_path(corpus.root, to)
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(at, "w", encoding="utf-8") as f:
+            f.write(text)
+    return text
 
 
 def relocations(corpus: Corpus) -> DataFrame:
-    """Where the files of dead globs went, from the parent of the newest commit that deleted any of them."""
+    """Where the files of dead globs went, from the parent of the newest commit that deleted any of them, with that commit as `left_in`."""
     spark = corpus.docs.sparkSession
-    dead = RL.globjoin.missing(FS.doc_globs(corpus.docs), corpus.files).select("glob").distinct()
+    globs = FS.doc_globs(corpus.docs)
+    dead = RL.globjoin.missing(globs, corpus.files).select("glob").distinct()
     gone = corpus.commit_files.where("change_type = 'D'")
     hits = RL.globjoin.match(dead, gone).join(gone, "path").join(corpus.commits, "sha")
-    last = hits.groupBy("glob").agg(F.max_by("sha", "commit_ts").alias("sha")).collect()  # a row for each dead glob
-    out = None
-    for sha in sorted({r.sha for r in last}):
-        own = spark.createDataFrame([(r.glob,) for r in last if r.sha == sha], "glob string")
-        one = RL.relocations(own, H.tree(spark, corpus.root, f"{sha}^"), H.renames(spark, corpus.root, f"{sha}^"), corpus.files)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else RL.relocations(dead.limit(0), corpus.files, spark.createDataFrame([], "old_path string, new_path string, similarity int"), corpus.files)
+    left = hits.groupBy("glob").agg(F.max(F.struct(F.col("commit_ts").alias("ts"), "sha", "subject")).alias("left_in"))
+    last = left.select("glob", "left_in.sha").collect()  # a row for each dead glob of one repository
+    bases = sorted({r.sha for r in last})
+    if not bases:
+        none = spark.createDataFrame([], "glob string"), corpus.files.limit(0), spark.createDataFrame([], "old_path string, new_path string, similarity int"), corpus.files.limit(0)
+        return RL.relocations(*none).withColumn("left_in", F.lit(None).cast("struct<ts:timestamp,sha:string,subject:string>"))
+    # one plan for all: the trees before each commit side by side, told apart by it
+    mark = lambda df, sha: df.select(*[F.concat(F.lit(f"{sha}:"), c).alias(c) if c in ("path", "old_path") else F.col(c) for c in df.columns])
+    old, moved = None, None
+    for sha in bases:
+        one, two = mark(H.tree(spark, corpus.root, f"{sha}^"), sha), mark(H.renames(spark, corpus.root, f"{sha}^"), sha)
+        old, moved = (one, two) if old is None else (old.unionAll(one), moved.unionAll(two))
+    own = spark.createDataFrame([(r.glob, r.sha) for r in last], "glob string, sha string")
+    found = RL.relocations_at(own, old, moved, corpus.files)
+    return found.join(left, "glob", "left")
 
 
 def doctor(corpus: Corpus) -> DataFrame:
-    return RP.findings(RP.doctor_counts(corpus.reports), C.duplicate_ids(corpus.docs), C.all_conflicts(corpus.docs))
+    """Findings in order, blockers first."""
+    configured = any(os.path.exists(os.path.join(corpus.root, f)) for f in CF.FILES)
+    moves = relocations(corpus) if corpus.is_repo else None
+    counts = RP.populations(corpus.reports, moves)
+    commits = not corpus.is_repo or H.has_commits(corpus.root)
+    return RP.doctor_report(counts, C.duplicate_ids(corpus.docs), C.all_conflicts(corpus.docs), corpus.is_repo, commits, configured).orderBy("place")
 
 
 def verify(corpus: Corpus, path: str, timeout: int = 30) -> dict | None:
-    """Runs the command that a document names, on this machine only; None where it names none."""
+    """Runs the command that a document names, on this machine only; None where it names none. Past the timeout all it started is killed."""
     row = corpus.docs.where(F.col("path") == path).select("verify").first()
     if row is None or not (row.verify or "").strip():
         return None
     try:
-        done = subprocess.run(row.verify, shell=True, cwd=corpus.root, capture_output=True, timeout=timeout, text=True, errors="replace")
-        return {"passed": done.returncode == 0, "code": done.returncode, "output": (done.stdout + done.stderr)[:4096]}
-    except (OSError, subprocess.SubprocessError) as e:
+        running = subprocess.Popen(row.verify, shell=True, cwd=corpus.root, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, errors="replace", start_new_session=True)
+    except OSError as e:
         return {"passed": False, "code": -1, "output": str(e)[:4096]}
+    try:
+        out, err = running.communicate(timeout=timeout)
+    except subprocess.TimeoutExpired:
+        os.killpg(running.pid, signal.SIGKILL)
+        out, err = running.communicate()
+        return {"passed": False, "code": -1, "output": f"{out}{err}\nstopped after {timeout} s".strip()[:4096]}
+    code = running.returncode if running.returncode >= 0 else -1
+    return {"passed": code == 0, "code": code, "output": (out + err)[:4096]}
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="florilege")
-    parser.add_argument("command", choices=["check", "map", "pack", "search", "init", "handoff", "doctor", "conflicts", "relocations"])
+    parser.add_argument("command", choices=["check", "map", "pack", "search", "init", "handoff", "doctor", "conflicts", "relocations", "verify"])
     parser.add_argument("task", nargs="*")
     parser.add_argument("--root", default=os.getcwd())
     parser.add_argument("--by", choices=["kind", "freshness", "dir"], default="kind")
     parser.add_argument("--budget", type=int)
     parser.add_argument("--include-stale", action="store_true")
     parser.add_argument("--fail-on", type=lambda s: s.split(","))
+    parser.add_argument("--verify", action="store_true")
+    parser.add_argument("--verify-timeout", type=int, default=30)
+    parser.add_argument("--message", default="")
+    parser.add_argument("--out")
     parser.add_argument("--yes", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     corpus, task, code = load(spark, args.root), " ".join(args.task), 0
-    show = lambda df: print(json.dumps([json.loads(x) for x in df.toJSON().collect()], indent=2, ensure_ascii=False))
+
+    def show(value):
+        text = value if isinstance(value, str) else json.dumps(_rows(value) if isinstance(value, DataFrame) else value, indent=2, ensure_ascii=False)
+        if args.out:
+            with open(args.out, "w", encoding="utf-8") as f:
+                f.write(text)
+        else:
+            print(text)
+
     if args.command == "check":
-        reports, code = check(corpus, args.fail_on)
-        show(reports.select("path", "freshness", "score", "reason", "hint"))
+        report = check_report(corpus, args.fail_on, verify_all(corpus, args.verify_timeout) if args.verify else None)
+        code = report["exit_code"]
+        show(report)
     elif args.command == "map":
-        show(RP.map_by(corpus.reports, args.by).orderBy(F.desc("tokens"), "key"))
+        show(map_report(corpus, args.by))
     elif args.command == "pack":
-        print(pack_markdown(pack(corpus, task, args.budget, args.include_stale), task))
+        budget = args.budget or corpus.config.default_budget
+        show(pack_markdown(pack(corpus, task, budget, args.include_stale), task, budget))
     elif args.command == "search":
         show(R.search(corpus.reports, task).select("path", "relevance", "freshness", T.snippet(F.col("body"), task).alias("snippet")))
     elif args.command == "init":
-        print(json.dumps(init(corpus, args.yes), indent=2))
+        show(init(corpus, args.yes))
     elif args.command == "handoff":
-        print(handoff(corpus, task)[0])
+        show(handoff_note(corpus, task, args.message))
     elif args.command == "doctor":
-        show(doctor(corpus))
+        found = doctor(corpus)
+        code = int(found.where("severity = 'blocker'").limit(1).count() > 0)
+        show(found)
     elif args.command == "conflicts":
         show(C.ordered(C.all_conflicts(corpus.docs)))
+    elif args.command == "verify":
+        found = verify_all(corpus, args.verify_timeout)
+        code = int(found.where("not passed").limit(1).count() > 0)
+        show(found)
     else:
-        show(relocations(corpus))
+        moves = relocations(corpus)
+        show(moves.withColumn("reason", FR.relocation_reason(moves, corpus.clock)))
     return code
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from florilege.functions import text as T
 
-HISTORICAL = r"(?i)(^|/)(archive|archived|legacy|old|deprecated|history)(/|$)|changelog"
 THRESHOLD = 0.8
-# What the lines of a document assert.
+# Which paths are history, and what the lines of a document assert.
+HISTORICAL = r"(?i)(^|/)(archive|archived|legacy|old|deprecated|history)(/|$)|changelog"
 ENV = r"^[\s>$#*+-]*`{0,3}\s*(?:export\s+|set\s+|ENV\s+)?([A-Z][A-Z0-9_]{2,40})\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s`#]+)\s*`{0,3}\s*\z"
 COMMAND = r"(?i)\b(npm|pnpm|yarn|bun)\s+(?:(run)\s+)?([a-z][a-z0-9:_-]{1,30})\b"
 PORT = r"\b(?:localhost|127\.0\.0\.1|0\.0\.0\.0):(\d{2,5})\b"
@@ -64,6 +64,14 @@ def minhash_sketch(text: Column, size: int = 64) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.transform(T.shingles(text), T.fnv1a))), 1, size)
 
 
+def sketch_similarity(a: Column, b: Column) -> Column:
+    """Jaccard estimate of two sketches: of the least values of their union, as many as the smaller one has, the share that both hold."""
+    k = F.least(F.size(a), F.size(b))
+    union = F.slice(F.array_sort(F.array_union(a, b)), F.lit(1), F.greatest(k, F.lit(0)))
+    both = F.size(F.filter(union, lambda h: F.array_contains(a, h) & F.array_contains(b, h)))
+    return F.when(k <= 0, 0.0).otherwise(both / k)
+
+
 def unquoted(raw: Column) -> Column:
     return T.trimmed(F.regexp_replace(raw, r"^[\"'`]|[\"'`]\z", ""))
 

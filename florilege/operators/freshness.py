@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from florilege.dims import VERDICTS, Config, severity, verdict_of
+from florilege.dims import VERDICTS, Config, lookup, severity, verdict_of
 from florilege.functions import text as T
 from florilege.operators import globjoin
 
@@ -78,15 +78,32 @@ def superseded(docs: DataFrame) -> DataFrame:
     return claims.groupBy("id").agg(F.array_sort(F.collect_list("by")).alias("superseded_by"))
 
 
-def assess(docs: DataFrame, doc_globs: DataFrame, files: DataFrame, commits: DataFrame, commit_files: DataFrame, now: Column, config: Config | None = None) -> DataFrame:
+def without_history(docs: DataFrame, doc_globs: DataFrame) -> DataFrame:
+    """What `assess` gives where there is no version control: every document unverified at 50, whatever it claims."""
+    claims = doc_globs.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "glob"))), lambda g: g["glob"]).alias("describes"))
+    none, commit, number = F.array().cast("array<string>"), F.lit(None).cast("struct<ts:timestamp,sha:string,subject:string>"), F.lit(0)
+    empty = {"doc_commit": commit, "code_commit": commit, "missing": none, "matched": number, "superseded_by": F.lit(None).cast("array<string>"), "age_days": number, "drift_days": number, "commits_since": number, "changed": none}
+    level, score = VERDICTS["unverified"][0], VERDICTS["unverified"][2][1]
+    fired = F.array(F.struct(F.lit(level).alias("level"), F.lit(float(score)).alias("score")))
+    found = docs.join(claims, "path", "left").withColumns({"describes": F.coalesce("describes", none), **empty})
+    return found.withColumns({"fired": fired, "freshness": F.lit("unverified"), "score": F.lit(score)})
+
+
+def assess(
+    docs: DataFrame, doc_globs: DataFrame, files: DataFrame, commits: DataFrame, commit_files: DataFrame, now: Column, config: Config | None = None, present: DataFrame | None = None
+) -> DataFrame:
     """docs with freshness, score, and the evidence: doc and code commits, drift_days, commits_since, changed, matched, missing, superseded_by, fired.
 
     docs(path, id, expires timestamp, ttl_days, supersedes array<string>, ...); doc_globs(path, ord,
     glob). The worst verdict that applies names the result, the lowest score of all stands. Evidence
-    is gathered per document in three aggregates over the history of described files only.
+    is gathered per document in three aggregates over the history of described files only. A claim on
+    a folder, or on a path of present(path) that is not tracked, counts as one match; a folder's
+    history is that of all below it.
     """
     config = config or Config()
     hits = globjoin.match(doc_globs, files)
+    folders = globjoin.folder_claims(doc_globs, files, hits, present)
+    hits = hits.union(folders)
     resolved = doc_globs.select("path", "glob").join(hits.withColumnRenamed("path", "file"), "glob")
     claims = doc_globs.join(hits.select("glob").distinct().withColumn("alive", F.lit(True)), "glob", "left")
     claims = claims.groupBy("path").agg(
@@ -95,7 +112,9 @@ def assess(docs: DataFrame, doc_globs: DataFrame, files: DataFrame, commits: Dat
     )
     matched = resolved.groupBy("path").agg(F.countDistinct("file").cast("int").alias("matched"))
     own = doc_last_commit(docs, commits, commit_files).withColumnRenamed("commit", "doc_commit")
-    history = file_history(resolved, commits, commit_files).join(own, "path", "left")
+    inside = globjoin.below(folders.select(F.col("path").alias("folder")), commit_files)
+    moved = resolved.join(inside.select(F.col("folder").alias("file"), F.col("path").alias("moved")), "file").select("path", F.col("moved").alias("file"))
+    history = file_history(resolved.select("path", "file").union(moved), commits, commit_files).join(own, "path", "left")
     commit = F.struct(F.col("author_ts").alias("ts"), "sha", "subject")
     after = F.col("commit_ts") >= F.col("doc_commit.ts") + F.expr("INTERVAL 1 SECOND")
     code = history.groupBy("path").agg(
@@ -186,9 +205,84 @@ def reason(reports: DataFrame, now: Column, config: Config) -> Column:
     )
 
 
+MEANING = {
+    "fresh": "the code it describes has not moved since it was written",
+    "unverified": "it describes nothing that history could check",
+    "drifting": "the code it describes has begun to move on; check details",
+    "stale": "the code it describes has moved on; do not rely on details",
+    "expired": "past the date or the time to live that its author gave it",
+    "orphaned": "what it describes is not there any more",
+    "superseded": "another document says that it replaces this one",
+}
+
+
+def meaning(verdict: Column) -> Column:
+    return lookup(verdict, MEANING)
+
+
+def evidence_line(reports: DataFrame) -> Column:
+    """What history shows of a document, in one line."""
+    text = lambda x: x.cast("string")
+    day = lambda c: F.concat(F.left(F.col(f"{c}.sha"), F.lit(7)), F.lit(" on "), F.date_format(F.col(f"{c}.ts"), "yyyy-MM-dd"))
+    parts = F.array_compact(
+        F.array(
+            F.when(F.col("doc_commit").isNotNull(), F.concat(F.lit("written "), day("doc_commit"))).otherwise(F.lit("never committed")),
+            F.when(F.col("code_commit").isNotNull(), F.concat(F.lit("code moved "), day("code_commit"))).otherwise(F.lit("code without history")),
+            F.concat(F.lit("drift "), text(F.col("drift_days")), F.lit("d, "), text(F.col("commits_since")), F.lit(" "), T.plural(F.col("commits_since"), "commit")),
+            F.concat(text(F.col("matched")), F.lit(" "), T.plural(F.col("matched"), "file")),
+            F.when(F.size("missing") > 0, F.concat(F.lit("nothing at "), F.array_join("missing", ", "))),
+        )
+    )
+    return F.when(F.size("describes") == 0, F.lit("no evidence: it describes nothing")).otherwise(F.array_join(parts, "; "))
+
+
+def evidence_table(reports: DataFrame, most: int = 10) -> DataFrame:
+    """(place, path, freshness, score, evidence): all reports, worst first; the `most` worst that fail show their evidence."""
+    bad = ~F.col("freshness").isin("fresh", "unverified")
+    rows = reports.select("path", "freshness", "score", F.when(bad, evidence_line(reports)).alias("evidence"))
+    order = [severity(F.col("freshness")).desc(), F.col("score").asc(), F.col("path").asc()]
+    worst = rows.orderBy(*order).limit(most).select("path", F.lit(True).alias("shown"))
+    shown = rows.join(F.broadcast(worst), "path", "left")  # `most` rows
+    return shown.select("path", "freshness", "score", F.when(F.col("shown"), F.col("evidence")).alias("evidence"))
+
+
+def relocation_reason(moves: DataFrame, now: Column | None = None) -> Column:
+    """What history shows of a dead glob, and how far that carries, in a few sentences.
+
+    moves: rows of `relocation.relocations`, with `left_in` (commit struct) where the move is committed.
+    """
+    text = lambda c: F.col(c).cast("string")
+    n, linked, moved = F.col("file_count"), F.col("linked_count"), F.col("moved_count")
+    files = lambda c: F.concat(c.cast("string"), F.lit(" "), T.plural(c, "file"))
+    left = F.lit("the move is not committed yet")
+    if "left_in" in moves.columns:
+        left = F.when(F.col("left_in").isNull(), left).otherwise(F.concat(F.lit("the last of them left in "), commit_phrase(F.col("left_in"), now)))
+    used = F.concat(F.lit("`"), F.col("glob"), F.lit("` matches nothing now but once matched "), files(n), F.lit(" ("), left, F.lit(")."))
+    gone = F.when(linked == 0, F.lit(" None of them is linked to a file of today; they were deleted, or rewritten beyond recognition.")).otherwise(
+        F.concat(F.lit(" Only "), text("linked_count"), F.lit(" of them "), T.plural(linked, "is", "are"), F.lit(" linked to files of today, too few to name a new home."))
+    )
+    alike = F.when(F.col("lowest_similarity").isNull(), F.lit("")).otherwise(F.concat(F.lit(" (least alike: "), text("lowest_similarity"), F.lit("%)")))
+    rest = F.when(n > moved, F.concat(F.lit(" "), files(n - moved), F.lit(" could not be linked."))).otherwise(F.lit(""))
+    extra = F.when(F.col("extra_matches") > 0, F.concat(F.lit(" The new glob also matches "), files(F.col("extra_matches")), F.lit(" that did not move there."))).otherwise(F.lit(""))
+    home = F.concat(F.lit(" "), text("moved_count"), F.lit(" of "), files(n), F.lit(" now "), T.plural(moved, "stands", "stand"), F.lit(" at `"), F.col("suggested"), F.lit("`"), alike, F.lit("."), rest, extra)
+    return F.concat(used, F.when(F.col("suggested").isNull(), F.concat(gone, F.lit(" No new glob is suggested."))).otherwise(home))
+
+
+def with_moves(reports: DataFrame, moves: DataFrame) -> DataFrame:
+    """Adds `moves`: (glob, suggested) of each document's dead globs that have a new home."""
+    known = moves.where("suggested is not null").select("glob", "suggested")
+    dead = reports.select("path", F.explode("missing").alias("glob")).join(known, "glob")
+    per = dead.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("glob", "suggested"))).alias("moves"))
+    return reports.join(per, "path", "left").withColumn("moves", F.coalesce("moves", F.array().cast("array<struct<glob:string,suggested:string>>")))
+
+
 def fix_hint(reports: DataFrame) -> Column:
-    """The next step that would clear a verdict."""
+    """The next step that would clear a verdict; with a column `moves`, where an orphan's code has gone."""
     n = F.col("commits_since")
+    if "moves" in reports.columns:
+        swaps = F.array_join(F.transform("moves", lambda m: F.concat(F.lit("`"), m["glob"], F.lit("` to `"), m["suggested"], F.lit("`"))), ", ")
+        plain = fix_hint(reports.drop("moves"))
+        return F.when((F.col("freshness") == "orphaned") & (F.size("moves") > 0), F.concat(F.lit("the code moved: change `describes` from "), swaps, F.lit(" and read the doc against it"))).otherwise(plain)
     return (
         F.when(F.col("freshness") == "unverified", F.concat(F.lit("name the source globs that "), F.col("path"), F.lit(" explains under `describes`")))
         .when(F.col("freshness") == "orphaned", F.concat(F.lit("`describes` matches nothing ("), F.array_join("missing", ", "), F.lit("): point it at the moved code or delete the doc")))

@@ -121,3 +121,12 @@ def pack(reports: DataFrame, task: str, budget: int = 8000, include_stale: bool
     return summed.withColumn("left", F.greatest(left, F.lit(0))).withColumn("place", place).drop("pinned", "excluded")
 
 
+def left_out(packed: DataFrame, budget: int) -> Column:
+    """Why a row of a pack is not in it; null for those that are."""
+    text = lambda c: F.col(c).cast("string")
+    room = F.lit(f" of {budget} tokens")
+    return (
+        F.when(F.col("place") == "excluded", F.concat(F.lit("excluded as "), F.col("freshness"), F.lit("; ask for stale documents to include it")))
+        .when((F.col("place") == "omitted") & (F.col("left") <= 0), F.concat(F.lit("the budget was used up"), F.lit(f" ({budget} tokens); rank "), F.format_string("%.3f", "rank")))
+        .when(F.col("place") == "omitted", F.concat(F.lit("needs about "), text("cost"), F.lit(" tokens, "), text("left"), room, F.lit(" were left")))
+    )

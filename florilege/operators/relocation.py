@@ -44,7 +44,11 @@ def votes(linked: DataFrame) -> DataFrame:
 
 def relocations(dead: DataFrame, old_files: DataFrame, renames: DataFrame, tracked: DataFrame) -> DataFrame:
     """(glob, file_count, linked_count, moved_count, suggested, extra_matches, lowest_similarity) of each dead glob with old files."""
-    linked = links(dead, old_files, renames, tracked)
+    return settled(links(dead, old_files, renames, tracked), tracked)
+
+
+def settled(linked: DataFrame, tracked: DataFrame) -> DataFrame:
+    """`relocations` from the links of each glob's old files."""
     best = votes(linked).where((F.col("place") == 1) & ~F.col("tied") & (2 * F.col("moved") > F.col("files")))
     best = best.withColumn("candidate", F.when(F.col("s.literal"), F.col("home")).otherwise(F.concat("home", "s.rest"))).where("candidate <> glob")
     hits = globjoin.match(best.select(F.col("candidate").alias("glob")), tracked).withColumnRenamed("glob", "candidate")
@@ -61,3 +65,19 @@ def relocations(dead: DataFrame, old_files: DataFrame, renames: DataFrame, track
         "glob", "file_count", "linked_count", F.when(known, F.col("moved")).otherwise(0).alias("moved_count"), "suggested",
         F.coalesce("extra_matches", F.lit(0)).alias("extra_matches"), F.when(known, F.col("lowest")).otherwise(F.col("any_lowest")).alias("lowest_similarity"),
     )
+
+
+def relocations_at(dead: DataFrame, old_files: DataFrame, renames: DataFrame, tracked: DataFrame) -> DataFrame:
+    """`relocations` of dead(glob, sha) over the trees before several commits at once.
+
+    Paths of old_files(path) and renames(old_path, ...) are led by "sha:"; a glob sees those of its own commit.
+    """
+    rule = lambda c: F.regexp_replace(c, r"^[0-9a-f]+:", "")
+    of = lambda c: F.regexp_extract(c, r"^([0-9a-f]+):", 1)
+    old = old_files.select(of("path").alias("sha"), rule("path").alias("path"))
+    moves = renames.select(of("old_path").alias("sha"), rule("old_path").alias("old_path"), "new_path", "similarity")
+    before = globjoin.match(dead, old).join(dead, "glob").join(old, ["path", "sha"]).select("glob", "sha", F.col("path").alias("old_path")).distinct()
+    sizes = before.groupBy("glob").agg(F.count(F.lit(1)).cast("int").alias("files"))
+    alive = moves.join(tracked.select(F.col("path").alias("new_path")), "new_path", "left_semi")
+    linked = before.join(alive, ["old_path", "sha"], "left").join(sizes, "glob").select("glob", "old_path", "new_path", "similarity", "files")
+    return settled(linked, tracked)

@@ -74,3 +74,16 @@ def safe_path(root: str, given: str) -> str:
     if full != base and base not in full.parents:
         raise ValueError(f"{given} lies outside {root}")
     return str(full)
+
+
+#: more documents than this are not those of one project
+MOST_REWRITTEN = 400
+
+
+def write_starter(root: str) -> bool:
+    """Writes the defaults as a configuration file, unless there is one."""
+    if any(Path(root, f).exists() for f in FILES):
+        return False
+    own = {k: getattr(Config(), name) for k, name in KEYS.items() if k != "exclude"}
+    Path(root, FILES[0]).write_text(json.dumps({k: list(v) if isinstance(v, tuple) else v for k, v in own.items()}, indent=2) + "\n", "utf-8")
+    return True

@@ -2,60 +2,111 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-TIMEOUT = 20
+TIMEOUT = 20  # seconds, of small calls
+MOST_BYTES = 64 << 20  # of their output
 RENAMES = 5000
 COMMITS = "sha string, author_ts timestamp, commit_ts timestamp, subject string, author string"
 FILES = "sha string, path string, change_type string"
+ROWS_AT_ONCE = 100_000
+
+
+class HistoryError(RuntimeError):
+    """History could not be read whole; no part of it stands for all of it."""
+
+
+def _command(root: str, *args: str) -> list[str]:
+    return ["git", "-c", "core.quotepath=off", "--no-pager", "-C", root, *args]
 
 
 def git(root: str, *args: str) -> str | None:
-    """Output of a read-only git command; None for any failure."""
+    """Output of a small read-only git command; None where git refuses, takes longer than TIMEOUT or says more than MOST_BYTES."""
     try:
-        done = subprocess.run(["git", "-c", "core.quotepath=off", "--no-pager", "-C", root, *args], capture_output=True, timeout=TIMEOUT, check=True)
+        done = subprocess.run(_command(root, *args), capture_output=True, timeout=TIMEOUT, check=True)
     except (OSError, subprocess.SubprocessError):
         return None
-    return done.stdout.decode("utf-8", "replace")
+    return None if len(done.stdout) > MOST_BYTES else done.stdout.decode("utf-8", "replace")
+
+
+def stream(root: str, separator: bytes, *args: str):
+    """Records of a git command's output of any length and duration; an error if it fails."""
+    try:
+        done = subprocess.Popen(_command(root, *args), stdout=subprocess.PIPE, stderr=subprocess.PIPE)
+    except OSError as e:
+        raise HistoryError(str(e)) from e
+    rest = b""
+    with done:
+        while block := done.stdout.read(1 << 20):
+            *whole, rest = (rest + block).split(separator)
+            for record in whole:
+                yield record.decode("utf-8", "replace")
+        if rest:
+            yield rest.decode("utf-8", "replace")
+        said = done.stderr.read().decode("utf-8", "replace").strip()
+    if done.returncode:
+        raise HistoryError(f"git {args[0]}: {said or f'exit code {done.returncode}'}")
 
 
 def is_repo(root: str) -> bool:
-    return git(root, "rev-parse", "--git-dir") is not None
+    return os.path.exists(os.path.join(root, ".git")) or git(root, "rev-parse", "--git-dir") is not None
+
+
+def has_commits(root: str) -> bool:
+    return git(root, "rev-parse", "--verify", "-q", "HEAD") is not None
 
 
 def tracked_files(spark: SparkSession, root: str) -> DataFrame:
-    out = git(root, "ls-files", "-z") or ""
-    return spark.createDataFrame([(p,) for p in sorted(set(out.split("\0"))) if p], "path string")
+    paths = sorted({p for p in stream(root, b"\0", "ls-files", "-z") if p}) if is_repo(root) else []
+    return _table(spark, ((p,) for p in paths), "path string")
 
 
-def parse_log(out: str) -> tuple[list[tuple], list[tuple]]:
-    """Commits and the files they touched, from `git log --name-status -z` with \\x1e and \\x1f between fields."""
-    commits, files = [], []
+def _table(spark: SparkSession, rows, ddl: str) -> DataFrame:
+    """Rows of any number as a table, some at a time."""
+    out, part = None, []
+    for row in rows:
+        part.append(row)
+        if len(part) == ROWS_AT_ONCE:
+            one = spark.createDataFrame(part, ddl)
+            out, part = one if out is None else out.unionAll(one), []
+    one = spark.createDataFrame(part, ddl)
+    return one if out is None else out.unionAll(one)
+
+
+def parse_record(record: str) -> tuple[tuple, list[tuple]]:
+    """A commit and the files it touched, from one record of `git log --name-status -z` with \x1f between fields."""
+    sha, author_ts, commit_ts, subject, author, names = record.split("\x1f", 5)
     when = lambda s: datetime.fromtimestamp(int(s), UTC).replace(tzinfo=None)
-    for record in out.split("\x1e")[1:]:
-        sha, author_ts, commit_ts, subject, author, names = record.split("\x1f", 5)
-        commits.append((sha, when(author_ts), when(commit_ts), subject, author))
-        parts = [x.lstrip("\n") for x in names.split("\0")]
-        parts = [x for x in parts if x]
-        for status, path in zip(parts[::2], parts[1::2], strict=False):
-            files.append((sha, path, status[:1]))
-    return commits, files
+    parts = [x for x in (x.lstrip("\n") for x in names.split("\0")) if x]
+    return (sha, when(author_ts), when(commit_ts), subject, author), [(sha, path, status[:1]) for status, path in zip(parts[::2], parts[1::2], strict=False)]
+
+
+def parse_log(out: str) -> tuple[list[tuple], list[tuple]]:
+    """All commits and files of a log's text, its records led by \x1e."""
+    found = [parse_record(r) for r in out.split("\x1e")[1:]]
+    return [c for c, _ in found], [f for _, files in found for f in files]
 
 
 def history(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(commits, commit_files) of a repository."""
-    out = git(root, "log", "--no-renames", "--name-status", "-z", "--format=%x1e%H%x1f%at%x1f%ct%x1f%s%x1f%an%x1f") or ""
-    commits, files = parse_log(out)
-    return spark.createDataFrame(commits, COMMITS), spark.createDataFrame(files, FILES)
+    """(commits, commit_files) of a repository, its log read to the end; empty where there is no commit."""
+    commits, files = [], []
+    if has_commits(root):
+        for record in stream(root, b"\x1e", "log", "--no-renames", "--name-status", "-z", "--format=%x1e%H%x1f%at%x1f%ct%x1f%s%x1f%an%x1f"):
+            if record:
+                commit, touched = parse_record(record)
+                commits.append(commit)
+                files += touched
+    return _table(spark, commits, COMMITS), _table(spark, files, FILES)
 
 
 def renames(spark: SparkSession, root: str, base: str) -> DataFrame:
     """(old_path, new_path, similarity) between a tree and the working one, as git sees it."""
-    out = (git(root, "diff", "-M", f"-l{RENAMES}", "--name-status", "-z", base, "--") or "").split("\0")
+    out = list(stream(root, b"\0", "diff", "-M", f"-l{RENAMES}", "--name-status", "-z", base, "--"))
     rows, at = [], 0
     while at < len(out) - 1:
         pair = out[at][:1] in ("R", "C")
@@ -66,8 +117,7 @@ def renames(spark: SparkSession, root: str, base: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, root: str, rev: str) -> DataFrame:
-    out = git(root, "ls-tree", "-r", "-z", "--name-only", rev) or ""
-    return spark.createDataFrame([(p,) for p in out.split("\0") if p], "path string")
+    return _table(spark, ((p,) for p in stream(root, b"\0", "ls-tree", "-r", "-z", "--name-only", rev) if p), "path string")
 
 
 def working_state(root: str, commits: int = 8) -> dict:

@@ -2,17 +2,21 @@
 
 import os
 import subprocess
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from florilege import commands as CMD
+from florilege import tools as TL
 from florilege.dims import Config
 from florilege.operators import freshness as FR
 from florilege.operators import ranking as R
 from florilege.operators import relocation as RL
+from florilege.sources import config as CF
 from florilege.sources import files as FS
+from florilege.sources import history as H
+from florilege.sources.cache import Cache
 from florilege.streaming import feed
 
 NOW = datetime(2025, 7, 1)
@@ -144,3 +148,108 @@ def test_stream_counts_late_commits(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("activity_test").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination(60)
     assert {(r.subject, r.commits) for r in spark.table("activity_test").collect()} == {("x", 2), ("y", 1)}
+
+
+def test_reports_as_values(corpus):
+    report = CMD.check_report(corpus, ["stale", "nonsense"], CMD.verify_all(corpus))
+    assert report["total"] == 6 and report["exit_code"] == 1 and report["failed"] == ["docs/old.md", "docs/stale.md"] and report["fail_on"] == ["stale"] and report["warnings"] == ["no verdict nonsense"]
+    assert report["counts"] == {"fresh": 1, "unverified": 1, "drifting": 0, "stale": 1, "expired": 1, "orphaned": 1, "superseded": 1}
+    by = {d["path"]: d for d in report["docs"]}
+    assert by["docs/old.md"]["verified"]["code"] == 3 and "`src/old/**` to `lib/new/**`" in by["docs/old.md"]["hint"] and "hint" not in by["docs/fresh.md"]
+    assert CMD.check_report(corpus, ["nonsense"])["exit_code"] == 2
+    found = CMD.map_report(corpus, "freshness")
+    assert [g["key"] for g in found["groups"]] == ["superseded", "orphaned", "expired", "stale", "unverified", "fresh"] and found["totals"]["docs"] == 6 and found["totals"]["unverified_pct"] == 17
+    assert sum(len(g["entries"]) for g in CMD.map_report(corpus, "dir")["groups"]) == 6
+
+
+def test_doctor_counts_moves_and_orders(corpus):
+    rows = [(r.place, r.severity, r.title) for r in CMD.doctor(corpus).collect()]
+    assert [r[0] for r in rows] == list(range(1, len(rows) + 1)) and "1 docs describe code that moved" in [t for *_, t in rows] and "no configuration file; defaults are used" in [t for *_, t in rows]
+
+
+def test_relocation_prose(corpus):
+    moves = CMD.relocations(corpus)
+    text = moves.select(FR.relocation_reason(moves, corpus.clock)).first()[0]
+    assert "`src/old/**` matches nothing now but once matched 2 files (the last of them left in" in text and "2 of 2 files now stand at `lib/new/**`" in text
+
+
+def test_folders_and_no_repository(spark, tmp_path):
+    root = tmp_path / "r"
+    root.mkdir()
+    put(root, {"src/auth/x.ts": "let x\n", "docs/a.md": doc("id: a\ndescribes: [src/auth/x.ts]"), "docs/b.md": doc("id: b\ndescribes: [src/auth]"), "docs/c.md": doc("id: c\ndescribes: [src/none]")})
+    bare = CMD.load(spark, str(root), NOW)
+    assert {(r.path, r.freshness, r.score) for r in bare.reports.collect()} == {(f"docs/{n}.md", "unverified", 50) for n in "abc"} and CMD.check(bare)[1] == 0
+    assert CMD.doctor(bare).first().title == "not a git repository"
+    git(root, "init", "-q")
+    assert "the repository has no commits" in [r.title for r in CMD.doctor(CMD.load(spark, str(root), NOW)).collect()]
+    put(root, {}, 120)
+    put(root, {"src/auth/x.ts": "let y\n"}, 20)
+    (root / "notes").mkdir()
+    (root / "notes/new.txt").write_text("untracked")
+    (root / "docs/d.md").write_text(doc("id: d\ndescribes: [notes/new.txt]"))
+    got = {r.path: (r.freshness, r.matched, r.commits_since) for r in CMD.load(spark, str(root), NOW).reports.collect()}
+    assert got == {"docs/a.md": ("stale", 1, 1), "docs/b.md": ("stale", 1, 1), "docs/c.md": ("orphaned", 0, 0), "docs/d.md": ("unverified", 1, 0)}
+
+
+def test_history_that_cannot_be_read_is_an_error(spark, tmp_path):
+    git(tmp_path, "init", "-q")
+    put(tmp_path, {"a.md": "# A\n"}, 3)
+    broken = next((tmp_path / ".git/objects").glob("[0-9a-f][0-9a-f]"))
+    for x in (tmp_path / ".git/objects").glob("[0-9a-f][0-9a-f]/*"):
+        x.chmod(0o644)
+        x.write_bytes(b"")
+    assert broken.exists()
+    with pytest.raises(H.HistoryError):
+        H.history(spark, str(tmp_path))
+
+
+def test_a_verify_that_hangs_is_killed_whole(spark, tmp_path):
+    put(tmp_path, {"a.md": doc('id: a\nverify: "(sleep 60; echo late > late.txt) & sleep 60"')})
+    corpus = CMD.load(spark, str(tmp_path), NOW)
+    found = CMD.verify(corpus, "a.md", 1)
+    assert found["code"] == -1 and not found["passed"]
+
+
+def test_tools(corpus):
+    assert TL.call(corpus, "pack", task="title of text", budget=8000).startswith("# Context: title of text")
+    one, all_ = TL.call(corpus, "freshness", path="docs/stale.md"), TL.call(corpus, "freshness")
+    assert "`docs/stale.md`: stale" in one and "Check it against the code first." in one and "drift 100d, 1 commit" in one
+    assert all_.index("| `docs/gone.md` |") < all_.index("| `docs/stale.md` |") < all_.index("| `docs/fresh.md` |") and "## The 4 worst" in all_
+    assert "1 documents at docs/fr*.md" in TL.call(corpus, "freshness", glob="docs/fr*.md")
+    found = TL.call(corpus, "search", query="title", min_freshness="drifting", limit=2)
+    assert "2 shown" in found and "## Worse than drifting: 4" in found
+    assert "No document answers" in TL.call(corpus, "search", query="zebra quagga")
+    assert TL.call(corpus, "read", path="docs/fresh.md").endswith("# Title\n\nText of it.\n") and "not one of the documents" in TL.call(corpus, "read", path="src/auth/a.ts")
+    assert TL.call(corpus, "conflicts").startswith("# Conflicts")
+    assert "No handoff" in TL.call(corpus, "handoff_read")
+    said = TL.call(corpus, "handoff_write", task="Move it", summary="Half done.", open_questions=["why?"], next_steps=["go on", "stop"])
+    assert "1 questions, 2 steps" in said
+    back = TL.handoff_read(corpus)
+    assert "0 days old, good for 7." in back and "2. stop" in back and "- why?" in back
+    assert "Out of date: 30 days old" in TL.handoff_read(corpus, datetime.now(UTC) + timedelta(days=30, hours=1))
+    for name, given in (("pack", {}), ("pack", {"task": " "}), ("pack", {"task": "x", "budget": 0}), ("pack", {"task": "x", "budget": True}), ("search", {"query": "x", "min_freshness": "rotten"}), ("read", {"path": "../x"}), ("read", {"path": "none.md"}), ("freshness", {"path": "a", "glob": "b"}), ("nothing", {}), ("conflicts", {"x": 1})):
+        with pytest.raises(ValueError):
+            TL.call(corpus, name, **given)
+
+
+def test_handoff_note_expires(corpus):
+    note = CMD.handoff_note(corpus, "title", "First thing done. Second thing open.\nlast")
+    assert note.startswith("---\nspec: 1\nid: handoff-") and "ttlDays: 7" in note and "- First thing done.\n- Second thing open.\n- last" in note and "## Commits" in note
+
+
+def test_cache_follows_the_folder(tmp_path):
+    git(tmp_path, "init", "-q")
+    put(tmp_path, {"a.md": "# A\n"}, 3)
+    made, at = [], [0.0]
+    cache = Cache(lambda root: made.append(root) or len(made), lambda value: ["a.md"], 60, lambda: at[0])
+    assert cache.get(str(tmp_path)) == (1, True) and cache.get(str(tmp_path)) == (1, False)
+    put(tmp_path, {"a.md": "# B and more\n"})
+    os.utime(tmp_path / "a.md", (1, 10**10))
+    assert cache.get(str(tmp_path)) == (2, True) and cache.get(str(tmp_path), force=True) == (3, True)
+    at[0] = 61.0
+    assert cache.get(str(tmp_path)) == (4, True)
+
+
+def test_starter_configuration(tmp_path):
+    assert CF.write_starter(str(tmp_path)) and not CF.write_starter(str(tmp_path))
+    assert CF.load(str(tmp_path)) == Config()
