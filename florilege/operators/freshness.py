@@ -263,9 +263,9 @@ def relocation_reason(moves: DataFrame, now: Column | None = None) -> Column:
     )
     alike = F.when(F.col("lowest_similarity").isNull(), F.lit("")).otherwise(F.concat(F.lit(" (least alike: "), text("lowest_similarity"), F.lit("%)")))
     rest = F.when(n > moved, F.concat(F.lit(" "), files(n - moved), F.lit(" could not be linked."))).otherwise(F.lit(""))
-    extra = F.when(F.col("extra_matches") > 0, F.concat(F.lit(" The new glob also matches "), files(F.col("extra_matches")), F.lit(" that did not move there."))).otherwise(F.lit(""))
+    extra = F.when(F.col("extra_matches") > 0, F.concat(F.lit(" The new pattern also matches "), files(F.col("extra_matches")), F.lit(" that did not move there."))).otherwise(F.lit(""))
     home = F.concat(F.lit(" "), text("moved_count"), F.lit(" of "), files(n), F.lit(" now "), T.plural(moved, "stands", "stand"), F.lit(" at `"), F.col("suggested"), F.lit("`"), alike, F.lit("."), rest, extra)
-    return F.concat(used, F.when(F.col("suggested").isNull(), F.concat(gone, F.lit(" No new glob is suggested."))).otherwise(home))
+    return F.concat(used, F.when(F.col("suggested").isNull(), F.concat(gone, F.lit(" No new pattern is suggested."))).otherwise(home))
 
 
 def with_moves(reports: DataFrame, moves: DataFrame) -> DataFrame:

@@ -112,6 +112,7 @@ MD = """md AS (SELECT doc_id, path, raw, doc_id % 4 <> 3 AS has_fm, CASE WHEN do
        CASE WHEN doc_id % 4 <> 3 THEN substr(raw, 5, strpos(raw, chr(10) || '---' || chr(10)) - 4) ELSE '' END AS block FROM f_md)"""
 LINES = MD + """,
 li AS (SELECT path, doc_id, unnest(string_split(body, chr(10))) AS t, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line FROM md)"""
+# Fixed values, as in the operators.
 ENV_RX = r"""^[\s>$#*+-]*`{0,3}\s*(?:export\s+|set\s+|ENV\s+)?([A-Z][A-Z0-9_]{2,40})\s*=\s*("[^"]*"|''[^'']*''|[^\s`#]+)\s*`{0,3}\s*$"""
 CMD_RX = r"(?i)\b(npm|pnpm|yarn|bun)\s+(?:(run)\s+)?([a-z][a-z0-9:_-]{1,30})\b"
 FACTS = LINES + f""",
@@ -138,6 +139,23 @@ lk AS (SELECT glob, bf.old_path, new_path, similarity, files FROM bf LEFT JOIN f
 hm AS (SELECT glob, left(new_path, len(new_path) - len(regexp_extract(old_path, '[^/]*$'))) AS home, count(*) AS moved, min(similarity) AS lowest, min(files) AS files FROM lk WHERE new_path IS NOT NULL GROUP BY 1, 2),
 vt AS (SELECT *, rank() OVER (PARTITION BY glob ORDER BY moved DESC) AS place, count(*) OVER (PARTITION BY glob, moved) > 1 AS tied FROM hm)"""
 
+MOVES = """rl AS (SELECT b.glob, CAST(b.files AS INTEGER) AS file_count, CAST(b.linked AS INTEGER) AS linked_count, CAST(coalesce(v.moved, 0) AS INTEGER) AS moved_count, v.home || '**' AS suggested,
+            CAST(coalesce((SELECT count(*) FROM f_renames x WHERE starts_with(x.new_path, v.home)) - v.moved, 0) AS INTEGER) AS extra_matches, CAST(coalesce(v.lowest, b.lowest) AS INTEGER) AS lowest_similarity
+            FROM (SELECT glob, min(files) AS files, count(new_path) AS linked, min(similarity) AS lowest FROM lk GROUP BY glob) b LEFT JOIN (SELECT * FROM vt WHERE place = 1 AND NOT tied AND 2 * moved > files) v ON v.glob = b.glob)"""
+COVER = (
+    "ch AS (SELECT DISTINCT cf.path FROM f_commit_files cf JOIN f_files f ON f.path = cf.path WHERE cf.sha IN (SELECT sha FROM f_commits WHERE author_ts IS NOT NULL ORDER BY author_ts DESC, sha DESC LIMIT 10))",
+    "cov AS (SELECT g.path, list_sort(list(DISTINCT ch.path)) AS files FROM g JOIN ch ON ch.path = g.glob OR (contains(g.glob, '*') AND starts_with(g.glob, 'src/') AND starts_with(ch.path, 'src/') AND ends_with(ch.path, regexp_extract(g.glob, '[^/]*$'))) GROUP BY g.path)",
+)
+KNOWN = "k AS (SELECT unnest(['fresh', 'unverified', 'drifting', 'stale', 'expired', 'orphaned', 'superseded']) AS freshness, CAST(unnest(range(7)) AS INTEGER) AS severity)"
+COUNTS = "c AS (SELECT count(*) AS n, count(*) FILTER (WHERE len(describes) = 0) AS u, count(*) FILTER (WHERE freshness NOT IN ('fresh', 'unverified')) AS b FROM r)"
+EVIDENCE = """CASE WHEN len(describes) = 0 THEN 'no evidence: it describes nothing' ELSE array_to_string(list_filter([CASE WHEN own IS NULL THEN 'never committed' ELSE 'written ' || left(own.sha, 7) || ' on ' || strftime(own.ts, '%Y-%m-%d') END,
+  CASE WHEN code IS NULL THEN 'code without history' ELSE 'code moved ' || left(code.sha, 7) || ' on ' || strftime(code.ts, '%Y-%m-%d') END, 'drift ' || drift_days || 'd, ' || commits_since || CASE WHEN commits_since = 1 THEN ' commit' ELSE ' commits' END,
+  matched || CASE WHEN matched = 1 THEN ' file' ELSE ' files' END, CASE WHEN len(missing) > 0 THEN 'nothing at ' || array_to_string(missing, ', ') END], lambda x: x IS NOT NULL), '; ') END"""
+HASHES = r"""fw AS (SELECT path, list_filter(regexp_split_to_array(regexp_replace(lower(body), '```[\s\S]*?```', ' ', 'g'), '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM f_docs),
+fs AS (SELECT DISTINCT path, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) AS s FROM fw WHERE len(ws) >= 40),
+fh AS (SELECT path, list_reduce(list_transform(string_split(s, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)) AS h FROM fs),
+fv AS (SELECT fw.path, ws, x.hs FROM fw LEFT JOIN (SELECT path, list(DISTINCT h) AS hs FROM fh GROUP BY path) x ON x.path = fw.path)"""
+
 
 def oracle_sql() -> dict[str, str]:
     out = {
@@ -171,10 +189,9 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN drift_days > 0 THEN 'code is ' || drift_days || CASE WHEN drift_days = 1 THEN ' day' ELSE ' days' END || ' ahead (doc: ' || left(own.sha, 7) || ' ''' || own.subject || ''', ' || ago(age) || ')' END], lambda x: x IS NOT NULL), '; ') END END AS reason FROM ra""".replace("ago(code_age)", "CASE WHEN code_age <= 0 THEN 'today' WHEN code_age = 1 THEN '1 day ago' ELSE code_age || ' days ago' END").replace("ago(age)", "CASE WHEN age <= 0 THEN 'today' WHEN age = 1 THEN '1 day ago' ELSE age || ' days ago' END"), f"ra AS (SELECT *, CAST(floor((epoch_ms({CLOCK}) - epoch_ms(code.ts)) / 86400000.0) AS INTEGER) AS code_age FROM r)"),
         "doctor_counts": _reports("SELECT CAST(count(*) AS INTEGER) AS docs, CAST(count(*) FILTER (WHERE len(describes) > 0) AS INTEGER) AS with_claims, CAST(count(*) FILTER (WHERE len(describes) = 0) AS INTEGER) AS unprovable, CAST(count(*) FILTER (WHERE freshness NOT IN ('fresh', 'unverified')) AS INTEGER) AS not_fresh, CAST(round(100.0 * count(*) FILTER (WHERE len(describes) = 0) / count(*)) AS INTEGER) AS unprovable_pct FROM r"),
         "doctor_findings": _reports("""SELECT * FROM (SELECT CASE WHEN u > n / 2.0 THEN 'major' ELSE 'minor' END AS severity, u || ' of ' || n || ' docs (' || CAST(round(100.0 * u / n) AS INTEGER) || '%) describe nothing' AS title FROM c
-            UNION ALL SELECT 'major', (SELECT count(*) FROM di) || ' duplicate ids' UNION ALL SELECT 'major', (SELECT count(*) FROM sd) || ' conflicts between docs'
-            UNION ALL SELECT CASE WHEN b > n / 3.0 THEN 'major' ELSE 'minor' END, b || ' docs are not fresh' FROM c) WHERE NOT starts_with(title, '0 ')""", IDS, SAME, "c AS (SELECT count(*) AS n, count(*) FILTER (WHERE len(describes) = 0) AS u, count(*) FILTER (WHERE freshness NOT IN ('fresh', 'unverified')) AS b FROM r)"),
-        "handoff_cover": _reports("""SELECT g.path, array_to_string(list_sort(list(DISTINCT f.path)), ',') AS files FROM g JOIN f_files f ON f.path = g.glob OR (contains(g.glob, '*') AND starts_with(g.glob, 'src/') AND starts_with(f.path, 'src/') AND ends_with(f.path, regexp_extract(g.glob, '[^/]*$')))
-            WHERE f.k % 7 = 0 GROUP BY g.path"""),
+            UNION ALL SELECT 'major', (SELECT count(*) FROM di) || ' duplicate ids' UNION ALL SELECT 'major', (SELECT count(*) FROM di) + (SELECT count(*) FROM sd) + (SELECT count(*) FROM nd) || ' conflicts between docs'
+            UNION ALL SELECT CASE WHEN b > n / 3.0 THEN 'major' ELSE 'minor' END, b || ' docs are not fresh' FROM c) WHERE NOT starts_with(title, '0 ')""", IDS, SAME, SHINGLES, COUNTS),
+        "handoff_cover": _reports("SELECT path, array_to_string(files, ',') AS files FROM cov", *COVER),
         "token_estimate": _over("f_docs", f"SELECT doc_id, {_estimate('body')} AS tokens FROM f_docs"),
         "token_estimate_markdown": _over("f_md", f"""SELECT doc_id, CAST(floor(({_tokens("a")} + {_tokens("c", 4)} + {_tokens("b")} + 5 * (len(raw) - len(replace(raw, chr(10), '')) - 2) + 5) / 10) AS INTEGER) AS tokens FROM s""",
             "s AS (SELECT doc_id, raw, left(raw, strpos(raw, '```sh') - 1) AS a, '```sh' || chr(10) || '# not a heading' || chr(10) || 'npm run dev' || chr(10) || '```' AS c, substr(raw, strpos(raw, 'npm run dev') + 15) AS b FROM f_md)"),
@@ -202,9 +219,11 @@ def oracle_sql() -> dict[str, str]:
         "facts_env": _over("f_md", "SELECT path, key, value, line FROM fe", FACTS),
         "facts_ports": _over("f_md", "SELECT path, key, value, line, CAST(seq AS INTEGER) AS seq FROM fp", FACTS),
         "facts_scripts": _over("f_md", "SELECT path, key, value, line FROM fs", FACTS),
-        "fact_placeholders": _over("f_md", "SELECT doc_id, doc_id % 7 = 0 AS placeholder FROM f_md"),
+        "fact_placeholders": _over("f_docs", r"""SELECT doc_id, count(*) FILTER (WHERE v = '' OR regexp_matches(v, '^[<{$]') OR contains(v, '...') OR contains(v, '…') OR regexp_matches(v, '^\*+$')
+            OR regexp_matches(v, '(?i)^(your|my|some|example|sample|changeme|change_me|xxx|todo|tbd|placeholder|redacted|dummy|foo|bar)')) AS placeholders, count(*) AS words
+            FROM (SELECT doc_id, regexp_replace(regexp_replace(w, '^["''`]|["''`]$', '', 'g'), '^\s+|\s+$', '', 'g') AS v FROM (SELECT doc_id, unnest(string_split(body, ' ')) AS w FROM f_docs)) GROUP BY doc_id"""),
         "asserted_facts": _over("f_md", "SELECT path, key, value, line FROM asr", FACTS),
-        "contradictions": _over("f_md", "SELECT key, CASE WHEN key = 'env:PORT' OR key LIKE 'script:%' THEN 'high' WHEN key LIKE 'net:%' THEN 'low' ELSE 'medium' END AS severity, CASE WHEN key LIKE 'env:%' THEN 'environment variable' WHEN key LIKE 'net:%' THEN 'local port' ELSE 'run command' END AS label, array_to_string(list_sort(list(DISTINCT value)), '|') AS \"values\", CAST(count(DISTINCT path) AS INTEGER) AS docs FROM asr GROUP BY key HAVING count(DISTINCT value) > 1", FACTS),
+        "contradictions": _over("f_md", "SELECT key, CASE WHEN key = 'env:PORT' OR key LIKE 'script:%' THEN 'high' WHEN key LIKE 'net:%' THEN 'low' ELSE 'medium' END AS severity, CASE WHEN key LIKE 'env:%' THEN 'environment variable' WHEN key LIKE 'net:%' THEN 'local port' ELSE 'run command' END AS label, array_to_string(list_sort(list(DISTINCT value)), '|') AS \"values\", CAST(count(DISTINCT path) AS INTEGER) AS docs FROM asr WHERE path NOT IN (SELECT path FROM f_docs WHERE id IN (SELECT supersedes FROM f_docs)) GROUP BY key HAVING count(DISTINCT value) > 1", FACTS),
         "conflicts_all": _over("f_docs", """SELECT 'duplicate-id' AS kind, 'high' AS severity, array_to_string(paths, ',') AS docs, id AS detail FROM di UNION ALL SELECT 'duplicate', 'high', array_to_string(paths, ','), 'identical' FROM sd
             UNION ALL SELECT 'duplicate', CASE WHEN j > 0.9 THEN 'high' ELSE 'medium' END, a || ',' || b, CAST(floor(j * 100 + 0.5) AS INTEGER) || '%' FROM nd""", IDS, SAME, SHINGLES),
         "url_origin": "SELECT page_id, lower(regexp_extract(url, '^https?://[^/?#]+')) AS origin FROM pages",
@@ -212,7 +231,7 @@ def oracle_sql() -> dict[str, str]:
         "frontmatter_fields": _over("f_md", "SELECT m.doc_id, CASE WHEN has_fm THEN d.id END AS id, CASE WHEN has_fm THEN d.kind END AS kind, CASE WHEN has_fm THEN '[\"a\", \"b\"]' END AS tags, CASE WHEN has_fm AND m.doc_id % 6 = 0 THEN '2001-02-30' END AS expires FROM md m JOIN f_docs d ON d.doc_id = m.doc_id".replace("f_docs d ON", "f_docs d ON"), MD),
         "frontmatter_errors": _over("f_md", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'expires: ''2001-02-30'' is not a date YYYY-MM-DD' ELSE '' END AS errors, CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS warnings FROM md WHERE has_fm", MD),
         "iso_date_valid": _over("f_docs", "SELECT doc_id, day, coalesce(try_cast(day AS DATE) IS NOT NULL, FALSE) AS valid FROM (SELECT doc_id, format('20{:02d}-{:02d}-{:02d}', doc_id % 30, doc_id % 14, doc_id % 33) AS day FROM f_docs)"),
-        "slugify": _over("f_docs", "SELECT doc_id, trim(regexp_replace(lower(left(body, 40)), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_matches(left(body, 9), '^[a-z0-9][a-z0-9-]*$') AS is_slug, 'use-it' AS file_slug FROM f_docs"),
+        "slugify": "SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')) AS slug_sha, regexp_matches(source, '^[a-z0-9][a-z0-9-]*$') AS is_slug, trim(regexp_replace(lower(lang || ' ' || source), '[^a-z0-9]+', '-', 'g'), '-') AS file_slug FROM documents",
         "human_tokens": _over("f_docs", "SELECT doc_id, CASE WHEN n < 1000 THEN n::VARCHAR WHEN n < 100000 THEN regexp_replace(printf('%.1f', floor(n / 100 + 0.5) / 10), '[.]0$', '') || 'k' ELSE CAST(floor(n / 1000 + 0.5) AS BIGINT) || 'k' END AS text FROM (SELECT doc_id, doc_id * doc_id * 7 AS n FROM f_docs)"),
         "field_near_miss": """WITH k AS (SELECT unnest(['spec', 'id', 'kind', 'describes', 'verify', 'owner', 'expires', 'ttlDays', 'supersedes', 'tags', 'pin']) AS f, unnest(range(11)) AS i),
             w AS (SELECT DISTINCT f || ['', 's', 'xx'][doc_id % 3 + 1] AS word FROM documents JOIN k ON i = doc_id % 11),
@@ -225,14 +244,61 @@ def oracle_sql() -> dict[str, str]:
         "mention_resolve": _over("f_md", """SELECT path, mention, file FROM (SELECT mn.path, mention, coalesce((SELECT f.path FROM f_files f WHERE f.path = m), (SELECT f.path FROM f_files f WHERE f.path = ts), (SELECT x.path FROM sx x WHERE x.suffix = m AND n = 1), (SELECT x.path FROM sx x WHERE x.suffix = ts AND n = 1)) AS file
             FROM (SELECT *, regexp_replace(mention, '^[.]/', '') AS m, regexp_replace(regexp_replace(mention, '^[.]/', ''), '[.]js$', '.ts') AS ts FROM mn) mn) WHERE file IS NOT NULL""", MENTION, SOURCE),
         "infer_kind": _over("f_md", "SELECT doc_id, ['guide', 'decision', 'handoff', 'runbook', 'spec', 'reference', 'decision'][doc_id % 7 + 1] AS kind FROM f_md"),
-        "infer_describes": _over("f_docs f_files", """SELECT path, array_to_string(list_slice(flatten(list(gl ORDER BY n DESC, first)), 1, 6), ',') AS globs, CAST(sum(n) AS INTEGER) AS evidence FROM
-            (SELECT d.path, regexp_replace(f.path, '/[^/]*$', '') AS dir, count(*) AS n, min(f.path) AS first, CASE WHEN count(*) >= 3 THEN [regexp_replace(min(f.path), '/[^/]*$', '') || '/**'] ELSE list_sort(list(f.path)) END AS gl FROM f_docs d JOIN f_files f ON d.doc_id % 50 = f.k % 50 GROUP BY 1, 2) GROUP BY path"""),
+        "infer_describes": _over("f_docs f_files f_commit_files", """SELECT path, array_to_string(list_slice(flatten(list(gl ORDER BY n DESC, first)), 1, 6), ',') AS globs, CAST(sum(n) AS INTEGER) AS evidence FROM
+            (SELECT path, dir, count(*) AS n, min(file) AS first, CASE WHEN count(*) >= 3 THEN [dir || '/**'] ELSE list_sort(list(file)) END AS gl FROM
+            (SELECT DISTINCT o.path, f.path AS file, regexp_replace(f.path, '/[^/]*$', '') AS dir FROM f_commit_files o JOIN f_docs d ON d.path = o.path JOIN f_commit_files c ON c.sha = o.sha JOIN f_files f ON f.path = c.path) GROUP BY 1, 2) GROUP BY path"""),
         "relocation_vote": _over("f_renames", "SELECT glob, home, CAST(moved AS INTEGER) AS moved, CAST(lowest AS INTEGER) AS lowest, CAST(files AS INTEGER) AS files, tied FROM vt", LINKS),
-        "relocations": _over("f_renames", """SELECT b.glob, CAST(b.files AS INTEGER) AS file_count, CAST(b.linked AS INTEGER) AS linked_count, CAST(coalesce(v.moved, 0) AS INTEGER) AS moved_count, v.home || '**' AS suggested,
-            CAST(coalesce((SELECT count(*) FROM f_renames x WHERE starts_with(x.new_path, v.home)) - v.moved, 0) AS INTEGER) AS extra_matches, CAST(coalesce(v.lowest, b.lowest) AS INTEGER) AS lowest_similarity
-            FROM (SELECT glob, min(files) AS files, count(new_path) AS linked, min(similarity) AS lowest FROM lk GROUP BY glob) b LEFT JOIN (SELECT * FROM vt WHERE place = 1 AND NOT tied AND 2 * moved > files) v ON v.glob = b.glob""", LINKS),
+        "relocations": _over("f_renames", "SELECT * FROM rl", LINKS, MOVES),
+        "relocation_reason": _over("f_renames", """SELECT glob, '`' || glob || '` matches nothing now but once matched ' || files(file_count) || ' (the move is not committed yet).' ||
+            CASE WHEN suggested IS NULL THEN CASE WHEN linked_count = 0 THEN ' None of them is linked to a file of today; they were deleted, or rewritten beyond recognition.'
+              ELSE ' Only ' || linked_count || ' of them ' || CASE WHEN linked_count = 1 THEN 'is' ELSE 'are' END || ' linked to files of today, too few to name a new home.' END || ' No new pattern is suggested.'
+            ELSE ' ' || moved_count || ' of ' || files(file_count) || ' now ' || CASE WHEN moved_count = 1 THEN 'stands' ELSE 'stand' END || ' at `' || suggested || '`' || CASE WHEN lowest_similarity IS NULL THEN '' ELSE ' (least alike: ' || lowest_similarity || '%)' END || '.'
+              || CASE WHEN file_count > moved_count THEN ' ' || files((file_count - moved_count)) || ' could not be linked.' ELSE '' END || CASE WHEN extra_matches > 0 THEN ' The new pattern also matches ' || files(extra_matches) || ' that did not move there.' ELSE '' END END AS reason FROM rl""", LINKS, MOVES),
+        "moved_hints": _over("f_docs f_files f_renames", """SELECT d.path, CASE WHEN rl.suggested IS NOT NULL THEN 'the code moved: change `describes` from `' || rl.glob || '` to `' || rl.suggested || '` and read the doc against it'
+            ELSE '`describes` matches nothing (old/' || f.typ || '/**): point it at the moved code or delete the doc' END AS hint FROM f_docs d JOIN f_files f ON f.k = d.k LEFT JOIN rl ON rl.glob = 'old/' || f.typ || '/**'""", LINKS, MOVES),
+        "doctor_populations": _reports("""SELECT CAST(count(*) AS INTEGER) AS docs, CAST(count(*) FILTER (WHERE r.doc_id % 4 <> 3) AS INTEGER) AS with_frontmatter, CAST(count(*) FILTER (WHERE len(describes) > 0) AS INTEGER) AS with_describes, 0 AS with_verify,
+            CAST(count(*) FILTER (WHERE freshness NOT IN ('fresh', 'unverified')) AS INTEGER) AS not_fresh, CAST(count(*) FILTER (WHERE rl.suggested IS NOT NULL) AS INTEGER) AS relocated FROM r JOIN f_files f ON f.k = r.k LEFT JOIN rl ON rl.glob = 'old/' || f.typ || '/**'""", LINKS, MOVES, views=("f_renames",)),
+        "doctor_report": _reports("""SELECT CAST(row_number() OVER (ORDER BY o, i) AS INTEGER) AS place, severity, title, fix FROM (
+            SELECT CASE WHEN u > n / 2.0 THEN 1 ELSE 2 END AS o, 4 AS i, CASE WHEN u > n / 2.0 THEN 'major' ELSE 'minor' END AS severity, u || ' of ' || n || ' docs (' || CAST(round(100.0 * u / n) AS INTEGER) || '%) describe nothing' AS title, 'give them `describes`, or run init' AS fix FROM c WHERE u > 0
+            UNION ALL SELECT 1, 6, 'major', (SELECT count(*) FROM di) || ' duplicate ids: ' || (SELECT string_agg(id, ', ' ORDER BY id) FROM (SELECT id FROM di ORDER BY id LIMIT 5)), 'rename all but one of each' WHERE (SELECT count(*) FROM di) > 0
+            UNION ALL SELECT 1, 7, 'major', (SELECT count(*) FROM sd) || ' conflicts between docs', 'merge them, or let one supersede the other' WHERE (SELECT count(*) FROM sd) > 0
+            UNION ALL SELECT CASE WHEN b > n / 3.0 THEN 1 ELSE 2 END, 8, CASE WHEN b > n / 3.0 THEN 'major' ELSE 'minor' END, b || ' docs are not fresh', 'run check for the next step of each' FROM c WHERE b > 0
+            UNION ALL SELECT 2, 11, 'minor', 'no configuration file; defaults are used', 'run init with --yes for one' UNION ALL SELECT 2, 12, 'minor', 'no doc names a command that verifies it', 'add `verify` to the docs that matter most')""", IDS, SAME, COUNTS),
+        "unverified_without_history": _reports("SELECT d.path, 'unverified' AS freshness, 50 AS score, CAST(coalesce(len(c.describes), 0) AS INTEGER) AS claims FROM f_docs d LEFT JOIN claims c ON c.path = d.path"),
+        "folder_claims": _over("f_files", "SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS glob, regexp_replace(path, '/[^/]*$', '') AS path FROM f_files"),
+        "folder_history": _over("f_files f_commits f_commit_files", "SELECT folder, max(struct_pack(ts := c.author_ts, sha := c.sha, subject := c.subject)).sha AS sha FROM (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM f_files) f JOIN f_commit_files cf ON starts_with(cf.path, folder || '/') JOIN f_commits c ON c.sha = cf.sha GROUP BY folder"),
+        "counts_map": _reports("SELECT string_agg(freshness || '=' || n, ',' ORDER BY severity) AS counts FROM (SELECT k.freshness, k.severity, count(r.path) AS n FROM k LEFT JOIN r ON r.freshness = k.freshness GROUP BY 1, 2)", KNOWN),
+        "verify_gate": _reports("SELECT path, freshness FROM r WHERE freshness IN ('stale', 'expired', 'orphaned') OR len(body) % 10 = 0"),
+        "withheld_by_trust": _reports("SELECT path, freshness FROM (SELECT r.path, freshness FROM r JOIN rel USING (path) WHERE relevance > 0 ORDER BY relevance DESC, score DESC, r.path LIMIT 50) WHERE freshness NOT IN ('fresh', 'unverified', 'drifting') ORDER BY path LIMIT 20", RELEVANCE),
+        "map_entries": _reports("SELECT coalesce(kind, 'unclassified') AS key, CAST(row_number() OVER (PARTITION BY coalesce(kind, 'unclassified') ORDER BY k.severity DESC, tokens DESC, path) AS INTEGER) AS place, path, tokens FROM (SELECT *, " + _estimate("body") + " AS tokens FROM r) t JOIN k ON k.freshness = t.freshness", KNOWN),
+        "map_heat": _reports("""SELECT key, repeat('X', share(6)) || repeat('O', share(5)) || repeat('E', share(4)) || repeat('S', share(3)) || repeat('D', share(2)) || repeat('U', share(1)) || repeat('F', share(0)) AS strip,
+            repeat('#', least(20, CAST(floor(n0 * 20.0 / n + 0.5) AS INTEGER))) || repeat('.', 20 - least(20, CAST(floor(n0 * 20.0 / n + 0.5) AS INTEGER))) AS fresh FROM h""", KNOWN, "h AS (SELECT regexp_replace(path, '/[^/]*$', '') AS key, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE severity = {i}) AS n{i}" for i in range(7)) + " FROM r JOIN k USING (freshness) GROUP BY 1)"),
+        "freshness_table": _reports(f"SELECT path, freshness, score, CASE WHEN place <= 10 AND freshness NOT IN ('fresh', 'unverified') THEN evidence END AS evidence FROM (SELECT r.*, {EVIDENCE} AS evidence, row_number() OVER (ORDER BY k.severity DESC, score, path) AS place FROM r JOIN k USING (freshness))", KNOWN),
+        "evidence_lines": _reports(f"SELECT path, {EVIDENCE} AS evidence FROM r"),
+        "report_lookup": _reports("SELECT path, freshness, score FROM r WHERE path = (SELECT max(path) FROM f_docs)"),
+        "tool_glob": _over("f_files", "SELECT path FROM f_files WHERE regexp_matches(path, '^src/s[^/]*l/(.*/)?[^/]*5[.]ts$')"),
+        "tool_glob_folder": _over("f_files", "SELECT path FROM f_files WHERE path = 'src/small' OR starts_with(path, 'src/small/')"),
+        "handoff_tiers": _reports("""SELECT CAST(row_number() OVER (ORDER BY tier, files DESC, score DESC, path) AS INTEGER) AS place, path, CAST(tier AS INTEGER) AS tier, files FROM (SELECT t.path, min(tier) AS tier, CAST(max(n) AS INTEGER) AS files, any_value(r.score) AS score FROM
+            (SELECT path, 0 AS tier, len(files) AS n FROM cov UNION ALL SELECT path, 1, 0 FROM f_docs WHERE pin UNION ALL (SELECT r.path, 2, 0 FROM r JOIN rel USING (path) WHERE relevance > 0 ORDER BY relevance DESC, score DESC, r.path LIMIT 5)) t JOIN r ON r.path = t.path GROUP BY t.path ORDER BY tier, files DESC, score DESC, t.path LIMIT 20)""", *COVER, RELEVANCE),
+        "handoff_age": _over("f_docs f_commits", f"SELECT path, age AS age_days, ttl AS ttl_days, coalesce(age > ttl, FALSE) AS expired FROM (SELECT d.path, CAST(floor((epoch_ms({CLOCK}) - epoch_ms(c.author_ts)) / 86400000.0) AS INTEGER) AS age, coalesce(ttl_days, 7) AS ttl FROM f_docs d JOIN f_commits c ON c.sha = CAST(d.doc_id AS VARCHAR) WHERE kind = 'handoff')"),
+        "status_words": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'modified' WHEN 'O' THEN 'added' WHEN 'P' THEN 'renamed' ELSE o_orderstatus END || '/' || left(o_orderpriority, 1) || '/untracked' AS words FROM orders",
+        "note_bullets": _over("f_docs", r"""SELECT doc_id, CAST(len(b) AS INTEGER) AS n, sha256(array_to_string(b, '|')) AS bullets_sha FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(body, '([.?!])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '\n|\x01'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS b FROM f_docs)"""),
+        "date_order": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderpriority < '1996-01-01' THEN -1 WHEN o_orderpriority > '1996-01-01' THEN 1 ELSE 0 END WHEN CAST(o_orderdate AS DATE) < DATE '1996-01-01' THEN -1 WHEN CAST(o_orderdate AS DATE) > DATE '1996-01-01' THEN 1 ELSE 0 END AS sign FROM orders",
+        "display_width": _over("f_docs", f"SELECT doc_id, CAST(len(x) + len(x) - len(regexp_replace(x, '[{CJK}]', '', 'g')) AS INTEGER) AS width, CAST(5 + len(path) AS INTEGER) AS coloured FROM (SELECT doc_id, path, regexp_replace(body, '[\\x00-\\x1f\\x7f-\\x{{9f}}]', '', 'g') AS x FROM f_docs)"),
+        "display_cut": _over("f_docs", """SELECT doc_id, CASE WHEN len(w) <= 30 THEN w ELSE left(w, 29) || '…' END AS cut, '…/' || list_filter(list_transform(range(1, 10), lambda i: array_to_string(list_slice(string_split('a/long/way/down/' || path, '/'), i, 9), '/')), lambda t: len(t) <= 22)[1] AS path, rpad(kind, 12, ' ') AS padded
+            FROM (SELECT *, concat_ws(' ', path, id, kind) AS w FROM f_docs)"""),
+        "display_wrap": _over("f_docs", "SELECT doc_id, CAST(ceil(len(path) / 8.0) AS INTEGER) AS pieces, CASE WHEN len(concat_ws(' ', id, kind, path)) <= 30 THEN concat_ws(' ', id, kind, path) ELSE concat_ws(' ', id, kind) || '|' || path END AS lines FROM f_docs"),
+        "pack_left_out": _reports(f"""SELECT path, CASE WHEN excluded THEN 'excluded as ' || freshness || '; ask for stale documents to include it' WHEN {BUDGET} - total + cost <= 0 THEN 'the budget was used up ({BUDGET} tokens); rank ' || printf('%.3f', rank)
+            ELSE 'needs about ' || cost || ' tokens, ' || CAST({BUDGET} - total + cost AS BIGINT) || ' of {BUDGET} tokens were left' END AS why FROM (SELECT path, freshness, excluded, rank, cost, total FROM ps UNION ALL SELECT path, freshness, excluded, rank, cost, 0 FROM pk WHERE excluded) WHERE excluded OR (total > {BUDGET} AND {BUDGET} - total + cost < 400)""", PACK),
+        "fnv1a_shingles": _over("f_docs", "SELECT doc_id, CASE WHEN len(ws) >= 40 THEN sha256(array_to_string(list_sort(hs), ',')) END AS hashes_sha, CASE WHEN len(ws) >= 40 THEN CAST(len(hs) AS INTEGER) END AS n FROM f_docs d JOIN fv USING (path)", HASHES),
+        "minhash_sketch": _over("f_docs", "SELECT doc_id, CASE WHEN len(ws) >= 40 THEN array_to_string(list_sort(hs)[1:64], ',') END AS sketch FROM f_docs d JOIN fv USING (path)", HASHES),
+        "sketch_similarity": _over("f_docs", """SELECT doc_id, round(len(list_filter(u, lambda h: list_contains(a, h) AND list_contains(b, h))) * 1.0 / k, 6) AS similarity FROM (SELECT doc_id, a, b, k, list_sort(list_distinct(list_concat(a, b)))[1:k] AS u
+            FROM (SELECT x.doc_id, x.s AS a, y.s AS b, least(len(x.s), len(y.s)) AS k FROM sk x JOIN sk y ON y.doc_id = x.doc_id + 1))""", HASHES, "sk AS (SELECT doc_id, list_sort(hs)[1:64] AS s FROM f_docs JOIN fv USING (path) WHERE len(ws) >= 40)"),
     }
     for key, by in (("kind", "coalesce(kind, 'unclassified')"), ("freshness", "freshness"), ("dir", "regexp_replace(path, '/[^/]*$', '')")):
         out[f"map_by_{key}"] = _reports(f"SELECT {by} AS key, CAST(count(*) AS INTEGER) AS docs, CAST(sum({_estimate('body')}) AS BIGINT) AS tokens FROM r GROUP BY 1")
+    for i in range(7):
+        out["map_heat"] = out["map_heat"].replace(f"share({i})", f"CASE WHEN n <= 24 THEN n{i} WHEN n{i} = 0 THEN 0 ELSE greatest(1, CAST(floor(n{i} * 24.0 / n + 0.5) AS BIGINT)) END")
+    out["relocation_reason"] = re.sub(r"files\((\w+|\([^()]*\))\)", r"\1 || CASE WHEN \1 = 1 THEN ' file' ELSE ' files' END", out["relocation_reason"])
     # glob is a keyword there
     return {k: re.sub(r"(?<![\w\"'/])glob(?![\w(\"])", '"glob"', sql) for k, sql in out.items()}

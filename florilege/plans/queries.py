@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.dims import FRONT_FIELDS, Config
+from florilege.functions import display as D
 from florilege.functions import frontmatter as FM
 from florilege.functions import text as T
 from florilege.operators import conflicts as C
@@ -65,8 +66,7 @@ def missing_globs(fx):
 
 def path_normalize(fx):
     raw = F.concat(F.lit("./"), F.regexp_replace("path", "/", "//"), F.lit("/"))
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\\", "/"), "/{2,}", "/"), r"^(\./)+", ""), "^/|(?<=.)/$", "")
-    return fx.files.select(raw.alias("raw"), clean.alias("path"))
+    return fx.files.select(raw.alias("raw"), F.pandas_udf(lambda p: p.map(GJ.G.normalize_path), "string")(raw).alias("path"))
 
 
 def doc_last_commit(fx):
@@ -147,11 +147,17 @@ def doctor_counts(fx):
 
 def doctor_findings(fx):
     d = _docs(fx)
-    return RP.findings(RP.doctor_counts(_reports(fx)), C.duplicate_ids(d), C.exact_duplicates(d))
+    return RP.findings(RP.doctor_counts(_reports(fx)), C.duplicate_ids(d), C.all_conflicts(d))
+
+
+def _changed(fx):
+    """Files of the ten newest commits, as if not yet committed."""
+    newest = fx.commits.where("author_ts is not null").orderBy(F.desc("author_ts"), F.desc("sha")).limit(10)
+    return fx.commit_files.join(newest.select("sha"), "sha").join(fx.files.select("path"), "path", "left_semi").select("path").distinct()
 
 
 def handoff_cover(fx):
-    changed = fx.files.where("k % 7 = 0")
+    changed = _changed(fx)
     return RP.covered(_globs(fx), changed).select("path", _joined("files").alias("files"))
 
 
@@ -254,11 +260,12 @@ def exact_duplicates(fx):
 
 
 def fnv1a_shingles(fx):
-    return fx.docs.select("doc_id", F.transform(T.shingles(F.col("body")), T.fnv1a).alias("h"))
+    h = F.array_sort(F.array_distinct(F.transform(T.shingles(F.col("body")), T.fnv1a)))
+    return fx.docs.select("doc_id", F.sha2(F.array_join(h, ","), 256).alias("hashes_sha"), F.when(h.isNotNull(), F.size(h)).alias("n"))
 
 
 def minhash_sketch(fx):
-    return fx.docs.select("doc_id", C.minhash_sketch(F.col("body")).alias("sketch"))
+    return fx.docs.select("doc_id", _joined(C.minhash_sketch(F.col("body"))).alias("sketch"))
 
 
 def near_duplicates(fx):
@@ -278,8 +285,8 @@ def facts_scripts(fx):
 
 
 def fact_placeholders(fx):
-    raw = F.regexp_extract("raw", r"PORT=([^\n]*)", 1)
-    return fx.md.select("doc_id", C.is_placeholder(raw).alias("placeholder"))
+    words = fx.docs.select("doc_id", F.explode(F.split("body", " ")).alias("word"))
+    return words.groupBy("doc_id").agg(F.count_if(C.is_placeholder(F.col("word"))).alias("placeholders"), F.count(F.lit(1)).alias("words"))
 
 
 def asserted_facts(fx):
@@ -287,7 +294,7 @@ def asserted_facts(fx):
 
 
 def contradictions(fx):
-    md = _md(fx).withColumns({"supersedes": F.array().cast("array<string>"), "id": F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))})
+    md = _md(fx).join(_docs(fx).select("doc_id", "id", "supersedes"), "doc_id")
     return C.contradictions(md).select("key", "severity", "label", F.array_join("values", "|").alias("values"), F.size("paths").alias("docs"))
 
 
@@ -324,7 +331,8 @@ def iso_date_valid(fx):
 
 
 def slugify(fx):
-    return fx.docs.select("doc_id", T.slugify(F.left("body", F.lit(40))).alias("slug"), T.is_slug(F.left("body", F.lit(9))).alias("is_slug"), T.file_slug(F.concat(F.lpad((F.col("doc_id") % 1000).cast("string"), 4, "0"), F.lit("-Use It.md"))).alias("file_slug"))
+    name = F.concat(F.lpad((F.col("doc_id") % 1000).cast("string"), 4, "0"), F.lit("-"), F.col("lang"), F.lit(" "), F.col("source"), F.lit(".md"))
+    return fx.table("documents").select("doc_id", F.sha2(T.slugify(F.col("text")), 256).alias("slug_sha"), T.is_slug(F.col("source")).alias("is_slug"), T.file_slug(name).alias("file_slug"))
 
 
 def suggest(fx):
@@ -355,9 +363,10 @@ def infer_kind(fx):
 
 
 def infer_describes(fx):
-    # part files that a document's number reaches, as if it had cited them all
-    files = fx.files.select(F.col("path").alias("file"), F.col("k").alias("file_k"))
-    cited = fx.docs.join(files, F.col("doc_id") % 50 == F.col("file_k") % 50).select("path", "file")
+    # the files of the commits that a document's own customer made, as if it had cited them
+    own = fx.commit_files.join(fx.docs.select("path"), "path", "left_semi").select("sha", "path")
+    touched = fx.commit_files.join(fx.files.select("path"), "path", "left_semi").select("sha", F.col("path").alias("file"))
+    cited = own.join(touched, "sha").select("path", "file")
     return I.describes(cited).select("path", F.array_join("globs", ",").alias("globs"), F.size("evidence").alias("evidence"))
 
 
@@ -378,6 +387,141 @@ def relocations(fx):
     return RL.relocations(*_relocation(fx))
 
 
+def relocation_reason(fx):
+    moves = RL.relocations(*_relocation(fx))
+    return moves.select("glob", FR.relocation_reason(moves).alias("reason"))
+
+
+def _movers(fx):
+    """Reports of documents that all claim the old folder of their file's type."""
+    typ = fx.files.select("k", F.array(F.concat(F.lit("old/"), "typ", F.lit("/**"))).alias("missing"))
+    return _reports(fx).drop("missing").join(typ, "k")
+
+
+def moved_hints(fx):
+    r = FR.with_moves(_movers(fx).withColumn("freshness", F.lit("orphaned")), RL.relocations(*_relocation(fx)))
+    return r.select("path", FR.fix_hint(r).alias("hint"))
+
+
+def doctor_populations(fx):
+    has = _md(fx).select("doc_id", "has_fm")
+    return RP.populations(_movers(fx).join(has, "doc_id"), RL.relocations(*_relocation(fx)))
+
+
+def doctor_report(fx):
+    d = _docs(fx)
+    return RP.doctor_report(RP.populations(_reports(fx)), C.duplicate_ids(d), C.exact_duplicates(d), configured=False)
+
+
+def unverified_without_history(fx):
+    return FR.without_history(_docs(fx), _globs(fx)).select("path", "freshness", "score", F.size("describes").alias("claims"))
+
+
+def folder_claims(fx):
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    globs = fx.files.select(folder.alias("glob")).union(fx.files.select(F.concat(F.lit("gone/"), F.col("typ")))).distinct()
+    return GJ.folder_claims(globs, fx.files, GJ.match(globs, fx.files))
+
+
+def folder_history(fx):
+    folders = fx.files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
+    inside = GJ.below(folders, fx.commit_files)
+    return FR.newest(inside.join(fx.commit_files, "path").join(fx.commits, "sha"), "folder").select("folder", "commit.sha")
+
+
+def counts_map(fx):
+    return RP.counts_map(_reports(fx)).select(F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"))
+
+
+def verify_gate(fx):
+    ran = fx.docs.select("path", (F.length("body") % 10 != 0).alias("passed"))
+    return RP.failing(_reports(fx), ran).select("path", "freshness")
+
+
+def withheld_by_trust(fx):
+    return RP.below_trust(R.search(_reports(fx), TASK, 50), "drifting").select("path", "freshness")
+
+
+def map_entries(fx):
+    return RP.map_entries(_reports(fx), "kind").select("key", "place", "path", "tokens")
+
+
+def map_heat(fx):
+    return RP.heat(_reports(fx), "dir")
+
+
+def freshness_table(fx):
+    return FR.evidence_table(_reports(fx))
+
+
+def evidence_lines(fx):
+    r = _reports(fx)
+    return r.select("path", FR.evidence_line(r).alias("evidence"))
+
+
+def report_lookup(fx):
+    # one path: the newest document's
+    last = fx.docs.agg(F.max("path").alias("path"))
+    return _reports(fx).join(F.broadcast(last), "path", "left_semi").select("path", "freshness", "score")
+
+
+def tool_glob(fx):
+    return RP.tool_select(fx.files, "src/s*l/**/*5.ts").select("path")
+
+
+def tool_glob_folder(fx):
+    return RP.tool_select(fx.files, "./src/small").select("path")
+
+
+def handoff_tiers(fx):
+    r = _reports(fx)
+    return RP.handoff_tiers(RP.covered(_globs(fx), _changed(fx)), r, R.search(r, TASK, 5)).select("place", "path", "tier", F.size("files").alias("files"))
+
+
+def handoff_age(fx):
+    notes = fx.docs.where("kind = 'handoff'").join(fx.commits, fx.docs.doc_id.cast("string") == fx.commits.sha).select("path", F.col("author_ts").alias("written"), "ttl_days")
+    return RP.handoff_age(notes, now())
+
+
+def status_words(fx):
+    return fx.table("orders").select("o_orderkey", RP.status_words(F.concat(F.translate("o_orderstatus", "FOP", "MAR"), F.left("o_orderpriority", F.lit(1)), F.lit("?"))).alias("words"))
+
+
+def note_bullets(fx):
+    return fx.docs.select("doc_id", F.size(RP.bullets(F.col("body"))).alias("n"), F.sha2(F.array_join(RP.bullets(F.col("body")), "|"), 256).alias("bullets_sha"))
+
+
+def date_order(fx):
+    o = fx.table("orders")
+    text = F.date_format("o_orderdate", "yyyy-MM-dd")
+    odd = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise(text)
+    return o.select("o_orderkey", RP.earlier(odd, F.lit("1996-01-01")).alias("sign"))
+
+
+def display_width(fx):
+    return fx.docs.select("doc_id", D.width(F.col("body")).alias("width"), D.width(F.concat(F.lit("\u001b[31m世界\u001b[0m "), "path")).alias("coloured"))
+
+
+def display_cut(fx):
+    return fx.docs.select("doc_id", D.truncate(F.concat_ws(" ", "path", "id", "kind"), 30).alias("cut"), D.truncate_path(F.concat(F.lit("a/long/way/down/"), F.col("path")), 24).alias("path"), D.pad(F.col("kind"), 12).alias("padded"))
+
+
+def display_wrap(fx):
+    return fx.docs.select("doc_id", F.size(D.wrap(F.col("path"), 8)).alias("pieces"), F.array_join(D.wrap(F.concat_ws(" ", "id", "kind", "path"), 30), "|").alias("lines"))
+
+
+def pack_left_out(fx):
+    p = _packed(fx).where("place in ('omitted', 'excluded')")
+    return p.select("path", R.left_out(p, BUDGET).alias("why"))
+
+
+def sketch_similarity(fx):
+    # each document's sketch against that of its neighbour by number
+    sk = fx.docs.select("doc_id", C.minhash_sketch(F.col("body")).alias("sketch")).where("sketch is not null")
+    two = sk.select((F.col("doc_id") - 1).alias("doc_id"), F.col("sketch").alias("other"))
+    return sk.join(two, "doc_id").select("doc_id", F.round(C.sketch_similarity(F.col("sketch"), F.col("other")), 6).alias("similarity"))
+
+
 NOT_QUERIES = {"now"}
 
 
