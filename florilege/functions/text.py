@@ -214,11 +214,28 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(F.transform(F.split(text, ""), F.ascii), F.lit(2166136261).cast("long"), lambda h, c: h.bitwiseXOR(c.cast("long")) * F.lit(16777619).cast("long") % F.lit(1 << 32))
 
 
-def shingles(text: Column, size: int = 5) -> Column:
-    """Distinct `size`-word shingles of a text without ``` blocks; null below 40 words."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"(?s)```.*?```", " "), "[^a-z0-9]+"), lambda w: w != "")
+LEAST_WORDS = 40
+
+
+def shingle_words(text: Column) -> Column:
+    """The words of a text without ``` blocks, of which shingles are made."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"(?s)```.*?```", " "), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _runs(words: Column, size: int, make) -> Column:
+    """`make` of each run of `size` words; null below LEAST_WORDS."""
     # shifted copies side by side: a slice inside the lambda would read the whole array again for each place
     count = F.greatest(F.size(words) - (size - 1), F.lit(0))
     columns = F.arrays_zip(*[F.slice(words, F.lit(i + 1), count).alias(f"w{i}") for i in range(size)])
-    made = F.transform(columns, lambda w: F.concat_ws(" ", *[w[f"w{i}"] for i in range(size)]))
-    return F.when(F.size(words) >= 40, F.array_distinct(made))
+    made = F.transform(columns, lambda w: make(*[w[f"w{i}"] for i in range(size)]))
+    return F.when(F.size(words) >= LEAST_WORDS, F.array_distinct(made))
+
+
+def shingles(text: Column, size: int = 5) -> Column:
+    """Distinct `size`-word shingles of a text without ``` blocks; null below LEAST_WORDS words."""
+    return _runs(shingle_words(text), size, lambda *w: F.concat_ws(" ", *w))
+
+
+def shingle_hashes(words: Column, size: int = 5) -> Column:
+    """Distinct 64-bit hashes of the shingles of `shingle_words`."""
+    return _runs(words, size, F.xxhash64)

@@ -35,23 +35,25 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One document, of the least path, for each distinct body."""
-    hashed = docs.select("path", "body", T.content_hash(F.col("body")).alias("h"))
-    return hashed.join(hashed.groupBy("h").agg(F.min("path").alias("path")), ["h", "path"], "left_semi").select("path", "body")
+    first = docs.groupBy(T.content_hash(F.col("body")).alias("h")).agg(F.min("path").alias("path"))
+    return docs.select("path", "body").join(first, "path", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard) of representatives whose shingle sets overlap by more than threshold.
 
     Exact, by prefix filtering: two sets that similar share one of their rarest n - ceil(t n) + 1
-    shingles, so only these are joined, and sizes may differ by the factor t at most.
+    shingles, so only these are joined, and sizes may differ by the factor t at most. A shingle of
+    one document takes its place among the rarest but finds no partner, so it is only counted.
     """
-    sets = representatives(docs).select("path", F.transform(T.shingles(F.col("body")), lambda s: F.xxhash64(s)).alias("hs")).where("hs is not null")
-    sets = sets.withColumn("hs", F.array_distinct("hs")).withColumn("n", F.size("hs")).persist()
+    # making shingles takes far longer than moving the texts, so all tasks share them
+    words = representatives(docs).repartition("path").select("path", T.shingle_words(F.col("body")).alias("words"))
+    sets = words.select("path", T.shingle_hashes(F.col("words")).alias("hs")).where("hs is not null").withColumn("n", F.size("hs")).persist()
     rows = sets.select("path", "n", F.explode("hs").alias("h"))
     rarity = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # a shingle of one document finds no partner but takes its place in the prefix
-    ranked = rows.join(rarity, "h", "left").withColumn("at", F.row_number().over(Window.partitionBy("path").orderBy(F.coalesce("df", F.lit(1)), "h")))
-    prefix = ranked.where(F.col("df").isNotNull() & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)).select("path", "n", "h")
+    own = rows.join(rarity, "h").groupBy("path", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    most = F.col("n") - F.ceil(F.col("n") * threshold) + 1 - (F.col("n") - F.size("shared"))
+    prefix = own.where(most > 0).select("path", "n", F.explode(F.slice("shared", F.lit(1), most.cast("int"))).alias("s")).select("path", "n", "s.h")
     left, right = prefix.toDF("a", "na", "h"), prefix.toDF("b", "nb", "h")
     pairs = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
     both = pairs.join(sets.select(F.col("path").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("path").alias("b"), F.col("hs").alias("hb")), "b")

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from florilege.functions import globs as G
 
-MOST_UNKEYED = 10_000
-
 
 def _compiled(glob: pd.Series) -> pd.DataFrame:
     rows = [(G.to_regex(g), *G.join_key(g)) for g in glob.fillna("")]
@@ -20,8 +18,9 @@ def match(globs: DataFrame, files: DataFrame) -> DataFrame:
     """(glob, path) for each distinct glob of globs(glob) and each file of files(path) that it matches.
 
     A glob without wildcards meets its path, one with a plain last part the files of that name, one
-    with a fixed leading folder the files below it. Only globs with none of these are compared with
-    all files, as a broadcast, up to MOST_UNKEYED of them; more are dealt out over the files' side.
+    with a fixed leading folder the files below it, one that ends in a plain ending the files that end
+    so. Only globs with none of these, such as `**`, are compared with all files, which most of them
+    match; the engine's own sizes decide whether either side is a broadcast.
     """
     keyed = globs.select("glob").where("glob is not null and glob <> ''").distinct().withColumn("c", F.pandas_udf(_compiled, "rx string, kind string, key string")("glob")).select("glob", "c.rx", "c.kind", "c.key")
     paths = files.select("path").distinct()
@@ -32,16 +31,14 @@ def match(globs: DataFrame, files: DataFrame) -> DataFrame:
         "name": paths.withColumn("key", F.element_at(parts, -1)),
         # the folder itself may be listed, as `x/**` stands for x too
         "folder": paths.withColumn("key", F.explode(F.array_distinct(F.concat(folders, F.array("path"))))),
+        "end": paths.withColumn("key", F.regexp_extract("path", r"\.([^./]+)\z", 1)).where("key <> ''"),
     }
     found = None
     for kind, side in by.items():
         part = keyed.where(F.col("kind") == kind).join(side, "key").where(F.regexp_like("path", F.col("rx")))
         found = part if found is None else found.unionByName(part)
     loose = keyed.where("kind = 'none'")
-    few = loose.limit(MOST_UNKEYED + 1).count() if loose.limit(1).count() else 0
-    if few:
-        side = F.broadcast(loose) if few <= MOST_UNKEYED else loose
-        found = found.unionByName(paths.join(side, F.regexp_like("path", F.col("rx"))).select(found.columns))
+    found = found.unionByName(paths.join(loose, F.regexp_like("path", F.col("rx"))).select(found.columns))
     return found.select("glob", "path").distinct()
 
 

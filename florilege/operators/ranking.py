@@ -36,32 +36,37 @@ def term_frequency(docs: DataFrame) -> DataFrame:
     return rows.groupBy("path", "field", "term", "field_len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
-def _equals(term: str):
-    return lambda w: w == F.lit(term)
+def _let(value: Column, f) -> Column:
+    """f(value), the value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def relevance(docs: DataFrame, task: str) -> DataFrame:
-    """docs with `relevance` in 0..1; the few query terms are literals, so rows are scored where they lie."""
+    """docs with `relevance` in 0..1; the few query terms are one literal array, so rows are scored where they lie."""
     terms = T.query_terms(docs.sparkSession, task)
     if not terms:
         return docs.withColumn("relevance", F.lit(0.0))
     tokens = with_tokens(docs)
-    score = F.lit(0.0)
-    for term in terms:
-        hits = F.lit(0.0)
-        for name, weight in FIELD_WEIGHT.items():
-            tf = F.size(F.filter(f"t_{name}", _equals(term)))
-            hits = hits + weight * saturation(tf, F.size("t_body") if name == "body" else None)
-        score = score + 1 - F.exp(-hits / SOFT)
-    score = score / len(terms)
+    asked = F.lit(terms)
+    count = lambda name, term: F.size(F.filter(f"t_{name}", lambda w: w == term))
+
+    def weighed(name, term):
+        length = F.size("t_body") if name == "body" else None
+        return F.lit(FIELD_WEIGHT[name]) * _let(count(name, term), lambda tf: saturation(tf, length))
+
+    def hits(term):
+        first, *others = [weighed(name, term) for name in FIELD_WEIGHT]
+        return 1 - F.exp(-sum(others, first) / SOFT)
+
+    score = F.aggregate(F.transform(asked, hits), F.lit(0.0), lambda total, h: total + h) / len(terms)
     wanted = [f"{a} {b}" for a, b in zip(terms, terms[1:], strict=False)]
     if wanted:
         seen = F.concat(*[T.pairs(F.col(f"t_{f}")) for f in ("title", "headings", "tags", "body")])
-        share = sum((F.array_contains(seen, p).cast("int") for p in wanted), F.lit(0)) / float(len(wanted))
-        score = score + (1 - score) * 0.3 * share
+        share = F.size(F.array_intersect(F.lit(wanted), seen)) / float(len(set(wanted)))
+        score = _let(score, lambda s: s + (1 - s) * 0.3 * share)
     if "id" in docs.columns:
-        named = (F.length("id") >= 3) & (F.instr(F.lit(task.lower()), F.lower("id")) > 0)
-        score = F.when(F.coalesce(named, F.lit(False)), F.greatest(score, F.lit(0.9))).otherwise(score)
+        named = F.coalesce((F.length("id") >= 3) & (F.instr(F.lit(task.lower()), F.lower("id")) > 0), F.lit(False))
+        score = F.greatest(score, F.when(named, F.lit(0.9)).otherwise(F.lit(0.0)))
     return tokens.withColumn("relevance", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.floor(score * 10_000 + 0.5) / 10_000))).drop(*[f"t_{k}" for k in FIELD_WEIGHT])
 
 
@@ -80,10 +85,10 @@ def search(reports: DataFrame, query: str, limit: int = 10) -> DataFrame:
 def running_total(df: DataFrame, order: list[Column], value: Column, into: str) -> DataFrame:
     """Adds the running sum of value in a total order, by range partitions and their totals.
 
-    The one window without a key runs over a row for each partition. Rows are persisted, as finding
-    the ranges, the totals and the sums each read them.
+    The one window without a key runs over a row for each partition. Finding the ranges, the totals
+    and the sums each read the rows: pass narrow ones that are held in memory.
     """
-    parts = df.persist().repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     parts = parts.withColumn("_inside", inside)
     ends = parts.groupBy("_part").agg(F.max("_inside").alias("_sum"))
@@ -91,20 +96,21 @@ def running_total(df: DataFrame, order: list[Column], value: Column, into: str)
     return parts.join(F.broadcast(before), "_part").withColumn(into, F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")
 
 
-def pack(reports: DataFrame, task: str, budget: int = 8000, include_stale: bool = False, kinds: list[str] | None = None) -> DataFrame:
-    """Every candidate once, with `place` entry, cut, omitted or excluded, its cost and the tokens before it.
+def pack_plan(reports: DataFrame, task: str, budget: int = 8000, include_stale: bool = False, kinds: list[str] | None = None) -> DataFrame:
+    """(path, kind, pin, freshness, score, relevance, rank, cost, total, left, place) of every candidate.
 
-    reports(path, body, kind, pin, freshness, score, ...). `cut` marks the one row that may enter
-    shortened (see `shorten`). Rows below the relevance floor are about something else and left out.
+    Ranks and costs are written to memory once, without texts, before anything is chosen by them: a
+    condition on relevance would otherwise be worked out again beneath each join that it passes.
     """
     budget = max(0, int(budget))
     asked = bool(T.query_terms(reports.sparkSession, task))
     rows = reports.where(F.col("kind").isin(*kinds)) if kinds else reports
     rows = relevance(rows, task) if asked else rows.withColumn("relevance", F.lit(NEUTRAL))
     pinned = F.coalesce(F.col("pin"), F.lit(False))
+    rows = rows.select("path", "kind", "pin", "freshness", "score", "relevance", T.token_estimate(F.col("body")).alias("cost")).persist()
     rows = rows.where(pinned | (F.col("relevance") >= FLOOR)) if asked else rows
     gate = F.lit(False) if include_stale else ~pinned & F.col("freshness").isin(*DEGRADED)
-    rows = rows.withColumns({"rank": rank(F.col("relevance")), "excluded": gate, "pinned": pinned, "cost": T.token_estimate(F.col("body"))})
+    rows = rows.withColumns({"rank": rank(F.col("relevance")), "excluded": gate, "pinned": pinned})
     cost = F.when(F.col("excluded"), 0).otherwise(F.col("cost"))
     order = [F.desc("pinned"), F.desc("rank"), F.desc("score"), F.collate("path", "UNICODE").asc(), F.col("path").asc()]
     summed = running_total(rows, order, cost, "total")
@@ -121,6 +127,16 @@ def pack(reports: DataFrame, task: str, budget: int = 8000, include_stale: bool
     return summed.withColumn("left", F.greatest(left, F.lit(0))).withColumn("place", place).drop("pinned", "excluded")
 
 
+def pack(reports: DataFrame, task: str, budget: int = 8000, include_stale: bool = False, kinds: list[str] | None = None) -> DataFrame:
+    """Every candidate once, with `place` entry, cut, omitted or excluded, its cost and the tokens before it.
+
+    reports(path, body, kind, pin, freshness, score, ...). `cut` marks the one row that may enter
+    shortened (see `shorten`). Rows below the relevance floor are about something else and left out.
+    """
+    plan = pack_plan(reports, task, budget, include_stale, kinds)
+    return reports.join(plan.select("path", "relevance", "rank", "cost", "total", "left", "place"), "path")
+
+
 def left_out(packed: DataFrame, budget: int) -> Column:
     """Why a row of a pack is not in it; null for those that are."""
     text = lambda c: F.col(c).cast("string")

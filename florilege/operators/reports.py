@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,19 +72,28 @@ def findings(counts: DataFrame, duplicate_ids: DataFrame, conflicts: DataFrame)
     return row.select(F.explode(found).alias("f")).select("f.severity", "f.title")
 
 
-def _handoff_regex(globs: pd.Series) -> pd.Series:
-    return globs.map(G.handoff_regex)
+def _handoff_regex(globs: pd.Series) -> pd.DataFrame:
+    """Expression, and the whole path or the leading folders that every match has."""
+    rows = []
+    for g in globs:
+        fixed = re.split(r"[*?]", g)[0]
+        rows.append((G.handoff_regex(g), fixed if fixed == g else fixed.rsplit("/", 1)[0] if "/" in fixed else ""))
+    return pd.DataFrame(rows, columns=["rx", "lead"])
 
 
 def covered(doc_globs: DataFrame, changed: DataFrame) -> DataFrame:
     """(path, files): changed files that each document's globs cover, in the handoff dialect.
 
-    Changed files are those of one working state; they go out as a broadcast when few.
+    Globs meet files by the folder before their first wildcard; only those without one are compared
+    with every changed file. Changed files are those of one working state.
     """
-    globs = doc_globs.select("glob").distinct().withColumn("rx", F.pandas_udf(_handoff_regex, "string")("glob"))
-    side = changed.select(F.col("path").alias("file")).distinct()
-    side = F.broadcast(side) if side.limit(10_001).count() <= 10_000 else side
-    hits = globs.join(side, F.regexp_like("file", F.col("rx"))).select("glob", "file")
+    globs = doc_globs.select("glob").where("glob <> ''").distinct().withColumn("c", F.pandas_udf(_handoff_regex, "rx string, lead string")("glob")).select("glob", "c.*")
+    files = changed.select(F.col("path").alias("file")).distinct()
+    parts = F.split("file", "/")
+    leads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    keyed = globs.where("lead <> ''").join(files.withColumn("lead", F.explode(leads)), "lead")
+    loose = globs.where("lead = ''").crossJoin(files)  # patterns such as `**/x`, by the files of one working state
+    hits = keyed.select("glob", "rx", "file").unionByName(loose.select("glob", "rx", "file")).where(F.regexp_like("file", F.col("rx"))).select("glob", "file")
     return doc_globs.join(hits, "glob").groupBy("path").agg(F.array_sort(F.collect_set("file")).alias("files"))
 
 

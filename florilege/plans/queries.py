@@ -224,7 +224,7 @@ def pack_rank(fx):
 
 
 def _packed(fx):
-    return R.pack(_reports(fx), TASK, BUDGET)
+    return R.pack_plan(_reports(fx), TASK, BUDGET)
 
 
 def pack_budget(fx):
@@ -244,7 +244,7 @@ def pack_excluded(fx):
 
 
 def pack_by_kind(fx):
-    return R.pack(_reports(fx), "", BUDGET, include_stale=True, kinds=["decision", "runbook"]).select("path", "place")
+    return R.pack_plan(_reports(fx), "", BUDGET, include_stale=True, kinds=["decision", "runbook"]).select("path", "place")
 
 
 def truncate_blocks(fx):
