@@ -94,17 +94,17 @@ def _rates(sizes: DataFrame, cap: float) -> DataFrame:
         miss = F.col("got") - F.col("target")
         lo, hi = F.when(miss < 0, F.col("lam")).otherwise(F.col("lo")), F.when(miss > 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") - miss / F.col("slope")
-        inside = (F.col("slope") > 0) & (newton > lo) & (newton < hi) & F.lit(step < NEWTON_STEPS)
-        # an interval without a number between its ends is as near as numbers come
-        spent = ((lo + hi) / 2 <= lo) | ((lo + hi) / 2 >= hi)
-        done = F.col("got").isNull() | (F.abs(miss) <= TOLERANCE * F.col("target")) | spent
+        inside = (F.col("slope") > 0) & (newton > lo) & (newton < hi) if step < NEWTON_STEPS else F.lit(False)
+        done = F.col("got").isNull() | (F.abs(miss) <= TOLERANCE * F.col("target"))
         state = joined.select(
             "source", "source_size", "target", "mean", (F.col("solved") | done).alias("solved"),
             F.when(done, F.col("lo")).otherwise(lo).alias("lo"), F.when(done, F.col("hi")).otherwise(hi).alias("hi"),
             F.when(done, F.col("lam")).when(inside, newton).otherwise((lo + hi) / 2).alias("lam"),
         )
         if step % 4 == 3:
-            state = checkpoint(state)
+            # an interval as narrow as its numbers' last digits is as near as numbers come
+            narrow = F.col("hi") - F.col("lo") <= 1e-15 * F.greatest(F.abs("lo"), F.abs("hi"))
+            state = checkpoint(state.withColumn("solved", F.col("solved") | narrow))
             if not state.where("not solved").limit(1).count():
                 break
     else:
