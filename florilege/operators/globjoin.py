@@ -10,10 +10,16 @@ from florilege.functions import globs as G
 
 
 def _compiled(glob: pd.Series) -> pd.DataFrame:
-    rows = [(G.to_regex(g), *G.join_key(g)) for g in glob.fillna("")]
+    rows = [(G.to_regex(g), *_key(g)) for g in glob.fillna("")]
     return pd.DataFrame(rows, columns=["rx", "kind", "key"])
 
 
+def _key(glob: str) -> tuple[str, str]:
+    kind, value = G.join_key(glob)
+    end = G.ending(glob) if kind == "none" else ""
+    return ("end", end) if end else (kind, value)
+
+
 def match(globs: DataFrame, files: DataFrame) -> DataFrame:
     """(glob, path) for each distinct glob of globs(glob) and each file of files(path) that it matches.
 

@@ -166,3 +166,16 @@ def test_config(tmp_path):
     assert CF.safe_path(str(tmp_path), "a/b").endswith("a/b")
     with pytest.raises(ValueError):
         CF.safe_path(str(tmp_path), "../x")
+
+
+def test_keyed_glob_join_equals_every_pair(spark):
+    from florilege.operators import globjoin
+
+    r = random.Random(5)
+    parts = ["src", "a", "*", "**", "a.ts", "*.ts", "*.[tj]s", "[.]ts", "*.{ts,js}", "?.d.ts", "x*.", ".ts", "[!.]*.ts", "{a,src}", "*[.ts", "*[a.ts]", "b]", "."]
+    names = ["src", "a", "b", "a.ts", "b.ts", "x.d.ts", ".ts", "a.js", "x.", "q[.ts", "b]", "ts", "é.ts"]
+    globs = sorted({"/".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(250)})
+    paths = sorted({G.normalize_path("/".join(r.choice(names) for _ in range(r.randint(1, 3)))) for _ in range(120)})
+    found = globjoin.match(spark.createDataFrame([(g,) for g in globs], "glob string"), spark.createDataFrame([(p,) for p in paths], "path string"))
+    got = {(x.glob, x.path) for x in found.collect()}
+    assert got == {(g, p) for g in globs for p in paths if G.matches(g, p)}
