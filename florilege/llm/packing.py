@@ -117,7 +117,7 @@ def _keyed(edges):
 
 
 @cache
-def _encoder(vocabulary: str):
+def encoder(vocabulary: str):
     """encode(text) -> ids of the vocabulary file, and the tokenizers object that it stands for."""
     import tiktoken
     from tokenizers import Tokenizer
@@ -156,7 +156,7 @@ def _pack(vocabulary: str, length: int, with_ids: bool):
     """Rows (bucket, key, doc_id, text), sorted, to pieces; a bucket lies in one task."""
 
     def run(batches):
-        encode, bucket, seq, room = _encoder(vocabulary), None, 0, []
+        encode, bucket, seq, room = encoder(vocabulary), None, 0, []
         held = []  # pieces of the open sequence: doc, start, ids, doc tokens
 
         def emit(rows, number, at=0):

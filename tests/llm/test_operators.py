@@ -299,7 +299,7 @@ def test_packing(odd, wide, none, odd_rows):
 def test_special_strings_and_fast_tokens_agree(documents):
     from tokenizers import Tokenizer
 
-    whole, encode = Tokenizer.from_file(vocabulary()), packing._encoder(vocabulary())
+    whole, encode = Tokenizer.from_file(vocabulary()), packing.encoder(vocabulary())
     texts = [r.text for r in documents.limit(60).collect()] + ["<|endoftext|> x", "  a\n\n\tb ", "naïve 東京 🙂 don't 12,345", "  x", "'S IT'S"]
     assert [encode(t) for t in texts] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 

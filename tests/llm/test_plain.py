@@ -127,7 +127,7 @@ def test_long_runs_are_encoded(char):
     from tokenizers import Tokenizer
 
     text = "x" + char * (400_000 // len(char)) + "y"
-    assert packing._encoder(vocabulary())(text) == Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids
+    assert packing.encoder(vocabulary())(text) == Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids
 
 
 # 9
