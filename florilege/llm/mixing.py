@@ -8,8 +8,10 @@ on the dual, each step one aggregate over a (source, size) histogram, until ever
 constraint (halving from NEWTON_STEPS on; an error if one never does). Rates are rounded to whole
 copies by a hash of the row, `cap` at most. What a source's copies then miss or exceed is made up by
 one copy more or less of documents: in hash order, as far as an exact prefix sum of their sizes fits
-in it, then the largest that fits in the rest, again and again. No text is cut, so a source stays off
-its target by less than any change of one copy that is left.
+in it; the rest in the same way from one class of sizes after the other (powers of two, the largest
+first), so that there are at most as many rounds as classes, whatever the number of documents. No text
+is cut and no document changes by more than one copy, so a source stays off its target by less than
+twice the least change that is left.
 
 Defined cases: null text has size 0 and is taken 0 times; a null source is a source, last in order;
 a source without words has target 0; equal rows are separate documents that round alike; no rows
@@ -23,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from florilege.llm.common import WORD, checkpoint
+from florilege.llm.common import WORD, checkpoint, stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
@@ -140,53 +142,69 @@ def _rounded(rows: DataFrame, cap: float) -> DataFrame:
     return rows.withColumn("rate", rate).withColumn("copies", copies.cast("long"))
 
 
+def _class():
+    """The power of two that a row's size has reached: 0 for one word, 1 for two or three."""
+    return F.length(F.bin("size")) - 1
+
+
 def _changed():
-    """Is one copy more or less of a row taken? Rows in hash order up to `until`, and the picks."""
-    turn = (F.col("size") <= F.col("limit")) & (F.col("h") <= F.col("until"))
-    return F.coalesce(turn, F.lit(False)) | F.array_contains("picks", F.col("h"))
+    """Is one copy more or less of a row taken? Its hash is up to that of a fill for its class, or for all (-1)."""
+    turn = F.exists("fills", lambda f: ((f["class"] == -1) | (f["class"] == _class())) & (F.col("h") <= f["until"]) & (F.col("size") <= f["most"]))
+    return F.coalesce(turn, F.lit(False))
 
 
 def _can_change(cap: float):
     return (F.col("sign") != 0) & (F.col("size") > 0) & (F.col("copies") + F.col("sign")).between(0, int(cap))
 
 
-def _plan(sizes: DataFrame, cap: float) -> DataFrame:
-    """The rates, and what makes up for their rounding: `sign`, `limit` and `until`, `picks`; `left` stays open."""
-    rates = _rates(sizes, cap).select("source", "source_size", "target", "mean", "lam")
-    units = sizes.where("size > 0").groupBy("source", "h", "size").agg(F.count(F.lit(1)).alias("n"))
-    words = F.col("size") * F.col("n")
-    units = checkpoint(_rounded(_with(units, rates), cap).select("source", "h", "size", "copies", words.alias("words")))
-    got = units.groupBy("source").agg(F.sum(F.col("copies") * F.col("words")).alias("got"))
-    miss = F.col("target") - F.coalesce("got", F.lit(0))
-    plan = _with(rates, got, "left").withColumns({"sign": F.signum(F.round(miss, 3)).cast("int"), "limit": F.abs(miss)}).drop("got")
-    plan = checkpoint(plan)
-
-    free = checkpoint(_with(units, plan.select("source", "sign", "limit")).where(_can_change(cap)).select("source", "h", "size", "words", "limit", F.shiftright("h", 52).alias("bucket")))
-    fit = free.where(F.col("size") <= F.col("limit"))
+def _fill(plan: DataFrame, rows: DataFrame) -> DataFrame:
+    """plan after one more fill, of its class `next`, by rows(source, h, words, left): in hash order, as far as their words' exact prefix sum fits in what is left."""
+    rows = rows.withColumn("bucket", F.shiftright("h", 52))
     # at most 4,096 buckets of a source
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = fit.groupBy("source", "bucket", "limit").agg(F.sum("words").alias("words"), F.max("h").alias("last")).withColumn("sum", F.sum("words").over(upto))
-    full = F.col("sum") <= F.col("limit")
+    buckets = rows.groupBy("source", "bucket", "left").agg(F.sum("words").alias("words"), F.max("h").alias("last")).withColumn("sum", F.sum("words").over(upto))
+    full = F.col("sum") <= F.col("left")
     ends = buckets.groupBy("source").agg(
         F.max(F.when(full, F.col("last"))).alias("whole_until"), F.coalesce(F.max(F.when(full, F.col("sum"))), F.lit(0)).alias("whole_words"), F.min(F.when(~full, F.col("bucket"))).alias("split")
     )
     ends = checkpoint(ends)
     # the rows of one bucket of a source
     turns = Window.partitionBy("source").orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
-    inner = _with(fit, ends).where(F.col("bucket") == F.col("split")).withColumn("sum", F.col("whole_words") + F.sum("words").over(turns)).where(F.col("sum") <= F.col("limit"))
+    inner = _with(rows, ends).where(F.col("bucket") == F.col("split")).withColumn("sum", F.col("whole_words") + F.sum("words").over(turns)).where(F.col("sum") <= F.col("left"))
     inner = inner.groupBy("source").agg(F.max("h").alias("inner_until"), F.max("sum").alias("inner_words"))
     ends = _with(ends, inner, "left").select("source", F.coalesce("inner_until", "whole_until").alias("until"), F.coalesce("inner_words", "whole_words").alias("made_up"))
-    plan = _with(plan, ends, "left").withColumn("left", F.col("limit") - F.coalesce("made_up", F.lit(0))).drop("made_up").withColumn("picks", F.array().cast("array<bigint>"))
-    plan = checkpoint(plan)
-
-    while True:
-        rest = _with(free.drop("limit"), plan.select("source", "limit", "until", "picks", "left")).where(~_changed() & (F.col("words") <= F.col("left")))
-        picked = checkpoint(rest.groupBy("source").agg(F.max(F.struct("words", "h")).alias("pick")))
-        if not picked.limit(1).count():
-            return plan
-        plan = _with(plan, picked, "left")
-        plan = plan.withColumn("left", F.col("left") - F.coalesce("pick.words", F.lit(0))).withColumn("picks", F.when(F.col("pick").isNull(), F.col("picks")).otherwise(F.array_append("picks", F.col("pick.h"))))
-        plan = checkpoint(plan.drop("pick"))
+    filled = F.array_append("fills", F.struct(F.col("next").alias("class"), "until", F.col("left").alias("most")))
+    plan = _with(plan, ends, "left").withColumn("fills", F.when(F.col("until").isNull(), F.col("fills")).otherwise(filled))
+    return plan.withColumn("left", F.col("left") - F.coalesce("made_up", F.lit(0))).drop("until", "made_up")
+
+
+def _plan(sizes: DataFrame, cap: float) -> DataFrame:
+    """The rates, and what makes up for their rounding: `sign` and `fills`; `left` stays open.
+
+    The first fill is of rows of all sizes. What it leaves is less than one row; it is filled by classes
+    of sizes, the largest first, each class of a source once: one round for each power of two at most.
+    """
+    rates = _rates(sizes, cap).select("source", "source_size", "target", "mean", "lam")
+    units = sizes.where("size > 0").groupBy("source", "h", "size").agg(F.count(F.lit(1)).alias("n"))
+    words = F.col("size") * F.col("n")
+    units = checkpoint(_rounded(_with(units, rates), cap).select("source", "h", "size", "copies", words.alias("words")))
+    got = units.groupBy("source").agg(F.sum(F.col("copies") * F.col("words")).alias("got"))
+    miss = F.col("target") - F.coalesce("got", F.lit(0))
+    plan = _with(rates, got, "left").withColumns({"sign": F.signum(F.round(miss, 3)).cast("int"), "left": F.abs(miss), "next": F.lit(-1)}).drop("got")
+    plan = checkpoint(plan.withColumn("fills", F.array().cast("array<struct<class:int,until:bigint,most:double>>")))
+
+    free = checkpoint(_with(units, plan.select("source", "sign")).where(_can_change(cap)).select("source", "h", "size", "words"))
+    plan = checkpoint(_fill(plan, _with(free, plan.select("source", "left")).where(F.col("size") <= F.col("left"))))
+    rest = checkpoint(_with(free, plan.select("source", "fills")).where(~_changed()).select("source", "h", "size", "words", _class().alias("class")))
+    stock = rest.groupBy("source", "class").agg(F.min("words").alias("least")).groupBy("source").agg(F.collect_list(F.struct("class", "least")).alias("stock"))
+    fits = F.filter("stock", lambda x: (x["class"] < F.col("next")) & (x["least"] <= F.col("left")))
+    choice = F.array_max(F.transform(fits, lambda x: x["class"]))
+    plan = checkpoint(_with(plan.withColumn("next", F.lit(64)), stock, "left").withColumn("next", choice))
+    while plan.where("next is not null").limit(1).count():
+        rows = _with(rest, plan.select("source", "left", "next")).where((F.col("class") == F.col("next")) & (F.col("words") <= F.col("left")))
+        # stored, as the constraints that a checkpoint keeps would double with each round
+        plan = stored(_fill(plan, rows).withColumn("next", choice))
+    return plan.drop("next", "stock")
 
 
 def _taken(sizes: DataFrame, plan: DataFrame, cap: float) -> DataFrame:

@@ -90,6 +90,22 @@ def test_rates_solve_the_dual(spark):
                 assert other.min() <= 0 or cost(other) >= cost(rate) - 1e-12
 
 
+def test_sizes_of_several_scales_settle_in_few_rounds(spark, monkeypatch):
+    """Every source ends near its target, the one with texts of one word exactly on it, in at most one round for each power of two."""
+    sizes = [1] * 4000 + [400] * 25 + [3000] * 20
+    made = [(i, "w " * n, "a") for i, n in enumerate(sizes)] + [(9000 + i, "w " * n, s) for s in "bc" for i, n in enumerate([7, 70, 700, 7000] * 12 + [20_000] * 2)]
+    fills, own = [], mixing._fill
+    monkeypatch.setattr(mixing, "_fill", lambda *a: fills.append(1) or own(*a))
+    began = time.perf_counter()
+    found = mixing.mix(spark.createDataFrame(made, "doc_id long, text string, source string")).collect()
+    assert time.perf_counter() - began < 60 and len(fills) <= 16
+    for source in "abc":
+        rows_ = [x for x in found if x.source == source]
+        miss = rows_[0].target - sum(x.taken for x in rows_)
+        assert all(x.taken % x.size == 0 and x.taken <= 3 * x.size for x in rows_)
+        assert abs(miss) < (1 if source == "a" else 0.005 * rows_[0].target)
+
+
 def test_a_mix_that_does_not_settle_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_STEPS", 1)
     df = spark.createDataFrame([(i, "word " * (i + 1), "ab"[i % 2]) for i in range(20)], "doc_id long, text string, source string")
