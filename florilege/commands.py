@@ -27,7 +27,9 @@ from florilege.operators import relocation as RL
 from florilege.operators import reports as RP
 from florilege.sources import config as CF
 from florilege.sources import files as FS
+from florilege.sources import gitlog as GL
 from florilege.sources import history as H
+from florilege.sources.tables import stored
 
 
 @dataclass
@@ -44,15 +46,20 @@ class Corpus:
     is_repo: bool = True
     clock: Column | None = None
 
+    def close(self) -> None:
+        """Releases what is held of the corpus on the machines of the cluster."""
+        self.reports.unpersist()
+
 
 def load(spark: SparkSession, root: str, now: datetime | None = None) -> Corpus:
     root = CF.repo_root(root)
     config, repo = CF.load(root), H.is_repo(root)
-    docs = FS.read(spark, root, config)
+    docs = stored(FS.read(spark, root, config))
     globs = FS.doc_globs(docs)
     clock = F.lit((now or datetime.now(UTC)).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
     if repo:
-        files, (commits, commit_files) = H.tracked_files(spark, root), H.history(spark, root)
+        # git is asked once, by tasks; all else reads what they wrote
+        files, commits, commit_files = (stored(df) for df in (GL.tracked_files(spark, root), *GL.history(spark, root)))
         # plain paths of one repository's claims that lie on disk, tracked or not
         plain = [r.glob for r in globs.select("glob").distinct().collect() if not G.has_magic(r.glob)]
         here = sorted({p for p in map(G.normalize_path, plain) if os.path.exists(os.path.join(root, p))})
@@ -60,7 +67,7 @@ def load(spark: SparkSession, root: str, now: datetime | None = None) -> Corpus:
         reports = FR.assess(docs, globs, files, commits, commit_files, clock, config, present)
         reports = reports.withColumn("reason", FR.reason(reports, clock, config))
     else:
-        files, commits, commit_files = (spark.createDataFrame([], ddl) for ddl in ("path string", H.COMMITS, H.FILES))
+        files, commits, commit_files = (spark.createDataFrame([], ddl) for ddl in ("path string", GL.COMMITS, GL.FILES))
         reports = FR.without_history(docs, globs).withColumn("reason", F.lit("unverified: there is no version control here to check it against"))
     corpus = Corpus(root, config, docs, files, commits, commit_files, reports, repo, clock)
     if repo:
@@ -242,23 +249,16 @@ def relocations(corpus: Corpus) -> DataFrame:
     """Where the files of dead globs went, from the parent of the newest commit that deleted any of them, with that commit as `left_in`."""
     spark = corpus.docs.sparkSession
     globs = FS.doc_globs(corpus.docs)
-    dead = RL.globjoin.missing(globs, corpus.files).select("glob").distinct()
+    dead = stored(RL.globjoin.missing(globs, corpus.files).select("glob").distinct())
     gone = corpus.commit_files.where("change_type = 'D'")
     hits = RL.globjoin.match(dead, gone).join(gone, "path").join(corpus.commits, "sha")
-    left = hits.groupBy("glob").agg(F.max(F.struct(F.col("commit_ts").alias("ts"), "sha", "subject")).alias("left_in"))
-    last = left.select("glob", "left_in.sha").collect()  # a row for each dead glob of one repository
-    bases = sorted({r.sha for r in last})
+    left = stored(hits.groupBy("glob").agg(F.max(F.struct(F.col("commit_ts").alias("ts"), "sha", "subject")).alias("left_in")))
+    own = left.select("glob", F.concat("left_in.sha", F.lit("^")).alias("rev"))
+    bases = [r.rev for r in own.select("rev").distinct().orderBy("rev").collect()]  # as many as dead globs of one repository, at most
     if not bases:
         none = spark.createDataFrame([], "glob string"), corpus.files.limit(0), spark.createDataFrame([], "old_path string, new_path string, similarity int"), corpus.files.limit(0)
         return RL.relocations(*none).withColumn("left_in", F.lit(None).cast("struct<ts:timestamp,sha:string,subject:string>"))
-    # one plan for all: the trees before each commit side by side, told apart by it
-    mark = lambda df, sha: df.select(*[F.concat(F.lit(f"{sha}:"), c).alias(c) if c in ("path", "old_path") else F.col(c) for c in df.columns])
-    old, moved = None, None
-    for sha in bases:
-        one, two = mark(H.tree(spark, corpus.root, f"{sha}^"), sha), mark(H.renames(spark, corpus.root, f"{sha}^"), sha)
-        old, moved = (one, two) if old is None else (old.unionAll(one), moved.unionAll(two))
-    own = spark.createDataFrame([(r.glob, r.sha) for r in last], "glob string, sha string")
-    found = RL.relocations_at(own, old, moved, corpus.files)
+    found = RL.relocations_at(own, GL.trees(spark, corpus.root, bases), GL.renames(spark, corpus.root, bases), corpus.files)
     return found.join(left, "glob", "left")
 
 

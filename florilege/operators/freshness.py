@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from florilege.dims import VERDICTS, Config, lookup, severity, verdict_of
 from florilege.functions import text as T
 from florilege.operators import globjoin
+from florilege.sources.tables import stored
 
 MOST_FILES = 20
 
@@ -101,8 +102,9 @@ def assess(
     history is that of all below it.
     """
     config = config or Config()
-    hits = globjoin.match(doc_globs, files)
-    folders = globjoin.folder_claims(doc_globs, files, hits, present)
+    # written once: five branches below read them
+    hits = stored(globjoin.match(doc_globs, files))
+    folders = stored(globjoin.folder_claims(doc_globs, files, hits, present))
     hits = hits.union(folders)
     resolved = doc_globs.select("path", "glob").join(hits.withColumnRenamed("path", "file"), "glob")
     claims = doc_globs.join(hits.select("glob").distinct().withColumn("alive", F.lit(True)), "glob", "left")

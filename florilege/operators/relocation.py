@@ -8,16 +8,44 @@ from pyspark.sql import functions as F
 
 from florilege.functions import globs as G
 from florilege.operators import globjoin
+from florilege.sources.tables import stored
 
 
 def _split_fixed(glob: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([G.split_fixed(g) for g in glob.fillna("")], columns=["prefix", "rest", "literal"])
 
 
-def tree_at(commit_files: DataFrame, commits: DataFrame, before) -> DataFrame:
-    """(path) of the files that a tree holds after all commits up to a time; change_type D removes one."""
-    last = commit_files.join(commits.where(F.col("commit_ts") <= before).select("sha", "commit_ts"), "sha")
-    return last.groupBy("path").agg(F.max_by("change_type", F.struct("commit_ts", "sha")).alias("last")).where("last <> 'D'").select("path")
+def trees_as_of(commit_files: DataFrame, commits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rev, path) of the trees of all wanted(rev, commit_ts, sha) at once: what the commits before each leave, by (commit_ts, sha).
+
+    Each commit learns how many wanted revisions do not lie after it, by a prefix sum over range
+    partitions of both together. A change of a path then holds for the wanted revisions from its own
+    number to that of the path's next change, and is repeated for these alone: no change meets a
+    revision that it does not belong to, and there is neither a range join nor a broadcast.
+    change_type D removes a path.
+    """
+    marks = commits.select("sha", "commit_ts", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("rev"))
+    marks = marks.unionByName(wanted.select("sha", "commit_ts", F.lit(1).alias("mark"), "rev"))
+    # a wanted revision comes before the commit of the same place
+    ranks = stored(running_sum(marks, [F.col("commit_ts"), F.col("sha"), F.desc("mark"), F.col("rev")], "mark", "rank"))
+    places = ranks.where("mark = 1").select("rev", (F.col("rank") - 1).alias("rank"))
+    changes = commit_files.join(ranks.where("mark = 0").select("sha", "commit_ts", "rank"), "sha")
+    # a window without a key over one row: the number of wanted revisions
+    total = wanted.agg(F.count(F.lit(1)).alias("total"))
+    after = F.lead("rank").over(Window.partitionBy("path").orderBy("commit_ts", "sha"))
+    spans = changes.withColumn("after", after).join(F.broadcast(total)).withColumn("after", F.coalesce("after", "total"))
+    held = spans.where((F.col("change_type") != "D") & (F.col("rank") < F.col("after")))
+    return held.select("path", F.explode(F.sequence("rank", F.col("after") - 1)).alias("rank")).join(places, "rank").select("rev", "path")
+
+
+def running_sum(rows: DataFrame, order: list, of: str, name: str) -> DataFrame:
+    """Adds the sum of `of` over all rows up to a row in `order`, by range partitions, so that no task holds all rows."""
+    parts = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = parts.groupBy("_part").agg(F.sum(of).alias("_all"))
+    # one row for each partition: as many rows as spark.sql.shuffle.partitions at most
+    before = totals.select("_part", (F.sum("_all").over(Window.orderBy("_part")) - F.col("_all")).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return parts.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.sum(of).over(inside)).drop("_part", "_before")
 
 
 def links(dead: DataFrame, old_files: DataFrame, renames: DataFrame, tracked: DataFrame) -> DataFrame:
@@ -68,16 +96,9 @@ def settled(linked: DataFrame, tracked: DataFrame) -> DataFrame:
 
 
 def relocations_at(dead: DataFrame, old_files: DataFrame, renames: DataFrame, tracked: DataFrame) -> DataFrame:
-    """`relocations` of dead(glob, sha) over the trees before several commits at once.
-
-    Paths of old_files(path) and renames(old_path, ...) are led by "sha:"; a glob sees those of its own commit.
-    """
-    rule = lambda c: F.regexp_replace(c, r"^[0-9a-f]+:", "")
-    of = lambda c: F.regexp_extract(c, r"^([0-9a-f]+):", 1)
-    old = old_files.select(of("path").alias("sha"), rule("path").alias("path"))
-    moves = renames.select(of("old_path").alias("sha"), rule("old_path").alias("old_path"), "new_path", "similarity")
-    before = globjoin.match(dead, old).join(dead, "glob").join(old, ["path", "sha"]).select("glob", "sha", F.col("path").alias("old_path")).distinct()
+    """`relocations` of dead(glob, rev) over old_files(rev, path) and renames(rev, old_path, ...) of several trees at once; a glob sees those of its own."""
+    before = globjoin.match(dead, old_files.select("path").distinct()).join(dead, "glob").join(old_files, ["path", "rev"]).select("glob", "rev", F.col("path").alias("old_path")).distinct()
     sizes = before.groupBy("glob").agg(F.count(F.lit(1)).cast("int").alias("files"))
-    alive = moves.join(tracked.select(F.col("path").alias("new_path")), "new_path", "left_semi")
-    linked = before.join(alive, ["old_path", "sha"], "left").join(sizes, "glob").select("glob", "old_path", "new_path", "similarity", "files")
+    alive = renames.join(tracked.select(F.col("path").alias("new_path")), "new_path", "left_semi")
+    linked = before.join(alive, ["old_path", "rev"], "left").join(sizes, "glob").select("glob", "old_path", "new_path", "similarity", "files")
     return settled(linked, tracked)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import Future
 
 from florilege.sources import config as CF
 from florilege.sources import history as H
 
-KEPT_SECONDS = 60
+KEPT_SECONDS = 30
 
 
 def _changed(path: str) -> float:
@@ -31,17 +33,42 @@ def signature(root: str, paths: list[str]) -> tuple:
 
 
 class Cache:
-    """Values by folder, made anew when the folder's signature changes or KEPT_SECONDS have passed."""
+    """Values by folder, made anew when the folder's signature changes or `kept` seconds have passed.
+
+    Callers that ask for the same folder at once share one build; a build that fails fails for all of
+    them and leaves what was held before. A value that is replaced is closed, if it can be.
+    """
 
     def __init__(self, make: Callable, paths: Callable, kept: float = KEPT_SECONDS, clock: Callable[[], float] = time.monotonic) -> None:
         self.make, self.paths, self.kept, self.clock, self.held = make, paths, kept, clock, {}
+        self.lock, self.building = threading.Lock(), {}
 
     def get(self, root: str, force: bool = False):
         """(value, was it made anew?)."""
-        held = self.held.get(root)
-        if held and not force and self.clock() - held[2] < self.kept and signature(root, held[3]) == held[1]:
+        with self.lock:
+            held, mine = self.held.get(root), None
+            build = self.building.get(root)
+        if build is None and held and not force and self.clock() - held[2] < self.kept and signature(root, held[3]) == held[1]:
             return held[0], False
-        value = self.make(root)
-        paths = self.paths(value)
-        self.held[root] = value, signature(root, paths), self.clock(), paths
+        with self.lock:
+            build = self.building.get(root)
+            if build is None:
+                build = mine = self.building[root] = Future()
+        if mine is None:
+            return build.result(), True
+        try:
+            value = self.make(root)
+            paths = self.paths(value)
+            made = value, signature(root, paths), self.clock(), paths
+        except BaseException as e:
+            with self.lock:
+                del self.building[root]
+            mine.set_exception(e)
+            raise
+        with self.lock:
+            old, self.held[root] = self.held.get(root), made
+            del self.building[root]
+        mine.set_result(value)
+        if old is not None and old[0] is not value and hasattr(old[0], "close"):
+            old[0].close()
         return value, True

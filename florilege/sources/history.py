@@ -1,20 +1,14 @@
-"""A repository's history as tables, from one bulk export rather than a process for each document."""
+"""A repository's history as tables, and small calls to git."""
 
 from __future__ import annotations
 
 import os
 import re
 import subprocess
-from datetime import UTC, datetime
-
-from pyspark.sql import DataFrame, SparkSession
 
 TIMEOUT = 20  # seconds, of small calls
 MOST_BYTES = 64 << 20  # of their output
 RENAMES = 5000
-COMMITS = "sha string, author_ts timestamp, commit_ts timestamp, subject string, author string"
-FILES = "sha string, path string, change_type string"
-ROWS_AT_ONCE = 100_000
 
 
 class HistoryError(RuntimeError):
@@ -61,65 +55,6 @@ def has_commits(root: str) -> bool:
     return git(root, "rev-parse", "--verify", "-q", "HEAD") is not None
 
 
-def tracked_files(spark: SparkSession, root: str) -> DataFrame:
-    paths = sorted({p for p in stream(root, b"\0", "ls-files", "-z") if p}) if is_repo(root) else []
-    return _table(spark, ((p,) for p in paths), "path string")
-
-
-def _table(spark: SparkSession, rows, ddl: str) -> DataFrame:
-    """Rows of any number as a table, some at a time."""
-    out, part = None, []
-    for row in rows:
-        part.append(row)
-        if len(part) == ROWS_AT_ONCE:
-            one = spark.createDataFrame(part, ddl)
-            out, part = one if out is None else out.unionAll(one), []
-    one = spark.createDataFrame(part, ddl)
-    return one if out is None else out.unionAll(one)
-
-
-def parse_record(record: str) -> tuple[tuple, list[tuple]]:
-    """A commit and the files it touched, from one record of `git log --name-status -z` with \x1f between fields."""
-    sha, author_ts, commit_ts, subject, author, names = record.split("\x1f", 5)
-    when = lambda s: datetime.fromtimestamp(int(s), UTC).replace(tzinfo=None)
-    parts = [x for x in (x.lstrip("\n") for x in names.split("\0")) if x]
-    return (sha, when(author_ts), when(commit_ts), subject, author), [(sha, path, status[:1]) for status, path in zip(parts[::2], parts[1::2], strict=False)]
-
-
-def parse_log(out: str) -> tuple[list[tuple], list[tuple]]:
-    """All commits and files of a log's text, its records led by \x1e."""
-    found = [parse_record(r) for r in out.split("\x1e")[1:]]
-    return [c for c, _ in found], [f for _, files in found for f in files]
-
-
-def history(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(commits, commit_files) of a repository, its log read to the end; empty where there is no commit."""
-    commits, files = [], []
-    if has_commits(root):
-        for record in stream(root, b"\x1e", "log", "--no-renames", "--name-status", "-z", "--format=%x1e%H%x1f%at%x1f%ct%x1f%s%x1f%an%x1f"):
-            if record:
-                commit, touched = parse_record(record)
-                commits.append(commit)
-                files += touched
-    return _table(spark, commits, COMMITS), _table(spark, files, FILES)
-
-
-def renames(spark: SparkSession, root: str, base: str) -> DataFrame:
-    """(old_path, new_path, similarity) between a tree and the working one, as git sees it."""
-    out = list(stream(root, b"\0", "diff", "-M", f"-l{RENAMES}", "--name-status", "-z", base, "--"))
-    rows, at = [], 0
-    while at < len(out) - 1:
-        pair = out[at][:1] in ("R", "C")
-        if out[at].startswith("R"):
-            rows.append((out[at + 1], out[at + 2], int(out[at][1:] or 0)))
-        at += 3 if pair else 2
-    return spark.createDataFrame(rows, "old_path string, new_path string, similarity int")
-
-
-def tree(spark: SparkSession, root: str, rev: str) -> DataFrame:
-    return _table(spark, ((p,) for p in stream(root, b"\0", "ls-tree", "-r", "-z", "--name-only", rev) if p), "path string")
-
-
 def working_state(root: str, commits: int = 8) -> dict:
     """Branch, short head, last commits, and the changed and untracked files of the working tree."""
     if not is_repo(root):

@@ -15,6 +15,7 @@ from florilege.operators import ranking as R
 from florilege.operators import relocation as RL
 from florilege.sources import config as CF
 from florilege.sources import files as FS
+from florilege.sources import gitlog as GL
 from florilege.sources import history as H
 from florilege.sources.cache import Cache
 from florilege.streaming import feed
@@ -200,7 +201,7 @@ def test_history_that_cannot_be_read_is_an_error(spark, tmp_path):
         x.write_bytes(b"")
     assert broken.exists()
     with pytest.raises(H.HistoryError):
-        H.history(spark, str(tmp_path))
+        GL.history(spark, str(tmp_path))
 
 
 def test_a_verify_that_hangs_is_killed_whole(spark, tmp_path):
@@ -250,6 +251,109 @@ def test_cache_follows_the_folder(tmp_path):
     assert cache.get(str(tmp_path)) == (4, True)
 
 
+def test_callers_at_once_share_one_build(tmp_path):
+    """Two threads, one build; a failed one fails for both and keeps nothing; a replaced value is closed."""
+    import threading
+    from concurrent.futures import ThreadPoolExecutor
+
+    class Value:
+        closed = False
+
+        def close(self):
+            self.closed = True
+
+    made, both, broken = [], threading.Barrier(2, timeout=10), [False]
+
+    def make(root):
+        made.append(root)
+        both.wait()
+        if broken[0]:
+            raise ValueError("broken")
+        return Value()
+
+    cache, root = Cache(make, lambda value: []), str(tmp_path)
+
+    def second():
+        while not cache.building:
+            pass
+        found = cache.building[root]
+        both.wait()
+        return found.result() if not broken[0] else found.exception()
+
+    with ThreadPoolExecutor(3) as pool:
+        one, two = pool.submit(cache.get, root), pool.submit(second)
+        assert one.result(10)[0] is two.result(10) and len(made) == 1
+        held = cache.held[root][0]
+        broken[0] = True
+        one, two = pool.submit(cache.get, root, True), pool.submit(second)
+        assert isinstance(one.exception(10), ValueError) and two.result(10) is one.exception() and cache.held[root][0] is held and not held.closed
+        broken[0] = False
+        one, two = pool.submit(cache.get, root, True), pool.submit(second)
+        assert one.result(10)[0] is two.result(10) and held.closed and not cache.building
+
+
+def many_commits(root, n):
+    """A repository of n commits by one import: each adds, changes or deletes one of 50 files, some on a side branch that is merged."""
+    git(root, "init", "-q", "-b", "main")
+    out = []
+    for i in range(n):
+        name, gone = f"d{i % 5}/f{i % 50}.txt", i >= 50 and i % 50 == i // 50 % 50
+        out.append(f"commit refs/heads/main\nauthor a <a@b> {1_000_000 + i} +0000\ncommitter a <a@b> {1_000_000 + i} +0000\ndata {len(str(i))}\n{i}\n")
+        out.append(f"D {name}\n" if gone else f"M 644 inline {name}\ndata {len(str(i))}\n{i}\n")
+    subprocess.run(["git", "-C", str(root), "fast-import", "--quiet"], input="".join(out).encode(), check=True, env=os.environ | {"HOME": str(root)})
+
+
+def test_a_long_history_is_read_in_ranges(spark, tmp_path):
+    """200,000 commits: whole, in order, in partitions of bounded size, none of it by way of the driver."""
+    n = 200_000
+    many_commits(tmp_path, n)
+    commits, files = GL.history(spark, str(tmp_path))
+    assert commits.rdd.getNumPartitions() == n // GL.STEP
+    row = commits.agg(F.count("*").alias("n"), F.countDistinct("sha").alias("shas"), F.min("commit_ts").cast("long").alias("first"), F.max("commit_ts").cast("long").alias("last")).first()
+    assert tuple(row) == (n, n, 1_000_000, 1_000_000 + n - 1)
+    kinds = {r.change_type: r["count"] for r in files.groupBy("change_type").count().collect()}
+    assert sum(kinds.values()) == n and kinds["A"] == 50 + kinds["D"] - (50 - GL.trees(spark, str(tmp_path), ["HEAD"]).count())
+
+
+def test_ranges_and_columns_of_a_history(spark, tmp_path):
+    many_commits(tmp_path, 230)
+    git(tmp_path, "checkout", "-qf", "main")
+    git(tmp_path, "checkout", "-qb", "side", "HEAD~40")
+    put(tmp_path, {"ü/x y.txt": "side"}, 3, "side; with, signs")
+    git(tmp_path, "checkout", "-q", "main")
+    git(tmp_path, "merge", "-qm", "joined", "side", days=2)
+    root = str(tmp_path)
+    whole = subprocess.run(["git", "-C", root, "log", "--date-order", "--format=%H %ct %s"], capture_output=True, text=True, check=True).stdout.splitlines()
+    for step in ("1000", "50", "7"):
+        found = GL.read(spark, root, "commits", "seq long, subject string, sha string, commit_ts timestamp", commits=step).withColumn("t", F.col("commit_ts").cast("long")).orderBy("seq").collect()
+        assert [f"{r.sha} {r.t} {r.subject}" for r in found] == whole and [r.seq for r in found] == list(range(232))
+        files = GL.read(spark, root, "commit_files", "path string", commits=step)
+        assert files.columns == ["path"] and files.where("path = 'ü/x y.txt'").count() == 1 and files.count() == 231
+    old = whole[30].split()[0]
+    assert GL.read(spark, root, "commits", head=old).count() == sum(1 for _ in subprocess.run(["git", "-C", root, "rev-list", old], capture_output=True, check=True).stdout.splitlines())
+    for rev in (old, "HEAD", "side"):
+        tree = subprocess.run(["git", "-C", root, "-c", "core.quotepath=off", "ls-tree", "-r", "--name-only", rev], capture_output=True, text=True, check=True).stdout.split("\n")[:-1]
+        assert sorted(r.path for r in GL.trees(spark, root, [old, "HEAD", "side"]).where(F.col("rev") == rev).collect()) == sorted(tree)
+    with pytest.raises(Exception, match="no column"):
+        GL.read(spark, root, "files", "sha string").count()
+    with pytest.raises(Exception, match="table must be"):
+        GL.read(spark, root, "tags").count()
+
+
+def test_trees_as_of_many_revisions(spark, tmp_path):
+    """Replayed trees are those that git gives, for all wanted revisions of a history in a line at once."""
+    many_commits(tmp_path, 300)
+    root = str(tmp_path)
+    commits, files = GL.history(spark, root)
+    wanted = commits.where(F.col("subject").cast("int").isin(0, 1, 49, 50, 51, 120, 121, 299)).select(F.concat("sha", F.lit("^")).alias("rev"), "commit_ts", "sha")
+    end = spark.createDataFrame([("HEAD", datetime(2100, 1, 1), "~")], "rev string, commit_ts timestamp, sha string")
+    got = RL.trees_as_of(files, commits, wanted.unionByName(end)).collect()
+    revs = [r.rev for r in wanted.collect() if r.sha not in {x.sha for x in commits.where("subject = '0'").collect()}] + ["HEAD"]
+    want = GL.trees(spark, root, revs).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r.rev for r in got}) == 8
+    assert RL.trees_as_of(files, commits, wanted.limit(0)).collect() == [] and RL.trees_as_of(files.limit(0), commits, wanted).collect() == []
+
+
 def test_starter_configuration(tmp_path):
     assert CF.write_starter(str(tmp_path)) and not CF.write_starter(str(tmp_path))
     assert CF.load(str(tmp_path)) == Config()
