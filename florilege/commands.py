@@ -172,13 +172,18 @@ def propose(corpus: Corpus) -> DataFrame:
     return found.select("path", "id", "kind", globs.alias("globs"), I.confidence(globs, F.coalesce("evidence", F.array().cast("array<string>"))).alias("confidence"))
 
 
-def init(corpus: Corpus, write: bool = False) -> list[dict]:
-    """Proposals; with `write`, also put before the documents' texts, which stay as they are."""
+def init(corpus: Corpus, write: bool = False, force: bool = False) -> list[dict]:
+    """Proposals; with `write`, also put before the documents' texts, which stay as they are.
+
+    A root that is a home folder, or holds more documents than one project does, is written to only by `force`.
+    """
+    if write and not force:
+        documents = corpus.docs.count()
+        if CF.is_home(corpus.root):
+            raise PermissionError("refusing to rewrite documents of a home folder")
+        if documents > CF.MOST_REWRITTEN:
+            raise PermissionError(f"refusing to rewrite documents below a root that holds {documents}")
     found = [r.asDict() for r in propose(corpus).orderBy("path").collect()]
-    if write and CF.is_home(corpus.root):
-        raise PermissionError("refusing to rewrite documents of a home folder")
-    if write and len(found) > CF.MOST_REWRITTEN and not H.is_repo(corpus.root):
-        raise PermissionError(f"refusing to rewrite {len(found)} documents outside a repository")
     if write:
         CF.write_starter(corpus.root)
     for p in found if write else []:
@@ -191,20 +196,20 @@ def init(corpus: Corpus, write: bool = False) -> list[dict]:
     return found
 
 
-def handoff_docs(corpus: Corpus, task: str, changed: list[str], most: int = 20) -> DataFrame:
-    """The documents that a handoff names, in order, with what is known of them."""
+def handoff_docs(corpus: Corpus, task: str, changed: list[str], own: str | None = None) -> DataFrame:
+    """The documents that a handoff names, in order, with what is known of them; `own` is the note's own path."""
     side = corpus.files.sparkSession.createDataFrame([(p,) for p in changed], "path string")
     covers = RP.covered(FS.doc_globs(corpus.docs), side)
-    named = RP.handoff_tiers(covers, corpus.reports, R.search(corpus.reports, task, 5), most)
-    return named.join(corpus.reports.select("path", "title", "freshness", "score", "reason"), "path").orderBy("place")
+    scored = R.relevance(corpus.reports, task) if task.strip() else None
+    return RP.handoff_tiers(covers, corpus.reports, scored, own).join(corpus.reports.select("path", "title", "freshness", "score", "reason"), "path").orderBy("place")
 
 
-def handoff(corpus: Corpus, task: str, message: str = "", most: int = 20) -> tuple[str, DataFrame]:
+def handoff(corpus: Corpus, task: str, message: str = "", own: str | None = None) -> tuple[str, DataFrame]:
     """A handoff note, and the documents it names: those that cover changed files, then pinned, then relevant ones."""
     state = H.working_state(corpus.root)
-    changed = list(dict.fromkeys(p for _, p in state["changed"]))
-    docs = handoff_docs(corpus, task, changed, most)
-    rows = docs.collect()  # `most` at most
+    changed = list(dict.fromkeys([p for _, p in state["changed"]] + state["untracked"]))
+    docs = handoff_docs(corpus, task, changed, own)
+    rows = docs.collect()  # the note names each
     spark = corpus.docs.sparkSession
     words = {s: w for s, w in spark.createDataFrame([(s,) for s, _ in state["changed"]] or [("M",)], "s string").select("s", RP.status_words(F.col("s"))).collect()}
     note = [r[0] for r in spark.range(1).select(F.explode(RP.bullets(F.lit(message)))).collect()]
@@ -236,7 +241,7 @@ def handoff_note(corpus: Corpus, task: str, message: str = "", to: str | None =
     changed = list(dict.fromkeys(p for _, p in state["changed"] if p != to))
     slug = "-".join(re.findall("[a-z0-9]+", (state["branch"] or "none").lower()))
     head = {"spec": FM.SPEC_VERSION, "id": f"handoff-{slug}-{_stamp()[:10]}", "kind": "handoff", "ttlDays": 7, "tags": ["handoff"]} | ({"describes": changed[:20]} if changed else {})
-    text = FM.write(head, handoff(corpus, task, message)[0])
+    text = FM.write(head, handoff(corpus, task, message, to or HANDOFF)[0])
     if to:
         at = CF.safe_path(corpus.root, to)
         os.makedirs(os.path.dirname(at), exist_ok=True)
@@ -304,6 +309,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--message", default="")
     parser.add_argument("--out")
     parser.add_argument("--yes", action="store_true")
+    parser.add_argument("--force", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     corpus, task, code = load(spark, args.root), " ".join(args.task), 0
@@ -328,7 +334,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "search":
         show(R.search(corpus.reports, task).select("path", "relevance", "freshness", T.snippet(F.col("body"), task).alias("snippet")))
     elif args.command == "init":
-        show(init(corpus, args.yes))
+        show(init(corpus, args.yes, args.force))
     elif args.command == "handoff":
         show(handoff_note(corpus, task, args.message))
     elif args.command == "doctor":

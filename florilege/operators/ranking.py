@@ -144,5 +144,7 @@ def left_out(packed: DataFrame, budget: int) -> Column:
     return (
         F.when(F.col("place") == "excluded", F.concat(F.lit("excluded as "), F.col("freshness"), F.lit("; ask for stale documents to include it")))
         .when((F.col("place") == "omitted") & (F.col("left") <= 0), F.concat(F.lit("the budget was used up"), F.lit(f" ({budget} tokens); rank "), F.format_string("%.3f", "rank")))
+        # a row with this much room was to be cut; it is left out only where no cut of it fits
+        .when((F.col("place") == "omitted") & (F.col("left") >= max(120, budget // 20)), F.concat(F.lit("could not be cut to fit the "), text("left"), room, F.lit(" that were left")))
         .when(F.col("place") == "omitted", F.concat(F.lit("needs about "), text("cost"), F.lit(" tokens, "), text("left"), room, F.lit(" were left")))
     )

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from florilege.dims import VERDICTS, Config, lookup, severity, verdict_rows
 from florilege.functions import globs as G
 from florilege.functions import text as T
+from florilege.operators.ranking import running_total
+from florilege.sources.tables import stored
 
 
 def verdict_counts(reports: DataFrame) -> DataFrame:
@@ -186,18 +188,24 @@ def doctor_report(counts: DataFrame, duplicate_ids: DataFrame, conflicts: DataFr
     return listed.select((F.col("at") + 1).alias("place"), "f.severity", "f.title", "f.fix")
 
 
-def handoff_tiers(covers: DataFrame, reports: DataFrame, found: DataFrame, most: int = 20) -> DataFrame:
+def handoff_tiers(covers: DataFrame, reports: DataFrame, scored: DataFrame | None = None, own: str | None = None, relevant: int = 5) -> DataFrame:
     """(place, path, tier, files): what a handoff names, cover of changed files first, then pinned, then relevant documents.
 
-    covers(path, files), found(path): those that answer to the task.
+    covers(path, files); scored(path, relevance): documents that answer to the task, of which those
+    with the greatest relevance are taken that are not yet named. The note itself, `own`, is none of them.
     """
     none = F.array().cast("array<string>")
-    pinned = reports.where("pin").select("path", F.lit(1).alias("tier"), none.alias("files"))
-    tiers = covers.select("path", F.lit(0).alias("tier"), "files").unionByName(pinned).unionByName(found.select("path", F.lit(2).alias("tier"), none.alias("files")))
-    named = tiers.groupBy("path").agg(F.min("tier").alias("tier"), F.max_by("files", F.size("files")).alias("files"))
-    top = named.join(reports.select("path", "score"), "path").orderBy("tier", F.desc(F.size("files")), F.desc("score"), "path").limit(most)
-    order = Window.orderBy("tier", F.desc(F.size("files")), F.desc("score"), "path")  # `most` rows
-    return top.select(F.row_number().over(order).alias("place"), "path", "tier", "files")
+    others = reports.where(F.col("path") != own) if own else reports
+    others = others.select("path", "score", "pin")
+    covering = covers.join(others.select("path", "score"), "path").select("path", F.lit(0).alias("tier"), "files", "score")
+    pinned = others.where("pin").join(covering.select("path"), "path", "left_anti").select("path", F.lit(1).alias("tier"), none.alias("files"), "score")
+    named = covering.unionByName(pinned)
+    if scored is not None:
+        open_ = scored.where("relevance > 0").select("path", "relevance").join(others.select("path", "score"), "path").join(named.select("path"), "path", "left_anti")
+        best = open_.orderBy(F.desc("relevance"), F.desc("score"), "path").limit(relevant)
+        named = named.unionByName(best.select("path", F.lit(2).alias("tier"), none.alias("files"), "score"))
+    order = [F.col("tier"), F.desc(F.size("files")), F.desc("score"), F.col("path")]
+    return running_total(stored(named), order, F.lit(1), "place").select(F.col("place").cast("int").alias("place"), "path", "tier", "files")
 
 
 def handoff_age(docs: DataFrame, now: Column, ttl_days: int = 7) -> DataFrame:

@@ -216,6 +216,15 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_ids": _over("f_docs", "SELECT id, array_to_string(paths, ',') AS paths FROM di", IDS),
         "exact_duplicates": _over("f_docs", "SELECT content_hash, array_to_string(paths, ',') AS paths FROM sd", SAME),
         "near_duplicates": _over("f_docs", "SELECT a, b, round(CAST(j AS DOUBLE), 6) AS jaccard FROM nd", SHINGLES),
+        "duplicate_id_classes": _over("f_docs", "SELECT trim(id) AS id, count(*) AS documents, array_to_string(list_sort(list(path))[1:5], ',') AS paths FROM f_docs WHERE trim(id) <> '' GROUP BY 1 HAVING count(*) > 1"),
+        "exact_duplicate_classes": _over("f_docs", "SELECT content_hash, CAST(len(paths) AS BIGINT) AS documents, array_to_string(paths[1:5], ',') AS paths FROM sd", SAME),
+        "contradiction_classes": _over("f_md", """SELECT key, CASE WHEN key = 'env:PORT' OR key LIKE 'script:%' THEN 'high' WHEN key LIKE 'net:%' THEN 'low' ELSE 'medium' END AS severity, value, count(*) AS documents, array_to_string(list_sort(list(path))[1:5], ',') AS paths
+            FROM (SELECT *, min(value) OVER (PARTITION BY key) <> max(value) OVER (PARTITION BY key) AS several FROM asr WHERE path NOT IN (SELECT path FROM f_docs WHERE id IN (SELECT supersedes FROM f_docs))) WHERE several GROUP BY key, value""", FACTS),
+        "near_duplicate_members": _over("f_docs", """SELECT path, coalesce(root, body) AS cluster, body FROM (SELECT path, min(path) OVER (PARTITION BY h) AS body, count(*) OVER (PARTITION BY h) AS copies FROM (SELECT path, regexp_replace(trim(regexp_replace(body, '\\s+', ' ', 'g')), ' +', ' ', 'g') AS h FROM f_docs))
+            LEFT JOIN (SELECT node, min(to_) AS root FROM reach GROUP BY node) ON node = body WHERE copies > 1 OR root IS NOT NULL""", SHINGLES,
+            "reach AS (SELECT a AS node, a AS to_ FROM nd UNION SELECT b, b FROM nd UNION SELECT r.node, CASE WHEN n.a = r.to_ THEN n.b ELSE n.a END FROM reach r JOIN nd n ON n.a = r.to_ OR n.b = r.to_)").replace("WITH ", "WITH RECURSIVE ", 1),
+        "trees_as_of": _over("f_commit_files f_commits", """SELECT rev, path FROM (SELECT rev, path, arg_max(t, {'ts': c.commit_ts, 'sha': c.sha}) AS last FROM ct c JOIN yw w ON c.commit_ts < m.ts OR (c.commit_ts = m.ts AND c.sha < m.sha) GROUP BY rev, path) WHERE last <> 'D'""",
+            "ct AS (SELECT f.path, c.sha, c.commit_ts, CASE WHEN c.subject = '5-LOW' THEN 'D' ELSE 'M' END AS t FROM f_commit_files f JOIN f_commits c ON c.sha = f.sha), yw AS (SELECT CAST(year(commit_ts) AS VARCHAR) AS rev, max({'ts': commit_ts, 'sha': sha}) AS m FROM f_commits GROUP BY 1)"),
         "facts_env": _over("f_md", "SELECT path, key, value, line FROM fe", FACTS),
         "facts_ports": _over("f_md", "SELECT path, key, value, line, CAST(seq AS INTEGER) AS seq FROM fp", FACTS),
         "facts_scripts": _over("f_md", "SELECT path, key, value, line FROM fs", FACTS),
@@ -278,8 +287,9 @@ def oracle_sql() -> dict[str, str]:
         "report_lookup": _reports("SELECT path, freshness, score FROM r WHERE path = (SELECT max(path) FROM f_docs)"),
         "tool_glob": _over("f_files", "SELECT path FROM f_files WHERE regexp_matches(path, '^src/s[^/]*l/(.*/)?[^/]*5[.]ts$')"),
         "tool_glob_folder": _over("f_files", "SELECT path FROM f_files WHERE path = 'src/small' OR starts_with(path, 'src/small/')"),
-        "handoff_tiers": _reports("""SELECT CAST(row_number() OVER (ORDER BY tier, files DESC, score DESC, path) AS INTEGER) AS place, path, CAST(tier AS INTEGER) AS tier, files FROM (SELECT t.path, min(tier) AS tier, CAST(max(n) AS INTEGER) AS files, any_value(r.score) AS score FROM
-            (SELECT path, 0 AS tier, len(files) AS n FROM cov UNION ALL SELECT path, 1, 0 FROM f_docs WHERE pin UNION ALL (SELECT r.path, 2, 0 FROM r JOIN rel USING (path) WHERE relevance > 0 ORDER BY relevance DESC, score DESC, r.path LIMIT 5)) t JOIN r ON r.path = t.path GROUP BY t.path ORDER BY tier, files DESC, score DESC, t.path LIMIT 20)""", *COVER, RELEVANCE),
+        "handoff_tiers": _reports("""SELECT CAST(row_number() OVER (ORDER BY tier, files DESC, score DESC, path) AS INTEGER) AS place, path, CAST(tier AS INTEGER) AS tier, CAST(files AS INTEGER) AS files FROM
+            (SELECT * FROM named UNION ALL (SELECT r.path, 2, 0, r.score FROM r JOIN rel USING (path) WHERE relevance > 0 AND r.path <> 'docs/src1/80.md' AND r.path NOT IN (SELECT path FROM named) ORDER BY relevance DESC, r.score DESC, r.path LIMIT 5))""", *COVER, RELEVANCE,
+            """named AS (SELECT path, CASE WHEN path IN (SELECT path FROM cov) THEN 0 ELSE 1 END AS tier, coalesce((SELECT max(len(files)) FROM cov WHERE cov.path = r.path), 0) AS files, score FROM r WHERE path <> 'docs/src1/80.md' AND (path IN (SELECT path FROM cov) OR path IN (SELECT path FROM f_docs WHERE pin)))"""),
         "handoff_age": _over("f_docs f_commits", f"SELECT path, age AS age_days, ttl AS ttl_days, coalesce(age > ttl, FALSE) AS expired FROM (SELECT d.path, CAST(floor((epoch_ms({CLOCK}) - epoch_ms(c.author_ts)) / 86400000.0) AS INTEGER) AS age, coalesce(ttl_days, 7) AS ttl FROM f_docs d JOIN f_commits c ON c.sha = CAST(d.doc_id AS VARCHAR) WHERE kind = 'handoff')"),
         "status_words": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'modified' WHEN 'O' THEN 'added' WHEN 'P' THEN 'renamed' ELSE o_orderstatus END || '/' || left(o_orderpriority, 1) || '/untracked' AS words FROM orders",
         "note_bullets": _over("f_docs", r"""SELECT doc_id, CAST(len(b) AS INTEGER) AS n, sha256(array_to_string(b, '|')) AS bullets_sha FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(body, '([.?!])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '\n|\x01'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS b FROM f_docs)"""),

@@ -9,6 +9,7 @@ from florilege.dims import FRONT_FIELDS, Config
 from florilege.functions import display as D
 from florilege.functions import frontmatter as FM
 from florilege.functions import text as T
+from florilege.operators import clusters as CL
 from florilege.operators import conflicts as C
 from florilege.operators import freshness as FR
 from florilege.operators import globjoin as GJ
@@ -272,6 +273,30 @@ def near_duplicates(fx):
     return C.near_duplicates(_docs(fx)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+def duplicate_id_classes(fx):
+    return CL.classes(CL.duplicate_id_members(_docs(fx)), "id").select("id", "documents", _joined("paths").alias("paths"))
+
+
+def exact_duplicate_classes(fx):
+    return CL.classes(CL.exact_members(_docs(fx)), "content_hash").select("content_hash", "documents", _joined("paths").alias("paths"))
+
+
+def contradiction_classes(fx):
+    docs = _docs(fx).drop("body").join(_md(fx).select("path", "body"), "path")
+    return CL.contradiction_classes(docs).select("key", "severity", "value", "documents", _joined("paths").alias("paths"))
+
+
+def near_duplicate_members(fx):
+    return CL.near_duplicate_members(_docs(fx))
+
+
+def trees_as_of(fx):
+    """Files as they were before the last commit of each year; commits of the lowest priority delete what they touch."""
+    last = fx.commits.groupBy(F.year("commit_ts").cast("string").alias("rev")).agg(F.max(F.struct("commit_ts", "sha")).alias("m")).select("rev", "m.commit_ts", "m.sha")
+    kinds = fx.commits.select("sha", F.when(F.col("subject") == "5-LOW", "D").otherwise("M").alias("change_type"))
+    return RL.trees_as_of(fx.commit_files.join(kinds, "sha"), fx.commits, last)
+
+
 def facts_env(fx):
     return C.facts(_md(fx)).where("key like 'env:%'").select("path", "key", "value", "line")
 
@@ -475,7 +500,7 @@ def tool_glob_folder(fx):
 
 def handoff_tiers(fx):
     r = _reports(fx)
-    return RP.handoff_tiers(RP.covered(_globs(fx), _changed(fx)), r, R.search(r, TASK, 5)).select("place", "path", "tier", F.size("files").alias("files"))
+    return RP.handoff_tiers(RP.covered(_globs(fx), _changed(fx)), r, R.relevance(r, TASK), "docs/src1/80.md").select("place", "path", "tier", F.size("files").alias("files"))
 
 
 def handoff_age(fx):
