@@ -196,7 +196,7 @@ def handoff_tiers(covers: DataFrame, reports: DataFrame, scored: DataFrame | Non
     """
     none = F.array().cast("array<string>")
     others = reports.where(F.col("path") != own) if own else reports
-    others = others.select("path", "score", "pin")
+    others = stored(others.select("path", "score", "pin"))  # three branches read it
     covering = covers.join(others.select("path", "score"), "path").select("path", F.lit(0).alias("tier"), "files", "score")
     pinned = others.where("pin").join(covering.select("path"), "path", "left_anti").select("path", F.lit(1).alias("tier"), none.alias("files"), "score")
     named = covering.unionByName(pinned)
