@@ -25,8 +25,7 @@ def match(globs: DataFrame, files: DataFrame) -> DataFrame:
 
     A glob without wildcards meets its path, one with a plain last part the files of that name, one
     with a fixed leading folder the files below it, one that ends in a plain ending the files that end
-    so. Only globs with none of these, such as `**`, are compared with all files, which most of them
-    match; the engine's own sizes decide whether either side is a broadcast.
+    so. All others meet the files that hold the rarest three letters of theirs, see `by_grams`.
     """
     keyed = globs.select("glob").where("glob is not null and glob <> ''").distinct().withColumn("c", F.pandas_udf(_compiled, "rx string, kind string, key string")("glob")).select("glob", "c.rx", "c.kind", "c.key")
     paths = files.select("path").distinct()
@@ -43,9 +42,34 @@ def match(globs: DataFrame, files: DataFrame) -> DataFrame:
     for kind, side in by.items():
         part = keyed.where(F.col("kind") == kind).join(side, "key").where(F.regexp_like("path", F.col("rx")))
         found = part if found is None else found.unionByName(part)
-    loose = keyed.where("kind = 'none'")
-    found = found.unionByName(paths.join(loose, F.regexp_like("path", F.col("rx"))).select(found.columns))
-    return found.select("glob", "path").distinct()
+    loose = keyed.where("kind = 'none'").select("glob", "rx", F.explode(F.pandas_udf(_grams, "array<array<string>>")("glob")).alias("grams"))
+    return found.select("glob", "path").unionByName(by_grams(loose, paths)).distinct()
+
+
+def _grams(glob: pd.Series) -> pd.Series:
+    return glob.map(G.gram_keys)
+
+
+def by_grams(globs: DataFrame, paths: DataFrame) -> DataFrame:
+    """(glob, path) of globs(glob, rx, grams) and paths(path) where rx matches; a path that matches holds all the grams as `/path/`.
+
+    Each row of globs meets the paths that hold its rarest gram, by how many paths hold each. Only grams
+    that some glob has leave the scan of the paths. Rows without grams, such as those of `**` and `*/*`,
+    have no letter to be found by; they match most paths of a depth and are compared with all.
+    """
+    rows = globs.distinct()
+    lettered = rows.where(F.size("grams") > 0)
+    wanted = lettered.select(F.explode("grams").alias("gram")).distinct()
+    closed = F.concat(F.lit("/"), "path", F.lit("/"))
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(closed) - (n - 1), F.lit(1))), lambda i: F.substr(closed, i, F.lit(n)))
+    held = paths.select("path", F.explode(F.array_distinct(F.concat(parts(1), parts(2), parts(3)))).alias("gram")).join(wanted, "gram", "left_semi")
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a gram that no path holds is the rarest: its globs match nothing
+    each = lettered.select("glob", "rx", "grams", F.explode("grams").alias("gram")).join(counts, "gram", "left")
+    rarest = each.groupBy("glob", "rx", "grams").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).where("least.n > 0")
+    keyed = rarest.select("glob", "rx", F.col("least.gram").alias("gram")).join(held, "gram")
+    bare = paths.join(rows.where(F.size("grams") == 0), F.regexp_like("path", F.col("rx")))
+    return keyed.where(F.regexp_like("path", F.col("rx"))).select("glob", "path").unionByName(bare.select("glob", "path")).distinct()
 
 
 def resolve(doc_globs: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from florilege.sources.tables import stored
+
 # Extensions of source files, verbs that begin a procedure's steps, and how files are mentioned.
 CODE = "ts tsx js jsx mjs cjs py go rs rb java kt swift c h cc cpp hpp cs php scala sql proto graphql gql yaml yml toml json tf sh vue svelte".split()
 IMPERATIVE = "run|install|deploy|restart|check|open|click|set|export|ssh|kubectl|curl|scale|rollback|verify|stop|start|apply|create|delete"
@@ -86,42 +85,84 @@ def describes(resolved: DataFrame, most: int = 6) -> DataFrame:
     return sorted_.select("path", F.slice(F.flatten(F.transform("ds", lambda d: d["globs"])), 1, most).alias("globs"), F.array_sort(F.flatten(F.transform("ds", lambda d: d["own"]))).alias("evidence"))
 
 
-def infer_id(path: str, taken: set[str]) -> str:
-    """A free id for a path: its own name, then with its folders' names, then numbered."""
-    slug = lambda s: re.sub("[^a-z0-9]+", "-", re.sub(r"^\d{1,4}[-_]", "", re.sub(r"\.(md|mdx)$", "", s.lower()))).strip("-")
-    *folders, name = map(slug, path.split("/"))
-    folders = [f for f in reversed(folders)]
-    parent = folders[0] if folders else ""
-    made = name
-    if name in ("", "readme", "index"):
-        made = "-".join(x for x in (parent, name) if x)
-    made = made or "doc"
-    for folder in filter(None, folders):
-        if made not in taken:
-            return made
-        made = f"{folder}-{made}"
-    if made not in taken:
-        return made
-    return next(f"{made}-{n}" for n in range(2, len(taken) + 3) if f"{made}-{n}" not in taken)
+def slug(text: Column) -> Column:
+    """A folder's or file's name as part of an id."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"\.(?:md|mdx)\z", ""), r"^\d{1,4}[-_]", "")
+    return F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def infer_ids(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """(path, id): ids that no other document has, given in order of paths.
+def wanted_ids(path: Column) -> Column:
+    """The ids a path would take, the best first: its own name, then with its folders' names, the nearest first.
 
-    Whether an id is free depends on all ids before it, so this one operator runs in a single group;
-    it is for the documents of one repository that lack an id, not for a corpus.
+    A document with none of them free takes the last with the least free number from 2 on.
     """
+    parts = F.transform(F.split(path, "/"), slug)
+    name, folders = F.element_at(parts, -1), F.reverse(F.slice(parts, 1, F.size(parts) - 1))
+    parent = F.coalesce(F.get(folders, F.lit(0)), F.lit(""))
+    own = F.when(name.isin("", "readme", "index"), F.array_join(F.filter(F.array(parent, name), lambda x: x != ""), "-")).otherwise(name)
+    own = F.when(own == "", "doc").otherwise(own)
+    longer = lambda ids, folder: F.array_append(ids, F.concat(folder, F.lit("-"), F.element_at(ids, -1)))
+    return F.aggregate(F.filter(folders, lambda x: x != ""), F.array(own), longer)
 
-    def fold(frame):
-        used, out = set(frame.loc[frame["path"].isna(), "id"].dropna()), []
-        for p in sorted(frame["path"].dropna()):
-            one = infer_id(p, used)
-            used.add(one)
-            out.append((p, one))
-        return pd.DataFrame(out, columns=["path", "id"])
 
-    both = docs.select("path", F.lit(None).cast("string").alias("id")).unionByName(taken.select(F.lit(None).cast("string").alias("path"), "id"))
-    return both.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fold, "path string, id string")
+def _numbers(rows: DataFrame) -> DataFrame:
+    """rows(path, ids, n) with n raised so that it grows along the paths of each last id.
+
+    Of documents that number the same id, a later path's number is greater than an earlier one's. The
+    rows are split by ranges of (id, path); only a row for each range and id meets in a window.
+    """
+    base = rows.withColumn("base", F.element_at("ids", -1))
+    parts = base.repartitionByRange("base", "path").withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("base", "_part").orderBy("path")
+    parts = parts.withColumn("_i", F.row_number().over(inside).cast("long"))
+    # written, as ranges found a second time might differ
+    parts = stored(parts.withColumn("_top", F.max(F.col("n") - F.col("_i")).over(inside)))
+    ends = parts.groupBy("base", "_part").agg(F.max("_i").alias("_size"), F.max("_top").alias("_end"))
+    before = Window.partitionBy("base").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_from", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    ends = ends.withColumn("_above", F.max(F.col("_end") - F.col("_from")).over(before)).drop("_size", "_end")
+    n = F.col("_from") + F.col("_i") + F.greatest(F.coalesce("_above", F.col("_top") - F.col("_from")), F.col("_top") - F.col("_from"))
+    return parts.join(ends, ["base", "_part"]).select("path", "ids", "at", n.alias("n"))
+
+
+def _past_taken(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """rows(path, ids, n) with n beyond a run of taken numbers that it lies in."""
+    number = F.regexp_extract("id", r"-([1-9]\d{0,8})\z", 1)
+    held = taken.withColumn("n", F.nullif(number, F.lit("")).cast("long")).where("n >= 2")
+    held = held.select(F.regexp_replace("id", r"-\d+\z", "").alias("base"), "n").distinct()
+    run = F.col("n") - F.row_number().over(Window.partitionBy("base").orderBy("n"))
+    runs = held.withColumn("run", run).groupBy("base", "run").agg(F.min("n").alias("low"), F.max("n").alias("high")).drop("run")
+    in_run = (F.element_at("ids", -1) == F.col("base")) & F.col("n").between(F.col("low"), F.col("high"))
+    return rows.join(runs, in_run, "left").withColumn("n", F.coalesce(F.col("high") + 1, F.col("n"))).select("path", "ids", "at", "n")
+
+
+def infer_ids(docs: DataFrame, taken: DataFrame) -> DataFrame:
+    """(path, id): each document of docs(path) takes, in order of paths, the first of its ids that is free.
+
+    taken(id): ids in use already. Whether an id is free depends on all documents before, but needs no
+    single group: in each round every document claims its best id left, of the claims to one id the
+    first path keeps it, and the others move on for good. What stands when nobody moves is the serial
+    result, as all ids prefer documents by the same order. Rounds are about as many as folders in a
+    path: documents that number one id are told apart by sorting, and runs of taken numbers are passed
+    at once. Only documents named like a number of another's id (`doc-2.md`) cost a round each, at most.
+    Null paths have no row; equal paths count once.
+    """
+    used = stored(taken.select("id").where("id is not null").distinct())
+    start = docs.select("path").where("path is not null").distinct()
+    rows = stored(start.select("path", wanted_ids(F.col("path")).alias("ids"), F.lit(0).alias("at"), F.lit(2).cast("long").alias("n")))
+    while True:
+        at_number = F.col("at") >= F.size("ids")
+        claimed = F.when(at_number, F.concat(F.element_at("ids", -1), F.lit("-"), F.col("n").cast("string"))).otherwise(F.get("ids", F.col("at")))
+        claims = rows.withColumn("id", claimed)
+        first = claims.groupBy("id").agg(F.min("path").alias("first")).join(used.withColumn("used", F.lit(True)), "id", "left")
+        judged = stored(claims.join(first, "id").withColumn("lost", F.coalesce("used", F.lit(False)) | (F.col("path") != F.col("first"))))
+        if judged.where("lost").isEmpty():
+            return judged.select("path", "id")
+        moved = judged.select(
+            "path", "ids", F.when(F.col("lost") & ~at_number, F.col("at") + 1).otherwise(F.col("at")).alias("at"), F.when(F.col("lost") & at_number, F.col("n") + 1).otherwise(F.col("n")).alias("n")
+        )
+        numbered = moved.where(at_number)
+        rows = stored(moved if numbered.isEmpty() else moved.where(~at_number).unionByName(_past_taken(_numbers(numbered), used)))
 
 
 def confidence(globs: Column, evidence: Column) -> Column:

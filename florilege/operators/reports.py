@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from florilege.dims import VERDICTS, Config, lookup, severity, verdict_rows
 from florilege.functions import globs as G
 from florilege.functions import text as T
+from florilege.operators.globjoin import by_grams
 from florilege.operators.ranking import running_total
 from florilege.sources.tables import stored
 
@@ -75,27 +76,26 @@ def findings(counts: DataFrame, duplicate_ids: DataFrame, conflicts: DataFrame)
 
 
 def _handoff_regex(globs: pd.Series) -> pd.DataFrame:
-    """Expression, and the whole path or the leading folders that every match has."""
+    """Expression, the whole path or the leading folders that every match has, and the grams that it holds."""
     rows = []
     for g in globs:
-        fixed = re.split(r"[*?]", g)[0]
-        rows.append((G.handoff_regex(g), fixed if fixed == g else fixed.rsplit("/", 1)[0] if "/" in fixed else ""))
-    return pd.DataFrame(rows, columns=["rx", "lead"])
+        fixed, *others = re.split(r"[*?]+", g)
+        rows.append((G.handoff_regex(g), fixed if not others else fixed.rsplit("/", 1)[0] if "/" in fixed else "", G.grams([fixed, *others])))
+    return pd.DataFrame(rows, columns=["rx", "lead", "grams"])
 
 
 def covered(doc_globs: DataFrame, changed: DataFrame) -> DataFrame:
     """(path, files): changed files that each document's globs cover, in the handoff dialect.
 
-    Globs meet files by the folder before their first wildcard; only those without one are compared
-    with every changed file. Changed files are those of one working state.
+    Globs meet files by the folder before their first wildcard, those without one by their rarest letters.
     """
-    globs = doc_globs.select("glob").where("glob <> ''").distinct().withColumn("c", F.pandas_udf(_handoff_regex, "rx string, lead string")("glob")).select("glob", "c.*")
+    globs = doc_globs.select("glob").where("glob <> ''").distinct().withColumn("c", F.pandas_udf(_handoff_regex, "rx string, lead string, grams array<string>")("glob")).select("glob", "c.*")
     files = changed.select(F.col("path").alias("file")).distinct()
     parts = F.split("file", "/")
     leads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     keyed = globs.where("lead <> ''").join(files.withColumn("lead", F.explode(leads)), "lead")
-    loose = globs.where("lead = ''").crossJoin(files)  # patterns such as `**/x`, by the files of one working state
-    hits = keyed.select("glob", "rx", "file").unionByName(loose.select("glob", "rx", "file")).where(F.regexp_like("file", F.col("rx"))).select("glob", "file")
+    loose = by_grams(globs.where("lead = ''").select("glob", "rx", "grams"), changed.select("path").distinct()).withColumnRenamed("path", "file")
+    hits = keyed.where(F.regexp_like("file", F.col("rx"))).select("glob", "file").unionByName(loose)
     return doc_globs.join(hits, "glob").groupBy("path").agg(F.array_sort(F.collect_set("file")).alias("files"))
 
 

@@ -235,6 +235,21 @@ def oracle_sql() -> dict[str, str]:
         "contradictions": _over("f_md", "SELECT key, CASE WHEN key = 'env:PORT' OR key LIKE 'script:%' THEN 'high' WHEN key LIKE 'net:%' THEN 'low' ELSE 'medium' END AS severity, CASE WHEN key LIKE 'env:%' THEN 'environment variable' WHEN key LIKE 'net:%' THEN 'local port' ELSE 'run command' END AS label, array_to_string(list_sort(list(DISTINCT value)), '|') AS \"values\", CAST(count(DISTINCT path) AS INTEGER) AS docs FROM asr WHERE path NOT IN (SELECT path FROM f_docs WHERE id IN (SELECT supersedes FROM f_docs)) GROUP BY key HAVING count(DISTINCT value) > 1", FACTS),
         "conflicts_all": _over("f_docs", """SELECT 'duplicate-id' AS kind, 'high' AS severity, array_to_string(paths, ',') AS docs, id AS detail FROM di UNION ALL SELECT 'duplicate', 'high', array_to_string(paths, ','), 'identical' FROM sd
             UNION ALL SELECT 'duplicate', CASE WHEN j > 0.9 THEN 'high' ELSE 'medium' END, a || ',' || b, CAST(floor(j * 100 + 0.5) AS INTEGER) || '%' FROM nd""", IDS, SAME, SHINGLES),
+        "facts_versions": """WITH l AS (SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(p_size AS VARCHAR) AS v, p_size FROM part)
+            SELECT path, 'version:node' AS key, v AS value, 1 AS line FROM l WHERE p_size BETWEEN 4 AND 40 UNION ALL SELECT path, 'version:python', v2, 2 FROM (SELECT path, '3.' || v AS v2 FROM l)""",
+        "facts_urls": """WITH l AS (SELECT CAST(page_id AS VARCHAR) AS path, lower(regexp_extract(url, '^https?://[^/?#]+')) AS value FROM pages)
+            SELECT path, 'url:api' AS key, value, 1 AS line FROM l UNION ALL SELECT path, 'url:base', value, 2 FROM l""",
+        "loose_globs": _over("f_files", "SELECT DISTINCT g.glob, f.path FROM g JOIN f_files f ON regexp_matches(f.path, g.rx)",
+            "p AS (SELECT split_part(path, '/', 2) AS t, right(split_part(path, '/', 3), 2) AS b FROM f_files)",
+            """g AS (SELECT DISTINCT '**/' || left(t, 3) || '*/**' AS glob, '^(.*/)?' || left(t, 3) || '[^/]*(/.*)?$' AS rx FROM p UNION SELECT '**/*' || b || '/*', '^(.*/)?[^/]*' || b || '/[^/]*$' FROM p
+            UNION SELECT '*/{' || t || ',x?y}/*', '^[^/]*/(' || t || '|x[^/]y)/[^/]*$' FROM p UNION SELECT '*/*/*', '^[^/]*/[^/]*/[^/]*$')"""),
+        "infer_ids": """WITH d AS (SELECT coalesce(source, 'none') AS s, coalesce(lang, 'xx') AS l, 'd' || doc_id // 10000 AS k, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'xx'), 'd' || doc_id // 10000, printf('%04d-note.md', doc_id % 10000)) AS path FROM documents),
+            a AS (SELECT *, row_number() OVER (ORDER BY path) AS r0 FROM d),
+            b AS (SELECT *, CASE WHEN r0 > 1 THEN row_number() OVER (PARTITION BY r0 = 1, k ORDER BY path) END AS r1 FROM a),
+            c AS (SELECT *, CASE WHEN r1 > 1 THEN row_number() OVER (PARTITION BY coalesce(r1, 1) = 1, k, l ORDER BY path) END AS r2 FROM b),
+            e AS (SELECT *, CASE WHEN r2 > 1 THEN row_number() OVER (PARTITION BY coalesce(r2, 1) = 1, k, l, s ORDER BY path) END AS r3 FROM c)
+            SELECT path, CASE WHEN r0 = 1 THEN 'note' WHEN r1 = 1 THEN k || '-note' WHEN r2 = 1 THEN l || '-' || k || '-note'
+            ELSE s || '-' || l || '-' || k || '-note' || CASE r3 WHEN 1 THEN '' WHEN 2 THEN '-2' ELSE '-' || (r3 + 2) END END AS id FROM e""",
         "url_origin": "SELECT page_id, lower(regexp_extract(url, '^https?://[^/?#]+')) AS origin FROM pages",
         "frontmatter_split": _over("f_md", "SELECT doc_id, has_fm, sha256(block) AS block_sha, sha256(body) AS body_sha FROM md", MD),
         "frontmatter_fields": _over("f_md", "SELECT m.doc_id, CASE WHEN has_fm THEN d.id END AS id, CASE WHEN has_fm THEN d.kind END AS kind, CASE WHEN has_fm THEN '[\"a\", \"b\"]' END AS tags, CASE WHEN has_fm AND m.doc_id % 6 = 0 THEN '2001-02-30' END AS expires FROM md m JOIN f_docs d ON d.doc_id = m.doc_id".replace("f_docs d ON", "f_docs d ON"), MD),

@@ -65,6 +65,13 @@ def missing_globs(fx):
     return GJ.missing(_globs(fx), fx.files).select("path", "glob")
 
 
+def loose_globs(fx):
+    """Globs without a fixed name, folder or ending, made of the files' own types and brands."""
+    typ, brand = F.split_part("path", F.lit("/"), F.lit(2)), F.split_part("path", F.lit("/"), F.lit(3))
+    some = F.array(F.concat(F.lit("**/"), F.left(typ, F.lit(3)), F.lit("*/**")), F.concat(F.lit("**/*"), F.right(brand, F.lit(2)), F.lit("/*")), F.concat(F.lit("*/{"), typ, F.lit(",x?y}/*")), F.lit("*/*/*"))
+    return GJ.match(fx.files.select(F.explode(some).alias("glob")).distinct(), fx.files)
+
+
 def path_normalize(fx):
     raw = F.concat(F.lit("./"), F.regexp_replace("path", "/", "//"), F.lit("/"))
     return fx.files.select(raw.alias("raw"), F.pandas_udf(lambda p: p.map(GJ.G.normalize_path), "string")(raw).alias("path"))
@@ -309,6 +316,19 @@ def facts_scripts(fx):
     return C.facts(_md(fx)).where("key like 'script:%'").select("path", "key", "value", "line")
 
 
+def facts_versions(fx):
+    size = F.col("p_size").cast("string")
+    lines = F.array(F.concat(F.lit("Needs Node.js v"), size, F.lit(".1")), F.concat(F.lit("and python 3."), size), F.concat(F.lit("node >= "), size))
+    parts = fx.table("part").select(F.col("p_partkey").cast("string").alias("path"), F.array_join(lines, "\n").alias("body"))
+    return C.facts(parts).where("key like 'version:%'").select("path", "key", "value", "line")
+
+
+def facts_urls(fx):
+    lines = F.array(F.concat(F.lit("api url: `"), "url", F.lit("`")), F.concat(F.lit("Base URL = "), "url"), F.concat(F.lit("see "), "url"))
+    pages = fx.table("pages").select(F.col("page_id").cast("string").alias("path"), F.array_join(lines, "\n").alias("body"))
+    return C.facts(pages).where("key like 'url:%'").select("path", "key", "value", "line")
+
+
 def fact_placeholders(fx):
     words = fx.docs.select("doc_id", F.explode(F.split("body", " ")).alias("word"))
     return words.groupBy("doc_id").agg(F.count_if(C.is_placeholder(F.col("word"))).alias("placeholders"), F.count(F.lit(1)).alias("words"))
@@ -395,6 +415,15 @@ def infer_describes(fx):
     return I.describes(cited).select("path", F.array_join("globs", ",").alias("globs"), F.size("evidence").alias("evidence"))
 
 
+def infer_ids(fx):
+    """Ids for notes of one name in folders by source and language, of which some numbers are taken."""
+    k = F.floor(F.col("doc_id") / 10_000).cast("string")
+    docs = fx.table("documents").select(F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("xx")), F.concat(F.lit("d"), k), F.format_string("%04d-note.md", F.col("doc_id") % 10_000)).alias("path"))
+    last = F.element_at(I.wanted_ids(F.col("path")), -1)
+    taken = docs.select(F.explode(F.array(F.concat(last, F.lit("-3")), F.concat(last, F.lit("-4")))).alias("id"))
+    return I.infer_ids(docs, taken)
+
+
 def _dead(fx):
     return fx.old_files.select(F.concat(F.lit("old/"), "typ", F.lit("/**")).alias("glob")).distinct()
 

@@ -1,6 +1,7 @@
 """Globs, tokens, front matter and other functions on small truths."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -11,6 +12,7 @@ from florilege.functions import frontmatter as FM
 from florilege.functions import globs as G
 from florilege.functions import text as T
 from florilege.operators import conflicts as C
+from florilege.operators import globjoin as GJ
 from florilege.sources import config as CF
 
 GLOBS = [
@@ -179,3 +181,24 @@ def test_keyed_glob_join_equals_every_pair(spark):
     found = globjoin.match(spark.createDataFrame([(g,) for g in globs], "glob string"), spark.createDataFrame([(p,) for p in paths], "path string"))
     got = {(x.glob, x.path) for x in found.collect()}
     assert got == {(g, p) for g in globs for p in paths if G.matches(g, p)}
+
+
+def test_loose_globs_equal_every_pair(spark):
+    rng = random.Random(11)
+    names = ["a", "ab", "abc", "xay", "[x]", "x-y.ts", "b.md", "世界", "a*b", "x?"]
+    paths = sorted({"/".join(rng.choices(names, k=rng.randrange(1, 5))) for _ in range(300)} | {"", "/a", "a//b"})
+    parts = ["**", "*", "?", "*a*", "x*y", "[ab]*", "[!a]?*", "[x", "{a,b}*", "*{b,**/c}", "ab*", "*y*", "世*", "*.{ts,md}", "a**b", "{,a}*"]
+    globs = sorted({"/".join(["**", *rng.choices(parts, k=rng.randrange(1, 4))]) for _ in range(250)} | {"**", "*", "**/*", "*/*", "./*a", "*a/", "**/x?y**/**", "*//a*"})
+    rows = spark.createDataFrame([(g, G.to_regex(g), k) for g in globs for k in G.gram_keys(g)], "glob string, rx string, grams array<string>")
+    found = GJ.by_grams(rows, spark.createDataFrame([(p,) for p in paths], "path string"))
+    got = {(r.glob, r.path) for r in found.collect()}
+    want = {(g, p) for g in globs for p in paths if re.search(G.to_regex(g).replace("\\z", "\\Z"), p, re.S)}
+    assert got == want and len(want) > 1000
+
+
+def test_many_globs_with_letters(spark):
+    globs = spark.createDataFrame([(f"**/x{i}*y/**",) for i in range(50)], "glob string")
+    paths = spark.range(2000).selectExpr("concat('p/x', id % 70, 'q', id, 'y/z') as path")
+    found = GJ.match(globs, paths)
+    assert found.count() == sum(1 for i in range(2000) for g in range(50) if f"x{i % 70}q{i}y".startswith(f"x{g}"))
+    assert all(len(k[0]) > 0 for k in (G.gram_keys(f"**/x{i}*y/**") for i in range(50)))
