@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from florilege.functions import globs as G
+from florilege.sources.tables import stored
 
 
 def _compiled(glob: pd.Series) -> pd.DataFrame:
@@ -25,9 +26,12 @@ def match(globs: DataFrame, files: DataFrame) -> DataFrame:
 
     A glob without wildcards meets its path, one with a plain last part the files of that name, one
     with a fixed leading folder the files below it, one that ends in a plain ending the files that end
-    so. All others meet the files that hold the rarest three letters of theirs, see `by_grams`.
+    so. All others meet the files that hold the rarest three letters of theirs, see `by_grams`. The
+    distinct globs with their keys are written first, as each way reads them.
     """
     keyed = globs.select("glob").where("glob is not null and glob <> ''").distinct().withColumn("c", F.pandas_udf(_compiled, "rx string, kind string, key string")("glob")).select("glob", "c.rx", "c.kind", "c.key")
+    keyed = stored(keyed)
+    kinds = {r.kind for r in keyed.select("kind").distinct().collect()}  # five at most
     paths = files.select("path").distinct()
     parts = F.split("path", "/")
     folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
@@ -40,10 +44,16 @@ def match(globs: DataFrame, files: DataFrame) -> DataFrame:
     }
     found = None
     for kind, side in by.items():
+        if kind not in kinds:
+            continue
         part = keyed.where(F.col("kind") == kind).join(side, "key").where(F.regexp_like("path", F.col("rx")))
+        part = part.select("glob", "path")
         found = part if found is None else found.unionByName(part)
+    if "none" not in kinds:
+        return paths.sparkSession.createDataFrame([], "glob string, path string") if found is None else found.distinct()
     loose = keyed.where("kind = 'none'").select("glob", "rx", F.explode(F.pandas_udf(_grams, "array<array<string>>")("glob")).alias("grams"))
-    return found.select("glob", "path").unionByName(by_grams(loose, paths)).distinct()
+    met = by_grams(loose, paths)
+    return met if found is None else found.unionByName(met).distinct()
 
 
 def _grams(glob: pd.Series) -> pd.Series:
