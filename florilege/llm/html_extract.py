@@ -7,8 +7,9 @@ Sum-product messages, once up and once down the tree, give each node's marginals
 kept where content is the likeliest state of its node. All tables are smoothed counts over labelled
 pages; `training_pages` makes them, as the corpus holds none.
 
-Scripts, styles, titles, form controls, templates, frames and drawings never hold text of a page; all
-other inline elements do. Within a block, character references are decoded, white space (a <br> too)
+Scripts, styles, titles, form controls, templates, frames and drawings never hold text of a page, nor does
+a noscript that stands by itself, which is a notice; all other inline elements do, a noscript among the
+words of a paragraph too. Each table cell is a block of its own. Within a block, character references are decoded, white space (a <br> too)
 becomes one space and ends are trimmed; blocks are joined by an empty line.
 
 Defined cases: null or empty html gives an empty text of 0 characters; unclosed or stray tags are
@@ -38,7 +39,7 @@ from florilege.llm.common import slices
 CONTENT, BOILERPLATE, MIXED = range(3)
 BLOCK = frozenset("address article aside blockquote body canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style textarea title iframe noframes noembed".split())  # no markup inside
-SILENT = frozenset("template svg select button option datalist".split())  # markup, but no text of the page
+SILENT = frozenset("noscript template svg select button option datalist".split())  # markup, but no text of the page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -127,7 +128,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, pos)
                 at = pos = end.start() if end else len(page)
             buffer.append(" ")
-        elif tag in SILENT:
+        elif tag in SILENT and not (tag == "noscript" and nodes[stack[-1]].tag == "p"):
             buffer.append(" ")
             if mute is None and not m[3].endswith("/"):
                 mute = tag, len(stack)

@@ -274,3 +274,14 @@ def test_stages_on_odd_rows(spark, tmp_path, none, odd_rows, name, stage):  # no
         assert max(ids.values()) == 1 and len([r for r in got if not words(r.text)]) == 1
     else:
         assert all(words(r.text) for r in got) and max(ids.values()) <= 6
+
+
+def test_notices_without_scripts_are_no_text_and_cells_are_blocks():
+    words = "The river rose in the night and the town woke to water in its streets and cellars. " * 4
+    notice = "Please enable JavaScript to use this site"
+    for tag in (f"<noscript>{notice}</noscript>", f"<noscript><div><p>{notice}</p></div></noscript>", f"<NOSCRIPT>{notice}</NOSCRIPT>"):
+        for page in (f"<body>{tag}<article><p>{words}</p><p>{words}</p></article></body>", f"<body><article><p>{words}</p>{tag}<p>{words}</p></article>{tag}</body>"):
+            blocks = [t for _, t in html_extract.parse(page)[1]]
+            assert blocks == [words.strip()] * 2
+    cells = html_extract.parse("<table><tr><td>K</td><td>V</td></tr><tr><td>1<td>2</table>")[1]
+    assert [t for _, t in cells] == ["K", "V", "1", "2"]
