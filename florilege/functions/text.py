@@ -77,6 +77,24 @@ def query_terms(spark, task: str) -> list[str]:
     return list(found.first()["t"])
 
 
+def runs_about(text: Column, terms: list[str]) -> Column:
+    """The stemmed runs of words next to each other, arrays of arrays, that may have one of these stems; all that have one are in them.
+
+    A stem differs from its word at the end only, by one letter and what is cut off, so that a word whose
+    stem is a term begins with all but the last letter of it. One expression finds them, and few words are stemmed.
+    """
+    start = "|".join(sorted({t[:-1] for t in terms}))
+    word = f"(?=[a-z0-9]{{2}})(?:{start})[a-z0-9]*+"
+    between = "[^a-z0-9]++(?:[a-z0-9][^a-z0-9]++)*+"  # words of one letter are none
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<![a-z0-9]){word}(?:{between}{word})*+"), F.lit(0))
+    return F.transform(found, lambda run: stems(raw_tokens(run)))
+
+
+def token_count(text: Column) -> Column:
+    """The number of tokens of `tokenize`."""
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}+"))
+
+
 def pairs(words: Column) -> Column:
     """Adjacent pairs of an array's words, joined by a space."""
     return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))

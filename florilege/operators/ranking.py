@@ -19,13 +19,17 @@ def saturation(tf: Column, length: Column | None = None) -> Column:
     return F.when(tf <= 0, 0.0).otherwise(tf * (K1 + 1) / (tf + norm))
 
 
-def with_tokens(docs: DataFrame) -> DataFrame:
-    """Adds one token array a field: t_title, t_id, t_headings, t_tags, t_path, t_body; fields absent are empty."""
+def _fields(docs: DataFrame) -> dict[str, Column]:
+    """The text of each field; those absent are empty."""
     has = set(docs.columns)
     text = lambda c: F.col(c) if c in has else F.lit("")
     joined = lambda c, by: F.array_join(F.col(c), by) if c in has else F.lit("")
-    fields = {"title": text("title"), "id": text("id"), "headings": joined("headings", " \n "), "tags": joined("tags", " "), "path": F.regexp_replace("path", r"(?i)\.mdx?$", ""), "body": F.col("body")}
-    return docs.withColumns({f"t_{k}": T.tokenize(v) for k, v in fields.items()})
+    return {"title": text("title"), "id": text("id"), "headings": joined("headings", " \n "), "tags": joined("tags", " "), "path": F.regexp_replace("path", r"(?i)\.mdx?$", ""), "body": F.col("body")}
+
+
+def with_tokens(docs: DataFrame) -> DataFrame:
+    """Adds one token array a field: t_title, t_id, t_headings, t_tags, t_path, t_body; fields absent are empty."""
+    return docs.withColumns({f"t_{k}": T.tokenize(v) for k, v in _fields(docs).items()})
 
 
 def term_frequency(docs: DataFrame) -> DataFrame:
@@ -46,12 +50,13 @@ def relevance(docs: DataFrame, task: str) -> DataFrame:
     terms = T.query_terms(docs.sparkSession, task)
     if not terms:
         return docs.withColumn("relevance", F.lit(0.0))
-    tokens = with_tokens(docs)
     asked = F.lit(terms)
-    count = lambda name, term: F.size(F.filter(f"t_{name}", lambda w: w == term))
+    runs = docs.withColumns({f"r_{k}": T.runs_about(v, terms) for k, v in _fields(docs).items()})
+    met = runs.withColumns({f"m_{k}": F.flatten(f"r_{k}") for k in FIELD_WEIGHT} | {"m_length": T.token_count(F.col("body"))})
+    count = lambda name, term: F.size(F.filter(f"m_{name}", lambda w: w == term))
 
     def weighed(name, term):
-        length = F.size("t_body") if name == "body" else None
+        length = F.col("m_length") if name == "body" else None
         return F.lit(FIELD_WEIGHT[name]) * _let(count(name, term), lambda tf: saturation(tf, length))
 
     def hits(term):
@@ -59,15 +64,16 @@ def relevance(docs: DataFrame, task: str) -> DataFrame:
         return 1 - F.exp(-sum(others, first) / SOFT)
 
     score = F.aggregate(F.transform(asked, hits), F.lit(0.0), lambda total, h: total + h) / len(terms)
-    wanted = [f"{a} {b}" for a, b in zip(terms, terms[1:], strict=False)]
+    wanted = sorted({f"{a} {b}" for a, b in zip(terms, terms[1:], strict=False)})
     if wanted:
-        seen = F.concat(*[T.pairs(F.col(f"t_{f}")) for f in ("title", "headings", "tags", "body")])
-        share = F.size(F.array_intersect(F.lit(wanted), seen)) / float(len(set(wanted)))
+        seen = F.flatten(F.transform(F.concat(*[F.col(f"r_{f}") for f in ("title", "headings", "tags", "body")]), T.pairs))
+        share = F.size(F.array_intersect(F.lit(wanted), seen)) / float(len(wanted))
         score = _let(score, lambda s: s + (1 - s) * 0.3 * share)
     if "id" in docs.columns:
         named = F.coalesce((F.length("id") >= 3) & (F.instr(F.lit(task.lower()), F.lower("id")) > 0), F.lit(False))
         score = F.greatest(score, F.when(named, F.lit(0.9)).otherwise(F.lit(0.0)))
-    return tokens.withColumn("relevance", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.floor(score * 10_000 + 0.5) / 10_000))).drop(*[f"t_{k}" for k in FIELD_WEIGHT])
+    scored = met.withColumn("relevance", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.floor(score * 10_000 + 0.5) / 10_000)))
+    return scored.drop(*[f"{x}_{k}" for k in FIELD_WEIGHT for x in "rm"], "m_length")
 
 
 def rank(relevance_: Column) -> Column:

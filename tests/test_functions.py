@@ -202,3 +202,22 @@ def test_many_globs_with_letters(spark):
     found = GJ.match(globs, paths)
     assert found.count() == sum(1 for i in range(2000) for g in range(50) if f"x{i % 70}q{i}y".startswith(f"x{g}"))
     assert all(len(k[0]) > 0 for k in (G.gram_keys(f"**/x{i}*y/**") for i in range(50)))
+
+
+def test_runs_hold_all_words_and_pairs_of_some_stems(spark):
+    rng = random.Random(3)
+    ends = ["", "s", "es", "ies", "sses", "ing", "ed", "e", "tt", "nned", "sing", "eed", "us", "is", "ss", "ches", "xes", "zes", "ses", "y", "yy", "99"]
+    terms = ["ab", "sy", "st", "tay", "bas", "a9", "ss", "ts"]
+    words = [(rng.choice(terms) if rng.random() < 0.6 else "".join(rng.choices("abst9", k=rng.randrange(0, 4)))) + rng.choice([*ends, "", "", "s"]) for _ in range(4000)]
+    texts = [rng.choice([" ", "-", "\n", " a ", ". É x_"]).join(words[i : i + 8]) for i in range(0, 4000, 8)] + ["", None, " a b ", "A", "ab b ab", "abs-ab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    runs = T.runs_about(F.col("t"), terms)
+    rows = df.select(T.tokenize(F.col("t")).alias("all"), runs.alias("runs"), F.flatten(F.transform(runs, T.pairs)).alias("pairs"), T.token_count(F.col("t")).alias("n")).collect()
+    some = 0
+    for r in rows:
+        assert r.n == len(r.all)
+        assert [w for run in r.runs for w in run if w in terms] == [w for w in r.all if w in terms]
+        want = {f"{a} {b}" for a, b in zip(r.all, r.all[1:]) if a in terms and b in terms}
+        assert {p for p in r.pairs if set(p.split()) <= set(terms)} == want
+        some += len(want)
+    assert some > 20
