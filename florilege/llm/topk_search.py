@@ -1,13 +1,15 @@
 """Exact top-k inner product by columnar branch-and-bound.
 
-Vectors are quantised to floor(64 x) and kept in vertical blocks (dimension x row). Query blocks are
-dealt into groups of GROUP_BYTES, candidate blocks into cells; each group meets each cell in one
-sorted run of a shuffle, its queries first, so that a task holds one group and streams the cell's
-blocks past it. Partial inner products grow dimension group by dimension group, and a candidate
-leaves a query's list once partial + |rest of query| * |rest of candidate| (Cauchy-Schwarz) is below
-that query's k-th best so far, which is carried from block to block. After each dimension group the
-survivors are compacted: rows and columns without any, then single pairs once few are left. A cell
-gives k rows a query; these merge by (score desc, vec_id).
+Vectors are quantised to floor(64 x) and kept in vertical blocks (dimension x row) of the narrowest
+numbers that hold them, one byte a component where |floor(64 x)| <= 127. A task holds a cell of
+candidate blocks, CELL_BYTES at most by the mean, and streams query blocks past it. Only the queries,
+the small side, go to every cell; candidates move once for each of the few groups of queries that
+keep all tasks busy while cells are few (`grid`), and once in all beyond. Partial inner products grow
+dimension group by dimension group, and a candidate leaves a query's list once partial + |rest of
+query| * |rest of candidate| (Cauchy-Schwarz) is below that query's k-th best so far, which is carried
+from block to block. After each dimension group the survivors are compacted: rows and columns without
+any, then single pairs once few are left. A cell gives k rows a query; these merge by (score desc,
+vec_id).
 
 Defined cases: vectors that are null or hold null or non-finite components (or ones whose 64-fold is
 not finite) take no part, nor do rows with a null vec_id; a vector shorter than another counts as
@@ -20,6 +22,8 @@ are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,10 +34,11 @@ from florilege.llm.common import stored
 K = 20
 BLOCK_ROWS = 1024
 BLOCK_BYTES = 1 << 20  # of a block's numbers, where one row does not exceed it
-GROUP_BYTES = 32 << 20  # queries that a task holds
-CELL_ROWS = 1 << 19  # candidates that a cell holds at most, about
+CELL_BYTES = 128 << 20  # candidates that a task holds, as stored
+FOUND_BYTES = 32  # of a result on its way to the merge, about
 MOST_TASKS = 1 << 15
 DIMS = 16
+NARROW = 127  # components up to here are kept as bytes
 SAFE = 1 << 20  # larger components stand in blocks of their own
 EXACT = 1 << 53
 BOUNDED = 1e100  # squares of larger components may leave the doubles
@@ -44,6 +49,11 @@ BLOCK = pa.schema([("ids", pa.binary()), ("n", pa.int32()), ("dims", pa.binary()
 BLOCK_DDL = "ids binary, n int, dims binary, width int, large double"
 
 
+def _kept(large: float) -> type:
+    """The numbers that a block is kept in, by its largest component."""
+    return np.int8 if large <= NARROW else np.int32 if large <= SAFE else np.float64
+
+
 def _blocks(batches):
     """Packs rows of (vec_id, embedding) into vertical blocks of their floor(64 x)."""
     for b in batches:
@@ -55,12 +65,12 @@ def _blocks(batches):
         starts = np.cumsum(sizes) - sizes
         large = np.array([np.abs(values[s : s + n]).max(initial=0.0) for s, n in zip(starts, sizes, strict=True)])
         out = []
-        for own in (np.flatnonzero(large <= SAFE), np.flatnonzero(large > SAFE)):
+        for own in (np.flatnonzero(large <= NARROW), np.flatnonzero((large > NARROW) & (large <= SAFE)), np.flatnonzero(large > SAFE)):
             most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, sizes[own].max(initial=0)))))
             for at in range(0, len(own), most):
                 rows = own[at : at + most]
                 width, top = int(sizes[rows].max()), float(large[rows].max())
-                dims = np.zeros((width, len(rows)), np.int32 if top <= SAFE else np.float64)
+                dims = np.zeros((width, len(rows)), _kept(top))
                 for i, r in enumerate(rows):
                     dims[: sizes[r], i] = values[starts[r] : starts[r] + sizes[r]]
                 out.append({"ids": ids[rows].astype(np.int64).tobytes(), "n": len(rows), "dims": dims.tobytes(), "width": width, "large": top})
@@ -72,12 +82,17 @@ class Block:
 
     def __init__(self, ids: bytes, n: int, dims: bytes, width: int, large: float) -> None:
         self.ids, self.large = np.frombuffer(ids, np.int64), large
-        self.dims = np.frombuffer(dims, np.int32 if large <= SAFE else np.float64).reshape(width, n).astype(np.float64)
+        self.dims = np.frombuffer(dims, _kept(large)).reshape(width, n)
         self.rest = []
         if large <= BOUNDED:
-            parts = [np.zeros(n)] + [(self.dims[at : at + DIMS] ** 2).sum(axis=0) for at in reversed(range(0, width, DIMS))]
-            # rounded up, so that no bound falls short
-            self.rest = [np.sqrt(x) * (1 + 1e-9) for x in reversed(list(np.cumsum(parts, axis=0)))]
+            parts = [np.zeros(n)] + [(self.part(at, width) ** 2).sum(axis=0) for at in reversed(range(0, width, DIMS))]
+            # rounded up, so that no bound falls short, by more than halving the digits loses
+            short = np.float32 if large <= SAFE else np.float64
+            self.rest = [(np.sqrt(x) * (1 + 1e-6)).astype(short) for x in reversed(list(np.cumsum(parts, axis=0)))]
+
+    def part(self, at: int, end: int) -> np.ndarray:
+        """The group of dimensions from `at` on, before `end`, in doubles."""
+        return self.dims[at : min(at + DIMS, end)].astype(np.float64)
 
     def in_doubles(self, other: Block) -> bool:
         """Are inner products with another block, and their bounds, exact in doubles?"""
@@ -119,11 +134,11 @@ def survivors(q: Block, c: Block, floor: np.ndarray) -> tuple[np.ndarray, np.nda
         return np.repeat(rows, len(cols)), np.tile(cols, len(rows)), held
     partial, pairs = np.zeros((len(rows), len(cols))), None
     for i, at in enumerate(range(0, common, DIMS)):
-        x, y = q.dims[at : min(at + DIMS, common)], c.dims[at : min(at + DIMS, common)]
+        x, y = q.part(at, common), c.part(at, common)
         rest_q, rest_c = q.rest[i + 1], c.rest[i + 1]
         if pairs is None:
             partial += x[:, rows].T @ y[:, cols]
-            alive = partial + rest_q[rows, None] * rest_c[None, cols] >= floor[rows, None]
+            alive = partial + rest_q[rows, None].astype(np.float64) * rest_c[None, cols] >= floor[rows, None]
             if alive.mean() < FEW:
                 a, b = np.nonzero(alive)
                 pairs, partial = (rows[a], cols[b]), partial[a, b]
@@ -134,7 +149,7 @@ def survivors(q: Block, c: Block, floor: np.ndarray) -> tuple[np.ndarray, np.nda
         else:
             a, b = pairs
             partial = partial + np.einsum("ij,ij->j", x[:, a], y[:, b])
-            keep = partial + rest_q[a] * rest_c[b] >= floor[a]
+            keep = partial + rest_q[a].astype(np.float64) * rest_c[b] >= floor[a]
             pairs, partial = (a[keep], b[keep]), partial[keep]
     if pairs is None:
         a, b = np.nonzero(partial >= floor[rows, None])
@@ -149,7 +164,7 @@ def meet(q: Block, c: Block, best: Best) -> None:
     common = min(len(q.dims), len(c.dims))
     if np.isneginf(floor).any() and first >= best.k and q.in_doubles(c):
         # the first columns set a floor where there is none
-        seen = q.dims[:common].T @ c.dims[:common, :first]
+        seen = q.dims[:common].T.astype(np.float64) @ c.dims[:common, :first].astype(np.float64)
         seen[q.ids[:, None] == c.ids[None, :first]] = -np.inf
         floor = np.maximum(floor, np.partition(seen, first - best.k, axis=1)[:, first - best.k])
     rows, cols, scores = survivors(q, c, floor)
@@ -158,33 +173,40 @@ def meet(q: Block, c: Block, best: Best) -> None:
 
 
 def _search(k: int):
-    """Rows (at, side, block ...), sorted: each `at` holds a group's query blocks, then a cell's blocks."""
+    """Rows (at, side, block ...), sorted: each `at` holds a cell's blocks, then the query blocks of a group."""
 
     def run(batches):
-        open_at, held = None, []
-
-        def out():
-            for q, best in held:
-                full = best.id != MOST
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids, full.sum(axis=1))), pa.array(best.id[full]), pa.array(best.score[full])], names=["query_id", "vec_id", "score"])
-
+        open_at, cell = None, []
         for b in batches:
             for r in b.to_pylist():
                 at, side = r.pop("at"), r.pop("side")
                 if at != open_at:
-                    yield from out()
-                    open_at, held = at, []
+                    open_at, cell = at, []
                 block = Block(**r)
                 if side == 0:
-                    held.append((block, Best(len(block.ids), k)))
-                else:
-                    for q, best in held:
-                        meet(q, block, best)
-        yield from out()
+                    cell.append(block)
+                    continue
+                best = Best(len(block.ids), k)
+                for c in cell:
+                    meet(block, c, best)
+                full = best.id != MOST
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids, full.sum(axis=1))), pa.array(best.id[full]), pa.array(best.score[full])], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def grid(candidates: int, blocks: int, queries: int, query_blocks: int, found: int, tasks: int) -> tuple[int, int]:
+    """(cells, groups): as many cells as memory asks for; more, and groups, only to keep `tasks` busy.
+
+    candidates, queries and found are bytes: found is what one cell gives for all queries. What moves is
+    candidates * groups + (queries + found) * cells, least for a given number of tasks where both are equal.
+    """
+    least = -(-candidates // CELL_BYTES)
+    even = math.isqrt(tasks * candidates // max(1, queries + found)) + 1
+    cells = max(1, least, min(even, tasks, blocks))
+    return cells, max(1, min(query_blocks, -(-tasks // cells)))
+
+
 def top_k(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of vectors(vec_id, embedding) whose vec_id divides by `every`."""
     spark = vectors.sparkSession
@@ -193,15 +215,14 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     ready = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).where(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False)))
     candidates = stored(ready.mapInArrow(_blocks, BLOCK_DDL))
     queries = stored(ready.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "embedding"]).mapInArrow(_blocks, BLOCK_DDL))
-    size = F.coalesce(F.sum(F.length("dims") + F.length("ids")), F.lit(0)).alias("bytes")
-    rows, blocks = candidates.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    groups = max(1, -(-queries.agg(size).first()[0] // GROUP_BYTES))
-    # as many cells as their size asks for, or as use all tasks of a shuffle; each holds a block or more
-    cells = max(1, min(blocks, max(-(-rows // CELL_ROWS), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // groups))))
+    total = [F.coalesce(F.sum(x), F.lit(0)).cast("long") for x in (F.length("dims") + F.length("ids"), F.col("n"))] + [F.count(F.lit(1))]
+    size, _, blocks = candidates.agg(*total).first()
+    query_size, query_rows, query_blocks = queries.agg(*total).first()
+    cells, groups = grid(size, blocks, query_size, query_blocks, query_rows * k * FOUND_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     number = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n))
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = queries.withColumn("group", number(groups)).withColumn("cell", all_of(cells)).withColumn("side", F.lit(0))
-    right = candidates.withColumn("cell", number(cells)).withColumn("group", all_of(groups)).withColumn("side", F.lit(1))
+    left = candidates.withColumn("cell", number(cells)).withColumn("group", all_of(groups)).withColumn("side", F.lit(0))
+    right = queries.withColumn("group", number(groups)).withColumn("cell", all_of(cells)).withColumn("side", F.lit(1))
     both = left.unionByName(right).select((F.col("group") * cells + F.col("cell")).alias("at"), "side", *BLOCK.names)
     tasks = min(groups * cells, MOST_TASKS)
     dealt = both.repartitionById(tasks, F.pmod("at", F.lit(tasks)).cast("int")).sortWithinPartitions("at", "side")

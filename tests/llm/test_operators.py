@@ -335,13 +335,12 @@ def test_top_k(spark, none):
 def block(ids, dims):
     dims = np.asarray(dims, np.float64)
     large = float(np.abs(dims).max(initial=0))
-    kind = np.int32 if large <= topk_search.SAFE else np.float64
-    return topk_search.Block(np.asarray(ids, np.int64).tobytes(), len(ids), dims.astype(kind).tobytes(), len(dims), large)
+    return topk_search.Block(np.asarray(ids, np.int64).tobytes(), len(ids), dims.astype(topk_search._kept(large)).tobytes(), len(dims), large)
 
 
 def test_block_search_prunes_nothing_needed():
     r = np.random.default_rng(0)
-    for scale in (3, 1 << 22):
+    for scale in (3, 1000, 1 << 22):
         q, c = r.integers(-scale, scale, (64, 9)), r.integers(-scale, scale, (64, 700))
         c[:, 300:500] = c[:, :1]
         own, best = block(np.arange(9), q), topk_search.Best(9, 20)
@@ -364,9 +363,24 @@ def test_survivors_are_compacted_and_whole():
     assert {(a, b) for a, b in zip(rows.tolist(), cols.tolist(), strict=True)} == {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(scores >= floor[:, None])), strict=True)}
 
 
-@pytest.mark.parametrize("group_bytes", [32 << 20, 100])
-def test_top_k_of_large_components_and_repeated_ids(spark, monkeypatch, group_bytes):
-    monkeypatch.setattr(topk_search, "GROUP_BYTES", group_bytes)
+def test_grid_moves_the_small_side():
+    mb = 1 << 20
+    assert topk_search.grid(0, 0, 0, 0, 0, 200) == (1, 1)
+    assert topk_search.grid(mb, 3, mb // 20, 1, mb // 4, 200) == (3, 1)
+    for size in (10 * mb, 1000 * mb, 7_500 * mb, 1 << 40):
+        queries, found = size // 20, size // 4
+        cells, groups = topk_search.grid(size, size // 70_000, queries, size // 1_400_000, found, 200)
+        assert cells * topk_search.CELL_BYTES >= size and cells * groups >= min(200, size // 70_000)
+        # what moves, against the least that any grid with as many tasks moves
+        cost = lambda c, g: size * g + (queries + found) * c  # noqa: E731, B023
+        others = [cost(c, -(-200 // c)) for c in range(max(1, -(-size // topk_search.CELL_BYTES)), 201)]
+        assert cost(cells, groups) <= 1.2 * min(others, default=cost(cells, 1))
+
+
+@pytest.mark.parametrize("cell_bytes", [128 << 20, 100])
+def test_top_k_of_large_components_and_repeated_ids(spark, monkeypatch, cell_bytes):
+    monkeypatch.setattr(topk_search, "CELL_BYTES", cell_bytes)
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 1024 if cell_bytes > 100 else 3)
     r = random.Random(8)
     vectors = [(i, [r.uniform(-2, 2) for _ in range(5)]) for i in range(60)]
     vectors += [(300, [1e30] * 20), (340, [-1e300, 1e300]), (301, [1e10] * 3), (302, [1e17] * 20), (400, [1e308]), (40, vectors[40][1])]
