@@ -137,19 +137,17 @@ def pack(corpus: Corpus, task: str, budget: int | None = None, include_stale: bo
     """Every candidate with its place; the row that was cut carries the text that fits, rows left out the reason."""
     budget = budget or corpus.config.default_budget
     packed = R.pack(corpus.reports, task, budget, include_stale, kinds)
-    content = F.when(F.col("place") == "entry", F.col("body")).when(F.col("place") == "cut", FM.shorten(F.when(F.col("place") == "cut", F.col("body")), F.col("left")))
-    packed = packed.withColumn("content", content)
-    packed = packed.withColumn("place", F.when((F.col("place") == "cut") & F.col("content").isNull(), "omitted").otherwise(F.col("place")))
+    packed = R.cut_to_fit(packed)
     return packed.withColumn("why", R.left_out(packed, budget))
 
 
 def pack_markdown(packed: DataFrame, task: str, budget: int | None = None) -> str:
     """A pack as one markdown text: where it is from, contents, the entries in order, then all that was left out and why."""
-    rows = packed.select("path", "title", "freshness", "relevance", "rank", "score", "pin", "place", F.coalesce("content", F.lit("")).alias("content"), "cost", "why").toLocalIterator()
+    rows = packed.select("path", "title", "freshness", "relevance", "rank", "score", "pin", "place", F.coalesce("content", F.lit("")).alias("content"), "tokens", "why").toLocalIterator()
     rows = sorted(rows, key=lambda r: (not r.pin, -r.rank, -r.score, r.path))
     order = [r for r in rows if r.place in ("entry", "cut")]
     rest = sorted((r for r in rows if r.place in ("omitted", "excluded")), key=lambda r: (r.place, r.path))
-    used = sum(FM.estimate(r.content) if r.place == "cut" else r.cost for r in order)
+    used = sum(r.tokens for r in order)
     room = f" of {budget}" if budget else ""
     withheld = sum(r.place == "excluded" for r in rest)
     out = [f"# Context: {task}", "", f"> Made {_stamp()}: {len(order)} documents, about {used}{room} tokens; {len(rest) - withheld} did not fit, {withheld} withheld as out of date.", ""]

@@ -256,7 +256,7 @@ def write(data: dict, body: str) -> str:
     return "---\n" + "\n".join(lines) + "\n---\n\n" + re.sub(r"^\n+", "", body)
 
 
-# cutting
+# the plain token estimate
 
 _FENCE = re.compile(r"\s{0,3}(`{3,}|~{3,})")
 _RUN = re.compile("(?P<cjk>[぀-ヿ㐀-䶿一-鿿豈-﫿가-힯])|(?P<word>[A-Za-z0-9À-ɏ]+)|(?P<sign>[^ \\t\\n\\rA-Za-z0-9À-ɏ぀-ヿ㐀-䶿一-鿿豈-﫿가-힯]+)")
@@ -295,74 +295,6 @@ def estimate(text: str) -> int:
     return max(1, (tenths + 5) // 10)
 
 
-def _blocks(text: str) -> list[str]:
-    """Paragraphs, headings with what follows, and whole fenced blocks."""
-    out = []
-    for lines, code in _segments(text):
-        if code:
-            out.append("\n".join(lines))
-            continue
-        marked = [(i and not x.strip()) or re.match(r"#{1,6}\s", x) is not None for i, x in enumerate(lines)]
-        own: list[str] = []
-        for line, cut in zip(lines, marked, strict=True):
-            if cut and own:
-                out.append("\n".join(own))
-                own = []
-            own.append(line)
-        out.append("\n".join(own))
-    return [x.strip() for x in out if x.strip()] or [text]
-
-
-def cut_to(text: str, budget: int) -> str:
-    """As much of a text as fits: whole blocks, else sentences, else characters; fences are closed."""
-    if budget <= 0 or estimate(text) <= budget:
-        return text if budget > 0 else ""
-    kept: list[str] = []
-    for block in _blocks(text):
-        if estimate("\n\n".join([*kept, block])) > budget:
-            break
-        kept.append(block)
-    if kept:
-        return "\n\n".join(kept)
-    first = _blocks(text)[0]
-    end = 0
-    for m in re.finditer(r"[.!?](?=\s)\s*", first):
-        if estimate(first[: m.end()]) > budget:
-            break
-        end = m.end()
-    if end:
-        return first[:end].rstrip()
-    low, high = 0, len(first)
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if estimate(first[:mid]) <= budget else (low, mid - 1)
-    out = first[:low].rstrip()
-    marks = [m[1][0] for x in out.split("\n") if (m := _FENCE.match(x))]
-    return f"{out}\n{marks[0] * 3}" if len(marks) == 1 else out
-
-
-def fit(text: str, budget: int) -> str | None:
-    """`cut_to` with smaller targets until the result really fits; None if it never does."""
-    target = budget
-    for _ in range(9):
-        out = cut_to(text, target)
-        if estimate(out) <= budget:
-            return out
-        target = int(target * 0.9)
-        if target < 1:
-            break
-    return None
-
-
-def shorten(text: Column, budget: Column) -> Column:
-    """Each text cut to its budget of tokens; null where nothing fits."""
-    return F.pandas_udf(_shorten, "string")(text, budget)
-
-
-def _shorten(text: pd.Series, budget: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else fit(t, int(b)) for t, b in zip(text, budget, strict=True)])
-
-
 def demote_headings(text: Column, by: Column) -> Column:
     """Headings by some levels lower, six at most; code stays."""
     return F.pandas_udf(_demoted, "string")(text, by)

@@ -22,6 +22,11 @@ SPACES = r"(?U)\s+"
 FENCED = r"(?ms)^[^\S\n]{0,3}(?:```.*?(?:\n[^\S\n]{0,3}```[^\n]*|\z)|~~~.*?(?:\n[^\S\n]{0,3}~~~[^\n]*|\z))"
 
 
+def let(value: Column, f) -> Column:
+    """f(value), the value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from florilege.dims import DEGRADED, FIELD_WEIGHT, KIND_WEIGHT, NO_KIND_WEIGHT, VERDICTS, lookup
+from florilege.functions import cutting as CUT
 from florilege.functions import text as T
 
 FLOOR = 0.05
@@ -40,11 +41,6 @@ def term_frequency(docs: DataFrame) -> DataFrame:
     return rows.groupBy("path", "field", "term", "field_len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
-def _let(value: Column, f) -> Column:
-    """f(value), the value worked out once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def relevance(docs: DataFrame, task: str) -> DataFrame:
     """docs with `relevance` in 0..1; the few query terms are one literal array, so rows are scored where they lie."""
     terms = T.query_terms(docs.sparkSession, task)
@@ -57,7 +53,7 @@ def relevance(docs: DataFrame, task: str) -> DataFrame:
 
     def weighed(name, term):
         length = F.col("m_length") if name == "body" else None
-        return F.lit(FIELD_WEIGHT[name]) * _let(count(name, term), lambda tf: saturation(tf, length))
+        return F.lit(FIELD_WEIGHT[name]) * T.let(count(name, term), lambda tf: saturation(tf, length))
 
     def hits(term):
         first, *others = [weighed(name, term) for name in FIELD_WEIGHT]
@@ -68,7 +64,7 @@ def relevance(docs: DataFrame, task: str) -> DataFrame:
     if wanted:
         seen = F.flatten(F.transform(F.concat(*[F.col(f"r_{f}") for f in ("title", "headings", "tags", "body")]), T.pairs))
         share = F.size(F.array_intersect(F.lit(wanted), seen)) / float(len(wanted))
-        score = _let(score, lambda s: s + (1 - s) * 0.3 * share)
+        score = T.let(score, lambda s: s + (1 - s) * 0.3 * share)
     if "id" in docs.columns:
         named = F.coalesce((F.length("id") >= 3) & (F.instr(F.lit(task.lower()), F.lower("id")) > 0), F.lit(False))
         score = F.greatest(score, F.when(named, F.lit(0.9)).otherwise(F.lit(0.0)))
@@ -137,12 +133,22 @@ def pack(reports: DataFrame, task: str, budget: int = 8000, include_stale: bool
     """Every candidate once, with `place` entry, cut, omitted or excluded, its cost and the tokens before it.
 
     reports(path, body, kind, pin, freshness, score, ...). `cut` marks the one row that may enter
-    shortened (see `shorten`). Rows below the relevance floor are about something else and left out.
+    shortened (see `cut_to_fit`). Rows below the relevance floor are about something else and left out.
     """
     plan = pack_plan(reports, task, budget, include_stale, kinds)
     return reports.join(plan.select("path", "relevance", "rank", "cost", "total", "left", "place"), "path")
 
 
+def cut_to_fit(packed: DataFrame) -> DataFrame:
+    """A pack with `content` and `tokens` of the rows that are in it; the row to be cut is omitted where no cut of it fits."""
+    cut = F.col("place") == "cut"
+    fit = packed.withColumn("_fit", F.when(cut, CUT.fitted(F.col("body"), F.col("left"))))
+    fit = fit.withColumn("place", F.when(cut & F.col("_fit.text").isNull(), "omitted").otherwise(F.col("place")))
+    whole = F.col("place") == "entry"
+    content = F.when(whole, F.col("body")).when(F.col("place") == "cut", F.col("_fit.text"))
+    return fit.withColumns({"content": content, "tokens": F.when(whole, F.col("cost")).when(F.col("place") == "cut", F.col("_fit.tokens"))}).drop("_fit")
+
+
 def left_out(packed: DataFrame, budget: int) -> Column:
     """Why a row of a pack is not in it; null for those that are."""
     text = lambda c: F.col(c).cast("string")

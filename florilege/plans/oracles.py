@@ -157,8 +157,47 @@ fh AS (SELECT path, list_reduce(list_transform(string_split(s, ''), lambda c: CA
 fv AS (SELECT fw.path, ws, x.hs FROM fw LEFT JOIN (SELECT path, list(DISTINCT h) AS hs FROM fh GROUP BY path) x ON x.path = fw.path)"""
 
 
+CODE = "'```sh' || chr(10) || '# not a heading' || chr(10) || 'npm run dev' || chr(10) || '```'"
+
+
+def _mixed(c: str) -> str:
+    """The estimate of a text in which CODE stands once at most; a line end beside it belongs to no part."""
+    ends = f"len({c}) - len(replace({c}, chr(10), '')) - CASE WHEN NOT contains({c}, {CODE}) THEN 0 ELSE CAST(NOT starts_with({c}, {CODE}) AS INTEGER) + CAST(NOT ends_with({c}, {CODE}) AS INTEGER) END"
+    prose, code = f"replace({c}, {CODE}, chr(10))", f"CASE WHEN contains({c}, {CODE}) THEN {_tokens(CODE, 4)} ELSE 0 END"
+    return f"CASE WHEN regexp_matches({c}, '^\\s*$') THEN 0 ELSE greatest(1, CAST(floor(({_tokens(prose)} + {code} + 5 * ({ends}) + 5) / 10) AS INTEGER)) END"
+
+
+def _cuts(source: str) -> tuple[str, ...]:
+    """ct(k, text, tokens) of source(k, body, budget): every target's cut, the first that fits taken.
+
+    Blocks and sentences are rows with running sums of their costs; a null text is one that no target fits.
+    """
+    running = "sum(cost) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS total"
+    return (
+        f"cs AS (SELECT k, body, budget, {_mixed('body')} AS whole FROM ({source}))",
+        # a line's place: blank lines, headings and the fixed code part blocks
+        rf"cp AS (SELECT *, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(replace(body, {CODE}, chr(10) || chr(10) || chr(1) || chr(10) || chr(10)), '(^|\n)(#{{1,6}}\s)', '\1' || chr(10) || '\2', 'g'), '\s+$', ''), '\n\s*\n'), lambda b: replace(regexp_replace(b, '^\s+|\s+$', '', 'g'), chr(1), {CODE})), lambda b: b <> '') AS parts FROM cs)",
+        "cb AS (SELECT k, i, part, " + _mixed("part") + " AS cost FROM (SELECT k, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM cp))",
+        f"cr AS (SELECT *, {running} FROM cb)",
+        "cf AS (SELECT k, i, part, " + _estimate("part") + r" AS cost FROM (SELECT k, unnest(ss) AS part, unnest(range(len(ss))) AS i FROM (SELECT k, string_split(regexp_replace(parts[1], '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM cp)))",
+        f"cq AS (SELECT *, {running} FROM cf)",
+        "ta AS (SELECT k, 0 AS n, CAST(budget AS BIGINT) AS target FROM cs WHERE budget > 0 UNION ALL SELECT k, n + 1, target * 9 // 10 FROM ta WHERE n < 8 AND target * 9 // 10 >= 1)",
+        """tc AS (SELECT ta.k, n, target, CASE WHEN whole <= target THEN body ELSE coalesce((SELECT string_agg(part, chr(10) || chr(10) ORDER BY i) FROM cr WHERE cr.k = ta.k AND total <= target),
+            (SELECT string_agg(part, ' ' ORDER BY i) FROM cq WHERE cq.k = ta.k AND total <= target), left(body, greatest(1, CAST(floor(target * (len(body) / CAST(greatest(1, whole) AS DOUBLE))) AS INTEGER)))) END AS raw FROM ta JOIN cp ON cp.k = ta.k)""",
+        r"td AS (SELECT k, n, CASE WHEN raw = (SELECT body FROM cs WHERE cs.k = tc.k) THEN raw ELSE regexp_replace(raw, '\s+$', '') END AS text FROM tc)",
+        "te AS (SELECT k, n, text, " + _mixed("text") + " AS tokens FROM td)",
+        "ct AS (SELECT cs.k, x.text, x.tokens FROM cs LEFT JOIN (SELECT k, arg_min(text, n) AS text, CAST(arg_min(tokens, n) AS INTEGER) AS tokens FROM te WHERE tokens <= (SELECT budget FROM cs WHERE cs.k = te.k) GROUP BY k) x ON x.k = cs.k)",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
+        "truncate_blocks": _over("f_docs", "SELECT k AS doc_id, text, tokens FROM ct", *_cuts("SELECT doc_id AS k, body, len(body) % 160 + 1 AS budget FROM f_docs")).replace("WITH ", "WITH RECURSIVE ", 1),
+        "truncate_markdown": _over("f_md", "SELECT k AS doc_id, sha256(text) AS text_sha, tokens FROM ct", *_cuts("SELECT doc_id AS k, replace(raw, '. ', '.' || chr(10) || chr(10)) AS body, len(raw) // 12 + doc_id % 40 AS budget FROM f_md")).replace("WITH ", "WITH RECURSIVE ", 1),
+        "pack_cut": _reports("SELECT path, 'entry' AS place, CAST(cost AS BIGINT) AS tokens, sha256(body) AS content_sha FROM kt WHERE total <= " + str(BUDGET) + " UNION ALL SELECT k, 'cut', CAST(tokens AS BIGINT), sha256(text) FROM ct WHERE text IS NOT NULL",
+            f"k AS (SELECT path, pin, score, body, CAST({RANK.replace('relevance', '0.5')} AS DOUBLE) AS rank, {_estimate('body')} AS cost FROM r WHERE kind IN ('decision', 'runbook'))",
+            "kt AS (SELECT *, sum(cost) OVER (ORDER BY pin DESC, rank DESC, score DESC, path ROWS UNBOUNDED PRECEDING) AS total FROM k)",
+            *_cuts(f"SELECT path AS k, body, CAST({BUDGET} - total + cost AS BIGINT) AS budget FROM kt WHERE total > {BUDGET} AND {BUDGET} - total + cost >= 400")).replace("WITH ", "WITH RECURSIVE ", 1),
         "scan_docs": _over("f_md", r"SELECT m.path, has_fm, CASE WHEN has_fm THEN d.id END AS id, CASE WHEN has_fm THEN d.kind END AS kind, 'Doc ' || m.doc_id AS title, CAST(len(list_filter(regexp_split_to_array(m.body, '\s+'), lambda w: w <> '')) AS INTEGER) AS word_count, CASE WHEN has_fm THEN 'a,b' ELSE '' END AS tags FROM md m JOIN f_docs d ON d.doc_id = m.doc_id", MD),
         "glob_filter": _over("f_files", "SELECT path FROM f_files WHERE regexp_matches(path, '^src/(small|economy)/([^/]+/)*[^/]*[05][.]ts$')"),
         "glob_resolve": _reports("SELECT g.path, g.glob, h.file FROM g JOIN hit h USING (glob)"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.dims import FRONT_FIELDS, Config
+from florilege.functions import cutting as CUT
 from florilege.functions import display as D
 from florilege.functions import frontmatter as FM
 from florilege.functions import text as T
@@ -255,8 +256,23 @@ def pack_by_kind(fx):
     return R.pack_plan(_reports(fx), "", BUDGET, include_stale=True, kinds=["decision", "runbook"]).select("path", "place")
 
 
+def pack_cut(fx):
+    """The rows of a pack of two kinds that are in it, the last one cut to the room left."""
+    p = R.pack(_reports(fx), "", BUDGET, include_stale=True, kinds=["decision", "runbook"])
+    return R.cut_to_fit(p).where("content is not null").select("path", "place", F.col("tokens").cast("long").alias("tokens"), F.sha2("content", 256).alias("content_sha"))
+
+
 def truncate_blocks(fx):
-    return fx.docs.select("doc_id", FM.shorten(F.col("body"), F.lit(60)).alias("text"))
+    """Bodies in their sentences: mostly cut at a sentence, or by characters."""
+    fit = CUT.fitted(F.col("body"), F.length("body") % 160 + 1)
+    return fx.docs.select("doc_id", fit.alias("fit")).select("doc_id", "fit.text", "fit.tokens")
+
+
+def truncate_markdown(fx):
+    """Documents with front matter, headings and code, a paragraph a sentence, cut to a part of their length."""
+    raw = F.regexp_replace("raw", "[.] ", ".\n\n")
+    fit = fx.md.select("doc_id", CUT.fitted(raw, F.floor(F.length("raw") / 12).cast("int") + F.col("doc_id").cast("int") % 40).alias("fit"))
+    return fit.select("doc_id", F.sha2("fit.text", 256).alias("text_sha"), "fit.tokens")
 
 
 def duplicate_ids(fx):

@@ -112,14 +112,6 @@ def test_what_is_written_reads_back(data):
     assert FM.parse(block) == data
 
 
-def test_cutting_keeps_to_the_budget():
-    text = "# One\n\nA sentence here. Another one follows it.\n\n```py\nx = 1\ny = 2\n```\n\n## Two\n" + "word " * 300
-    for budget in range(1, 120, 7):
-        out = FM.fit(text, budget)
-        assert out is None or FM.estimate(out) <= budget and out.count("```") % 2 == 0
-    assert FM.fit(text, 10_000) == text and FM.cut_to(text, 0) == ""
-
-
 def test_facts(spark):
     body = "PORT=8080\nexport API_URL=\"https://Api.example.com/v1\"\n`DEBUG=true`\nset FOO = whatever you like\nKEY=<your-key>\nnpm run dev and yarn test and npm install x\nlocalhost:3000 or 127.0.0.1:5432\nNode 18 is used\nnode >= 20\npython 3.11\nbase url: https://x.org/a?b\nPORT=8080"
     df = spark.createDataFrame([("a.md", body)], "path string, body string")
