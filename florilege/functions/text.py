@@ -257,8 +257,3 @@ def _runs(words: Column, size: int, make) -> Column:
 def shingles(text: Column, size: int = 5) -> Column:
     """Distinct `size`-word shingles of a text without ``` blocks; null below LEAST_WORDS words."""
     return _runs(shingle_words(text), size, lambda *w: F.concat_ws(" ", *w))
-
-
-def shingle_hashes(words: Column, size: int = 5) -> Column:
-    """Distinct 64-bit hashes of the shingles of `shingle_words`."""
-    return _runs(words, size, F.xxhash64)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from florilege.functions import text as T
+from florilege.sources.tables import stored
 
 THRESHOLD = 0.8
 # Which paths are history, and what the lines of a document assert.
@@ -39,6 +40,18 @@ def representatives(docs: DataFrame) -> DataFrame:
     return docs.select("path", "body").join(first, "path", "left_semi")
 
 
+def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
+    """(path, hs, n): the distinct hashes of each document's shingles; none for documents below LEAST_WORDS words.
+
+    A row a shingle lets generated code hash them, which array functions do not; docs that lie by path are not moved.
+    """
+    words = docs.select("path", T.shingle_words(F.col("body")).alias("words"))
+    places = F.when(F.size("words") >= T.LEAST_WORDS, F.sequence(F.lit(0), F.size("words") - size))
+    run = [F.get(F.col("words"), F.col("at") + i) for i in range(size)]
+    hashed = words.select("path", "words", F.explode(places).alias("at")).select("path", F.xxhash64(*run).alias("h"))
+    return hashed.groupBy("path").agg(F.collect_set("h").alias("hs")).withColumn("n", F.size("hs"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard) of representatives whose shingle sets overlap by more than threshold.
 
@@ -47,8 +60,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     one document takes its place among the rarest but finds no partner, so it is only counted.
     """
     # making shingles takes far longer than moving the texts, so all tasks share them
-    words = representatives(docs).repartition("path").select("path", T.shingle_words(F.col("body")).alias("words"))
-    sets = words.select("path", T.shingle_hashes(F.col("words")).alias("hs")).where("hs is not null").withColumn("n", F.size("hs")).persist()
+    sets = stored(shingle_sets(representatives(docs).repartition("path")))
     rows = sets.select("path", "n", F.explode("hs").alias("h"))
     rarity = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = rows.join(rarity, "h").groupBy("path", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))

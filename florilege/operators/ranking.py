@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from florilege.dims import DEGRADED, FIELD_WEIGHT, KIND_WEIGHT, NO_KIND_WEIGHT, VERDICTS, lookup
 from florilege.functions import cutting as CUT
 from florilege.functions import text as T
+from florilege.sources.tables import stored
 
 FLOOR = 0.05
 NEUTRAL = 0.5
@@ -101,7 +102,7 @@ def running_total(df: DataFrame, order: list[Column], value: Column, into: str)
 def pack_plan(reports: DataFrame, task: str, budget: int = 8000, include_stale: bool = False, kinds: list[str] | None = None) -> DataFrame:
     """(path, kind, pin, freshness, score, relevance, rank, cost, total, left, place) of every candidate.
 
-    Ranks and costs are written to memory once, without texts, before anything is chosen by them: a
+    Ranks and costs are written once, without texts, before anything is chosen by them: a
     condition on relevance would otherwise be worked out again beneath each join that it passes.
     """
     budget = max(0, int(budget))
@@ -109,7 +110,7 @@ def pack_plan(reports: DataFrame, task: str, budget: int = 8000, include_stale:
     rows = reports.where(F.col("kind").isin(*kinds)) if kinds else reports
     rows = relevance(rows, task) if asked else rows.withColumn("relevance", F.lit(NEUTRAL))
     pinned = F.coalesce(F.col("pin"), F.lit(False))
-    rows = rows.select("path", "kind", "pin", "freshness", "score", "relevance", T.token_estimate(F.col("body")).alias("cost")).persist()
+    rows = stored(rows.select("path", "kind", "pin", "freshness", "score", "relevance", T.token_estimate(F.col("body")).alias("cost")))
     rows = rows.where(pinned | (F.col("relevance") >= FLOOR)) if asked else rows
     gate = F.lit(False) if include_stale else ~pinned & F.col("freshness").isin(*DEGRADED)
     rows = rows.withColumns({"rank": rank(F.col("relevance")), "excluded": gate, "pinned": pinned})
