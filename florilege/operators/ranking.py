@@ -85,18 +85,22 @@ def search(reports: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return relevance(reports, query).where("relevance > 0").orderBy(F.desc("relevance"), F.desc("score"), "path").limit(limit)
 
 
-def running_total(df: DataFrame, order: list[Column], value: Column, into: str) -> DataFrame:
-    """Adds the running sum of value in a total order, by range partitions and their totals.
+def running_total(df: DataFrame, order: list[Column], value: Column, into: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the running sum of value in a total order, by range partitions and their totals; with keys, one for each of their groups.
 
-    The one window without a key runs over a row for each partition. Finding the ranges, the totals
-    and the sums each read the rows: pass narrow ones that are held in memory.
+    A group may be cut into many ranges, so none has to fit in a task. Without keys, the one window over
+    all runs over a row for each partition; with keys, only groups that go on from one partition into the
+    next are carried, one a partition at most. Finding the ranges, the totals and the sums each read the
+    rows: pass narrow ones that are written. Keys are not null.
     """
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # a number of its own keeps the partitions as they are in both branches
+    parts = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, *order).withColumn("_part", F.spark_partition_id())
+    inside = F.sum(value).over(Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     parts = parts.withColumn("_inside", inside)
-    ends = parts.groupBy("_part").agg(F.max("_inside").alias("_sum"))
-    before = ends.withColumn("_before", F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).drop("_sum")
-    return parts.join(F.broadcast(before), "_part").withColumn(into, F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")
+    ends = parts.groupBy("_part", *keys).agg(F.max("_inside").alias("_sum"))
+    before = ends.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_sum")).drop("_sum").where("_before <> 0")
+    summed = parts.join(F.broadcast(before), ["_part", *keys], "left").withColumn(into, F.col("_inside") + F.coalesce("_before", F.lit(0)))
+    return summed.drop("_part", "_inside", "_before")
 
 
 def pack_plan(reports: DataFrame, task: str, budget: int = 8000, include_stale: bool = False, kinds: list[str] | None = None) -> DataFrame:

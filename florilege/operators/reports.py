@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from florilege.dims import VERDICTS, Config, lookup, severity, verdict_rows
@@ -121,11 +121,15 @@ def below_trust(found: DataFrame, verdict: str, most: int = 20) -> DataFrame:
 
 
 def map_entries(reports: DataFrame, key: str) -> DataFrame:
-    """(key, place, path, freshness, score, tokens): the rows of each group of `map_by`, worst first, then the longest."""
+    """(key, place, path, freshness, score, tokens): the rows of each group of `map_by`, worst first, then the longest.
+
+    There are few kinds and verdicts, so a group may hold most documents: places are counted over ranges of it.
+    """
     by = {"kind": F.coalesce("kind", F.lit("unclassified")), "freshness": F.col("freshness"), "dir": directory(F.col("path"))}[key]
     rows = reports.select(by.alias("key"), "path", "freshness", "score", T.token_estimate(F.col("body")).alias("tokens"))
-    order = Window.partitionBy("key").orderBy(severity(F.col("freshness")).desc(), F.desc("tokens"), "path")
-    return rows.select("key", F.row_number().over(order).alias("place"), "path", "freshness", "score", "tokens")
+    order = [severity(F.col("freshness")).desc(), F.desc("tokens"), F.col("path")]
+    placed = running_total(stored(rows), order, F.lit(1), "place", ("key",))
+    return placed.select("key", F.col("place").cast("int").alias("place"), "path", "freshness", "score", "tokens")
 
 
 def bar(fraction: Column, width: int) -> Column:

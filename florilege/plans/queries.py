@@ -75,7 +75,7 @@ def loose_globs(fx):
 
 def path_normalize(fx):
     raw = F.concat(F.lit("./"), F.regexp_replace("path", "/", "//"), F.lit("/"))
-    return fx.files.select(raw.alias("raw"), F.pandas_udf(lambda p: p.map(GJ.G.normalize_path), "string")(raw).alias("path"))
+    return fx.files.select(raw.alias("raw"), GJ.G.normalized(raw).alias("path"))
 
 
 def doc_last_commit(fx):
