@@ -157,6 +157,7 @@ fh AS (SELECT path, list_reduce(list_transform(string_split(s, ''), lambda c: CA
 fv AS (SELECT fw.path, ws, x.hs FROM fw LEFT JOIN (SELECT path, list(DISTINCT h) AS hs FROM fh GROUP BY path) x ON x.path = fw.path)"""
 
 
+SHIPS = "SELECT l_orderkey, l_linenumber, l_partkey, date_diff('day', o_orderdate, l_shipdate) AS days, CAST(l_quantity AS INTEGER) AS commits FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 CODE = "'```sh' || chr(10) || '# not a heading' || chr(10) || 'npm run dev' || chr(10) || '```'"
 
 
@@ -198,7 +199,7 @@ def oracle_sql() -> dict[str, str]:
             f"k AS (SELECT path, pin, score, body, CAST({RANK.replace('relevance', '0.5')} AS DOUBLE) AS rank, {_estimate('body')} AS cost FROM r WHERE kind IN ('decision', 'runbook'))",
             "kt AS (SELECT *, sum(cost) OVER (ORDER BY pin DESC, rank DESC, score DESC, path ROWS UNBOUNDED PRECEDING) AS total FROM k)",
             *_cuts(f"SELECT path AS k, body, CAST({BUDGET} - total + cost AS BIGINT) AS budget FROM kt WHERE total > {BUDGET} AND {BUDGET} - total + cost >= 400")).replace("WITH ", "WITH RECURSIVE ", 1),
-        "scan_docs": _over("f_md", r"SELECT m.path, has_fm, CASE WHEN has_fm THEN d.id END AS id, CASE WHEN has_fm THEN d.kind END AS kind, 'Doc ' || m.doc_id AS title, CAST(len(list_filter(regexp_split_to_array(m.body, '\s+'), lambda w: w <> '')) AS INTEGER) AS word_count, CASE WHEN has_fm THEN 'a,b' ELSE '' END AS tags FROM md m JOIN f_docs d ON d.doc_id = m.doc_id", MD),
+        "scan_docs": _over("f_md", r"SELECT m.path, has_fm, CASE WHEN has_fm THEN d.id END AS id, CASE WHEN has_fm THEN d.kind END AS kind, 'Doc ' || m.doc_id AS title, CAST(len(list_filter(regexp_split_to_array(m.body, '\s+'), lambda w: w <> '')) AS INTEGER) AS word_count, CASE WHEN has_fm THEN split_part(m.path, '/', 2) || ',' || d.id ELSE '' END AS tags FROM md m JOIN f_docs d ON d.doc_id = m.doc_id", MD),
         "glob_filter": _over("f_files", "SELECT path FROM f_files WHERE regexp_matches(path, '^src/(small|economy)/([^/]+/)*[^/]*[05][.]ts$')"),
         "glob_resolve": _reports("SELECT g.path, g.glob, h.file FROM g JOIN hit h USING (glob)"),
         "missing_globs": _reports("SELECT path, glob FROM g WHERE glob NOT IN (SELECT glob FROM hit)"),
@@ -207,8 +208,8 @@ def oracle_sql() -> dict[str, str]:
         "code_last_commit": _reports("SELECT path, CAST(epoch(code.ts) AS BIGINT) AS ts, code.sha AS sha FROM code"),
         "commits_since": _reports("SELECT path, n AS commits_since, array_to_string(list_slice(files, 1, 20), ',') AS changed FROM since"),
         "superseded": _reports("SELECT id, array_to_string(superseded_by, ',') AS superseded_by FROM sup"),
-        "drift_score": _over("f_docs", "SELECT doc_id, round(100.0 * pow(0.5, greatest(0, doc_id % 97 - 5) / 45.0 + (doc_id % 23) / 10.0), 6) AS drift_score FROM f_docs"),
-        "freshness_ladder": _over("f_docs", "SELECT doc_id, CASE WHEN doc_id % 61 - 1 >= 45 OR doc_id % 13 >= 10 THEN 'stale' WHEN doc_id % 61 - 1 >= 14 OR doc_id % 13 >= 5 THEN 'drifting' ELSE 'fresh' END AS verdict FROM f_docs"),
+        "drift_score": "SELECT l_orderkey, l_linenumber, l_partkey, round(100.0 * pow(0.5, greatest(0, days) / 45.0 + commits / 10.0), 6) AS drift_score FROM (" + SHIPS + ")",
+        "freshness_ladder": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN days >= 45 OR commits // 4 >= 10 THEN 'stale' WHEN days >= 14 OR commits // 4 >= 5 THEN 'drifting' ELSE 'fresh' END AS verdict FROM (" + SHIPS + ")",
         "expired_docs": _reports("SELECT path, dated AS by_date, coalesce(ttl_days > 0 AND age > ttl_days, FALSE) AS by_ttl FROM r WHERE dated OR coalesce(ttl_days > 0 AND age > ttl_days, FALSE)"),
         "freshness_verdict": _reports("SELECT doc_id, path, freshness, score, drift_days, commits_since, matched, CAST(len(missing) AS INTEGER) AS missing FROM r"),
         "verdict_counts": _reports("SELECT k.freshness, k.severity, CAST(count(r.path) AS INTEGER) AS docs FROM k LEFT JOIN r ON r.freshness = k.freshness GROUP BY 1, 2", "k AS (SELECT unnest(['fresh', 'unverified', 'drifting', 'stale', 'expired', 'orphaned', 'superseded']) AS freshness, CAST(unnest(range(7)) AS INTEGER) AS severity)"),
@@ -236,12 +237,13 @@ def oracle_sql() -> dict[str, str]:
             "s AS (SELECT doc_id, raw, left(raw, strpos(raw, '```sh') - 1) AS a, '```sh' || chr(10) || '# not a heading' || chr(10) || 'npm run dev' || chr(10) || '```' AS c, substr(raw, strpos(raw, 'npm run dev') + 15) AS b FROM f_md)"),
         "word_count": _over("f_docs", r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(body, '\s+'), lambda w: w <> '')) AS INTEGER) AS words FROM f_docs"),
         "content_hash": _over("f_docs", r"SELECT doc_id, sha256(trim(regexp_replace(body, '\s+', ' ', 'g'))) AS content_hash FROM f_docs"),
-        "headings": _over("f_md", "SELECT doc_id, '1:Doc ' || doc_id || '|2:Setup' AS headings FROM f_md"),
-        "doc_titles": _over("f_md", "SELECT doc_id, 'Doc ' || doc_id AS title, 'Api ' || doc_id || ' README' AS from_name FROM f_md"),
+        "headings": "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '' ELSE CASE WHEN p_size % 2 = 1 THEN '' ELSE '1:' || p_name || '|' END || '2:' || p_type || '|3:' || p_name || ' ' || p_size END AS headings FROM part",
+        "doc_titles": "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'Brand ' || split_part(p_brand, '#', 2) || ' ' || p_partkey WHEN p_size % 2 = 1 THEN p_type ELSE p_name END AS title FROM part",
+        "demoted_headings": _over("f_md", r"SELECT doc_id, sha256(regexp_replace(raw, '(^|\n)(# Doc |## Setup)', '\1##\2', 'g')) AS text_sha FROM f_md"),
         "tokenize": _over("f_docs", "SELECT doc_id, sha256(array_to_string(body, ' ')) AS tokens_sha, CAST(len(body) AS INTEGER) AS n FROM tk JOIN f_docs USING (path)".replace("body", "tk.body"), TOKENS),
         "stem_tokens": _over("f_docs", f"SELECT w AS word, array_to_string({_stem("[w || 's', w || 'ies', w || 'ing', w || 'sses', w || 'nned', w]")}, ' ') AS stems FROM (SELECT DISTINCT unnest({_raw_tokens('body')}) AS w FROM f_docs)"),
         "term_freq": _over("f_docs", "SELECT path, field, term, CAST(count(*) AS INTEGER) AS tf, min(n) AS field_len FROM (SELECT path, 'body' AS field, unnest(body) AS term, CAST(len(body) AS INTEGER) AS n FROM tk UNION ALL SELECT path, 'id', unnest(idt), CAST(len(idt) AS INTEGER) FROM tk UNION ALL SELECT path, 'path', unnest(patht), CAST(len(patht) AS INTEGER) FROM tk) GROUP BY path, field, term", TOKENS),
-        "bm25_saturation": _over("f_docs", "SELECT doc_id, round(CASE WHEN doc_id % 9 = 0 THEN 0.0 ELSE (doc_id % 9) * 2.2 / (doc_id % 9 + 1.2) END, 6) AS plain, round(CASE WHEN doc_id % 9 = 0 THEN 0.0 ELSE (doc_id % 9) * 2.2 / (doc_id % 9 + 1.2 * (0.5 + 0.5 * (doc_id % 800) / 400.0)) END, 6) AS by_length FROM f_docs"),
+        "bm25_saturation": "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN tf <= 0 THEN 0.0 ELSE tf * 2.2 / (tf + 1.2) END, 6) AS plain, round(CASE WHEN tf <= 0 THEN 0.0 ELSE tf * 2.2 / (tf + 1.2 * (0.5 + 0.5 * n / 400.0)) END, 6) AS by_length FROM (SELECT *, l_quantity - 1 AS tf, l_extendedprice / 64 AS n FROM lineitem)",
         "relevance": _over("f_docs", "SELECT path, relevance FROM rel", RELEVANCE),
         "search_topk": _reports("SELECT r.path, relevance, score FROM r JOIN rel USING (path) WHERE relevance > 0 ORDER BY relevance DESC, score DESC, r.path LIMIT 20", RELEVANCE),
         "snippet": _over("f_docs", r"""SELECT doc_id, CASE WHEN s > 0 THEN '…' ELSE '' END || trim(regexp_replace(substr(body, s + 1, least(len(body), s + 220) - s), '\s+', ' ', 'g'), ' ') || CASE WHEN least(len(body), s + 220) < len(body) THEN '…' ELSE '' END AS snippet
@@ -291,11 +293,11 @@ def oracle_sql() -> dict[str, str]:
             ELSE s || '-' || l || '-' || k || '-note' || CASE r3 WHEN 1 THEN '' WHEN 2 THEN '-2' ELSE '-' || (r3 + 2) END END AS id FROM e""",
         "url_origin": "SELECT page_id, lower(regexp_extract(url, '^https?://[^/?#]+')) AS origin FROM pages",
         "frontmatter_split": _over("f_md", "SELECT doc_id, has_fm, sha256(block) AS block_sha, sha256(body) AS body_sha FROM md", MD),
-        "frontmatter_fields": _over("f_md", "SELECT m.doc_id, CASE WHEN has_fm THEN d.id END AS id, CASE WHEN has_fm THEN d.kind END AS kind, CASE WHEN has_fm THEN '[\"a\", \"b\"]' END AS tags, CASE WHEN has_fm AND m.doc_id % 6 = 0 THEN '2001-02-30' END AS expires FROM md m JOIN f_docs d ON d.doc_id = m.doc_id".replace("f_docs d ON", "f_docs d ON"), MD),
+        "frontmatter_fields": _over("f_md", "SELECT m.doc_id, CASE WHEN has_fm THEN d.id END AS id, CASE WHEN has_fm THEN d.kind END AS kind, CASE WHEN has_fm THEN '[\"' || split_part(m.path, '/', 2) || '\", \"' || d.id || '\"]' END AS tags, CASE WHEN has_fm AND m.doc_id % 6 = 0 THEN '2001-02-30' END AS expires FROM md m JOIN f_docs d ON d.doc_id = m.doc_id".replace("f_docs d ON", "f_docs d ON"), MD),
         "frontmatter_errors": _over("f_md", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'expires: ''2001-02-30'' is not a date YYYY-MM-DD' ELSE '' END AS errors, CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS warnings FROM md WHERE has_fm", MD),
-        "iso_date_valid": _over("f_docs", "SELECT doc_id, day, coalesce(try_cast(day AS DATE) IS NOT NULL, FALSE) AS valid FROM (SELECT doc_id, format('20{:02d}-{:02d}-{:02d}', doc_id % 30, doc_id % 14, doc_id % 33) AS day FROM f_docs)"),
+        "iso_date_valid": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%d-%m') AS day, day(o_orderdate) <= 12 AS valid FROM orders",
         "slugify": "SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')) AS slug_sha, regexp_matches(source, '^[a-z0-9][a-z0-9-]*$') AS is_slug, trim(regexp_replace(lower(lang || ' ' || source), '[^a-z0-9]+', '-', 'g'), '-') AS file_slug FROM documents",
-        "human_tokens": _over("f_docs", "SELECT doc_id, CASE WHEN n < 1000 THEN n::VARCHAR WHEN n < 100000 THEN regexp_replace(printf('%.1f', floor(n / 100 + 0.5) / 10), '[.]0$', '') || 'k' ELSE CAST(floor(n / 1000 + 0.5) AS BIGINT) || 'k' END AS text FROM (SELECT doc_id, doc_id * doc_id * 7 AS n FROM f_docs)"),
+        "human_tokens": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a < 1000 THEN CAST(a AS BIGINT)::VARCHAR WHEN a < 100000 THEN regexp_replace(printf('%.1f', floor(a / 100 + 0.5) / 10), '[.]0$', '') || 'k' ELSE CAST(floor(a / 1000 + 0.5) AS BIGINT) || 'k' END AS small, CASE WHEN b < 1000 THEN CAST(b AS BIGINT)::VARCHAR WHEN b < 100000 THEN regexp_replace(printf('%.1f', floor(b / 100 + 0.5) / 10), '[.]0$', '') || 'k' ELSE CAST(floor(b / 1000 + 0.5) AS BIGINT) || 'k' END AS large FROM (SELECT *, floor(l_extendedprice * l_discount) AS a, floor(l_extendedprice * l_quantity) AS b FROM lineitem)",
         "field_near_miss": """WITH k AS (SELECT unnest(['spec', 'id', 'kind', 'describes', 'verify', 'owner', 'expires', 'ttlDays', 'supersedes', 'tags', 'pin']) AS f, unnest(range(11)) AS i),
             w AS (SELECT DISTINCT f || ['', 's', 'xx'][doc_id % 3 + 1] AS word FROM documents JOIN k ON i = doc_id % 11),
             n AS (SELECT word, f, i FROM w JOIN k ON levenshtein(lower(f), lower(word)) <= 1 WHERE word NOT IN (SELECT f FROM k)) SELECT word, (SELECT arg_min(f, i) FROM n WHERE n.word = w.word) AS near FROM w""",

@@ -98,13 +98,18 @@ def superseded(fx):
     return FR.superseded(_docs(fx)).select("id", _joined("superseded_by").alias("superseded_by"))
 
 
+def _ships(fx):
+    """Lines with the days from order to shipping, and a quantity, as if they were a document's drift and commits."""
+    both = fx.table("lineitem").join(fx.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.select("l_orderkey", "l_linenumber", "l_partkey", F.datediff("l_shipdate", "o_orderdate").alias("days"), F.col("l_quantity").cast("int").alias("commits"))
+
+
 def drift_score(fx):
-    d, c = F.col("doc_id") % 97 - 5, F.col("doc_id") % 23
-    return fx.docs.select("doc_id", F.round(FR.drift_score(d, c, Config()), 6).alias("drift_score"))
+    return _ships(fx).select("l_orderkey", "l_linenumber", "l_partkey", F.round(FR.drift_score(F.col("days"), F.col("commits"), Config()), 6).alias("drift_score"))
 
 
 def freshness_ladder(fx):
-    return fx.docs.select("doc_id", FR.ladder(F.col("doc_id") % 61 - 1, F.col("doc_id") % 13, Config()).alias("verdict"))
+    return _ships(fx).select("l_orderkey", "l_linenumber", "l_partkey", FR.ladder(F.col("days"), F.floor(F.col("commits") / 4), Config()).alias("verdict"))
 
 
 def expired_docs(fx):
@@ -186,14 +191,25 @@ def content_hash(fx):
     return fx.docs.select("doc_id", T.content_hash(F.col("body")).alias("content_hash"))
 
 
+def _described_parts(fx):
+    """Parts as documents: some with a title, some with a lower heading first, some with none; code holds what is no heading."""
+    size = F.col("p_size")
+    rest = F.concat(F.lit("## "), "p_type", F.lit(" ##\n~~~\n# "), "p_brand", F.lit("\n~~~\n### "), "p_name", F.lit(" "), size.cast("string"))
+    body = F.when(size % 5 == 0, F.col("p_name")).when(size % 2 == 1, rest).otherwise(F.concat(F.lit("# "), "p_name", F.lit("\n\n"), rest))
+    path = F.concat(F.lit("docs/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")), F.lit("-"), F.col("p_partkey").cast("string"), F.lit(".md"))
+    return fx.table("part").select("p_partkey", path.alias("path"), T.headings(body).alias("headings"))
+
+
 def headings(fx):
-    return _md(fx).select("doc_id", F.array_join(F.transform("headings", lambda h: F.concat(h["level"].cast("string"), F.lit(":"), h["text"])), "|").alias("headings"))
+    return _described_parts(fx).select("p_partkey", F.array_join(F.transform("headings", lambda h: F.concat(h["level"].cast("string"), F.lit(":"), h["text"])), "|").alias("headings"))
 
 
 def doc_titles(fx):
-    md = _md(fx)
-    by_name = T.filename_title(F.concat(F.lit("docs/api-"), F.col("doc_id").cast("string"), F.lit("_README.md")))
-    return md.select("doc_id", T.doc_title(F.col("path"), F.col("headings")).alias("title"), by_name.alias("from_name"))
+    return _described_parts(fx).select("p_partkey", T.doc_title(F.col("path"), F.col("headings")).alias("title"))
+
+
+def demoted_headings(fx):
+    return fx.md.select("doc_id", F.sha2(FM.demote_headings(F.col("raw"), F.lit(2)), 256).alias("text_sha"))
 
 
 def tokenize(fx):
@@ -211,8 +227,8 @@ def term_freq(fx):
 
 
 def bm25_saturation(fx):
-    tf, n = F.col("doc_id") % 9, F.col("doc_id") % 800
-    return fx.docs.select("doc_id", F.round(R.saturation(tf), 6).alias("plain"), F.round(R.saturation(tf, n), 6).alias("by_length"))
+    tf, n = F.col("l_quantity") - 1, F.col("l_extendedprice") / 64
+    return fx.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(R.saturation(tf), 6).alias("plain"), F.round(R.saturation(tf, n), 6).alias("by_length"))
 
 
 def relevance(fx):
@@ -387,8 +403,9 @@ def field_near_miss(fx):
 
 
 def iso_date_valid(fx):
-    day = F.format_string("20%02d-%02d-%02d", F.col("doc_id") % 30, F.col("doc_id") % 14, F.col("doc_id") % 33)
-    return fx.docs.select("doc_id", day.alias("day"), F.coalesce(T.iso_date(day), F.lit(False)).alias("valid"))
+    """Order dates with month and day changed over, of which those after the twelfth do not exist."""
+    day = F.date_format("o_orderdate", "yyyy-dd-MM")
+    return fx.table("orders").select("o_orderkey", day.alias("day"), F.coalesce(T.iso_date(day), F.lit(False)).alias("valid"))
 
 
 def slugify(fx):
@@ -402,8 +419,8 @@ def suggest(fx):
 
 
 def human_tokens(fx):
-    n = (F.col("doc_id") * F.col("doc_id") * 7).cast("long")
-    return fx.docs.select("doc_id", T.human_tokens(n).alias("text"))
+    small, large = F.floor(F.col("l_extendedprice") * F.col("l_discount")), F.floor(F.col("l_extendedprice") * F.col("l_quantity"))
+    return fx.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.human_tokens(small).alias("small"), T.human_tokens(large).alias("large"))
 
 
 def source_index(fx):

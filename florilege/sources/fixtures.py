@@ -49,7 +49,7 @@ SELECT d.doc_id, d.path,
     '---' || chr(10) || 'spec: 1' || chr(10) || 'id: ' || d.id || chr(10) || COALESCE('kind: ' || d.kind || chr(10), '')
     || CASE WHEN d.doc_id % 6 = 0 THEN 'expires: 2001-02-30' || chr(10) ELSE '' END
     || CASE WHEN d.doc_id % 9 = 0 THEN 'describe: [src/**]' || chr(10) ELSE '' END
-    || 'tags: [a, b]' || chr(10) || '---' || chr(10) END
+    || 'tags: [' || split_part(d.path, '/', 2) || ', ' || d.id || ']' || chr(10) || '---' || chr(10) END
   || '# Doc ' || CAST(d.doc_id AS STRING) || chr(10) || chr(10) || '## Setup' || chr(10)
   || 'PORT=' || CASE WHEN d.doc_id % 7 = 0 THEN '<your-port>' ELSE CAST(8000 + d.doc_id % 3 AS STRING) END || chr(10)
   || 'Open http://localhost:' || CAST(3000 + d.doc_id % 4 AS STRING)
