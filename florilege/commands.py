@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from florilege.dims import VERDICTS, Config, severity
 from florilege.functions import frontmatter as FM
-from florilege.functions import globs as G
 from florilege.functions import text as T
 from florilege.operators import conflicts as C
 from florilege.operators import freshness as FR
@@ -61,10 +60,7 @@ def load(spark: SparkSession, root: str, now: datetime | None = None) -> Corpus:
         # git is asked once, by tasks; all else reads what they wrote
         files, commits, commit_files = (stored(df) for df in (GL.tracked_files(spark, root), *GL.history(spark, root)))
         # plain paths of one repository's claims that lie on disk, tracked or not
-        plain = [r.glob for r in globs.select("glob").distinct().collect() if not G.has_magic(r.glob)]
-        here = sorted({p for p in map(G.normalize_path, plain) if os.path.exists(os.path.join(root, p))})
-        present = spark.createDataFrame([(p,) for p in here], "path string")
-        reports = FR.assess(docs, globs, files, commits, commit_files, clock, config, present)
+        reports = FR.assess(docs, globs, files, commits, commit_files, clock, config, FS.present(globs, root))
         reports = reports.withColumn("reason", FR.reason(reports, clock, config))
     else:
         files, commits, commit_files = (spark.createDataFrame([], ddl) for ddl in ("path string", GL.COMMITS, GL.FILES))

@@ -98,8 +98,7 @@ def folder_claims(globs: DataFrame, files: DataFrame, hits: DataFrame, present:
 
     hits: what `match` found. A claim on a folder stands for the folder as one path.
     """
-    literal = F.pandas_udf(_literal, "string")
-    plain = globs.select("glob").where("glob is not null and glob <> ''").distinct().join(hits.select("glob").distinct(), "glob", "left_anti").withColumn("path", literal("glob")).where("path is not null")
+    plain = globs.select("glob").where("glob is not null and glob <> ''").distinct().join(hits.select("glob").distinct(), "glob", "left_anti").withColumn("path", G.literal(F.col("glob"))).where("path is not null")
     parts = F.split("path", "/")
     above = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("folder"), "path").where("folder <> path")
     known = above.select(F.col("folder").alias("path")).distinct()
@@ -107,10 +106,6 @@ def folder_claims(globs: DataFrame, files: DataFrame, hits: DataFrame, present:
     return plain.join(known, "path").select("glob", "path")
 
 
-def _literal(glob: pd.Series) -> pd.Series:
-    return glob.map(lambda g: None if G.has_magic(g) else G.normalize_path(g))
-
-
 def below(folders: DataFrame, touched: DataFrame) -> DataFrame:
     """(folder, path) of the paths of touched(path) that lie below each folder of folders(folder)."""
     parts = F.split("path", "/")

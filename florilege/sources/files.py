@@ -116,6 +116,18 @@ def contents(paths: DataFrame, root: str) -> DataFrame:
     return paths.mapInPandas(fetch, "path string, content binary")
 
 
+def present(globs: DataFrame, root: str) -> DataFrame:
+    """(path) of the plain paths among globs(glob) that lie below root on disk, tracked or not; tasks look them up."""
+    root = os.path.abspath(root)
+
+    def there(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[[os.path.exists(os.path.join(root, p)) for p in frame["path"]]]
+
+    plain = globs.select(G.literal(F.col("glob")).alias("path")).where("path is not null").distinct()
+    return plain.mapInPandas(there, "path string")
+
+
 def read(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
     """One row a document: path, raw, front matter, body, headings, title, word_count, token_estimate, content_hash."""
     files = contents(walk(spark, root, config).repartition("path"), root)

@@ -66,3 +66,11 @@ def test_narrow_patterns_and_an_empty_root(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert FS.read(spark, str(tmp_path / "none")).count() == 0
     assert FS.walk(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_plain_claims_are_looked_up_on_disk(spark, tmp_path):
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib/a.ts").write_text("")
+    globs = spark.createDataFrame([("lib",), ("./lib//a.ts",), ("lib/a.ts",), ("lib/b.ts",), ("lib/*.ts",), ("lib/{a,b}.ts",), (None,)], "glob string")
+    assert sorted(r.path for r in FS.present(globs, str(tmp_path)).collect()) == ["lib", "lib/a.ts"]
+    assert FS.present(globs.limit(0), str(tmp_path)).collect() == []
