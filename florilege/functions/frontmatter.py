@@ -256,6 +256,15 @@ def write(data: dict, body: str) -> str:
     return "---\n" + "\n".join(lines) + "\n---\n\n" + re.sub(r"^\n+", "", body)
 
 
+def written(data: Column, body: Column) -> Column:
+    """`write` of fields given as JSON text, one document a row."""
+    return F.pandas_udf(_all_written, "string")(data, body)
+
+
+def _all_written(data: pd.Series, body: pd.Series) -> pd.Series:
+    return pd.Series([None if d is None or b is None else write(json.loads(d), b) for d, b in zip(data, body, strict=True)])
+
+
 # the plain token estimate
 
 _FENCE = re.compile(r"\s{0,3}(`{3,}|~{3,})")

@@ -293,6 +293,11 @@ def oracle_sql() -> dict[str, str]:
             ELSE s || '-' || l || '-' || k || '-note' || CASE r3 WHEN 1 THEN '' WHEN 2 THEN '-2' ELSE '-' || (r3 + 2) END END AS id FROM e""",
         "url_origin": "SELECT page_id, lower(regexp_extract(url, '^https?://[^/?#]+')) AS origin FROM pages",
         "frontmatter_split": _over("f_md", "SELECT doc_id, has_fm, sha256(block) AS block_sha, sha256(body) AS body_sha FROM md", MD),
+        "frontmatter_written": _over("f_docs", r"""SELECT doc_id, '---' || chr(10) || 'spec: 1' || chr(10) || 'id: ' || id || chr(10) || coalesce('kind: ' || kind || chr(10), '')
+            || CASE WHEN len('describes: [' || array_to_string(g, ', ') || ']') <= 78 THEN 'describes: [' || array_to_string(g, ', ') || ']' ELSE 'describes:' || chr(10) || '  - ' || array_to_string(g, chr(10) || '  - ') END || chr(10)
+            || 'owner: ' || CASE WHEN o = '' OR regexp_matches(o, '^[-?:,\[\]{}#&*!|>''"%@`]') OR regexp_matches(o, ':\s|\s#|:$') OR regexp_matches(o, '^-?[0-9]+([.][0-9]+)?$') THEN chr(39) || replace(o, chr(39), chr(39) || chr(39)) || chr(39) ELSE o END || chr(10)
+            || coalesce('ttlDays: ' || ttl_days || chr(10), '') || 'supersedes: [' || coalesce(supersedes, '') || ']' || chr(10) || 'pin: ' || pin || chr(10) || '---' || chr(10) || chr(10) || 'Text.' || chr(10) AS raw FROM fo""",
+            r"""fo AS (SELECT *, CASE WHEN len(body) % 3 = 0 THEN id || ': it''s ' ELSE '' END || array_to_string(regexp_split_to_array(regexp_replace(body, '^\s+|\s+$', '', 'g'), '\s+')[1:4], ' ') AS o, [path, 'src/**', 'workers/q' || doc_id || '/**', regexp_replace(path, '[.]md$', '/a-rather-long-name.ts')][1:len(body) % 4 + 1] AS g FROM f_docs)"""),
         "frontmatter_fields": _over("f_md", "SELECT m.doc_id, CASE WHEN has_fm THEN d.id END AS id, CASE WHEN has_fm THEN d.kind END AS kind, CASE WHEN has_fm THEN '[\"' || split_part(m.path, '/', 2) || '\", \"' || d.id || '\"]' END AS tags, CASE WHEN has_fm AND m.doc_id % 6 = 0 THEN '2001-02-30' END AS expires FROM md m JOIN f_docs d ON d.doc_id = m.doc_id".replace("f_docs d ON", "f_docs d ON"), MD),
         "frontmatter_errors": _over("f_md", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'expires: ''2001-02-30'' is not a date YYYY-MM-DD' ELSE '' END AS errors, CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS warnings FROM md WHERE has_fm", MD),
         "iso_date_valid": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%d-%m') AS day, day(o_orderdate) <= 12 AS valid FROM orders",

@@ -397,6 +397,16 @@ def frontmatter_errors(fx):
     return f.where("has_fm").select("doc_id", F.array_join("errors", "|").alias("errors"), F.size("warnings").alias("warnings"))
 
 
+def frontmatter_written(fx):
+    """Front matter made of a document's fields, its first words as owner, which a third of all have to quote."""
+    words = F.array_join(F.slice(F.split(T.trimmed(F.col("body")), r"\s+"), 1, 4), " ")
+    owner = F.when(F.length("body") % 3 == 0, F.concat("id", F.lit(": it's "), words)).otherwise(words)
+    globs = F.array(F.col("path"), F.lit("src/**"), F.concat(F.lit("workers/q"), F.col("doc_id").cast("string"), F.lit("/**")), F.regexp_replace("path", "[.]md$", "/a-rather-long-name.ts"))
+    some = F.slice(globs, F.lit(1), F.length("body") % 4 + 1)
+    data = F.struct(F.lit(1).alias("spec"), "id", "kind", some.alias("describes"), owner.alias("owner"), F.col("ttl_days").alias("ttlDays"), F.array_compact(F.array("supersedes")).alias("supersedes"), "pin")
+    return fx.docs.select("doc_id", FM.written(F.to_json(data), F.lit("Text.\n")).alias("raw"))
+
+
 def field_near_miss(fx):
     words = fx.docs.select(F.concat(F.element_at(F.array(*map(F.lit, FRONT_FIELDS)), (F.col("doc_id") % 11 + 1).cast("int")), F.element_at(F.array(F.lit(""), F.lit("s"), F.lit("xx")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("word")).distinct()
     return words.select("word", FM.near_field(F.col("word")).alias("near"))

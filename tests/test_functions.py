@@ -1,5 +1,6 @@
 """Globs, tokens, front matter and other functions on small truths."""
 
+import json
 import random
 import re
 
@@ -112,6 +113,15 @@ def test_what_is_written_reads_back(data):
     assert FM.parse(block) == data
 
 
+def test_front_matter_written_by_rows_reads_back(spark):
+    data = [{"id": "a", "tags": ["x: y", "it's", "- z", "true", "12"], "owner": "# no comment"}, {"id": "b", "describes": [f"src/folder-{i}/**" for i in range(9)], "pin": True}, {}]
+    df = spark.createDataFrame([(json.dumps(d), "Body.\n") for d in data] + [(None, "x"), ("{}", None)], "data string, body string")
+    found = [r.raw for r in df.select(FM.written(F.col("data"), F.col("body")).alias("raw")).collect()]
+    assert found == [FM.write(d, "Body.\n") for d in data] + [None, None]
+    for raw, d in zip(found[:2], data, strict=False):
+        assert FM.parse(raw[4 : raw.index("\n---\n\n") + 1]) == d and raw.endswith("\n---\n\nBody.\n")
+
+
 def test_facts(spark):
     body = "PORT=8080\nexport API_URL=\"https://Api.example.com/v1\"\n`DEBUG=true`\nset FOO = whatever you like\nKEY=<your-key>\nnpm run dev and yarn test and npm install x\nlocalhost:3000 or 127.0.0.1:5432\nNode 18 is used\nnode >= 20\npython 3.11\nbase url: https://x.org/a?b\nPORT=8080"
     df = spark.createDataFrame([("a.md", body)], "path string, body string")
