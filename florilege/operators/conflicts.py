@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from florilege.functions import text as T
+from florilege.operators.ranking import running_total
 from florilege.sources.tables import stored
 
 THRESHOLD = 0.8
@@ -180,8 +181,17 @@ def all_conflicts(docs: DataFrame) -> DataFrame:
     return ids.unionByName(facts_).unionByName(same).unionByName(near)
 
 
-def ordered(conflicts: DataFrame) -> DataFrame:
-    """Worst first: severity, then kind, then documents."""
+def _worst_first() -> list[Column]:
     level = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
     kind = F.when(F.col("kind") == "duplicate-id", 0).when(F.col("kind") == "contradiction", 1).otherwise(2)
-    return conflicts.orderBy(level, kind, F.array_join("docs", ","))
+    return [level, kind, F.array_join("docs", ",")]
+
+
+def ordered(conflicts: DataFrame) -> DataFrame:
+    """Worst first: severity, then kind, then documents."""
+    return conflicts.orderBy(*_worst_first())
+
+
+def placed(conflicts: DataFrame) -> DataFrame:
+    """The conflicts with their place in the order of `ordered`, from 1, counted over ranges."""
+    return running_total(stored(conflicts), [*_worst_first(), F.col("detail")], F.lit(1), "place").withColumn("place", F.col("place").cast("int"))

@@ -368,6 +368,7 @@ def oracle_sql() -> dict[str, str]:
     }
     for key, by in (("kind", "coalesce(kind, 'unclassified')"), ("freshness", "freshness"), ("dir", "regexp_replace(path, '/[^/]*$', '')")):
         out[f"map_by_{key}"] = _reports(f"SELECT {by} AS key, CAST(count(*) AS INTEGER) AS docs, CAST(sum({_estimate('body')}) AS BIGINT) AS tokens FROM r GROUP BY 1")
+    out["conflicts_ordered"] = out["conflicts_all"].replace("SELECT 'duplicate-id' AS kind", "SELECT CAST(row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, CASE kind WHEN 'duplicate-id' THEN 0 ELSE 2 END, docs, detail) AS INTEGER) AS place, kind, severity, docs FROM (SELECT 'duplicate-id' AS kind") + ")"
     for i in range(7):
         out["map_heat"] = out["map_heat"].replace(f"share({i})", f"CASE WHEN n <= 24 THEN n{i} WHEN n{i} = 0 THEN 0 ELSE greatest(1, CAST(floor(n{i} * 24.0 / n + 0.5) AS BIGINT)) END")
     out["relocation_reason"] = re.sub(r"files\((\w+|\([^()]*\))\)", r"\1 || CASE WHEN \1 = 1 THEN ' file' ELSE ' files' END", out["relocation_reason"])

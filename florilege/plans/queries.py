@@ -379,6 +379,10 @@ def conflicts_all(fx):
     return C.all_conflicts(_docs(fx)).select("kind", "severity", _joined("docs").alias("docs"), "detail")
 
 
+def conflicts_ordered(fx):
+    return C.placed(C.all_conflicts(_docs(fx))).select("place", "kind", "severity", _joined("docs").alias("docs"))
+
+
 def url_origin(fx):
     return fx.table("pages").select("page_id", C.origin(F.col("url")).alias("origin"))
 
