@@ -76,14 +76,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def minhash_sketch(text: Column, size: int = 64) -> Column:
     """The least `size` FNV-1a values of a text's shingles."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(T.shingles(text), T.fnv1a))), 1, size)
+    return T.fnv1a_shingles(text, least=size)
 
 
 def sketch_similarity(a: Column, b: Column) -> Column:
     """Jaccard estimate of two sketches: of the least values of their union, as many as the smaller one has, the share that both hold."""
     k = F.least(F.size(a), F.size(b))
     union = F.slice(F.array_sort(F.array_union(a, b)), F.lit(1), F.greatest(k, F.lit(0)))
-    both = F.size(F.filter(union, lambda h: F.array_contains(a, h) & F.array_contains(b, h)))
+    both = F.size(F.array_compact(F.array_intersect(F.array_intersect(a, b), union)))
     return F.when(k <= 0, 0.0).otherwise(both / k)
 
 
