@@ -30,7 +30,8 @@ def match(globs: DataFrame, files: DataFrame) -> DataFrame:
     distinct globs with their keys are written first, as each way reads them.
     """
     keyed = globs.select("glob").where("glob is not null and glob <> ''").distinct().withColumn("c", F.pandas_udf(_compiled, "rx string, kind string, key string")("glob")).select("glob", "c.rx", "c.kind", "c.key")
-    keyed = stored(keyed)
+    # globs and paths both grow with the input: joined by sorting, never sent to all machines
+    keyed = stored(keyed).hint("merge")
     kinds = {r.kind for r in keyed.select("kind").distinct().collect()}  # five at most
     paths = files.select("path").distinct()
     parts = F.split("path", "/")
@@ -85,12 +86,12 @@ def by_grams(globs: DataFrame, paths: DataFrame) -> DataFrame:
 def resolve(doc_globs: DataFrame, files: DataFrame) -> DataFrame:
     """(path, glob, file) of doc_globs(path, glob): every file that a document describes."""
     hits = match(doc_globs, files).withColumnRenamed("path", "file")
-    return doc_globs.select("path", "glob").join(hits, "glob").select("path", "glob", "file")
+    return doc_globs.select("path", "glob").join(hits.hint("merge"), "glob").select("path", "glob", "file")
 
 
 def missing(doc_globs: DataFrame, files: DataFrame) -> DataFrame:
     """Rows of doc_globs whose glob matches no file."""
-    return doc_globs.join(match(doc_globs, files).select("glob").distinct(), "glob", "left_anti")
+    return doc_globs.join(match(doc_globs, files).select("glob").distinct().hint("merge"), "glob", "left_anti")
 
 
 def folder_claims(globs: DataFrame, files: DataFrame, hits: DataFrame, present: DataFrame | None = None) -> DataFrame:
