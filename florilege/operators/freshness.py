@@ -102,10 +102,10 @@ def assess(
     history is that of all below it.
     """
     config = config or Config()
-    # written once: five branches below read them
-    hits = stored(globjoin.match(doc_globs, files))
-    folders = stored(globjoin.folder_claims(doc_globs, files, hits, present))
-    hits = hits.union(folders)
+    # written once: five branches below read them; as they grow with the documents, they are joined by sorting
+    hits = stored(globjoin.match(doc_globs, files)).hint("merge")
+    folders = stored(globjoin.folder_claims(doc_globs, files, hits, present)).hint("merge")
+    hits = hits.union(folders).hint("merge")
     resolved = doc_globs.select("path", "glob").join(hits.withColumnRenamed("path", "file"), "glob")
     claims = doc_globs.join(hits.select("glob").distinct().withColumn("alive", F.lit(True)), "glob", "left")
     claims = claims.groupBy("path").agg(
@@ -113,10 +113,16 @@ def assess(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("alive").isNull(), F.struct("ord", "glob")))), lambda g: g["glob"]).alias("missing"),
     )
     matched = resolved.groupBy("path").agg(F.countDistinct("file").cast("int").alias("matched"))
-    own = doc_last_commit(docs, commits, commit_files).withColumnRenamed("commit", "doc_commit")
-    inside = globjoin.below(folders.select(F.col("path").alias("folder")), commit_files)
-    moved = resolved.join(inside.select(F.col("folder").alias("file"), F.col("path").alias("moved")), "file").select("path", F.col("moved").alias("file"))
-    history = file_history(resolved.select("path", "file").union(moved), commits, commit_files).join(own, "path", "left")
+    described = resolved.select("path", "file")
+    if not folders.isEmpty():
+        inside = globjoin.below(folders.select(F.col("path").alias("folder")), commit_files)
+        moved = resolved.join(inside.select(F.col("folder").alias("file"), F.col("path").alias("moved")), "file").select("path", F.col("moved").alias("file"))
+        described = stored(described.union(moved)).hint("merge")
+    # the history of documents and of what they describe, a part of all, written once for both
+    asked = docs.select("path").union(described.select("file")).distinct()
+    touched = stored(commit_files.join(asked.hint("merge"), "path", "left_semi")).hint("merge")
+    own = doc_last_commit(docs, commits, touched).withColumnRenamed("commit", "doc_commit")
+    history = file_history(described, commits, touched).join(own, "path", "left")
     commit = F.struct(F.col("author_ts").alias("ts"), "sha", "subject")
     after = F.col("commit_ts") >= F.col("doc_commit.ts") + F.expr("INTERVAL 1 SECOND")
     code = history.groupBy("path").agg(
