@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,25 +57,48 @@ def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
     return hashed.groupBy("path").agg(F.collect_set("h").alias("hs")).withColumn("n", F.size("hs"))
 
 
+BUCKETS = 1 << 18  # of shingles, by which their frequency is counted; changes only the plan
+
+
+def _first_shingles(sets: DataFrame, threshold: float) -> Column:
+    """Of each set's `hs`, as many as a set so similar must share one of: those of the emptiest buckets, then the least.
+
+    A number for each bucket goes to the tasks, whatever the number of documents.
+    """
+    bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
+    filled = np.zeros(BUCKETS, np.int64)
+    for r in sets.select(F.explode("hs").alias("h")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        filled[r.bucket] = r.n
+    held = sets.sparkSession.sparkContext.broadcast(filled)
+
+    def first(hs: pd.Series) -> pd.Series:
+        def of(h):
+            most = len(h) - math.ceil(len(h) * threshold) + 1
+            return h[np.lexsort((h, held.value[h & (BUCKETS - 1)]))[:most]]
+
+        return hs.map(of)
+
+    return F.pandas_udf(first, "array<bigint>")("hs")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard) of representatives whose shingle sets overlap by more than threshold.
 
-    Exact, by prefix filtering: two sets that similar share one of their rarest n - ceil(t n) + 1
-    shingles, so only these are joined, and sizes may differ by the factor t at most. A shingle of
-    one document takes its place among the rarest but finds no partner, so it is only counted.
+    Exact, by prefix filtering: in any one order of all shingles, two sets that similar share one of
+    their first n - ceil(t n) + 1, so only these are joined, and sizes may differ by the factor t at
+    most. The order is by how full a shingle's bucket is, so that frequent ones come last; as it is
+    known where a set lies, its other shingles are not moved to be counted.
     """
     # making shingles takes far longer than moving the texts, so all tasks share them
-    sets = stored(shingle_sets(representatives(docs).repartition("path")))
-    rows = sets.select("path", "n", F.explode("hs").alias("h"))
-    rarity = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    own = rows.join(rarity, "h").groupBy("path", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
-    most = F.col("n") - F.ceil(F.col("n") * threshold) + 1 - (F.col("n") - F.size("shared"))
-    prefix = own.where(most > 0).select("path", "n", F.explode(F.slice("shared", F.lit(1), most.cast("int"))).alias("s")).select("path", "n", "s.h")
-    left, right = prefix.toDF("a", "na", "h"), prefix.toDF("b", "nb", "h")
-    pairs = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
-    both = pairs.join(sets.select(F.col("path").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("path").alias("b"), F.col("hs").alias("hb")), "b")
+    sets = stored(shingle_sets(representatives(docs).repartition("path")).withColumn("k", F.monotonically_increasing_id()))
+    prefix = sets.select("k", "n", F.explode(_first_shingles(sets, threshold)).alias("h"))
+    left, right = prefix.toDF("a", "na", "h").hint("merge"), prefix.toDF("b", "nb", "h")
+    pairs = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    side = lambda x: sets.select(F.col("k").alias(x), F.col("path").alias(f"p{x}"), F.col("n").alias(f"n{x}"), F.col("hs").alias(f"h{x}")).hint("merge")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = both.withColumn("shared", F.size(F.array_intersect("ha", "hb")))
-    return shared.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") > threshold).select("a", "b", "jaccard")
+    found = shared.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") > threshold)
+    return found.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "jaccard")
 
 
 def minhash_sketch(text: Column, size: int = 64) -> Column:
