@@ -102,7 +102,8 @@ def assess(
     history is that of all below it.
     """
     config = config or Config()
-    # written once: five branches below read them; as they grow with the documents, they are joined by sorting
+    # written once: the branches below read them again and again; as they grow with the documents, they are joined by sorting
+    doc_globs = stored(doc_globs.select("path", "ord", "glob")).hint("merge")
     hits = stored(globjoin.match(doc_globs, files)).hint("merge")
     folders = stored(globjoin.folder_claims(doc_globs, files, hits, present)).hint("merge")
     hits = hits.union(folders).hint("merge")
@@ -118,17 +119,21 @@ def assess(
         inside = globjoin.below(folders.select(F.col("path").alias("folder")), commit_files)
         moved = resolved.join(inside.select(F.col("folder").alias("file"), F.col("path").alias("moved")), "file").select("path", F.col("moved").alias("file"))
         described = stored(described.union(moved)).hint("merge")
-    # the history of documents and of what they describe, a part of all, written once for both
+    # the history of documents and of what they describe, a part of all, written once for both, with its commits
     asked = docs.select("path").union(described.select("file")).distinct()
-    touched = stored(commit_files.join(asked.hint("merge"), "path", "left_semi")).hint("merge")
-    own = doc_last_commit(docs, commits, touched).withColumnRenamed("commit", "doc_commit")
-    history = file_history(described, commits, touched).join(own, "path", "left")
+    dates = commits.select("sha", "author_ts", "commit_ts", "subject")
+    touched = stored(commit_files.select("sha", "path").join(asked.hint("merge"), "path", "left_semi").join(dates, "sha")).hint("merge")
+    own = stored(newest(touched.join(docs.select("path"), "path", "left_semi"), "path").withColumnRenamed("commit", "doc_commit")).hint("merge")
+    pairs = described.select("path", "file").distinct()
+    history = pairs.join(touched.withColumnRenamed("path", "file"), "file").join(own, "path", "left")
     commit = F.struct(F.col("author_ts").alias("ts"), "sha", "subject")
     after = F.col("commit_ts") >= F.col("doc_commit.ts") + F.expr("INTERVAL 1 SECOND")
     code = history.groupBy("path").agg(
         F.max(commit).alias("code_commit"), F.countDistinct(F.when(after, F.col("sha"))).cast("int").alias("since"), F.array_sort(F.collect_set(F.when(after, F.col("file")))).alias("moved")
     )
-    all_ = docs.join(own, "path", "left").join(claims, "path", "left").join(matched, "path", "left").join(code, "path", "left")
+    # every path with claims has one row; written, so that reports read it and do not make it again
+    evidence = stored(claims.join(matched, "path", "left").join(code, "path", "left")).hint("merge")
+    all_ = docs.join(own, "path", "left").join(evidence, "path", "left")
     by = superseded(docs).withColumnRenamed("id", "old_id")
     all_ = all_.join(by, F.col("id") == F.col("old_id"), "left").drop("old_id")
     return verdicts(all_, now, config)

@@ -21,6 +21,11 @@ def _key(glob: str) -> tuple[str, str]:
     return ("end", end) if end else (kind, value)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows in as many partitions as the session shuffles into: few bytes may be much work for Python, and would be merged into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def match(globs: DataFrame, files: DataFrame) -> DataFrame:
     """(glob, path) for each distinct glob of globs(glob) and each file of files(path) that it matches.
 
@@ -29,7 +34,7 @@ def match(globs: DataFrame, files: DataFrame) -> DataFrame:
     so. All others meet the files that hold the rarest three letters of theirs, see `by_grams`. The
     distinct globs with their keys are written first, as each way reads them.
     """
-    keyed = globs.select("glob").where("glob is not null and glob <> ''").distinct().withColumn("c", F.pandas_udf(_compiled, "rx string, kind string, key string")("glob")).select("glob", "c.rx", "c.kind", "c.key")
+    keyed = spread(globs.select("glob").where("glob is not null and glob <> ''").distinct(), "glob").withColumn("c", F.pandas_udf(_compiled, "rx string, kind string, key string")("glob")).select("glob", "c.rx", "c.kind", "c.key")
     # globs and paths both grow with the input: joined by sorting, never sent to all machines
     keyed = stored(keyed).hint("merge")
     kinds = {r.kind for r in keyed.select("kind").distinct().collect()}  # five at most
