@@ -82,8 +82,13 @@ def rank(relevance_: Column) -> Column:
 
 def search(reports: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Most relevant reports first, of those with any relevance."""
+    return best(relevance(reports, query), limit)
+
+
+def best(scored: DataFrame, limit: int = 10) -> DataFrame:
+    """`search` among reports that have their relevance; documents may be scored before they are assessed, which then needs no texts."""
     limit = max(1, min(50, round(limit)))
-    return relevance(reports, query).where("relevance > 0").orderBy(F.desc("relevance"), F.desc("score"), "path").limit(limit)
+    return scored.where("relevance > 0").orderBy(F.desc("relevance"), F.desc("score"), "path").limit(limit)
 
 
 def running_total(df: DataFrame, order: list[Column], value: Column, into: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -5,6 +5,11 @@ from florilege.plans import queries as Q
 from florilege.sources.fixtures import Fixtures
 
 
+def test_search_reads_no_texts(spark, data):
+    found = Q.search_topk(Fixtures(spark, data))
+    assert not any("documents.parquet" in f for f in found.inputFiles())
+
+
 def test_reports_join_written_tables(spark, data):
     plan = Q.check_gate(Fixtures(spark, data))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") <= 4
