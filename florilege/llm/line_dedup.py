@@ -13,7 +13,9 @@ half with another go on. These emit every variant with one word left out, as a h
 with one word replaced share the variant at that place, and a line with a word put in has a variant
 equal to the other line: so the least position under a key (and place) tells each line of a bucket
 whether an earlier one exists, without pairs inside the bucket. Each such find is verified by the
-words' edit distance. Joins on keys that many lines share deal those keys over salts.
+words' edit distance. Joins on keys that many lines share deal those keys over salts. Bit tables of
+the halves that are shared, of the texts that hold lines asked for, and of those that lose lines go to
+the scans (32 MB each at most), so that only these halves and texts are shuffled; joins then decide.
 
 Defined cases: null text stays null with 0 lines; empty texts have one empty line, which stays; a
 row is told by its doc_id and a hash of its text, so rows that share a doc_id lose only lines of
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from florilege.llm.common import slices, spread_join, stored
+from florilege.llm.common import bit_table, may_hold, slices, spread_join, stored
 
 LEAST_WORDS = 1
 NEAR_WORDS = 5
@@ -159,8 +161,10 @@ def removed_lines(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_WO
 
     half = distinct.where(F.col("n") >= near).select("h1", "h2", "first", F.explode("halves").alias("half"))
     shared = stored(half.groupBy("half").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    wanted = spread_join(half, shared, ["half"], "rows", ["h1"]).groupBy("first.doc", "first.row").agg(F.collect_set(F.struct("h1", "h2", "first.line")).alias("wanted"))
-    close = stored(docs.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(_wanted_lines, "h1 long, h2 long, doc long, line int, row long, words binary").dropDuplicates(["h1", "h2"]))
+    half = half.where(may_hold(bit_table(shared.select("half")), "half"))
+    wanted = stored(spread_join(half, shared, ["half"], "rows", ["h1"]).groupBy("first.doc", "first.row").agg(F.collect_set(F.struct("h1", "h2", "first.line")).alias("wanted")))
+    asked = docs.where(may_hold(bit_table(wanted.select("doc", "row")), "doc", "row"))
+    close = stored(asked.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(_wanted_lines, "h1 long, h2 long, doc long, line int, row long, words binary").dropDuplicates(["h1", "h2"]))
 
     variants = close.select("doc", "line", "row", "words").mapInArrow(_variants, "key long, place int, doc long, line int, row long")
     whole, slot = F.col("place") < 0, F.when(F.col("place") >= 0, at)
@@ -186,8 +190,11 @@ def drop_lines(docs: DataFrame, counted: bool = False, least: int = LEAST_WORDS,
     text = F.col("text").cast("string")
     key, told = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(text)
     gone = removed_lines(docs.select(key.alias("doc"), told.alias("row"), text.alias("text")), least, near).groupBy("doc", "row").agg(F.collect_set("line").alias("lines"))
+    gone = stored(gone)
     whole = docs.select(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]).alias("whole"), key.alias("doc"), told.alias("row"))
-    joined = whole.join(gone, ["doc", "row"], "left").select(F.col("whole").alias("row"), "lines")
+    loses = may_hold(bit_table(gone.select("doc", "row")), "doc", "row")
+    joined = whole.where(loses).join(gone, ["doc", "row"], "left").select(F.col("whole").alias("row"), "lines")
+    joined = joined.union(whole.where(~loses).select(F.col("whole").alias("row"), F.lit(None).cast("array<int>")))
 
     def run(batches):
         for b in batches:
