@@ -4,8 +4,8 @@ Sources in code-point order (null last) weigh 5, 2, 1, repeating; together their
 words of the corpus; a target stops at `cap` times its source's size and the excess is reshared by
 weight. Each source's document rates minimise the relative entropy to one copy each under its token
 constraint: rate = min(cap, exp(lambda * size / mean size)), with lambda from safeguarded Newton steps
-on the dual, each step one aggregate over a (source, size) histogram, until every source meets its
-constraint (halving from NEWTON_STEPS on; an error if one never does). Rates are rounded to whole
+on the dual, all of them one expression over a source's histogram of sizes, until the source meets its
+constraint (halving from NEWTON_STEPS on; an error if it never does). Rates are rounded to whole
 copies by a hash of the row, `cap` at most. What a source's copies then miss or exceed is made up by
 one copy more or less of documents: in hash order, as far as an exact prefix sum of their sizes fits
 in it; the rest in the same way from one class of sizes after the other (powers of two, the largest
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from florilege.llm.common import WORD, checkpoint, stored
@@ -66,6 +66,36 @@ def targets(sources: DataFrame, cap: float = CAP) -> DataFrame:
     return filled.withColumn("target", F.least(F.col("_most"), F.col("weight") * F.lit(level)).cast("double")).drop("_most", "_held", "_taken")
 
 
+def _stepped(s: Column, step: Column, cap: float) -> Column:
+    """The state (solved, lo, hi, lam) of a source after one more step over its `points`; an expression, so that all steps are one plan."""
+    rates = F.transform(
+        "points",
+        lambda p: F.struct(
+            (p["size"] * p["n"]).alias("words"), (p["size"] / F.col("mean")).alias("x"), F.least(F.lit(cap), F.exp(s["lam"] * p["size"] / F.col("mean"))).alias("rate")
+        ),
+    )
+    sums = F.aggregate(
+        rates,
+        F.struct(F.lit(0.0).alias("got"), F.lit(0.0).alias("slope")),
+        lambda a, p: F.struct(
+            (a["got"] + p["words"] * p["rate"]).alias("got"), (a["slope"] + F.when(p["rate"] < cap, p["words"] * p["x"] * p["rate"]).otherwise(0.0)).alias("slope")
+        ),
+    )
+
+    def moved(t: Column) -> Column:
+        miss = t["got"] - F.col("target")
+        done = F.abs(miss) <= TOLERANCE * F.col("target")
+        lo, hi = F.when(miss < 0, s["lam"]).otherwise(s["lo"]), F.when(miss > 0, s["lam"]).otherwise(s["hi"])
+        newton = s["lam"] - miss / F.nullif(t["slope"], F.lit(0.0))
+        inside = (step <= NEWTON_STEPS) & (t["slope"] > 0) & (newton > lo) & (newton < hi)
+        # an interval as narrow as its numbers' last digits is as near as numbers come
+        narrow = (step % 4 == 0) & (hi - lo <= 1e-15 * F.greatest(F.abs(lo), F.abs(hi)))
+        lam = F.when(done, s["lam"]).when(inside, newton).otherwise((lo + hi) / 2)
+        return F.struct((done | narrow).alias("solved"), lo.alias("lo"), hi.alias("hi"), lam.alias("lam"))
+
+    return F.transform(F.array(sums), moved)[0]
+
+
 def _rates(sizes: DataFrame, cap: float) -> DataFrame:
     """(source, source_size, target, lam, mean) by Newton steps on the dual."""
     hist = checkpoint(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
@@ -82,36 +112,15 @@ def _rates(sizes: DataFrame, cap: float) -> DataFrame:
         .withColumn("lam", F.when(F.col("solved"), F.col("hi")).otherwise(F.lit(0.0)))
         .select("source", "source_size", "target", "mean", "solved", "lo", "hi", "lam")
     )
-    state = checkpoint(state)
-    x, rate = F.col("size") / F.col("mean"), F.least(F.lit(cap), F.exp(F.col("lam") * F.col("size") / F.col("mean")))
-    words = F.col("size") * F.col("n")
-    for step in range(MOST_STEPS):
-        sums = (
-            hist.withColumnRenamed("source", "key")
-            .join(state.where("not solved"), F.col("key").eqNullSafe(F.col("source")))
-            .groupBy("key")
-            .agg(F.sum(words * rate).alias("got"), F.sum(F.when(rate < cap, words * x * rate)).alias("slope"))
-        )
-        joined = state.join(sums, F.col("source").eqNullSafe(F.col("key")), "left")
-        miss = F.col("got") - F.col("target")
-        lo, hi = F.when(miss < 0, F.col("lam")).otherwise(F.col("lo")), F.when(miss > 0, F.col("lam")).otherwise(F.col("hi"))
-        newton = F.col("lam") - miss / F.col("slope")
-        inside = (F.col("slope") > 0) & (newton > lo) & (newton < hi) if step < NEWTON_STEPS else F.lit(False)
-        done = F.col("got").isNull() | (F.abs(miss) <= TOLERANCE * F.col("target"))
-        state = joined.select(
-            "source", "source_size", "target", "mean", (F.col("solved") | done).alias("solved"),
-            F.when(done, F.col("lo")).otherwise(lo).alias("lo"), F.when(done, F.col("hi")).otherwise(hi).alias("hi"),
-            F.when(done, F.col("lam")).when(inside, newton).otherwise((lo + hi) / 2).alias("lam"),
-        )
-        if step % 4 == 3:
-            # an interval as narrow as its numbers' last digits is as near as numbers come
-            narrow = F.col("hi") - F.col("lo") <= 1e-15 * F.greatest(F.abs("lo"), F.abs("hi"))
-            state = checkpoint(state.withColumn("solved", F.col("solved") | narrow))
-            if not state.where("not solved").limit(1).count():
-                break
-    else:
+    # a source's distinct sizes: fewer than the square root of twice its words
+    points = hist.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n"))).alias("points"))
+    start = F.struct("solved", "lo", "hi", "lam")
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_STEPS)), start, lambda s, step: F.when(s["solved"], s).otherwise(_stepped(s, step, cap)))
+    points = points.withColumnRenamed("source", "key")
+    state = checkpoint(state.join(points, F.col("source").eqNullSafe(F.col("key"))).select("source", "source_size", "target", "mean", found.alias("found")))
+    if state.where("not found.solved").limit(1).count():
         raise RuntimeError("the rates of some sources did not settle")
-    return checkpoint(state.withColumn("lam", F.round("lam", 12)))
+    return state.select("source", "source_size", "target", "mean", F.round("found.lam", 12).alias("lam"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -127,10 +136,15 @@ def mix(docs: DataFrame, cap: float = CAP) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "source")
 
 
-def _with(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
+def _few(sources: DataFrame) -> bool:
+    """Asked once of the sources, as each count of a table that is not written yet is one more run of its whole plan."""
+    return sources.count() <= BROADCAST_SOURCES
+
+
+def _with(rows: DataFrame, sources: DataFrame, few: bool, how: str = "inner") -> DataFrame:
     """rows with the columns of their source."""
     sources = sources.withColumnRenamed("source", "key")
-    sources = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+    sources = F.broadcast(sources) if few else sources
     return rows.join(sources, F.col("source").eqNullSafe(F.col("key")), how).drop("key")
 
 
@@ -157,7 +171,7 @@ def _can_change(cap: float):
     return (F.col("sign") != 0) & (F.col("size") > 0) & (F.col("copies") + F.col("sign")).between(0, int(cap))
 
 
-def _fill(plan: DataFrame, rows: DataFrame) -> DataFrame:
+def _fill(plan: DataFrame, rows: DataFrame, few: bool) -> DataFrame:
     """plan after one more fill, of its class `next`, by rows(source, h, words, left): in hash order, as far as their words' exact prefix sum fits in what is left."""
     rows = rows.withColumn("bucket", F.shiftright("h", 52))
     # at most 4,096 buckets of a source
@@ -170,11 +184,11 @@ def _fill(plan: DataFrame, rows: DataFrame) -> DataFrame:
     ends = checkpoint(ends)
     # the rows of one bucket of a source
     turns = Window.partitionBy("source").orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
-    inner = _with(rows, ends).where(F.col("bucket") == F.col("split")).withColumn("sum", F.col("whole_words") + F.sum("words").over(turns)).where(F.col("sum") <= F.col("left"))
+    inner = _with(rows, ends, few).where(F.col("bucket") == F.col("split")).withColumn("sum", F.col("whole_words") + F.sum("words").over(turns)).where(F.col("sum") <= F.col("left"))
     inner = inner.groupBy("source").agg(F.max("h").alias("inner_until"), F.max("sum").alias("inner_words"))
-    ends = _with(ends, inner, "left").select("source", F.coalesce("inner_until", "whole_until").alias("until"), F.coalesce("inner_words", "whole_words").alias("made_up"))
+    ends = _with(ends, inner, few, "left").select("source", F.coalesce("inner_until", "whole_until").alias("until"), F.coalesce("inner_words", "whole_words").alias("made_up"))
     filled = F.array_append("fills", F.struct(F.col("next").alias("class"), "until", F.col("left").alias("most")))
-    plan = _with(plan, ends, "left").withColumn("fills", F.when(F.col("until").isNull(), F.col("fills")).otherwise(filled))
+    plan = _with(plan, ends, few, "left").withColumn("fills", F.when(F.col("until").isNull(), F.col("fills")).otherwise(filled))
     return plan.withColumn("left", F.col("left") - F.coalesce("made_up", F.lit(0))).drop("until", "made_up")
 
 
@@ -185,31 +199,32 @@ def _plan(sizes: DataFrame, cap: float) -> DataFrame:
     of sizes, the largest first, each class of a source once: one round for each power of two at most.
     """
     rates = _rates(sizes, cap).select("source", "source_size", "target", "mean", "lam")
+    few = _few(rates)
     units = sizes.where("size > 0").groupBy("source", "h", "size").agg(F.count(F.lit(1)).alias("n"))
     words = F.col("size") * F.col("n")
-    units = checkpoint(_rounded(_with(units, rates), cap).select("source", "h", "size", "copies", words.alias("words")))
+    units = checkpoint(_rounded(_with(units, rates, few), cap).select("source", "h", "size", "copies", words.alias("words")))
     got = units.groupBy("source").agg(F.sum(F.col("copies") * F.col("words")).alias("got"))
     miss = F.col("target") - F.coalesce("got", F.lit(0))
-    plan = _with(rates, got, "left").withColumns({"sign": F.signum(F.round(miss, 3)).cast("int"), "left": F.abs(miss), "next": F.lit(-1)}).drop("got")
+    plan = _with(rates, got, few, "left").withColumns({"sign": F.signum(F.round(miss, 3)).cast("int"), "left": F.abs(miss), "next": F.lit(-1)}).drop("got")
     plan = checkpoint(plan.withColumn("fills", F.array().cast("array<struct<class:int,until:bigint,most:double>>")))
 
-    free = checkpoint(_with(units, plan.select("source", "sign")).where(_can_change(cap)).select("source", "h", "size", "words"))
-    plan = checkpoint(_fill(plan, _with(free, plan.select("source", "left")).where(F.col("size") <= F.col("left"))))
-    rest = checkpoint(_with(free, plan.select("source", "fills")).where(~_changed()).select("source", "h", "size", "words", _class().alias("class")))
+    free = checkpoint(_with(units, plan.select("source", "sign"), few).where(_can_change(cap)).select("source", "h", "size", "words"))
+    plan = checkpoint(_fill(plan, _with(free, plan.select("source", "left"), few).where(F.col("size") <= F.col("left")), few))
+    rest = checkpoint(_with(free, plan.select("source", "fills"), few).where(~_changed()).select("source", "h", "size", "words", _class().alias("class")))
     stock = rest.groupBy("source", "class").agg(F.min("words").alias("least")).groupBy("source").agg(F.collect_list(F.struct("class", "least")).alias("stock"))
     fits = F.filter("stock", lambda x: (x["class"] < F.col("next")) & (x["least"] <= F.col("left")))
     choice = F.array_max(F.transform(fits, lambda x: x["class"]))
-    plan = checkpoint(_with(plan.withColumn("next", F.lit(64)), stock, "left").withColumn("next", choice))
+    plan = checkpoint(_with(plan.withColumn("next", F.lit(64)), stock, few, "left").withColumn("next", choice))
     while plan.where("next is not null").limit(1).count():
-        rows = _with(rest, plan.select("source", "left", "next")).where((F.col("class") == F.col("next")) & (F.col("words") <= F.col("left")))
+        rows = _with(rest, plan.select("source", "left", "next"), few).where((F.col("class") == F.col("next")) & (F.col("words") <= F.col("left")))
         # stored, as the constraints that a checkpoint keeps would double with each round
-        plan = stored(_fill(plan, rows).withColumn("next", choice))
+        plan = stored(_fill(plan, rows, few).withColumn("next", choice))
     return plan.drop("next", "stock")
 
 
 def _taken(sizes: DataFrame, plan: DataFrame, cap: float) -> DataFrame:
     """sizes with its source's plan, `rate` and the whole `copies`."""
-    rows = _rounded(_with(sizes, plan), cap)
+    rows = _rounded(_with(sizes, plan, _few(plan)), cap)
     return rows.withColumn("copies", F.when(_can_change(cap) & _changed(), F.col("copies") + F.col("sign")).otherwise(F.col("copies")))
 
 
