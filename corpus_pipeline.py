@@ -2,6 +2,7 @@
 
 Every stage takes rows (doc_id, text, lang, source, n_chars) and whatever other columns there are,
 under any name; these pass through all but the last stage as they are. No rows give no rows.
+The stages make the session's batches to Python small (common.small_batches), as these hold whole texts.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.llm import line_dedup, mixing, packing, simhash_dedup, toxicity
-from florilege.llm.common import ship, stored, table
+from florilege.llm.common import ship, small_batches, stored, table
 from florilege.llm.queries import vocabulary
 
 #: SQL cannot express the fitted toxicity model or the packing order; tests hold the stages against plain versions.
@@ -23,6 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts score like any text without hits and stay; long texts are scored whole;
     repeated rows, and rows without a doc_id, are judged each by their own text.
     """
+    small_batches(spark)
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
@@ -33,6 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     with an empty text. Rows that share a doc_id, or have none, lose only lines of their own text; of
     these neither is earlier at the same line number. Very long lines and texts are taken whole.
     """
+    small_batches(spark)
     out = line_dedup.drop_lines(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
@@ -43,6 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows that share that doc_id, the one with the least hash over its columns stays; of rows equal
     in all columns, one. Null and empty texts are near copies of each other.
     """
+    small_batches(spark)
     return simhash_dedup.keep_one(docs)
 
 
@@ -61,6 +65,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts give the one id that ends a document; long texts span sequences; repeated
     rows, and rows without a doc_id, are packed each; columns other than doc_id and text end here.
     """
+    small_batches(spark)
     return packing.pack(docs, vocabulary(), with_ids=True)
 
 

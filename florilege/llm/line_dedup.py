@@ -164,7 +164,8 @@ def removed_lines(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_WO
     half = half.where(may_hold(bit_table(shared.select("half")), "half"))
     wanted = stored(spread_join(half, shared, ["half"], "rows", ["h1"]).groupBy("first.doc", "first.row").agg(F.collect_set(F.struct("h1", "h2", "first.line")).alias("wanted")))
     asked = docs.where(may_hold(bit_table(wanted.select("doc", "row")), "doc", "row"))
-    close = stored(asked.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(_wanted_lines, "h1 long, h2 long, doc long, line int, row long, words binary").dropDuplicates(["h1", "h2"]))
+    # merged, as beside a broadcast a task would hold two Python workers, the second for the lines
+    close = stored(asked.join(wanted.hint("merge"), ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(_wanted_lines, "h1 long, h2 long, doc long, line int, row long, words binary").dropDuplicates(["h1", "h2"]))
 
     variants = close.select("doc", "line", "row", "words").mapInArrow(_variants, "key long, place int, doc long, line int, row long")
     whole, slot = F.col("place") < 0, F.when(F.col("place") >= 0, at)
@@ -193,22 +194,16 @@ def drop_lines(docs: DataFrame, counted: bool = False, least: int = LEAST_WORDS,
     gone = stored(gone)
     whole = docs.select(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]).alias("whole"), key.alias("doc"), told.alias("row"))
     loses = may_hold(bit_table(gone.select("doc", "row")), "doc", "row")
-    joined = whole.where(loses).join(gone, ["doc", "row"], "left").select(F.col("whole").alias("row"), "lines")
-    joined = joined.union(whole.where(~loses).select(F.col("whole").alias("row"), F.lit(None).cast("array<int>")))
-
-    def run(batches):
-        for b in batches:
-            texts, counts, removed = [], [], []
-            for text, drop in zip(b.column(0).field("text").to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines, drop = (text or "").split("\n"), frozenset(drop or ())
-                kept = [x for i, x in enumerate(lines) if i not in drop] if drop else lines
-                texts.append(None if text is None else "\n".join(kept))
-                counts.append(0 if text is None else len(lines))
-                removed.append(len(lines) - len(kept))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["row", "kept", "n_lines", "n_removed"])
-
-    schema = f"row {joined.schema['row'].dataType.simpleString()}, kept string, n_lines long, n_removed long"
-    out = joined.mapInArrow(run, schema).withColumn("row", F.col("row").withField("text", F.col("kept")))
+    parts = F.split("whole.text", "\n", -1)
+    number = F.when(F.col("whole.text").isNull(), 0).otherwise(F.size(parts)).cast("long")
+    # in expressions, so that no task of this stage has a second Python worker beside the one that looks keys up
+    stays = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "lines")
+    kept = F.array_join(F.transform(F.array("parts"), lambda p: F.transform(stays, lambda i: F.get(p, i)))[0], "\n")
+    changed = whole.where(loses).join(gone, ["doc", "row"], "left").withColumn("parts", F.when(F.col("lines").isNotNull(), parts))
+    kept = F.when(F.col("lines").isNull(), F.col("whole.text")).otherwise(kept)
+    changed = changed.select("whole", kept.alias("kept"), number.alias("n_lines"), F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_removed"))
+    same = whole.where(~loses).select("whole", F.col("whole.text").alias("kept"), number.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    out = changed.union(same).withColumn("row", F.col("whole").withField("text", F.col("kept")))
     return out.select("row.*", "n_lines", "n_removed") if counted else out.select("row.*")
 
 

@@ -11,7 +11,7 @@ ranges, and in each of them up to SKETCH fine ones, so that ranges hold RANGE_BY
 SKETCH**2 ranges, and evenly more beyond. Tokens are those of the byte-level BPE vocabulary file
 given by `vocabulary` (token ids equal the tokenizers library's on that file), then END. A fast
 encoder stands in for that library where both agree; texts with the vocabulary's special string or a
-run of RUN white-space characters or more go to the library itself.
+run of RUN white-space characters or more go to the library itself, which a worker loads at the first of them.
 
 Defined cases: null text is empty and gives the single id END; repeated rows are packed each; a null
 doc_id is packed like any other; a document longer than a sequence spans several; runs of white
@@ -100,7 +100,7 @@ def _keyed(edges):
         for b in slices(batches, "text", KEY_BYTES):
             data, offs = buffers(b.column(1))
             key = keys(data, offs)
-            ids = b.column(0).to_pandas().fillna(-1).to_numpy(np.int64).astype(np.uint64)
+            ids = b.column(0).fill_null(-1).to_numpy().astype(np.uint64)
             salt = (ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(2 + DIMS * BITS)
             key = (key.astype(np.uint64) << np.uint64(62 - DIMS * BITS) | salt).astype(np.int64)
             if edges is None:
@@ -116,11 +116,18 @@ def _keyed(edges):
     return run
 
 
+@cache
+def library(vocabulary: str):
+    """The tokenizers object of the vocabulary file; large, and loaded where a text asks for it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary)
+
+
 @cache
 def encoder(vocabulary: str):
-    """encode(text) -> ids of the vocabulary file, and the tokenizers object that it stands for."""
+    """encode(text) -> ids of the vocabulary file, equal to those of the tokenizers object."""
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(vocabulary, encoding="utf-8") as f:
         model = json.load(f)["model"]
@@ -130,13 +137,11 @@ def encoder(vocabulary: str):
     byte = {c: b for b, c in char.items()}
     ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token != SPECIAL}
     fast = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    whole = Tokenizer.from_file(vocabulary)
-
     long_run = re.compile(rf"\s{{{RUN}}}")
 
     def encode(text: str) -> list[int]:
         if SPECIAL in text or (len(text) >= RUN and long_run.search(text)):
-            return whole.encode(text, add_special_tokens=False).ids
+            return library(vocabulary).encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
