@@ -6,12 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from florilege.functions import text as T
 from florilege.operators.ranking import running_total
-from florilege.sources.tables import stored
+from florilege.sources.tables import bit_table, may_hold, stored
 
 THRESHOLD = 0.8
 # Which paths are history, and what the lines of a document assert.
@@ -58,12 +60,14 @@ def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 BUCKETS = 1 << 18  # of shingles, by which their frequency is counted; changes only the plan
+BLOCK = 1 << 18  # shingles of sets that are compared in one group, about; changes only the plan
 
 
-def _first_shingles(sets: DataFrame, threshold: float) -> Column:
+def _first_shingles(sets: DataFrame, threshold: float, more: float = 0) -> Column:
     """Of each set's `hs`, as many as a set so similar must share one of: those of the emptiest buckets, then the least.
 
-    A number for each bucket goes to the tasks, whatever the number of documents.
+    With that part `more` of the set besides, it must share one and that part of the smaller set. A number for each
+    bucket goes to the tasks, whatever the number of documents.
     """
     bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
     filled = np.zeros(BUCKETS, np.int64)
@@ -73,7 +77,7 @@ def _first_shingles(sets: DataFrame, threshold: float) -> Column:
 
     def first(hs: pd.Series) -> pd.Series:
         def of(h):
-            most = len(h) - math.ceil(len(h) * threshold) + 1
+            most = len(h) - math.ceil(len(h) * threshold) + 1 + math.floor(more * len(h))
             return h[np.lexsort((h, held.value[h & (BUCKETS - 1)]))[:most]]
 
         return hs.map(of)
@@ -81,23 +85,67 @@ def _first_shingles(sets: DataFrame, threshold: float) -> Column:
     return F.pandas_udf(first, "array<bigint>")("hs")
 
 
+def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, na, nb): pairs of sets(k, n, hs) that may overlap by more than threshold, a < b, and their sizes.
+
+    Sets that share `need` of their first shingles; a shingle at places pa and pb of the two orders is one of the first
+    `need` that are shared only where need - 1 of them may lie before it and all others behind it.
+    """
+    more = threshold / 32  # longer texts share a few rare shingles by chance
+    prefix = sets.select("k", "n", F.posexplode(_first_shingles(sets, threshold, more)).alias("p", "h"))
+    left, right = prefix.toDF("a", "na", "pa", "h").hint("merge"), prefix.toDF("b", "nb", "pb", "h")
+    need = F.floor(F.lit(more) * F.least("na", "nb")) + 1
+    least = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6  # shingles that similar sets share
+    met = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 + need >= least))
+    return met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= need).drop("shared")
+
+
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """(k, block) of all sets in pairs(a, b, na, nb): runs of about BLOCK shingles, sets that pair with the same one side by side."""
+    either = pairs.select(F.col("a").alias("k"), F.col("na").alias("n"), "a").union(pairs.select("b", "nb", "a"))
+    named = stored(either.groupBy("k").agg(F.min("a").alias("least"), F.first("n").alias("n")))
+    return running_total(named, [F.col("least"), F.col("k")], F.col("n"), "upto").select("k", F.floor((F.col("upto") - 1) / BLOCK).alias("block"))
+
+
+def _overlaps(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """(pa, pb, na, nb, shared) of pairs(a, b) whose sets(k, path, hs) are all there."""
+    hs = sets["hs"].combine_chunks()
+    ends = np.cumsum(pc.list_value_length(hs).to_numpy())
+    values, ids = np.unique(hs.flatten().to_numpy(), return_inverse=True)
+    members = np.split(ids, ends[:-1])
+    order = np.argsort(ks := sets["k"].to_numpy())
+    a, b = (order[np.searchsorted(ks, pairs[x].to_numpy(), sorter=order)] for x in "ab")
+    shared, inside, last = np.zeros(len(a), np.int32), np.zeros(len(values), bool), None
+    for i in np.argsort(a, kind="stable"):
+        if a[i] != last:
+            inside[:] = False
+            inside[members[last := a[i]]] = True
+        shared[i] = np.count_nonzero(inside[members[b[i]]])
+    sizes = np.diff(ends, prepend=0).astype(np.int32)
+    return pa.table({"pa": sets["path"].take(a), "pb": sets["path"].take(b), "na": sizes[a], "nb": sizes[b], "shared": shared})
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard) of representatives whose shingle sets overlap by more than threshold.
 
     Exact, by prefix filtering: in any one order of all shingles, two sets that similar share one of
-    their first n - ceil(t n) + 1, so only these are joined, and sizes may differ by the factor t at
-    most. The order is by how full a shingle's bucket is, so that frequent ones come last; as it is
-    known where a set lies, its other shingles are not moved to be counted.
+    their first n - ceil(t n) + 1, and one more for each that is added to these, so only these are joined.
+    The order is by how full a shingle's bucket is, so that frequent ones come last; as it is
+    known where a set lies, its other shingles are not moved to be counted. Whole sets move only
+    for pairs that are left, once for each pair of blocks of sets, however many pairs these hold.
     """
     # making shingles takes far longer than moving the texts, so all tasks share them
     sets = stored(shingle_sets(representatives(docs).repartition("path")).withColumn("k", F.monotonically_increasing_id()))
-    prefix = sets.select("k", "n", F.explode(_first_shingles(sets, threshold)).alias("h"))
-    left, right = prefix.toDF("a", "na", "h").hint("merge"), prefix.toDF("b", "nb", "h")
-    pairs = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
-    side = lambda x: sets.select(F.col("k").alias(x), F.col("path").alias(f"p{x}"), F.col("n").alias(f"n{x}"), F.col("hs").alias(f"h{x}")).hint("merge")
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = both.withColumn("shared", F.size(F.array_intersect("ha", "hb")))
-    found = shared.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") > threshold)
+    pairs = stored(_candidates(sets, threshold))
+    blocks = stored(_blocks(pairs))
+    block = lambda x: blocks.toDF(x, f"block_{x}").hint("merge")
+    together = [F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high")]
+    placed = stored(pairs.join(block("a"), "a").join(block("b"), "b").select(*together, "a", "b"))
+    wanted = placed.select(F.col("low").alias("one"), F.col("high").alias("other"), F.explode(F.array("a", "b")).alias("k")).distinct()
+    moved = sets.where(may_hold(bit_table(blocks.select("k")), "k")).select("k", "path", "hs").hint("merge").join(wanted, "k")
+    both = placed.groupBy("low", "high").cogroup(moved.groupBy("one", "other"))
+    found = both.applyInArrow(_overlaps, "pa string, pb string, na int, nb int, shared int")
+    found = found.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") > threshold)
     return found.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "jaccard")
 
 
