@@ -37,9 +37,7 @@ def exact_members(docs: DataFrame) -> DataFrame:
 
 def value_members(docs: DataFrame) -> DataFrame:
     """(key, value, path): each fact of an eligible document, once; keys with several values are contradictions."""
-    old = docs.select(F.explode("supersedes").alias("id")).distinct()
-    live = docs.where(~F.col("path").rlike(C.HISTORICAL)).join(old, "id", "left_anti")
-    return C.asserted(C.facts(live)).select("key", "value", "path")
+    return C.asserted(C.live_facts(docs)).select("key", "value", "path")
 
 
 def contradiction_classes(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -213,6 +213,16 @@ def facts(docs: DataFrame) -> DataFrame:
     return found.select("path", "f.key", "f.value", "line", "seq", T.trimmed(F.col("line_text")).alias("text"))
 
 
+def live_facts(docs: DataFrame) -> DataFrame:
+    """The facts of documents(path, id, supersedes array<string>, body) that are not historical and that no other replaces.
+
+    A document's id goes with its facts, so that texts are not moved to be told apart by it.
+    """
+    old = docs.select(F.explode("supersedes").alias("id")).distinct()
+    found = facts(docs.where(~F.col("path").rlike(HISTORICAL)).select(F.struct("path", "id").alias("path"), "body"))
+    return found.withColumn("id", F.col("path.id")).withColumn("path", F.col("path.path")).join(old, "id", "left_anti").drop("id")
+
+
 def asserted(found: DataFrame) -> DataFrame:
     """(path, key, value, line, text): facts of which a document gives one value only, at their first place."""
     first = F.min(F.struct("line", "seq", "text")).alias("first")
@@ -238,9 +248,7 @@ def contradictions(docs: DataFrame) -> DataFrame:
     docs(path, id, supersedes array<string>, body). Historical documents and those that another
     replaces take no part.
     """
-    old = docs.select(F.explode("supersedes").alias("id")).distinct()
-    live = docs.where(~F.col("path").rlike(HISTORICAL)).join(old, "id", "left_anti")
-    by_value = asserted(facts(live)).groupBy("key", "value").agg(F.collect_set("path").alias("paths"))
+    by_value = asserted(live_facts(docs)).groupBy("key", "value").agg(F.collect_set("path").alias("paths"))
     by_key = by_value.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("values"), F.array_sort(F.flatten(F.collect_list("paths"))).alias("paths")).where(F.size("values") > 1)
     return by_key.select("key", fact_severity(F.col("key")).alias("severity"), fact_label(F.col("key")).alias("label"), "values", F.array_distinct("paths").alias("paths"))
 
