@@ -56,7 +56,8 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the least root among a node's neighbours, then the root of that root, so that
     chains shorten by half; both are aggregates with partial minima. Rounds end when no root changes.
     """
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # not a union, which would find the links twice
+    edges = stored(links.where("a <> b").select(F.inline(both)).distinct())
     roots = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = edges.join(roots, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import pytest
 
+from florilege.operators import clusters as CL
 from florilege.operators import conflicts as C
 
 SCRIPT = """
@@ -63,3 +64,16 @@ def test_sets_move_once_for_blocks_of_pairs(tmp_path):
     root = Path(__file__).resolve().parents[1]
     done = subprocess.run([sys.executable, "-c", SCRIPT, str(tmp_path)], cwd=root, capture_output=True, text=True, timeout=200)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_links_are_found_once(spark):
+    found = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            found.add(len(batch))
+            yield batch
+
+    links = spark.range(100).selectExpr("id AS a", "id + 100 AS b").mapInPandas(count, "a long, b long")
+    assert {(r.node, r.root) for r in CL.components(links).collect()} == {(x, x % 100) for x in range(200)}
+    assert found.value == 100
