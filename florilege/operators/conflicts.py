@@ -60,7 +60,8 @@ def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 BUCKETS = 1 << 18  # of shingles, by which their frequency is counted; changes only the plan
-BLOCK = 1 << 18  # shingles of sets that are compared in one group, about; changes only the plan
+BLOCK = 1 << 18  # shingles of a block of sets, about; changes only the plan
+MOST_SETS = 512  # in a block, so that a pair of blocks has as many pairs squared at most; changes only the plan
 
 
 def _first_shingles(sets: DataFrame, threshold: float, more: float = 0) -> Column:
@@ -101,10 +102,11 @@ def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _blocks(pairs: DataFrame) -> DataFrame:
-    """(k, block) of all sets in pairs(a, b, na, nb): runs of about BLOCK shingles, sets that pair with the same one side by side."""
+    """(k, block) of all sets in pairs(a, b, na, nb): runs of about BLOCK shingles and MOST_SETS sets at most, those that pair with the same one side by side."""
     either = pairs.select(F.col("a").alias("k"), F.col("na").alias("n"), "a").union(pairs.select("b", "nb", "a"))
     named = stored(either.groupBy("k").agg(F.min("a").alias("least"), F.first("n").alias("n")))
-    return running_total(named, [F.col("least"), F.col("k")], F.col("n"), "upto").select("k", F.floor((F.col("upto") - 1) / BLOCK).alias("block"))
+    weight = F.greatest(F.col("n"), F.lit(math.ceil(BLOCK / MOST_SETS)))
+    return running_total(named, [F.col("least"), F.col("k")], weight, "upto").select("k", F.floor((F.col("upto") - 1) / BLOCK).alias("block"))
 
 
 def _overlaps(pairs: pa.Table, sets: pa.Table) -> pa.Table:

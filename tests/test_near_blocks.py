@@ -77,3 +77,9 @@ def test_links_are_found_once(spark):
     links = spark.range(100).selectExpr("id AS a", "id + 100 AS b").mapInPandas(count, "a long, b long")
     assert {(r.node, r.root) for r in CL.components(links).collect()} == {(x, x % 100) for x in range(200)}
     assert found.value == 100
+
+
+def test_small_sets_do_not_fill_a_block_without_end(spark):
+    pairs = spark.range(1, 3000).selectExpr("0L AS a", "id AS b", "40 AS na", "40 AS nb")
+    sizes = [r["count"] for r in C._blocks(pairs).groupBy("block").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= C.MOST_SETS
